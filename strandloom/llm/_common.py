@@ -26,9 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns a reader of it: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Writes df as Parquet into the shared folder and returns a reader of it: cuts lineage and survives lost executors.
+
+    narrow: for tables that are small beside the texts; they get four files for each core of the cluster at most."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/strandloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

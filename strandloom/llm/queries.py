@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jpeg_media, language_id, license_scan, mixing, ngram_join, quality, token_counts
+from . import bpe, exact_dedup, jpeg_media, language_id, license_scan, mixing, ngram_join, quality, substring_dedup, token_counts
 from ._common import count_ws_words, documents, materialize, shared_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     levels = {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
@@ -70,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Weights of the mixing query.
 MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard_join, op3_license_scan, op4_token_counts, op5_exact_dedup, op7_mixing, op8_quality, op9_jpeg_media, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard_join, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_substring_dedup, op7_mixing, op8_quality, op9_jpeg_media, op10_language_id)}
 ORACLE: dict[str, str] = {}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
