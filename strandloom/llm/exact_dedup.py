@@ -40,11 +40,11 @@ def classes(digests: DataFrame) -> DataFrame:
     level = digests.groupBy(*KEY, "_run").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_count"))
     levels, bits = [], 0
     while (1 << bits) < RUNS:
-        level = materialize(level, f"runs{bits}") if bits == 0 else level
+        level = materialize(level, f"runs{bits}", True) if bits == 0 else level
         levels.append((bits, level))
         bits += FAN_BITS
         level = level.withColumn("_run", F.col("_run").bitwiseAND(F.lit(~((1 << bits) - 1)))).groupBy(*KEY, "_run").agg(F.min("_first").alias("_first"), F.sum("_count").alias("_count"))
-        level = materialize(level, f"runs{bits}")
+        level = materialize(level, f"runs{bits}", True)
     won = level
     for bits, below in reversed(levels):
         to = F.col("_run").bitwiseAND(F.lit(~((1 << (bits + FAN_BITS)) - 1)))
@@ -62,7 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with their own columns: the first of each group of equal texts."""
     digests = materialize(digest_rows(docs, id_col, text_col), "digests")
-    kept = materialize(classes(digests).where(F.col("_row") == F.col("keep_row")).select("doc_id", "text_sha256"), "kept")
+    kept = materialize(classes(digests).where(F.col("_row") == F.col("keep_row")).select("doc_id", "text_sha256"), "kept", True)
     own, tag, copy = docs.columns, "_kept_sha", "_kept_copy"
     keyed = docs.withColumn(tag, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     mine = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))

@@ -55,15 +55,15 @@ def divide(children: DataFrame, parent: list[str]) -> DataFrame:
     return x.withColumn("share", F.least(share, F.col("cap"))).drop("r", "c0", "w0", "open")
 
 
-def leaf_budgets(leaves: DataFrame, levels: list[str], total: Column, weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
-    """leaves: levels and tokens of each leaf. Returns them with budget."""
+def leaf_budgets(leaves: DataFrame, levels: list[str], share: tuple[int, int], weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
+    """leaves: levels and tokens of each leaf. Returns them with budget. The root's budget is that share of all tokens."""
     x = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    top = x.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-    budget = top.select(total.cast("long").alias("budget"))
+    everything = F.expr("sum(cap) over ()") / F.lit(max_epochs)
+    root, budget = F.floor(everything.cast("decimal(19,0)") * share[0] / share[1]).cast("long"), None
     for i, level in enumerate(levels):
         own, parent = levels[: i + 1], levels[:i]
         nodes = x.groupBy(*own).agg(F.sum("cap").alias("cap")).withColumn("name", F.col(level)).withColumn("w", weight_of(level, F.col(level), weights))
-        nodes = nodes.join(budget, parent) if parent else nodes.crossJoin(F.broadcast(budget))  # budget is one row at the root
+        nodes = nodes.join(budget, parent) if parent else nodes.withColumn("budget", root)
         budget = divide(nodes, parent or [F.lit(0)]).select(*own, F.col("share").alias("budget"))
     return x.join(budget, levels).drop("cap")
 
@@ -74,8 +74,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], share: tuple[int, int] = SHA
     rows = docs.select(F.col(id_col).alias("doc_id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in levels.items()), count_ws_words(F.col(text_col)).alias("n_tokens"))
     rows = materialize(rows, "tokens")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
-    total = F.floor(F.col("tokens").cast("decimal(19,0)") * share[0] / share[1])
-    plan = materialize(leaf_budgets(leaves, names, total, weights or {}, max_epochs), "budgets")
+    plan = materialize(leaf_budgets(leaves, names, share, weights or {}, max_epochs), "budgets", True)
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.join(plan, names).withColumn("place", place).withColumn("bucket", F.substring("place", 1, BUCKET_HEX))
@@ -97,7 +96,7 @@ BROADCAST_ROWS = 500_000
 def take(docs: DataFrame, levels: dict[str, Column], share: tuple[int, int] = SHARE, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs that a mix with at most one epoch takes, with docs' own columns. Rows that share an id stay together."""
     taken = mix(docs, levels, share, weights, 1, seed).where("copies > 0").select(F.col("doc_id").alias("_taken")).distinct()
-    taken = materialize(taken, "taken")
+    taken = materialize(taken, "taken", True)
     if taken.count() <= BROADCAST_ROWS:
         taken = F.broadcast(taken)  # counted; above that many rows the join is shuffled
     return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")), "left_semi")
