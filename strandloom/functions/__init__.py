@@ -1,0 +1 @@
+"""Column functions: nucleotide strings, attribute strings, names, label ids and logits."""

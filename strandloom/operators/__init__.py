@@ -1,0 +1 @@
+"""DataFrame operators: each takes and returns DataFrames and never collects data rows."""

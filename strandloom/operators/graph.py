@@ -1,0 +1,24 @@
+"""Connected components by minimum labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .tables import written
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(node, label) for edges (a, b): label is the smallest node of the component."""
+    edges = written(edges.select("a", "b").distinct(), "edges")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "label")
+    for _ in range(rounds):
+        heard = both.join(label.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+        low = heard.unionByName(label).groupBy("node").agg(F.min("label").alias("label"))
+        low = written(low, "label")
+        new = written(low.join(low.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").select("node", F.col("top").alias("label")), "label")
+        if not new.join(label.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count():
+            return new
+        label = new
+    raise RuntimeError(f"components need more than {rounds} rounds")

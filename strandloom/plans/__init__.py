@@ -1,0 +1 @@
+"""Compositions of operators: whole pipelines and the query catalogue."""

@@ -1,4 +1,807 @@
-"""Queries over the test tables, and SQL that gives the same rows."""
+"""Queries over the test tables, and SQL that gives the same rows, written in another form where that is possible."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import attributes as A
+from ..functions import dna as D
+from ..functions import logits as L
+from ..operators import decode, filters, hierarchy, intervals, labels, orf, runs, stats
+from ..operators import evaluate as E
+from .fixtures import base, ctes, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+I, FT, WD, LB, RN, DN = (ctes(n) for n in ("interval", "feature", "wide", "label", "run", "dna"))
+PRF = "CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1"
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+def typed(spark, d, typ: str) -> DataFrame:
+    return view(spark, d, "interval").where(F.col("typ") == typ).select("seq", "strand", "start", "stop")
+
+
+# --- intervals -----------------------------------------------------------------------------------------------------------
+
+MERGED = """m AS (SELECT seq, strand, typ, start, stop, sum(o) OVER (PARTITION BY seq, strand, typ ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY seq, strand, typ ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM interval) x),
+mi AS (SELECT seq, strand, typ, min(start) AS start, max(stop) AS stop, count(*) AS n_members FROM m GROUP BY seq, strand, typ, g)"""
+
+
+@query(I + ", " + MERGED + " SELECT * FROM mi")
+def interval_merge(spark, d):
+    return intervals.merge(view(spark, d, "interval"), ("seq", "strand", "typ"))
+
+
+@query(I + " SELECT a.seq, a.strand, a.typ, a.start, a.stop, EXISTS (SELECT 1 FROM interval b WHERE b.seq = a.seq AND b.strand = a.strand AND b.typ = a.typ AND b.start < a.stop AND a.start < b.stop AND (b.start <> a.start OR b.stop <> a.stop)) AS has_overlap FROM interval a")
+def interval_overlap_flag(spark, d):
+    return intervals.overlap_flag(view(spark, d, "interval"), ("seq", "strand", "typ"))
+
+
+@query(I + " SELECT a.seq, a.strand, a.start, a.stop, b.start AS r_start, b.stop AS r_stop FROM interval a JOIN interval b ON a.seq = b.seq AND a.strand = b.strand AND a.typ = 'CDS' AND b.typ = 'three_prime_UTR' AND a.start < b.stop AND b.start < a.stop")
+def interval_overlap_join(spark, d):
+    return intervals.overlap_join(typed(spark, d, "CDS"), typed(spark, d, "three_prime_UTR"))
+
+
+@query(I + " SELECT a.seq, a.strand, a.start, a.stop, b.start AS r_start, b.stop AS r_stop FROM interval a JOIN interval b ON a.seq = b.seq AND a.strand = b.strand AND a.typ = 'CDS' AND b.typ = 'three_prime_UTR' AND b.start >= a.start AND b.stop <= a.stop")
+def interval_containment_join(spark, d):
+    return intervals.overlap_join(typed(spark, d, "CDS"), typed(spark, d, "three_prime_UTR"), how="contains")
+
+
+@query(I + ", " + MERGED + ", g2 AS (SELECT seq, strand, typ, stop AS start, lead(start) OVER (PARTITION BY seq, strand, typ ORDER BY start) AS stop FROM mi) SELECT * FROM g2 WHERE stop IS NOT NULL")
+def interval_gaps(spark, d):
+    keys = ("seq", "strand", "typ")
+    return intervals.gaps(intervals.merge(view(spark, d, "interval"), keys), keys)
+
+
+@query(I + ", " + MERGED + """, dom AS (SELECT seq, strand, typ, min(start) - 5 AS lo, max(stop) + 5 AS hi FROM interval GROUP BY ALL),
+g2 AS (SELECT seq, strand, typ, stop AS start, lead(start) OVER (PARTITION BY seq, strand, typ ORDER BY start) AS stop FROM mi)
+SELECT * FROM g2 WHERE stop IS NOT NULL UNION ALL SELECT seq, strand, typ, lo, lo + 5 FROM dom UNION ALL SELECT seq, strand, typ, hi - 5, hi FROM dom""")
+def interval_complement(spark, d):
+    keys = ("seq", "strand", "typ")
+    x = view(spark, d, "interval")
+    return intervals.complement(x, x.groupBy(*keys).agg((F.min("start") - 5).alias("lo"), (F.max("stop") + 5).alias("hi")), keys)
+
+
+@query(I + """ SELECT a.seq, a.strand, a.start, a.stop, (SELECT max(b.stop) FROM interval b WHERE b.seq = a.seq AND b.strand = a.strand AND b.typ = 'CDS' AND b.stop < a.start) AS upstream_stop,
+(SELECT min(b.start) FROM interval b WHERE b.seq = a.seq AND b.strand = a.strand AND b.typ = 'CDS' AND b.start > a.stop) AS downstream_start FROM interval a WHERE a.typ = 'five_prime_UTR'""")
+def interval_nearest(spark, d):
+    return intervals.nearest(typed(spark, d, "five_prime_UTR"), typed(spark, d, "CDS"))
+
+
+@query(I + """, p AS (SELECT * FROM interval WHERE typ = 'five_prime_UTR'), t AS (SELECT * FROM interval WHERE typ = 'CDS'),
+j AS (SELECT p.seq, p.strand, p.start, p.stop, t.start AS ts, t.stop AS te FROM p JOIN t ON p.seq = t.seq AND p.strand = t.strand AND abs(p.start - t.start) <= 5 AND abs(p.stop - t.stop) <= 5),
+c AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT seq, strand, start, stop FROM j)) AS tp, (SELECT count(*) FROM (SELECT DISTINCT seq, strand, ts, te FROM j)) AS hit, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM t) AS nt)
+SELECT tp, np - tp AS fp, nt - hit AS fn FROM c""")
+def interval_band_match(spark, d):
+    return intervals.band_counts(typed(spark, d, "five_prime_UTR"), typed(spark, d, "CDS"), 5)
+
+
+@query(I + ", " + MERGED + " SELECT a.seq, a.strand, sum(least(a.stop, b.stop) - greatest(a.start, b.start))::BIGINT AS bases FROM mi a JOIN mi b ON a.seq = b.seq AND a.strand = b.strand AND a.typ = 'CDS' AND b.typ = 'three_prime_UTR' AND a.start < b.stop AND b.start < a.stop GROUP BY ALL")
+def overlap_bases(spark, d):
+    return intervals.overlap_bases(intervals.merge(typed(spark, d, "CDS")), intervals.merge(typed(spark, d, "three_prime_UTR")))
+
+
+OUTER = """p AS (SELECT DISTINCT seq, typ, start, stop FROM interval WHERE strand = '+'), t AS (SELECT DISTINCT seq, typ, start, stop FROM interval WHERE strand = '-'),
+o AS (SELECT coalesce(p.seq, t.seq) AS seq, coalesce(p.typ, t.typ) AS typ, coalesce(p.start, t.start) AS start, coalesce(p.stop, t.stop) AS stop, p.seq IS NOT NULL AS predicted, t.seq IS NOT NULL AS labeled FROM p FULL JOIN t ON p.seq = t.seq AND p.typ = t.typ AND p.start = t.start AND p.stop = t.stop)"""
+
+
+def _strands(spark, d):
+    x = view(spark, d, "interval")
+    return intervals.outer_match(x.where("strand = '+'"), x.where("strand = '-'"), ("seq", "typ"))
+
+
+@query(I + ", " + OUTER + " SELECT * FROM o")
+def interval_outer_match(spark, d):
+    return _strands(spark, d)
+
+
+@query(I + ", " + OUTER + f""", n AS (SELECT typ, count(*) FILTER (predicted AND labeled) AS tp, count(*) FILTER (NOT labeled) AS fp, count(*) FILTER (NOT predicted) AS fn FROM o GROUP BY typ)
+SELECT typ, tp, fp, fn, {PRF}, tp::DOUBLE / (tp + fp + fn) AS jaccard FROM n""")
+def eval_prf_interval(spark, d):
+    return E.entity_metrics(_strands(spark, d), "typ")
+
+
+@query(I + f""", s AS (SELECT DISTINCT seq, strand, start, stop FROM interval), u AS (SELECT seq, strand, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(o) OVER (PARTITION BY seq, strand ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY seq, strand ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM s) x) y GROUP BY seq, strand, g),
+z AS (SELECT seq, sum(stop - start) FILTER (strand = '+') AS np, sum(stop - start) FILTER (strand = '-') AS nt FROM u GROUP BY seq),
+b AS (SELECT p.seq, sum(least(p.stop, t.stop) - greatest(p.start, t.start)) AS n FROM u p JOIN u t ON p.seq = t.seq AND p.strand = '+' AND t.strand = '-' AND p.start < t.stop AND t.start < p.stop GROUP BY p.seq),
+c AS (SELECT z.seq, coalesce(n, 0)::BIGINT AS tp, (coalesce(np, 0) - coalesce(n, 0))::BIGINT AS fp, (coalesce(nt, 0) - coalesce(n, 0))::BIGINT AS fn FROM z LEFT JOIN b ON z.seq = b.seq) SELECT seq, tp, fp, fn, {PRF} FROM c""")
+def eval_overlap_prf(spark, d):
+    x = view(spark, d, "interval")
+    return E.overlap_prf(x.where("strand = '+'"), x.where("strand = '-'"))
+
+
+@query(I + """, p AS (SELECT row_number() OVER (ORDER BY seq, strand, start, stop) AS id, * FROM (SELECT DISTINCT seq, strand, start, stop FROM interval WHERE typ = 'CDS' AND start % 7 = 0)),
+e AS (SELECT concat('pred:', p.seq, p.strand, p.start, '-', p.stop) AS a, concat('true:', t.seq, t.strand, t.start, '-', t.stop) AS b FROM p JOIN (SELECT DISTINCT seq, strand, start, stop FROM interval WHERE typ = 'five_prime_UTR' AND start % 5 = 0) t ON p.seq = t.seq AND p.strand = t.strand AND p.start < t.stop AND t.start < p.stop),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT 'pred' AS side, concat(seq, strand, start, '-', stop) AS id FROM p UNION ALL SELECT 'true', concat(seq, strand, start, '-', stop) FROM (SELECT DISTINCT seq, strand, start, stop FROM interval WHERE typ = 'five_prime_UTR' AND start % 5 = 0)),
+r AS (SELECT concat(side, ':', id) AS node, concat(side, ':', id) AS m FROM n UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.m)
+SELECT n.side, n.id, min(r.m) AS cluster FROM n JOIN r ON r.node = concat(n.side, ':', n.id) GROUP BY ALL""")
+def overlap_clusters(spark, d):
+    """Components of overlapping predicted and true intervals; the two sides are CDS and 5' UTR intervals whose start is a multiple of 7 and 5 tens."""
+    x = view(spark, d, "interval").withColumn("id", F.concat("seq", "strand", F.col("start").cast("string"), F.lit("-"), F.col("stop").cast("string")))
+    side = lambda typ, k: x.where((F.col("typ") == typ) & (F.col("start") % k == 0)).select("id", "seq", "strand", "start", "stop").distinct()
+    return intervals.clusters(side("CDS", 7), side("five_prime_UTR", 5))
+
+
+@query(I + " SELECT typ, seq, min(start) AS start, max(stop) AS stop FROM interval GROUP BY typ, seq")
+def region_span(spark, d):
+    return intervals.span(view(spark, d, "interval"), "typ", "seq")
+
+
+@query("""SELECT doc_id, greatest(n_chars // 3 - 200, 0) AS lo, least(n_chars // 2 + 200, n_chars) AS hi, n_chars // 3 - greatest(n_chars // 3 - 200, 0) AS from_lo, n_chars // 2 - greatest(n_chars // 3 - 200, 0) AS to_lo FROM documents""")
+def slice_padding(spark, d):
+    x = base(spark, d, "documents").withColumn("s", F.expr("n_chars div 3")).withColumn("e", F.expr("n_chars div 2"))
+    a, b, s, e = intervals.pad(F.col("s"), F.col("e"), 200, F.col("n_chars"))
+    return x.select("doc_id", a.alias("lo"), b.alias("hi"), s.alias("from_lo"), e.alias("to_lo"))
+
+
+# --- runs and labels -----------------------------------------------------------------------------------------------------
+
+
+@query(RN + " SELECT grp, label, start, stop FROM run")
+def run_lengths(spark, d):
+    return runs.runs(view(spark, d, "label"), ["grp"])
+
+
+@query(LB + """, r AS (SELECT grp, min(pos) AS start, max(pos) + 1 AS stop, bool_and(pos % 11 <> 0) AS ok FROM (SELECT grp, pos, pos - row_number() OVER (PARTITION BY grp ORDER BY pos) AS g FROM label WHERE label IN (1, 2)) x GROUP BY grp, g) SELECT grp, start, stop FROM r WHERE ok""")
+def masked_runs(spark, d):
+    x = view(spark, d, "label").select("grp", "pos", F.col("label").isin(1, 2).cast("int").alias("v"), (F.col("pos") % 11 != 0).alias("ok"))
+    return runs.true_runs(x, ["grp"], mask="ok")
+
+
+@query(LB + """, e AS (SELECT grp, pos, unnest(CASE label WHEN 1 THEN ['transcript', 'intron'] WHEN 2 THEN ['transcript', 'exon'] WHEN 3 THEN ['transcript', 'exon', 'cds'] WHEN 4 THEN ['transcript', 'exon'] ELSE [] END) AS entity FROM label)
+SELECT grp, entity, min(pos) AS start, max(pos) + 1 AS stop FROM (SELECT *, pos - row_number() OVER (PARTITION BY grp, entity ORDER BY pos) AS g FROM e) x GROUP BY grp, entity, g""")
+def group_runs(spark, d):
+    return runs.group_runs(runs.runs(view(spark, d, "label"), ["grp"]), ["grp"], {"transcript": [1, 2, 3, 4], "exon": [2, 3, 4], "intron": [1], "cds": [3]})
+
+
+TAG = """, t AS (SELECT grp, pos, label, CASE WHEN label < 1 THEN label ELSE 1 + 4 * (label - 1) + CASE WHEN a AND z THEN 1 WHEN a THEN 2 WHEN z THEN 0 ELSE 3 END END AS tag FROM
+(SELECT *, EXISTS (SELECT 1 FROM label b WHERE b.grp = x.grp AND b.pos = x.pos - 1 AND b.label = x.label) AS a, EXISTS (SELECT 1 FROM label b WHERE b.grp = x.grp AND b.pos = x.pos + 1 AND b.label = x.label) AS z FROM label x) y)"""
+
+
+@query(LB + TAG + " SELECT grp, pos, label, tag::INTEGER AS tag FROM t")
+def biluo_tags(spark, d):
+    return runs.biluo(view(spark, d, "label"), ["grp"])
+
+
+@query(LB + TAG.replace("WHEN a THEN 2 WHEN z THEN 0", "WHEN z THEN 2 WHEN a THEN 0") + " SELECT grp, pos, label, tag::INTEGER AS tag FROM t")
+def biluo_tags_reverse(spark, d):
+    return runs.biluo(view(spark, d, "label"), ["grp"], forward=False)
+
+
+@query(LB + TAG + " SELECT grp, pos, label AS class, CASE WHEN tag = 0 THEN 'O' ELSE concat(substr('BILU', ((tag - 1) % 4 + 1)::INTEGER, 1), '-', CASE label WHEN 1 THEN 'INTRON' WHEN 2 THEN 'UTR5' WHEN 3 THEN 'CDS' ELSE 'UTR3' END) END AS name FROM t")
+def biluo_inverse(spark, d):
+    t = runs.biluo(view(spark, d, "label"), ["grp"])
+    return t.select("grp", "pos", runs.biluo_class(F.col("tag")).alias("class"), runs.biluo_name(F.col("tag"), ["INTRON", "UTR5", "CDS", "UTR3"]).alias("name"))
+
+
+@query(LB + TAG + " SELECT tag::INTEGER AS tag, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 9) AS percent FROM t GROUP BY tag")
+def tag_frequency(spark, d):
+    return rounded(stats.value_counts(runs.biluo(view(spark, d, "label"), ["grp"]), "tag"), "percent")
+
+
+@query(LB + """, p AS (SELECT label AS f, lead(label) OVER (PARTITION BY grp ORDER BY pos) AS t FROM label), g AS (SELECT a.v::INTEGER AS f, b.v::INTEGER AS t FROM range(5) a(v), range(5) b(v)), c AS (SELECT f, t, count(*) AS n FROM p WHERE t IS NOT NULL GROUP BY ALL),
+x AS (SELECT g.f, g.t, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.f = c.f AND g.t = c.t) SELECT f AS from_state, t AS to_state, n, round((n + 1.0) / sum(n + 1.0) OVER (PARTITION BY f), 9)::DOUBLE AS p FROM x""")
+def transition_matrix(spark, d):
+    return rounded(runs.transitions(runs.runs(view(spark, d, "label"), ["grp"]), ["grp"], 5, 1.0), "p")
+
+
+WINDOW = """w AS (SELECT doc_id, l, unnest(range(0, l - 1024 + 1, 512)) AS start FROM (SELECT doc_id, (1024 + ceil(greatest(n_chars - 1024, 0) / 512) * 512)::BIGINT AS l FROM documents) x)"""
+
+
+@query("WITH " + WINDOW + " SELECT doc_id, l AS length, start, start + 1024 AS stop, CASE WHEN start = 0 THEN 0 ELSE start + 256 END AS v_start, CASE WHEN start + 1024 = l THEN l ELSE start + 768 END AS v_stop FROM w")
+def index_windows(spark, d):
+    x = base(spark, d, "documents").select("doc_id", runs.padded_length(F.col("n_chars"), 1024, 512).alias("length"))
+    return runs.index_windows(x, "length", 1024, 512)
+
+
+@query("WITH " + WINDOW + """, s AS (SELECT doc_id, start, start + 1024 AS stop, ((doc_id * 7 + start // 512) % 10) / 10.0 AS share FROM w), b AS (SELECT *, row_number() OVER (ORDER BY md5(concat(doc_id, ':', start, ':5')), doc_id, start) AS k FROM s WHERE share > 0.55),
+t AS (SELECT floor(count(*) * 0.25 / 0.75) AS n FROM s WHERE NOT share > 0.55)
+SELECT doc_id, start, stop, share::DOUBLE AS share, false AS is_background FROM s WHERE NOT share > 0.55 UNION ALL SELECT doc_id, start, stop, share::DOUBLE, true FROM b, t WHERE k <= n""")
+def window_selection(spark, d):
+    x = base(spark, d, "documents").select("doc_id", runs.padded_length(F.col("n_chars"), 1024, 512).alias("length"))
+    w = runs.index_windows(x, "length", 1024, 512).select("doc_id", "start", "stop", (((F.col("doc_id") * 7 + F.expr("start div 512")) % 10) / F.lit(10.0)).alias("share"))
+    return runs.sample_windows(w, "share", 0.55, 0.25, ["doc_id", "start"], 5)
+
+
+@query("""WITH x AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(doc_id, ':11')), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents), y AS (SELECT *, CASE WHEN k <= floor(n * 0.9) THEN 'train' ELSE 'valid' END AS split FROM x)
+SELECT doc_id, lang, split, row_number() OVER (PARTITION BY lang, split ORDER BY k) - 1 AS sample_index FROM y""")
+def train_valid_split(spark, d):
+    return runs.split_rows(base(spark, d, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 0.9, 11)
+
+
+@query(LB + " SELECT grp, count(*) AS n, true AS ok FROM label GROUP BY grp")
+def position_check(spark, d):
+    return runs.contiguous(view(spark, d, "label"), ["grp"])
+
+
+@query(RN + """, m AS (SELECT *, (SELECT max(b.start) FROM run b WHERE b.grp = a.grp AND b.start < a.start AND b.label IN (1, 4)) AS bs, (SELECT min(b.start) FROM run b WHERE b.grp = a.grp AND b.start > a.start AND b.label IN (1, 4)) AS zs FROM run a WHERE label = 3),
+h AS (SELECT DISTINCT m.grp, b.start AS s, z.stop AS e FROM m JOIN run b ON b.grp = m.grp AND b.start = m.bs AND b.label = 1 JOIN run z ON z.grp = m.grp AND z.start = m.zs AND z.label = 4 WHERE z.stop - b.start <= 6)
+SELECT r.grp, r.start, r.stop, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.grp = r.grp AND r.start >= h.s AND r.stop <= h.e) THEN 9 ELSE r.label END AS label FROM run r""")
+def replace_bracketed(spark, d):
+    return runs.replace_bracketed(view(spark, d, "run"), ["grp"], 1, 3, 4, 9, 6)
+
+
+@query(LB + """, r AS (SELECT grp, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT grp, pos, pos - row_number() OVER (PARTITION BY grp ORDER BY pos) AS g FROM label WHERE label = 0) x GROUP BY grp, g), b AS (SELECT grp, min(pos) AS lo, max(pos) + 1 AS hi FROM label GROUP BY grp),
+c AS (SELECT b.grp, lo, hi, list_sort(list((s + e) // 2) FILTER (e - s >= 2 AND (s + e) // 2 > lo AND (s + e) // 2 < hi)) AS cuts FROM b LEFT JOIN r ON r.grp = b.grp GROUP BY ALL),
+w AS (SELECT grp, lo AS start, lo AS at, hi, 0 AS i, coalesce(cuts, []) AS cuts, false AS cut FROM c UNION ALL SELECT grp, CASE WHEN cut THEN at ELSE start END, cuts[i + 1], hi, i + 1, cuts, cuts[i + 1] - CASE WHEN cut THEN at ELSE start END >= 8 FROM w WHERE i < len(cuts)),
+p AS (SELECT grp, start, at AS stop FROM w WHERE cut UNION ALL SELECT grp, CASE WHEN cut THEN at ELSE start END, hi FROM w WHERE i = len(cuts)) SELECT * FROM p""")
+def partition_sequence(spark, d):
+    x = view(spark, d, "label").withColumn("v", F.col("label"))
+    return runs.partition_bounds(x, ["grp"], 2, 8)
+
+
+@query(RN + " SELECT label, sum(stop - start)::BIGINT AS n, round(sum(stop - start) / sum(sum(stop - start)) OVER (), 9) AS share FROM run GROUP BY label")
+def class_frequency(spark, d):
+    return rounded(stats.run_frequency(view(spark, d, "run")), "share")
+
+
+@query(RN + """, c AS (SELECT label, sum(stop - start)::BIGINT AS n FROM run GROUP BY label), i AS (SELECT label, n, 1.0::DOUBLE / greatest(n::DOUBLE / sum(n) OVER (), 1e-6) AS v FROM c) SELECT label, n, round(v / sum(v) OVER (), 9) AS weight FROM i""")
+def class_weights(spark, d):
+    return rounded(stats.class_weights(stats.run_frequency(view(spark, d, "run")).select("label", "n")), "weight")
+
+
+@query(RN + """, x AS (SELECT label, least(stop - start, 3) AS length, count(*) AS n FROM run GROUP BY ALL) SELECT label, length, round(n::DOUBLE / sum(n) OVER (PARTITION BY label), 9) AS p FROM x""")
+def length_distribution(spark, d):
+    return rounded(stats.length_distribution(view(spark, d, "run"), "label", 3), "p")
+
+
+@query(RN + """, x AS (SELECT label, least(stop - start, 3) AS length, count(*) AS n FROM run GROUP BY ALL), y AS (SELECT label, length, n::DOUBLE / sum(n) OVER (PARTITION BY label) AS p FROM x),
+z AS (SELECT label, length + k AS length, sum(p * exp(-k * k / 2.0)) AS p FROM y, range(-3, 4) r(k) WHERE length + k BETWEEN 0 AND 3 GROUP BY ALL) SELECT label, length, round(p / sum(p) OVER (PARTITION BY label), 9) AS p FROM z""")
+def smoothed_lengths(spark, d):
+    return rounded(stats.smooth(stats.length_distribution(view(spark, d, "run"), "label", 3), "label", 1.0, 3), "p")
+
+
+# --- logits and decoding -------------------------------------------------------------------------------------------------
+
+_LSE = lambda k: f"(list_max(e[{2 + 4 * k}:{5 + 4 * k}]) + ln(list_sum(list_transform(e[{2 + 4 * k}:{5 + 4 * k}], lambda x: exp(x - list_max(e[{2 + 4 * k}:{5 + 4 * k}]))))))"
+
+
+@query("WITH x AS (SELECT vec_id, embedding[1:17]::DOUBLE[] AS e FROM embeddings), y AS (SELECT vec_id, [e[1], " + ", ".join(_LSE(k) for k in range(4)) + "] AS v FROM x) SELECT vec_id, " + ", ".join(f"round(v[{i + 1}], 9) AS c{i}" for i in range(5)) + ", (list_position(v, list_max(v)) - 1)::INTEGER AS best FROM y")
+def class_logits(spark, d):
+    x = base(spark, d, "embeddings").select("vec_id", L.class_logits(F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 17), 4).alias("v"))
+    return x.select("vec_id", *(F.round(F.col("v")[i], 9).alias(f"c{i}") for i in range(5)), L.argmax(F.col("v")).alias("best"))
+
+
+@query("WITH x AS (SELECT vec_id, embedding[1:5]::DOUBLE[] AS e FROM embeddings), y AS (SELECT vec_id, list_transform(e, lambda v, i: CASE WHEN i = 1 THEN v + 0.25 ELSE v END) AS b FROM x), z AS (SELECT vec_id, b, list_transform(b, lambda v: exp(v - list_max(b))) AS q FROM y) SELECT vec_id, " + ", ".join(f"round(q[{i + 1}] / list_sum(q), 9) AS p{i}" for i in range(5)) + ", (list_position(b, list_max(b)) - 1)::INTEGER AS state FROM z")
+def direct_decode(spark, d):
+    x = base(spark, d, "embeddings").select("vec_id", L.biased(F.slice("embedding", 1, 5), 0.25).alias("b"))
+    x = x.select("vec_id", L.softmax(F.col("b")).alias("p"), decode.direct_path(F.col("b")).alias("state"))
+    return x.select("vec_id", *(F.round(F.col("p")[i], 9).alias(f"p{i}") for i in range(5)), "state")
+
+
+@query()
+def viterbi_path(spark, d):
+    """State of each vector of a label's sequence, in blocks of 16; no SQL form (see the tests against all paths)."""
+    from pyspark.sql import Window
+
+    e = base(spark, d, "embeddings").select("label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("pos"), L.softmax(F.transform(F.slice("embedding", 1, 5), lambda x: x * 20)).alias("probs"))
+    return decode.viterbi_paths(e, ["label"], decode.priors("plant", True), alpha=1e-3, block=16)
+
+
+@query()
+def viterbi_intervals(spark, d):
+    """Decoded runs of class groups as named intervals; no SQL form."""
+    p = viterbi_path(spark, d).withColumnRenamed("state", "class")
+    r = runs.runs(p, ["label"], "class")
+    return runs.group_runs(r, ["label"], {"transcript": [1, 2, 3, 4], "exon": [2, 3, 4], "intron": [1], "five_prime_UTR": [2], "CDS": [3], "three_prime_UTR": [4]}, "class")
+
+
+# --- hierarchy -----------------------------------------------------------------------------------------------------------
+
+_TREE = ", del AS (SELECT id FROM feature WHERE type = 'gene' AND start % 5 = 0 UNION SELECT id FROM feature WHERE type = 'mRNA' AND stop % 7 = 0), tree AS (SELECT id FROM del UNION SELECT f.id FROM feature f JOIN tree t ON f.parent = t.id)"
+
+
+def _roots(f):
+    return f.where("(type = 'gene' and start % 5 = 0) or (type = 'mRNA' and stop % 7 = 0)").select("id")
+
+
+@query(FT + _TREE + " SELECT id, parent, type, start, stop FROM feature f WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.id = f.id)")
+def parent_cascade_delete(spark, d):
+    f = view(spark, d, "feature")
+    return hierarchy.cascade_delete(f, _roots(f), 3).select("id", "parent", "type", "start", "stop")
+
+
+@query(FT + _TREE + " SELECT t.id, t.id IN (SELECT id FROM del) AS direct FROM tree t")
+def cascade_removed(spark, d):
+    f = view(spark, d, "feature")
+    return hierarchy.removed(f, _roots(f), 3)
+
+
+@query(FT + " SELECT id, parent FROM (SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY stop - start DESC, row) AS k FROM feature WHERE type = 'mRNA') x WHERE k = 1")
+def representative_transcript(spark, d):
+    return hierarchy.representative(view(spark, d, "feature"))
+
+
+@query(FT + ", b AS (SELECT id, parent FROM (SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY (canonical = '1') DESC, stop - start DESC, row) AS k FROM feature WHERE type = 'mRNA') x WHERE k = 1) SELECT id, parent, type, start, stop FROM feature WHERE id IN (SELECT id FROM b) OR id IN (SELECT parent FROM b) OR parent IN (SELECT id FROM b)")
+def annotated_or_longest(spark, d):
+    return hierarchy.keep_representative(view(spark, d, "feature"), "annotated_or_longest").select("id", "parent", "type", "start", "stop")
+
+
+@query(FT + ", l AS (SELECT m.parent AS gene, m.id AS transcript, sum(p.stop - p.start)::BIGINT AS bases, row_number() OVER (PARTITION BY m.parent ORDER BY sum(p.stop - p.start) DESC, any_value(m.row)) AS k FROM feature m JOIN feature p ON p.parent = m.id WHERE m.type = 'mRNA' GROUP BY m.parent, m.id) SELECT gene, transcript, bases FROM l WHERE k = 1")
+def longest_transcript(spark, d):
+    return hierarchy.longest_transcript(view(spark, d, "feature"))
+
+
+_SHORT = ", kept AS (SELECT * FROM feature WHERE NOT (type IN ('CDS', 'five_prime_UTR') AND stop - start < 15))"
+_BOUND = ", mm AS (SELECT m.id, m.parent, coalesce(min(p.start), any_value(m.start)) AS s, coalesce(max(p.stop), any_value(m.stop)) AS e FROM kept m LEFT JOIN kept p ON p.parent = m.id WHERE m.type = 'mRNA' GROUP BY m.id, m.parent), gg AS (SELECT parent AS id, min(s) AS s, max(e) AS e FROM mm GROUP BY parent), bound AS (SELECT k.id, k.parent, k.type, k.seq, k.strand, k.canonical, k.row, coalesce(mm.s, gg.s, k.start) AS start, coalesce(mm.e, gg.e, k.stop) AS stop FROM kept k LEFT JOIN mm ON mm.id = k.id LEFT JOIN gg ON gg.id = k.id)"
+
+
+@query(FT + _SHORT + _BOUND + " SELECT id, parent, type, start, stop FROM bound")
+def propagate_bounds(spark, d):
+    return filters.min_feature_length(view(spark, d, "feature"), ["CDS", "five_prime_UTR"], 15).select("id", "parent", "type", "start", "stop")
+
+
+_VALID = ", okm AS (SELECT m.id, m.parent FROM {t} m WHERE m.type = 'mRNA' AND EXISTS (SELECT 1 FROM {t} p WHERE p.parent = m.id AND p.type = 'CDS')), okg AS (SELECT g.id FROM {t} g WHERE g.type = 'gene' AND EXISTS (SELECT 1 FROM okm WHERE okm.parent = g.id)), valid AS (SELECT * FROM {t} WHERE id IN (SELECT id FROM okg) OR (type = 'mRNA' AND id IN (SELECT okm.id FROM okm JOIN okg ON okm.parent = okg.id)) OR parent IN (SELECT okm.id FROM okm JOIN okg ON okm.parent = okg.id))"
+
+
+@query(FT + _VALID.format(t="feature") + " SELECT id, parent, type, start, stop FROM valid")
+def valid_genes(spark, d):
+    return filters.valid_genes(view(spark, d, "feature")).select("id", "parent", "type", "start", "stop")
+
+
+@query(FT + _SHORT + _BOUND + ", lg AS (SELECT * FROM bound b WHERE (type = 'gene' AND stop - start >= 60) OR (type = 'mRNA' AND parent IN (SELECT id FROM bound WHERE type = 'gene' AND stop - start >= 60)) OR parent IN (SELECT id FROM bound WHERE type = 'mRNA' AND parent IN (SELECT id FROM bound WHERE type = 'gene' AND stop - start >= 60)))" + _VALID.format(t="lg") + " SELECT id, parent, type, start, stop FROM valid")
+def prediction_filters(spark, d):
+    return filters.filter_predictions(view(spark, d, "feature"), ["CDS", "five_prime_UTR"], 15, 60).select("id", "parent", "type", "start", "stop")
+
+
+@query(FT + ", q AS (SELECT *, CASE WHEN type IN ('gene', 'mRNA') THEN (CASE WHEN start % 9 = 0 THEN '0' ELSE '1' END) END AS quality FROM feature), bad AS (SELECT id FROM q WHERE quality = '0'), t1 AS (SELECT id FROM bad UNION SELECT q.id FROM q JOIN t1 ON q.parent = t1.id), k AS (SELECT * FROM q WHERE id NOT IN (SELECT id FROM t1)), o AS (SELECT id FROM k WHERE type = 'gene' AND NOT EXISTS (SELECT 1 FROM k m WHERE m.parent = k.id AND m.type = 'mRNA')) SELECT id, parent, type, start, stop FROM k WHERE id NOT IN (SELECT id FROM o)")
+def quality_pass(spark, d):
+    f = view(spark, d, "feature").withColumn("quality", F.when(F.col("type").isin("gene", "mRNA"), F.when(F.col("start") % 9 == 0, "0").otherwise("1")))
+    return filters.quality_pass(f).select("id", "parent", "type", "start", "stop")
+
+
+@query(WD + " SELECT gene_id, transcript_id, feature_id, seq, strand, gene_start, gene_stop, transcript_start, transcript_stop, canonical, feature_type, feature_start, feature_stop, sequence_length FROM wide")
+def flatten_features(spark, d):
+    return hierarchy.flatten(view(spark, d, "feature"))
+
+
+@query(WD + """ SELECT 0 AS level, seq AS path, gene_id AS id, 'gene' AS type, gene_start AS start, gene_stop AS stop FROM wide GROUP BY ALL UNION ALL SELECT 1, concat(seq, '/', gene_id), transcript_id, 'mRNA', transcript_start, transcript_stop FROM wide GROUP BY ALL
+UNION ALL SELECT 2, concat(seq, '/', gene_id, '/', transcript_id), feature_id, feature_type, feature_start, feature_stop FROM wide""")
+def stack_features(spark, d):
+    return hierarchy.stack(hierarchy.flatten(view(spark, d, "feature"))).select("level", F.array_join("path", "/").alias("path"), "id", "type", "start", "stop")
+
+
+@query(FT + """, x AS (SELECT parent, strand, start, stop FROM feature WHERE type IN ('CDS', 'five_prime_UTR', 'three_prime_UTR')), r AS (SELECT parent, min(start) AS lo, max(stop) AS hi FROM feature WHERE type = 'CDS' GROUP BY parent),
+u AS (SELECT x.parent, CASE WHEN strand = '-' THEN 'three_prime_UTR' ELSE 'five_prime_UTR' END AS type, strand, start, least(stop, lo) AS stop FROM x JOIN r ON r.parent = x.parent UNION ALL SELECT x.parent, CASE WHEN strand = '-' THEN 'five_prime_UTR' ELSE 'three_prime_UTR' END, strand, greatest(start, hi), stop FROM x JOIN r ON r.parent = x.parent) SELECT * FROM u WHERE start < stop""")
+def utr_from_exon(spark, d):
+    f = view(spark, d, "feature")
+    return hierarchy.derive_utrs(f.where("type not in ('gene', 'mRNA')").select("parent", "strand", "start", "stop"), f.where("type = 'CDS'"))
+
+
+_EXON = """, px AS (SELECT parent, seq, strand, start, stop, sum(o) OVER (PARTITION BY parent ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY parent ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM feature WHERE type NOT IN ('gene', 'mRNA')) q), exon AS (SELECT parent, seq, strand, min(start) AS start, max(stop) AS stop FROM px GROUP BY parent, seq, strand, g),
+intron AS (SELECT * FROM (SELECT parent, seq, strand, stop AS start, lead(start) OVER (PARTITION BY parent ORDER BY start) AS stop FROM exon) q WHERE stop IS NOT NULL)"""
+
+
+@query(FT + _EXON + " SELECT * FROM exon")
+def transcript_exons(spark, d):
+    return hierarchy.transcript_exons(view(spark, d, "feature"))
+
+
+@query(FT + _EXON + " SELECT * FROM intron")
+def transcript_introns(spark, d):
+    return hierarchy.introns(hierarchy.transcript_exons(view(spark, d, "feature")))
+
+
+@query(FT + _EXON + ", m AS (SELECT id AS parent FROM feature WHERE type = 'mRNA') SELECT parent, 'exon' AS state, start, stop FROM exon UNION ALL SELECT parent, 'intron', start, stop FROM intron")
+def transcript_segments(spark, d):
+    f = view(spark, d, "feature")
+    return hierarchy.segments(f.where("type not in ('gene', 'mRNA')").select("parent", "start", "stop"), f.where("type = 'mRNA'").select("id", "start", "stop"))
+
+
+@query(FT + _EXON + """, c AS (SELECT parent, count(DISTINCT (start, stop)) FILTER (type = 'CDS') AS n, count(DISTINCT (start, stop)) FILTER (type <> 'CDS') AS u FROM feature WHERE type NOT IN ('gene', 'mRNA') GROUP BY parent)
+SELECT c.parent, u AS n_utr, (SELECT count(*) FROM exon e WHERE e.parent = c.parent) AS n_exon, (SELECT count(*) FROM intron i WHERE i.parent = c.parent) AS n_intron FROM c""")
+def transcript_interval_sets(spark, d):
+    s = hierarchy.interval_sets(view(spark, d, "feature"))
+    return s.select("parent", F.size("utr").cast("long").alias("n_utr"), F.size("exon").cast("long").alias("n_exon"), F.size("intron").cast("long").alias("n_intron"))
+
+
+@query(FT + """ SELECT a.id, a.parent, a.strand, a.start, a.stop, ((3 - coalesce((SELECT sum(b.stop - b.start) FROM feature b WHERE b.parent = a.parent AND b.type = 'CDS' AND ((a.strand = '+' AND (b.start, b.row) < (a.start, a.row)) OR (a.strand = '-' AND (b.stop, -b.start, -b.row) > (a.stop, -a.start, -a.row)))), 0) % 3) % 3)::INTEGER AS phase FROM feature a WHERE a.type = 'CDS'""")
+def cds_phase(spark, d):
+    return hierarchy.cds_phase(view(spark, d, "feature").where("type = 'CDS'")).select("id", "parent", "strand", "start", "stop", "phase")
+
+
+_GROUP = """, t AS (SELECT seq, strand, start, stop, row_number() OVER (PARTITION BY seq ORDER BY start, stop, strand) AS gene FROM (SELECT seq, strand, start, stop FROM feature WHERE type = 'mRNA' AND stop - start >= 30) x),
+gp AS (SELECT t.seq, t.strand, t.gene, p.type AS entity, p.start, p.stop FROM t JOIN feature p ON p.seq = t.seq AND p.strand = t.strand AND p.type NOT IN ('gene', 'mRNA') AND p.start >= t.start AND p.stop <= t.stop)"""
+
+
+def _decoded(spark, d):
+    f = view(spark, d, "feature")
+    return f.where("type = 'mRNA'").select("seq", "strand", F.lit("transcript").alias("entity"), "start", "stop").unionByName(f.where("type not in ('gene', 'mRNA')").select("seq", "strand", F.col("type").alias("entity"), "start", "stop"))
+
+
+@query(FT + _GROUP + " SELECT seq, strand, gene, entity, start, stop FROM gp")
+def group_parts(spark, d):
+    return hierarchy.group_parts(_decoded(spark, d), 30).select("seq", "strand", "gene", "entity", "start", "stop")
+
+
+@query(FT + _GROUP + """, b AS (SELECT seq, strand, gene, min(start) AS start, max(stop) AS stop FROM gp GROUP BY ALL), x AS (SELECT concat(seq, '.gene_', gene) AS id, CAST(NULL AS VARCHAR) AS parent, 'gene' AS type, start, stop FROM b UNION ALL SELECT concat(seq, '.gene_', gene, '.t1'), concat(seq, '.gene_', gene), 'mRNA', start, stop FROM b
+UNION ALL SELECT concat(seq, '.gene_', gene, '.t1.', entity, '.', row_number() OVER (PARTITION BY seq, gene, entity ORDER BY start, stop)), concat(seq, '.gene_', gene, '.t1'), entity, start, stop FROM gp) SELECT * FROM x""")
+def emit_features(spark, d):
+    return hierarchy.emit_features(hierarchy.group_parts(_decoded(spark, d), 30)).select("id", "parent", "type", "start", "stop")
+
+
+# --- filters on wide tables and checks ------------------------------------------------------------------------------------
+
+_BADC = ", badc AS (SELECT seq, strand, gene_id FROM (SELECT DISTINCT seq, strand, gene_id, transcript_id, canonical FROM wide) x GROUP BY ALL HAVING count(*) FILTER (canonical = '1') <> 1)"
+
+
+@query(WD + _BADC + " SELECT seq, strand, gene_id, 'canonical_transcript' AS reason FROM badc")
+def canonical_filter(spark, d):
+    return filters.bad_canonical(view(spark, d, "wide"))
+
+
+@query(WD + " SELECT DISTINCT seq, strand, gene_id, 'incomplete_features' AS reason FROM wide WHERE canonical = '1' GROUP BY seq, strand, gene_id, transcript_id HAVING count(DISTINCT feature_type) < 3")
+def incomplete_filter(spark, d):
+    return filters.incomplete(view(spark, d, "wide"))
+
+
+@query(WD + ", g AS (SELECT DISTINCT seq, strand, gene_id, gene_start AS s, gene_stop AS e FROM wide) SELECT seq, strand, gene_id, 'overlapping_gene' AS reason FROM g WHERE EXISTS (SELECT 1 FROM g h WHERE h.seq = g.seq AND h.strand = g.strand AND h.gene_id <> g.gene_id AND h.s < g.e AND g.s < h.e)")
+def overlap_gene_filter(spark, d):
+    return filters.overlapping_genes(view(spark, d, "wide"))
+
+
+@query(WD + " SELECT DISTINCT a.seq, a.strand, a.gene_id, 'overlapping_feature' AS reason FROM wide a JOIN wide b ON a.transcript_id = b.transcript_id AND a.feature_id <> b.feature_id AND a.feature_start < b.feature_stop AND b.feature_start < a.feature_stop")
+def overlap_feature_filter(spark, d):
+    return filters.overlapping_parts(view(spark, d, "wide"))
+
+
+@query(WD + _BADC + """, k AS (SELECT * FROM wide WHERE canonical = '1' AND gene_id NOT IN (SELECT gene_id FROM badc)), g AS (SELECT DISTINCT seq, strand, gene_id, gene_start AS s, gene_stop AS e FROM k), ov AS (SELECT gene_id FROM g WHERE EXISTS (SELECT 1 FROM g h WHERE h.seq = g.seq AND h.strand = g.strand AND h.gene_id <> g.gene_id AND h.s < g.e AND g.s < h.e)),
+k2 AS (SELECT * FROM k WHERE gene_id NOT IN (SELECT gene_id FROM ov)), inc AS (SELECT gene_id FROM k2 GROUP BY gene_id, transcript_id HAVING count(DISTINCT feature_type) < 3), k3 AS (SELECT * FROM k2 WHERE gene_id NOT IN (SELECT gene_id FROM inc)),
+ovf AS (SELECT DISTINCT a.gene_id FROM k3 a JOIN k3 b ON a.transcript_id = b.transcript_id AND a.feature_id <> b.feature_id AND a.feature_start < b.feature_stop AND b.feature_start < a.feature_stop),
+l AS (SELECT gene_id, 'canonical_transcript' AS reason FROM badc UNION ALL SELECT gene_id, 'overlapping_gene' FROM ov UNION ALL SELECT gene_id, 'incomplete_features' FROM inc UNION ALL SELECT gene_id, 'overlapping_feature' FROM ovf)
+SELECT l.gene_id, reason, s.start, s.stop FROM l JOIN (SELECT gene_id, min(gene_start) AS start, max(gene_stop) AS stop FROM wide GROUP BY gene_id) s ON s.gene_id = l.gene_id""")
+def filter_log(spark, d):
+    return filters.filter_features(view(spark, d, "wide"))[1].select("gene_id", "reason", "start", "stop")
+
+
+@query(WD + """, x AS (SELECT *, count(*) OVER (PARTITION BY feature_id) AS n FROM wide) SELECT unnest(['primary_key_unique', 'species_has_canonical', 'canonical_consistent', 'strand_consistent', 'bounds_consistent', 'gene_in_sequence', 'transcript_in_gene', 'feature_in_transcript']) AS "check",
+unnest([count(*) FILTER (n > 1), CASE WHEN bool_or(canonical = '1') THEN 0 ELSE count(*) END, 0, 0, 0, count(*) FILTER (gene_start < 0 OR gene_stop > sequence_length), count(*) FILTER (transcript_start < gene_start OR transcript_stop > gene_stop), count(*) FILTER (feature_start < transcript_start OR feature_stop > transcript_stop)]) AS n_bad FROM x""")
+def integrity_checks(spark, d):
+    return filters.integrity(view(spark, d, "wide"))
+
+
+@query(WD + """, x AS (SELECT * REPLACE (CASE WHEN feature_start % 13 = 0 THEN NULL ELSE feature_type END AS feature_type, CASE WHEN feature_start % 17 = 0 THEN '?' ELSE strand END AS strand) FROM wide)
+SELECT unnest(['null_gene_id', 'null_transcript_id', 'null_feature_id', 'null_feature_type', 'null_seq', 'null_strand', 'start_after_stop', 'outside_gene', 'strand_name']) AS "check", unnest([0, 0, 0, count(*) FILTER (feature_type IS NULL), 0, 0, count(*) FILTER (feature_start > feature_stop), count(*) FILTER (feature_start < gene_start OR feature_stop > gene_stop), count(*) FILTER (strand NOT IN ('+', '-'))]) AS n_bad FROM x""")
+def feature_qc(spark, d):
+    x = view(spark, d, "wide").withColumn("feature_type", F.when(F.col("feature_start") % 13 == 0, F.lit(None)).otherwise(F.col("feature_type"))).withColumn("strand", F.when(F.col("feature_start") % 17 == 0, "?").otherwise(F.col("strand")))
+    return filters.feature_qc(x)
+
+
+@query(I + """, x AS (SELECT concat(seq, strand) AS grp, CASE typ WHEN 'CDS' THEN 1 WHEN 'five_prime_UTR' THEN 2 ELSE 3 END AS label, start, stop FROM interval)
+SELECT unnest(['empty_or_reversed', 'outside_domain', 'label_range', 'duplicate', 'overlap']) AS "check", unnest([count(*) FILTER (start >= stop), count(*) FILTER (start < 100 OR stop > 15000), count(*) FILTER (label >= 3), 0, count(*) FILTER (EXISTS (SELECT 1 FROM x b WHERE b.grp = a.grp AND b.label = a.label AND b.start < a.stop AND a.start < b.stop AND (b.start <> a.start OR b.stop <> a.stop)))]) AS n_bad FROM x a""")
+def label_interval_qc(spark, d):
+    x = view(spark, d, "interval").select(F.concat("seq", "strand").alias("group"), F.when(F.col("typ") == "CDS", 1).when(F.col("typ") == "five_prime_UTR", 2).otherwise(3).alias("label"), "start", "stop")
+    return filters.label_interval_qc(x, 100, 15000, 3)
+
+
+@query(FT + " SELECT id, seq, start, stop FROM feature WHERE seq = 'chr3' AND start < 20000 AND stop > 5000 AND strand IN ('+') AND type NOT IN ('exon', 'five_prime_UTR', 'three_prime_UTR')")
+def region_filter(spark, d):
+    return filters.in_region(filters.to_strand(filters.without_exons_and_utrs(view(spark, d, "feature")), "positive"), "chr3", 5000, 20000).select("id", "seq", "start", "stop")
+
+
+# --- labels --------------------------------------------------------------------------------------------------------------
+
+_DOM = ", dom AS (SELECT seq, strand, 0 AS lo, max(sequence_length) + 10 AS hi FROM wide GROUP BY seq, strand)"
+
+
+def _domain(w):
+    return w.groupBy("seq", "strand").agg(F.lit(0).cast("long").alias("lo"), (F.max("sequence_length") + 10).alias("hi"))
+
+
+@query(WD + _DOM + """, ev AS (SELECT seq, strand, transcript_start AS p, 1 AS v FROM wide UNION ALL SELECT seq, strand, transcript_stop, -1 FROM wide), cum AS (SELECT seq, strand, p, sum(sum(v)) OVER (PARTITION BY seq, strand ORDER BY p) AS c, lead(p) OVER (PARTITION BY seq, strand ORDER BY p) AS q FROM ev GROUP BY seq, strand, p),
+free AS (SELECT seq, strand, p AS start, q AS stop FROM cum WHERE c = 0 AND q IS NOT NULL UNION ALL SELECT d.seq, d.strand, lo, (SELECT min(p) FROM ev e WHERE e.seq = d.seq AND e.strand = d.strand) FROM dom d UNION ALL SELECT d.seq, d.strand, (SELECT max(p) FROM ev e WHERE e.seq = d.seq AND e.strand = d.strand), hi FROM dom d)
+SELECT seq, strand, start, stop FROM free WHERE start < stop""")
+def intergenic_regions(spark, d):
+    w = view(spark, d, "wide")
+    return labels.feature_layers(w, _domain(w)).where("label = 'intergenic'").select("seq", "strand", "start", "stop")
+
+
+@query(WD + """, x AS (SELECT transcript_id, any_value(seq) AS seq, any_value(strand) AS strand, feature_start AS s, feature_stop AS e FROM wide GROUP BY transcript_id, feature_start, feature_stop), y AS (SELECT *, max(e) OVER (PARTITION BY transcript_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)
+SELECT transcript_id, seq, strand, reach AS start, s AS stop FROM y WHERE s > reach""")
+def intron_regions(spark, d):
+    return labels.transcript_introns(view(spark, d, "wide"))
+
+
+@query(WD + """ SELECT label, count(*) AS n FROM (SELECT DISTINCT seq, strand, label, s, e FROM (SELECT seq, strand, 'gene' AS label, gene_start AS s, gene_stop AS e FROM wide UNION ALL SELECT seq, strand, 'transcript', transcript_start, transcript_stop FROM wide UNION ALL SELECT seq, strand, feature_type, feature_start, feature_stop FROM wide) x) y GROUP BY label""")
+def region_labels(spark, d):
+    return labels.region_layers(view(spark, d, "wide")).where("label not in ('exon', 'intron')").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WD + _BADC + """, g AS (SELECT DISTINCT seq, strand, gene_id, gene_start AS start, gene_stop AS stop FROM wide), l AS (SELECT g.* FROM g JOIN badc b ON b.gene_id = g.gene_id),
+n AS (SELECT l.*, (SELECT max(g.stop) FROM g WHERE g.seq = l.seq AND g.strand = l.strand AND g.stop < l.start) AS u, (SELECT min(g.start) FROM g WHERE g.seq = l.seq AND g.strand = l.strand AND g.start > l.stop) AS dn FROM l)
+SELECT seq, strand, gene_id, 'canonical_transcript' AS reason, greatest(start - CASE WHEN strand = '+' THEN 944 ELSE 1240 END, coalesce(u, 0), 0) AS start, least(stop + CASE WHEN strand = '+' THEN 1240 ELSE 944 END, coalesce(dn, stop + CASE WHEN strand = '+' THEN 1240 ELSE 944 END)) AS stop FROM n""")
+def boundary_masks(spark, d):
+    w = view(spark, d, "wide")
+    g = w.select("seq", "strand", "gene_id", F.col("gene_start").alias("start"), F.col("gene_stop").alias("stop")).distinct()
+    return labels.boundary_masks(filters.bad_canonical(w).join(g, ["seq", "strand", "gene_id"]), g)
+
+
+@query(RN + """, c AS (SELECT grp, label, unnest(range(start, stop)) AS pos FROM run), m AS (SELECT grp, pos, CASE WHEN pos % 20 BETWEEN 5 AND 8 THEN -1 ELSE label END AS label FROM c)
+SELECT 'u' || grp AS seq, '+' AS strand, label, min(pos) AS start, max(pos) + 1 AS stop FROM (SELECT *, pos - row_number() OVER (PARTITION BY grp, label ORDER BY pos) AS g FROM m) x GROUP BY grp, label, g""")
+def label_masking(spark, d):
+    r = view(spark, d, "run").select(F.concat(F.lit("u"), F.col("grp").cast("string")).alias("seq"), F.lit("+").alias("strand"), "label", "start", "stop")
+    ends = r.groupBy("seq", "strand").agg(F.max("stop").alias("n"))
+    masks = ends.withColumn("start", F.explode(F.sequence(F.lit(5).cast("long"), F.col("n") + 20, F.lit(20).cast("long")))).where("start < n").select("seq", "strand", "start", F.least(F.col("start") + 4, "n").alias("stop"))
+    return labels.masked_runs(r, masks)
+
+
+# --- statistics ----------------------------------------------------------------------------------------------------------
+
+
+@query(FT + " SELECT type, strand, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 9) AS percent FROM feature GROUP BY type, strand")
+def type_histogram(spark, d):
+    return rounded(stats.value_counts(view(spark, d, "feature"), "type", "strand"), "percent")
+
+
+@query(FT + " SELECT n_children, count(*) AS n_parents FROM (SELECT g.id, count(m.id) AS n_children FROM feature g LEFT JOIN feature m ON m.parent = g.id AND m.type = 'mRNA' AND m.canonical = '1' WHERE g.type = 'gene' GROUP BY g.id) x GROUP BY n_children")
+def transcripts_per_gene(spark, d):
+    f = view(spark, d, "feature")
+    return stats.children_histogram(f.where("type <> 'mRNA' or canonical = '1'"))
+
+
+@query(FT + " SELECT types, count(*) AS n_transcripts FROM (SELECT parent, string_agg(DISTINCT type, ', ' ORDER BY type) AS types FROM feature WHERE type NOT IN ('gene', 'mRNA') GROUP BY parent) x GROUP BY types")
+def type_combinations(spark, d):
+    return stats.type_combinations(view(spark, d, "feature"))
+
+
+@query(FT + " SELECT count(*) AS n_genes, sum(CASE WHEN EXISTS (SELECT 1 FROM feature m WHERE m.parent = g.id AND m.canonical = '1') THEN 1 ELSE 0 END)::BIGINT AS n_canonical, 0::BIGINT AS n_unexpected, sum(CASE WHEN EXISTS (SELECT 1 FROM feature m WHERE m.parent = g.id AND m.canonical = '1') THEN 1 ELSE 0 END)::DOUBLE / count(*) AS rate FROM feature g WHERE g.type = 'gene'")
+def canonical_rate(spark, d):
+    return stats.canonical_rate(view(spark, d, "feature"))
+
+
+@query("SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS A, count(*) FILTER (l_returnflag = 'N') AS N, count(*) FILTER (l_returnflag = 'R') AS R FROM lineitem GROUP BY l_suppkey")
+def pivot_counts(spark, d):
+    return stats.pivot_counts(base(spark, d, "lineitem"), "l_suppkey", "l_returnflag", ["A", "N", "R"])
+
+
+@query("SELECT 'l_returnflag' AS dimension, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, count(*) FROM lineitem GROUP BY ALL")
+def sample_counts(spark, d):
+    return stats.grouped_counts(base(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_linenumber").withColumn("n", F.col("n").cast("long"))
+
+
+@query("SELECT lang, round(avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END), 9) AS mask_rate FROM documents GROUP BY lang")
+def mask_rate(spark, d):
+    return base(spark, d, "documents").groupBy("lang").agg(F.round(F.avg((F.col("n_chars") > 2000).cast("double")), 9).alias("mask_rate"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) x WHERE k = 1")
+def best_row(spark, d):
+    return stats.best_row(base(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", ties=["o_orderkey"])
+
+
+@query("SELECT o_custkey AS epoch, o_orderkey AS step FROM orders ORDER BY abs(o_custkey - 20) * 1000000 + abs(o_orderkey - 700), o_custkey, o_orderkey LIMIT 1")
+def closest_checkpoint(spark, d):
+    return stats.closest(base(spark, d, "orders").select(F.col("o_custkey").alias("epoch"), F.col("o_orderkey").alias("step")), 20, 700)
+
+
+@query("WITH m AS (SELECT source, count(*) AS n, avg(n_chars) AS mean, count(*) FILTER (n_chars < 100) AS short FROM documents GROUP BY source) SELECT source, 'long_texts' AS issue FROM m WHERE mean > 2400 UNION ALL SELECT source, 'short_texts' FROM m WHERE short > 0")
+def label_qc_issues(spark, d):
+    m = base(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean"), F.count_if(F.col("n_chars") < 100).alias("short"))
+    return stats.issues(m, {"long_texts": F.col("mean") > 2400, "short_texts": F.col("short") > 0}).select("source", "issue")
+
+
+@query("SELECT source, missed, n_true, novel, n_pred, round(missed * 100.0 / n_true, 9) AS missed_percent, round(novel * 100.0 / n_pred, 9) AS novel_percent, round(2.0 * sensitivity * precision / (sensitivity + precision), 9) AS f1 FROM (SELECT source, count(*) FILTER (lang = 'en') AS missed, count(*) AS n_true, count(*) FILTER (lang = 'de') AS novel, count(*) AS n_pred, count(*) FILTER (n_chars > 500) * 100.0 / count(*) AS sensitivity, count(*) FILTER (n_chars > 900) * 100.0 / count(*) AS precision FROM documents GROUP BY source) x")
+def missed_novel(spark, d):
+    n = lambda c: F.count_if(c)
+    x = base(spark, d, "documents").groupBy("source").agg(n(F.col("lang") == "en").alias("missed"), F.count(F.lit(1)).alias("n_true"), n(F.col("lang") == "de").alias("novel"), F.count(F.lit(1)).alias("n_pred"), (n(F.col("n_chars") > 500) * 100.0 / F.count(F.lit(1))).alias("sensitivity"), (n(F.col("n_chars") > 900) * 100.0 / F.count(F.lit(1))).alias("precision"))
+    return rounded(stats.missed_novel(x), "missed_percent", "novel_percent", "f1").drop("sensitivity", "precision")
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------------
+
+_PT = """, pm AS (SELECT * FROM feature WHERE type <> 'mRNA' OR canonical = '1'), pred AS (SELECT p.* FROM feature p WHERE p.type = 'gene' OR (p.type = 'mRNA') OR p.row % 9 <> 0), tru AS (SELECT p.* FROM feature p WHERE p.type = 'gene' OR (p.type = 'mRNA') OR p.row % 10 <> 0)"""
+
+
+def _pair(spark, d):
+    f = view(spark, d, "feature")
+    part = ~F.col("type").isin("gene", "mRNA")
+    return f.where(~part | (F.col("row") % 9 != 0)), f.where(~part | (F.col("row") % 10 != 0))
+
+
+def _chains(t: str) -> str:
+    return f"(SELECT m.parent AS gene, m.id AS transcript, c.seq, string_agg(DISTINCT concat(lpad(c.start::VARCHAR, 12, '0'), '-', lpad(c.stop::VARCHAR, 12, '0')), ',' ORDER BY concat(lpad(c.start::VARCHAR, 12, '0'), '-', lpad(c.stop::VARCHAR, 12, '0'))) AS chain FROM {t} m JOIN {t} c ON c.parent = m.id AND m.type = 'mRNA' AND c.type = 'CDS' GROUP BY ALL)"
+
+
+@query(FT + _PT + f""", pc AS {_chains('pred')}, tc AS {_chains('tru')}, hp AS (SELECT * FROM pc WHERE (seq, chain) IN (SELECT (seq, chain) FROM tc)), ht AS (SELECT * FROM tc WHERE (seq, chain) IN (SELECT (seq, chain) FROM pc)),
+pe AS (SELECT DISTINCT seq, strand, start, stop FROM pred WHERE type = 'CDS'), te AS (SELECT DISTINCT seq, strand, start, stop FROM tru WHERE type = 'CDS'),
+c AS (SELECT 'locus' AS level, (SELECT count(DISTINCT gene) FROM hp) AS tp, (SELECT count(*) FROM pred WHERE type = 'gene') - (SELECT count(DISTINCT gene) FROM hp) AS fp, (SELECT count(DISTINCT gene) FROM tc) - (SELECT count(DISTINCT gene) FROM ht) AS fn
+UNION ALL SELECT 'transcript', (SELECT count(*) FROM hp), (SELECT count(*) FROM pred WHERE type = 'mRNA') - (SELECT count(*) FROM hp), (SELECT count(*) FROM tc) - (SELECT count(*) FROM ht)
+UNION ALL SELECT 'cds_exon', (SELECT count(*) FROM (SELECT * FROM pe INTERSECT SELECT * FROM te)), (SELECT count(*) FROM (SELECT * FROM pe EXCEPT SELECT * FROM te)), (SELECT count(*) FROM (SELECT * FROM te EXCEPT SELECT * FROM pe))) SELECT level, tp, fp, fn, {PRF} FROM c""")
+def eval_levels(spark, d):
+    return E.locus_counts(*_pair(spark, d))
+
+
+def _exons(t: str, x: str) -> str:
+    return f"""{x}q AS (SELECT parent, seq, strand, start, stop, sum(o) OVER (PARTITION BY parent ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY parent ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM {t} WHERE type NOT IN ('gene', 'mRNA')) q),
+{x}e AS (SELECT parent, seq, strand, min(start) AS start, max(stop) AS stop FROM {x}q GROUP BY parent, seq, strand, g), {x}i AS (SELECT * FROM (SELECT parent, seq, strand, stop AS start, lead(start) OVER (PARTITION BY parent ORDER BY start) AS stop FROM {x}e) q WHERE stop IS NOT NULL),
+{x}c AS (SELECT DISTINCT seq, strand, chain FROM (SELECT parent, seq, strand, string_agg(concat(start, '-', stop), ',' ORDER BY start) AS chain FROM {x}i GROUP BY ALL) z),
+{x}b AS (SELECT DISTINCT seq, unnest(range(start, stop)) AS pos FROM {x}e)"""
+
+
+def _sets(level: str, a: str, b: str, cols: str) -> str:
+    p, t = f"SELECT DISTINCT {cols} FROM {a}", f"SELECT DISTINCT {cols} FROM {b}"
+    return f"SELECT '{level}' AS level, (SELECT count(*) FROM ({p} INTERSECT {t})) AS tp, (SELECT count(*) FROM ({p} EXCEPT {t})) AS fp, (SELECT count(*) FROM ({t} EXCEPT {p})) AS fn"
+
+
+@query(FT + _PT + ", " + _exons("pred", "p") + ", " + _exons("tru", "t") + ", c AS (" + " UNION ALL ".join((_sets("base", "pb", "tb", "seq, pos"), _sets("exon", "pe", "te", "seq, strand, start, stop"), _sets("intron", "pi", "ti", "seq, strand, start, stop"), _sets("intron_chain", "pc", "tc", "seq, strand, chain"))) + f") SELECT level, tp, fp, fn, {PRF} FROM c")
+def eval_structure(spark, d):
+    return E.structure_counts(*_pair(spark, d))
+
+
+def _site(t: str, x: str) -> str:
+    return f"""{x}r AS (SELECT parent, seq, strand, min(start) AS lo, max(stop) AS hi FROM {t} WHERE type = 'CDS' GROUP BY ALL), {x}q AS (SELECT parent, seq, strand, max(stop) OVER (PARTITION BY parent ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, start AS b FROM {t} WHERE type = 'CDS'),
+{x}s AS (SELECT DISTINCT * FROM (SELECT 'tis' AS level, seq, strand, CASE strand WHEN '+' THEN lo ELSE hi END AS pos FROM {x}r UNION ALL SELECT 'tts', seq, strand, CASE strand WHEN '+' THEN hi ELSE lo END FROM {x}r UNION ALL SELECT 'donor', seq, strand, CASE strand WHEN '+' THEN a ELSE b END FROM {x}q WHERE b > a UNION ALL SELECT 'acceptor', seq, strand, CASE strand WHEN '+' THEN b ELSE a END FROM {x}q WHERE b > a) z)"""
+
+
+@query(FT + _PT + ", " + _site("pred", "p") + ", " + _site("tru", "t") + f""", c AS (SELECT level, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (t AND NOT p) AS fn FROM (SELECT level, seq, strand, pos, bool_or(src = 'p') AS p, bool_or(src = 't') AS t FROM (SELECT *, 'p' AS src FROM ps UNION ALL SELECT *, 't' FROM ts) y GROUP BY ALL) x GROUP BY level) SELECT level, tp, fp, fn, {PRF} FROM c""")
+def eval_sites(spark, d):
+    return E.site_counts(*_pair(spark, d))
+
+
+def _tset(t: str, x: str) -> str:
+    return f"""{x}cq AS (SELECT parent, start, stop, sum(o) OVER (PARTITION BY parent ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY parent ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM {t} WHERE type = 'CDS') q),
+{x}cm AS (SELECT parent, min(start) AS start, max(stop) AS stop FROM {x}cq GROUP BY parent, g),
+{x}set AS (SELECT m.parent AS gene, m.id AS tr, (SELECT string_agg(concat(start, '-', stop), ',' ORDER BY start) FROM {x}cm WHERE parent = m.id) AS cds, (SELECT string_agg(concat(start, '-', stop), ',' ORDER BY start) FROM {x}e WHERE parent = m.id) AS ex, (SELECT string_agg(concat(start, '-', stop), ',' ORDER BY start) FROM {x}i WHERE parent = m.id) AS it FROM {t} m WHERE m.type = 'mRNA')"""
+
+
+@query(FT + _PT + ", " + _exons("pred", "p") + ", " + _exons("tru", "t") + ", " + _tset("pred", "p") + ", " + _tset("tru", "t") + f""", gp AS (SELECT p.id AS pg, t.id AS tg FROM pred p JOIN tru t ON p.type = 'gene' AND t.type = 'gene' AND p.seq = t.seq AND p.strand = t.strand AND p.start < t.stop AND t.start < p.stop),
+h AS (SELECT pg, tg, bool_or(p.cds = t.cds) AS c, bool_or(p.it = t.it) AS i, bool_or(p.ex = t.ex) AS e FROM gp JOIN pset p ON p.gene = pg JOIN tset t ON t.gene = tg GROUP BY ALL), np AS (SELECT count(*) AS n FROM pred WHERE type = 'gene'),
+c AS (SELECT 'transcript_cds' AS level, (SELECT count(DISTINCT pg) FROM h WHERE c) AS tp, n - (SELECT count(DISTINCT pg) FROM h WHERE c) AS fp, n - (SELECT count(DISTINCT tg) FROM h WHERE c) AS fn FROM np UNION ALL SELECT 'transcript_intron', (SELECT count(DISTINCT pg) FROM h WHERE i), n - (SELECT count(DISTINCT pg) FROM h WHERE i), n - (SELECT count(DISTINCT tg) FROM h WHERE i) FROM np
+UNION ALL SELECT 'transcript', (SELECT count(DISTINCT pg) FROM h WHERE e), n - (SELECT count(DISTINCT pg) FROM h WHERE e), n - (SELECT count(DISTINCT tg) FROM h WHERE e) FROM np) SELECT level, tp, fp, fn, {PRF} FROM c""")
+def eval_transcript_levels(spark, d):
+    return E.transcript_levels(*_pair(spark, d))
+
+
+@query(f"WITH c AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 0 AND toxic = 1) AS fn FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (source)) SELECT source, tp, fp, fn, {PRF} FROM c")
+def eval_rollup(spark, d):
+    x = base(spark, d, "labels").join(base(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    n = lambda p, t: F.count_if((F.col("quality") == p) & (F.col("toxic") == t))
+    return E.prf(x.rollup("source").agg(n(1, 1).alias("tp"), n(1, 0).alias("fp"), n(0, 1).alias("fn")))
+
+
+# --- attributes, names, sets ---------------------------------------------------------------------------------------------
+
+_ATTR = "WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE concat('ID=mrna:', o_orderkey, ';Parent=gene:', o_custkey, ',gene:', o_custkey + 1, ';note=a=b;geneID=g', o_orderkey) END AS s FROM orders)"
+
+
+def _attr(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    s = F.concat(F.lit("ID=mrna:"), k, F.lit(";Parent=gene:"), F.col("o_custkey").cast("string"), F.lit(",gene:"), (F.col("o_custkey") + 1).cast("string"), F.lit(";note=a=b;geneID=g"), k)
+    return base(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, s).alias("s"))
+
+
+@query(_ATTR + " SELECT o_orderkey, nullif(regexp_extract(s, '(^|;)ID=([^;]*)', 2), '') AS id, nullif(regexp_extract(s, '(^|;)Parent=([^;]*)', 2), '') AS parent, nullif(regexp_extract(s, '(^|;)note=([^;]*)', 2), '') AS note, CASE WHEN s IS NULL THEN 0 ELSE 4 END AS n_keys FROM a")
+def attr_parse(spark, d):
+    m = A.parse(F.col("s"))
+    get = lambda k: F.try_element_at("m", F.lit(k))
+    return _attr(spark, d).withColumn("m", m).select("o_orderkey", get("ID").alias("id"), get("Parent").alias("parent"), get("note").alias("note"), F.size("m").alias("n_keys"))
+
+
+@query(_ATTR + " SELECT o_orderkey, coalesce(concat('ID=', regexp_extract(s, '(^|;)ID=([^;]*)', 2), ';Parent=', regexp_extract(s, '(^|;)Parent=([^;]*)', 2), ';geneID=', regexp_extract(s, '(^|;)geneID=([^;]*)', 2), ';note=a=b'), '') AS text FROM a")
+def attr_format(spark, d):
+    return _attr(spark, d).select("o_orderkey", A.render(A.parse(F.col("s"))).alias("text"))
+
+
+@query(_ATTR + " SELECT o_orderkey, replace(regexp_replace(regexp_replace(s, '^ID=', 'ID=c1_'), ';Parent=', ';Parent=c1_'), ',gene:', ',c1_gene:') AS text FROM a")
+def id_prefix(spark, d):
+    return _attr(spark, d).select("o_orderkey", A.prefix_ids(F.col("s"), "c1_").alias("text"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_lookup(spark, d):
+    return base(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT c_custkey, concat(upper(substr(split_part(n, ' ', 1), 1, 1)), lower(split_part(n, ' ', 2))) AS id FROM (SELECT c_custkey, lower(concat(c_mktsegment, ' ', c_name)) AS n FROM customer) x")
+def species_id(spark, d):
+    return base(spark, d, "customer").select("c_custkey", A.species_id(F.lower(F.concat_ws(" ", "c_mktsegment", "c_name"))).alias("id"))
+
+
+@query("SELECT o_orderkey, o_custkey % 30 AS number FROM orders")
+def chromosome_number(spark, d):
+    return base(spark, d, "orders").select("o_orderkey", A.chromosome_number(F.concat(F.lit("chr"), (F.col("o_custkey") % 30).cast("string"))).cast("long").alias("number"))
+
+
+@query(FT + ", m AS (SELECT concat('chr', n_nationkey % 7 + 1) AS source, concat('R', n_regionkey) AS name FROM nation) SELECT id, 'R1' AS seq, start, stop FROM feature WHERE seq IN (SELECT source FROM m WHERE name = 'R1')")
+def chromosome_map_filter(spark, d):
+    m = base(spark, d, "nation").select(F.concat(F.lit("chr"), (F.col("n_nationkey") % 7 + 1).cast("string")).alias("source"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("name"))
+    return filters.to_chromosome(view(spark, d, "feature"), m, "R1").select("id", "seq", "start", "stop")
+
+
+@query(I + """, p AS (SELECT seq, start, stop FROM interval WHERE strand = '+'), t AS (SELECT seq, start, stop FROM interval WHERE strand = '-') SELECT 'intersect' AS op, count(*) AS n FROM (SELECT * FROM p INTERSECT SELECT * FROM t) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM t) UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM p UNION SELECT * FROM t) UNION ALL SELECT 'union_all', count(*) FROM (SELECT * FROM p UNION ALL SELECT * FROM t)""")
+def set_ops(spark, d):
+    x = view(spark, d, "interval")
+    p, t = x.where("strand = '+'").select("seq", "start", "stop"), x.where("strand = '-'").select("seq", "start", "stop")
+    n = lambda name, y: y.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("op"), "n")
+    return n("intersect", p.intersect(t)).unionByName(n("except", p.subtract(t))).unionByName(n("union", p.unionByName(t).distinct())).unionByName(n("union_all", p.unionByName(t)))
+
+
+@query("SELECT doc_id AS seq, n_chars AS length FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def top_contigs(spark, d):
+    return base(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("n_chars").alias("length")).orderBy(F.desc("length"), "seq").limit(25)
+
+
+# --- DNA -----------------------------------------------------------------------------------------------------------------
+
+
+@query(DN + " SELECT doc_id, reverse(translate(dna, 'ACGT', 'TGCA')) AS rc FROM dna")
+def revcomp(spark, d):
+    return view(spark, d, "dna").select("doc_id", D.reverse_complement(F.col("dna")).alias("rc"))
+
+
+@query(DN + ", c AS (SELECT substr(dna, (3 * i + 1)::BIGINT, 3) AS codon FROM (SELECT dna, unnest(range(0, length(dna) // 3)) AS i FROM dna) x) SELECT codon, count(*) AS n FROM c GROUP BY codon")
+def codon_usage(spark, d):
+    return view(spark, d, "dna").select(F.explode(D.codons(F.col("dna"))).alias("codon")).groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ORF = ", o AS (SELECT doc_id, concat('ATG', translate(substr(dna, 1, (doc_id % 6 * 3)::BIGINT), 'T', 'C'), CASE WHEN doc_id % 4 = 0 THEN 'TGA' WHEN doc_id % 4 = 1 THEN 'TAA' ELSE substr(dna, 1, (doc_id % 5)::BIGINT) END) AS s FROM dna)"
+
+
+@query(DN + _ORF + " SELECT doc_id, length(s) >= 6 AND length(s) % 3 = 0 AND right(s, 3) IN ('TAA', 'TAG', 'TGA') AND NOT regexp_matches(substr(s, 1, length(s) - 3), '^(...)*(TAA|TAG|TGA)') AS orf FROM o")
+def orf_flag(spark, d):
+    x = view(spark, d, "dna").select("doc_id", F.concat(F.lit("ATG"), F.translate(F.substr("dna", F.lit(1), (F.col("doc_id") % 6 * 3).cast("int")), "T", "C"), F.when(F.col("doc_id") % 4 == 0, "TGA").when(F.col("doc_id") % 4 == 1, "TAA").otherwise(F.substr("dna", F.lit(1), (F.col("doc_id") % 5).cast("int")))).alias("s"))
+    return x.select("doc_id", D.is_complete_orf(F.col("s")).alias("orf"))
+
+
+@query(DN + f", c AS (SELECT doc_id, i, substr(dna, (3 * i + 1)::BIGINT, 3) AS codon FROM (SELECT doc_id, dna, unnest(range(0, length(dna) // 3)) AS i FROM dna) x) SELECT d.doc_id, coalesce(string_agg(substr('{D.AMINO}', (16 * (strpos('TCAG', codon[1]) - 1) + 4 * (strpos('TCAG', codon[2]) - 1) + strpos('TCAG', codon[3]))::BIGINT, 1), '' ORDER BY i), '') AS protein FROM dna d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id")
+def translate(spark, d):
+    return view(spark, d, "dna").select("doc_id", D.translate(F.col("dna")).alias("protein"))
+
+
+_INTR = ", i AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, k * 40 + 10 AS start, k * 40 + 30 AS stop FROM (SELECT doc_id, unnest(range(0, greatest(length(dna) // 40, 0))) AS k FROM dna) x)"
+
+
+@query(DN + _INTR + ", m AS (SELECT CASE WHEN strand = '+' THEN concat(substr(dna, start + 1, 2), '-', substr(dna, stop - 1, 2)) ELSE concat(reverse(translate(substr(dna, stop - 1, 2), 'ACGT', 'TGCA')), '-', reverse(translate(substr(dna, start + 1, 2), 'ACGT', 'TGCA'))) END AS p FROM i JOIN dna USING (doc_id)) SELECT CASE WHEN p IN ('GT-AG', 'GC-AG') THEN p ELSE 'other' END AS motif, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 9) AS percent FROM m GROUP BY motif")
+def splice_motifs(spark, d):
+    x = view(spark, d, "dna").select(F.col("doc_id").cast("string").alias("seq"), "doc_id", "dna")
+    k = F.expr("length(dna) div 40").cast("int")
+    i = x.where(k > 0).select("seq", F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), F.explode(F.sequence(F.lit(0), k - 1)).alias("k")).select("seq", "strand", (F.col("k") * 40 + 10).alias("start"), (F.col("k") * 40 + 30).alias("stop"))
+    return rounded(E.splice_motifs(i, x.select("seq", "dna")), "percent")
+
+
+@query(DN + " SELECT doc_id, concat(substr(dna, 11, 20), substr(dna, 51, 20)) AS s FROM dna WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, reverse(translate(concat(substr(dna, 11, 20), substr(dna, 51, 20)), 'ACGT', 'TGCA')) FROM dna WHERE doc_id % 2 = 1")
+def spliced_sequence(spark, d):
+    parts = F.array(F.struct(F.lit(50).alias("start"), F.lit(70).alias("stop")), F.struct(F.lit(10).alias("start"), F.lit(30).alias("stop")))
+    return view(spark, d, "dna").select("doc_id", D.spliced(F.col("dna"), parts, F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")).alias("s"))
+
+
+@query(DN + ", t AS (SELECT unnest(string_split(dna, '')) AS b FROM dna) SELECT CASE b WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 4 END AS token, count(*) AS n FROM t GROUP BY token")
+def tokenise_bases(spark, d):
+    x = view(spark, d, "dna").where(F.length("dna") > 0).select(F.explode(D.tokens(F.col("dna"), {"A": 0, "C": 1, "G": 2}, 4)).alias("token"))
+    return x.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def orf_chain_merge(spark, d):
+    """Candidate proteins of neighbouring fragments; no SQL form (hand cases in the tests)."""
+    f = view(spark, d, "feature").where("row < 1500000")
+    length = 90_000
+    dna = view(spark, d, "dna").where(F.length("dna") > 0)
+    pool = dna.orderBy(F.desc(F.length("dna")), "doc_id").limit(7).select(F.concat(F.lit("chr"), (F.row_number().over(_by_doc()))).alias("seq"), F.repeat("dna", 20).alias("dna")).withColumn("dna", F.substring("dna", 1, length))
+    return orf.candidates(orf.gene_table(f.where(F.col("stop") < length), pool))
+
+
+def _by_doc():
+    from pyspark.sql import Window
+
+    return Window.orderBy("doc_id")
 
-QUERIES: dict = {}
-ORACLE: dict = {}
