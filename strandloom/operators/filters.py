@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .hierarchy import cascade_delete, propagate_bounds
 from .intervals import overlap_flag
+from .tables import written
 
 PART_TYPES = ("five_prime_UTR", "CDS", "three_prime_UTR")
 
@@ -56,12 +57,13 @@ def valid_genes(df: DataFrame, require_utrs: bool = False) -> DataFrame:
 
 def filter_predictions(df: DataFrame, types: list[str], min_part: int, min_gene: int, require_utrs: bool = False) -> DataFrame:
     """Short parts, then short genes, then invalid genes."""
-    return valid_genes(min_gene_length(min_feature_length(df, types, min_part), min_gene), require_utrs)
+    one = written(min_feature_length(df, types, min_part), "long-parts")
+    return valid_genes(written(min_gene_length(one, min_gene), "long-genes"), require_utrs)
 
 
 def quality_pass(df: DataFrame, flag: str = "quality") -> DataFrame:
     """Drops genes and mRNAs with flag '0' and all below them, then genes that are left without an mRNA."""
-    one = cascade_delete(df, df.where(F.col("type").isin("gene", "mRNA") & (F.col(flag) == "0")).select("id"), 3)
+    one = written(cascade_delete(df, df.where(F.col("type").isin("gene", "mRNA") & (F.col(flag) == "0")).select("id"), 3), "passed")
     owners = one.where("type = 'mRNA'").select(F.col("parent").alias("id")).distinct()
     return cascade_delete(one, one.where("type = 'gene'").join(owners, "id", "left_anti").select("id"), 3)
 
@@ -98,11 +100,11 @@ def overlapping_parts(wide: DataFrame) -> DataFrame:
 
 def filter_features(wide: DataFrame, remove_incomplete: bool = True) -> tuple[DataFrame, DataFrame]:
     """Canonical transcripts of genes that pass all filters, and the log (seq, strand, gene_id, reason, start, stop). Works if nothing is filtered."""
-    log = bad_canonical(wide)
+    log = written(bad_canonical(wide), "filtered")
     kept = apply_filters(wide, log).where("canonical = '1'")
     steps = [(overlapping_genes, True), (incomplete, remove_incomplete), (overlapping_parts, True)]
     for step, remove in steps:
-        found = step(kept)
+        found = written(step(kept), "filtered")  # a few columns of the genes that go; read again by each later step
         log = log.unionByName(found)
         kept = apply_filters(kept, found) if remove else kept
     spans = wide.groupBy("seq", "strand", "gene_id").agg(F.min("gene_start").alias("start"), F.max("gene_stop").alias("stop"))

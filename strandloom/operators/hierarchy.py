@@ -6,26 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import gaps, merge
+from .tables import written
 
 LEVELS = 8  # deeper trees than gene, transcript, part are rare; a parent cycle ends here as well
 
 
 def cascade_delete(df: DataFrame, roots: DataFrame, levels: int = LEVELS) -> DataFrame:
     """df without the features of roots(id) and all their descendants. See removed() for what goes."""
-    gone = removed(df, roots, levels).select("id").distinct()
+    gone = removed(df, roots, levels).select("id")
     keep = df.join(gone, "id", "left_anti")
     return keep.join(gone.withColumnRenamed("id", "parent"), "parent", "left_anti").select(*df.columns)
 
 
 def removed(df: DataFrame, roots: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(id, direct): ids that go, direct being whether the id is in roots. Unrolled to `levels` semi joins, so cycles end."""
-    edges = df.where("id is not null").select("id", "parent")
-    front = edges.join(roots.select("id").distinct(), "id", "left_semi").select("id").distinct()
+    """(id, direct): ids that go, direct being whether the id is in roots. At most `levels` semi joins over the written
+    (id, parent) table, so that the plan does not grow with the depth and a parent cycle ends; it stops at the last generation."""
+    edges = written(df.where("id is not null").select("id", "parent"), "edges")
+    front = written(edges.join(roots.select("id").distinct(), "id", "left_semi").select("id").distinct(), "front")
     out = front.withColumn("direct", F.lit(True))
     for _ in range(levels):
-        front = edges.join(front.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct()
+        if not front.limit(1).count():
+            break
+        front = written(edges.join(front.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct(), "front")
         out = out.unionByName(front.withColumn("direct", F.lit(False)))
-    return out.groupBy("id").agg(F.max("direct").alias("direct"))
+    return written(out.groupBy("id").agg(F.max("direct").alias("direct")), "removed")
 
 
 def expand_parents(df: DataFrame) -> DataFrame:

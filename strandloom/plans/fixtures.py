@@ -15,11 +15,11 @@ PART = """SELECT l_orderkey AS o, l_linestatus AS ls, row_number() OVER (PARTITI
 
 FEATURE = f"""SELECT id, parent, type, seq, strand, start, stop, canonical, o * 1000 + ord * 200 + CASE WHEN ls = 'O' AND ord = 1 THEN 1 ELSE k END AS row FROM (
  SELECT o, 0 AS ord, '' AS ls, 0 AS k, concat('gene:', o) AS id, CAST(NULL AS VARCHAR(40)) AS parent, 'gene' AS type, concat('chr', o % 7 + 1) AS seq, CASE WHEN o % 2 = 0 THEN '+' ELSE '-' END AS strand,
-  min(s) AS start, max(s + len) AS stop, CAST(NULL AS VARCHAR(1)) AS canonical FROM (SELECT *, CAST(floor(o / 7) AS BIGINT) * 400 + k * 60 + jitter AS s FROM ({PART}) p0) p GROUP BY o
+  min(s) AS start, max(s + len) AS stop, CAST(NULL AS VARCHAR(1)) AS canonical FROM (SELECT *, CAST(floor(o / 7) AS BIGINT) * 150 + k * 60 + jitter AS s FROM ({PART}) p0) p GROUP BY o
  UNION ALL SELECT o, 1, ls, 0, concat('mrna:', o, ':', ls), concat('gene:', o), 'mRNA', concat('chr', o % 7 + 1), CASE WHEN o % 2 = 0 THEN '+' ELSE '-' END, min(s), max(s + len), CASE WHEN ls = 'O' THEN '1' ELSE '0' END
-  FROM (SELECT *, CAST(floor(o / 7) AS BIGINT) * 400 + k * 60 + jitter AS s FROM ({PART}) p1) p GROUP BY o, ls
+  FROM (SELECT *, CAST(floor(o / 7) AS BIGINT) * 150 + k * 60 + jitter AS s FROM ({PART}) p1) p GROUP BY o, ls
  UNION ALL SELECT o, 2, ls, k, concat('part:', o, ':', k), concat('mrna:', o, ':', ls), type, concat('chr', o % 7 + 1), CASE WHEN o % 2 = 0 THEN '+' ELSE '-' END, s, s + len, CAST(NULL AS VARCHAR(1))
-  FROM (SELECT *, CAST(floor(o / 7) AS BIGINT) * 400 + k * 60 + jitter AS s FROM ({PART}) p2) p) f"""
+  FROM (SELECT *, CAST(floor(o / 7) AS BIGINT) * 150 + k * 60 + jitter AS s FROM ({PART}) p2) p) f"""
 
 WIDE = f"""SELECT 'species1' AS species, g.seq, g.strand, g.id AS gene_id, g.start AS gene_start, g.stop AS gene_stop, m.id AS transcript_id, m.start AS transcript_start, m.stop AS transcript_stop, m.canonical,
  p.id AS feature_id, p.type AS feature_type, p.start AS feature_start, p.stop AS feature_stop, c.len AS sequence_length
