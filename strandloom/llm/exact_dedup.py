@@ -14,10 +14,10 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WS, materialize
+from ._common import WS, fresh, materialize
 
 RUNS, FAN_BITS = 64, 2
 KEY = ["text_sha256", "_x", "_n"]
@@ -63,12 +63,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that exact_dedup keeps, with their own columns: the first of each group of equal texts."""
     digests = materialize(digest_rows(docs, id_col, text_col), "digests")
     kept = materialize(classes(digests).where(F.col("_row") == F.col("keep_row")).select("doc_id", "text_sha256"), "kept", True)
-    own, tag, copy = docs.columns, "_kept_sha", "_kept_copy"
+    own, tag, copy, ident, text = docs.columns, *(fresh(docs, c) for c in ("_kept_sha", "_kept_copy", "_kept_id", "_kept_text"))
     keyed = docs.withColumn(tag, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    mine = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    out = keyed.join(mine, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col(tag) == F.col("_kept_text")), "left_semi")
-    from pyspark.sql import Window
-
+    mine = kept.select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(text))
+    out = keyed.join(mine, F.col(id_col).eqNullSafe(F.col(ident)) & (F.col(tag) == F.col(text)), "left_semi")
     if digests.groupBy("doc_id", *KEY).count().where("count > 1").limit(1).count():  # repeated rows with one id
         out = out.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, tag).orderBy(F.lit(1)))).where(F.col(copy) == 1)
     return out.select(*own)

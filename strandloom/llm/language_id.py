@@ -118,6 +118,8 @@ class Model:
 
 def training_rows(docs: DataFrame, admitted: Column, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """At most per_lang rows of each of the MAX_LANGS most frequent languages."""
+    docs = docs.where(admitted).select("doc_id", "lang", "text")
+    admitted = F.lit(True)
     rows = docs.where(admitted & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = docs.where(admitted & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")

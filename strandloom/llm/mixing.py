@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import count_ws_words, materialize
+from ._common import count_ws_words, fresh, materialize
 
 SEED, MAX_EPOCHS, SHARE = 17, 2, (3, 5)
 BUCKET_HEX = 3
@@ -95,8 +95,9 @@ BROADCAST_ROWS = 500_000
 
 def take(docs: DataFrame, levels: dict[str, Column], share: tuple[int, int] = SHARE, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs that a mix with at most one epoch takes, with docs' own columns. Rows that share an id stay together."""
-    taken = mix(docs, levels, share, weights, 1, seed).where("copies > 0").select(F.col("doc_id").alias("_taken")).distinct()
+    name = fresh(docs, "_taken")
+    taken = mix(docs, levels, share, weights, 1, seed).where("copies > 0").select(F.col("doc_id").alias(name)).distinct()
     taken = materialize(taken, "taken", True)
     if taken.count() <= BROADCAST_ROWS:
         taken = F.broadcast(taken)  # counted; above that many rows the join is shuffled
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")), "left_semi")
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

@@ -80,6 +80,7 @@ def target_rows(docs: DataFrame, labels: DataFrame, most: int = TARGET_ROWS) ->
     """Documents labelled good and not toxic: at most `most`, those with the smallest hash of the id."""
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_good")).distinct()
     good = good.orderBy(F.xxhash64("_good"), "_good").limit(most)
+    docs = docs.select("doc_id", "text")
     return docs.join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left_semi")  # at most `most` ids
 
 
