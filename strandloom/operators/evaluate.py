@@ -85,17 +85,19 @@ def structure_counts(pred: DataFrame, true: DataFrame) -> DataFrame:
     return prf(base.unionByName(set_counts(pe, te, place, "exon")).unionByName(set_counts(pi, ti, place, "intron")).unionByName(set_counts(chain(pi), chain(ti), ["seq", "strand", "chain"], "intron_chain")))
 
 
-def transcript_levels(pred: DataFrame, true: DataFrame) -> DataFrame:
+def transcript_levels(pred: DataFrame, true: DataFrame, tolerance: int = 0) -> DataFrame:
     """Gene-pair evaluation: pairs of overlapping genes of one strand are compared through all pairs of their transcripts.
 
     A gene counts as found at a level if any of its transcripts agrees with any of a partner's: transcript_cds (equal CDS),
-    transcript_intron (equal introns), transcript (equal exons). Genes without a partner are false."""
+    transcript_intron (introns equal too), transcript (and both ends within the tolerance). Genes without a partner are false."""
     span = lambda d: d.where("type = 'gene'").select("id", "seq", "strand", "start", "stop")
     pairs = overlap_join(span(pred), span(true)).select(F.col("id").alias("pg"), F.col("r_id").alias("tg"))
     sets = lambda d, g, x: d.where("type = 'mRNA'").select(F.col("id").alias("parent"), F.col("parent").alias(g)).join(interval_sets(d), "parent").select(g, *(F.col(c).alias(f"{x}_{c}") for c in ("cds", "exon", "intron")))
     x = pairs.join(sets(pred, "pg", "p"), "pg").join(sets(true, "tg", "t"), "tg")
-    same = lambda c: ((F.col(f"p_{c}") == F.col(f"t_{c}")) & (F.size(f"p_{c}") > 0)).cast("int")
-    levels = {"transcript_cds": same("cds"), "transcript_intron": same("intron"), "transcript": same("exon")}
+    same = lambda c: F.col(f"p_{c}") == F.col(f"t_{c}")
+    end = lambda k, f: F.abs(F.element_at("p_exon", k)[f] - F.element_at("t_exon", k)[f]) <= tolerance  # noqa: E731  exons are sorted and disjoint
+    levels = {"transcript_cds": same("cds"), "transcript_intron": same("cds") & same("intron"), "transcript": same("cds") & same("intron") & end(1, "start") & end(-1, "stop")}
+    levels = {k: v.cast("int") for k, v in levels.items()}
     hit = x.select("pg", "tg", *(v.alias(k) for k, v in levels.items()))
     found = lambda g: hit.groupBy(g).agg(*(F.max(k).alias(k) for k in levels)).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in levels))
     n = lambda d, c: d.where("type = 'gene'").agg(F.count_distinct("id").alias(c)).withColumn("k", F.lit(1))

@@ -660,11 +660,11 @@ def eval_sites(spark, d):
 
 def _tset(t: str, x: str) -> str:
     text = "string_agg(concat(start, '-', stop), ',' ORDER BY start, stop)"
-    return f"""{x}set AS (SELECT m.parent AS gene, m.id AS tr, (SELECT {text} FROM (SELECT DISTINCT parent, start, stop FROM {t} WHERE type = 'CDS') q WHERE q.parent = m.id) AS cds, (SELECT {text} FROM {x}e WHERE parent = m.id) AS ex, (SELECT {text} FROM {x}i WHERE parent = m.id) AS it FROM {t} m WHERE m.type = 'mRNA')"""
+    return f"""{x}set AS (SELECT m.parent AS gene, m.id AS tr, (SELECT {text} FROM (SELECT DISTINCT parent, start, stop FROM {t} WHERE type = 'CDS') q WHERE q.parent = m.id) AS cds, (SELECT min(start) FROM {x}e WHERE parent = m.id) AS lo, (SELECT max(stop) FROM {x}e WHERE parent = m.id) AS hi, (SELECT {text} FROM {x}i WHERE parent = m.id) AS it FROM {t} m WHERE m.type = 'mRNA')"""
 
 
 @query(FT + _PT + ", " + _exons("pred", "p") + ", " + _exons("tru", "t") + ", " + _tset("pred", "p") + ", " + _tset("tru", "t") + f""", gp AS (SELECT p.id AS pg, t.id AS tg FROM pred p JOIN tru t ON p.type = 'gene' AND t.type = 'gene' AND p.seq = t.seq AND p.strand = t.strand AND p.start < t.stop AND t.start < p.stop),
-h AS (SELECT pg, tg, bool_or(p.cds = t.cds) AS c, bool_or(p.it = t.it) AS i, bool_or(p.ex = t.ex) AS e FROM gp JOIN pset p ON p.gene = pg JOIN tset t ON t.gene = tg GROUP BY ALL), np AS (SELECT count(*) AS n FROM pred WHERE type = 'gene'),
+h AS (SELECT pg, tg, bool_or(p.cds IS NOT DISTINCT FROM t.cds) AS c, bool_or(p.cds IS NOT DISTINCT FROM t.cds AND p.it IS NOT DISTINCT FROM t.it) AS i, bool_or(p.cds IS NOT DISTINCT FROM t.cds AND p.it IS NOT DISTINCT FROM t.it AND p.lo = t.lo AND p.hi = t.hi) AS e FROM gp JOIN pset p ON p.gene = pg JOIN tset t ON t.gene = tg GROUP BY ALL), np AS (SELECT count(*) AS n FROM pred WHERE type = 'gene'),
 c AS (SELECT 'transcript_cds' AS level, (SELECT count(DISTINCT pg) FROM h WHERE c) AS tp, n - (SELECT count(DISTINCT pg) FROM h WHERE c) AS fp, n - (SELECT count(DISTINCT tg) FROM h WHERE c) AS fn FROM np UNION ALL SELECT 'transcript_intron', (SELECT count(DISTINCT pg) FROM h WHERE i), n - (SELECT count(DISTINCT pg) FROM h WHERE i), n - (SELECT count(DISTINCT tg) FROM h WHERE i) FROM np
 UNION ALL SELECT 'transcript', (SELECT count(DISTINCT pg) FROM h WHERE e), n - (SELECT count(DISTINCT pg) FROM h WHERE e), n - (SELECT count(DISTINCT tg) FROM h WHERE e) FROM np) SELECT level, tp, fp, fn, {PRF} FROM c""")
 def eval_transcript_levels(spark, d):

@@ -12,7 +12,7 @@ def read(spark: SparkSession, path, names: dict[str, str] | None = None) -> Data
     """(seq, dna, path): one row for each record; the id is the first word of its title. Compressed files are read by suffix.
 
     names maps ids to new ones and leaves other records out. A record must fit in a row (2 GB)."""
-    x = spark.read.option("lineSep", ">").text(path).where(F.trim(F.col("value")) != "")
+    x = spark.read.option("lineSep", ">").text(path).where(F.col("value").rlike(r"\S"))
     x = x.select(F.regexp_extract("value", r"^(\S+)", 1).alias("seq"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*(\n|$)", ""), r"\s", "").alias("dna"), F.col("_metadata.file_path").alias("path"))
     if names is not None:
         table = F.create_map(*(F.lit(v) for kv in names.items() for v in kv))

@@ -52,9 +52,9 @@ def directives(spark: SparkSession, path) -> DataFrame:
 
 def embedded_fasta(spark: SparkSession, path) -> DataFrame:
     """(seq, dna) of the ##FASTA section of GFF3 files that are read whole, one file a row."""
-    text = spark.read.option("wholetext", True).text(path).where(F.col("value").contains("##FASTA"))
+    text = spark.read.text(path, wholetext=True).where(F.col("value").contains("##FASTA"))
     body = F.element_at(F.split("value", r"(?m)^##FASTA\s*$"), -1)
-    return text.select(F.explode(F.filter(F.split(body, r"(?m)^>"), lambda r: F.trim(r) != "")).alias("r")).select(F.regexp_extract("r", r"^(\S+)", 1).alias("seq"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "").alias("dna"))
+    return text.select(F.explode(F.filter(F.split(body, r"(?m)^>"), lambda r: r.rlike(r"\S"))).alias("r")).select(F.regexp_extract("r", r"^(\S+)", 1).alias("seq"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "").alias("dna"))
 
 
 def lines(df: DataFrame):
