@@ -34,13 +34,18 @@ def complete(nuc: str) -> bool:
 
 def _chain(rows: list, i: int, whole: list[bool]) -> tuple[int, str, int] | None:
     """(last member, joined sequence, bases cut at the last junction) of the first chain from i that is a complete frame."""
-    joined = rows[i].cds
+    joined, read = rows[i].cds, 0
     if not joined or whole[i]:
         return (i, joined, 0) if joined else None
+    if not joined.startswith("ATG"[: len(joined)]):
+        return None
     for j in range(i + 1, len(rows)):
         before, own = rows[j - 1], rows[j]
-        if not own.cds:
+        # a stop codon in what is joined so far stays inside every longer chain
+        end = len(joined) - len(joined) % 3
+        if not own.cds or any(joined[k : k + 3] in D.STOPS for k in range(read, end, 3)):
             return None
+        read = end
         forward = own.strand == "+"
         gap = own.start - before.stop if forward else before.start - own.stop
         donor, acceptor = (before.donor, own.acceptor) if forward else (own.donor, before.acceptor)
