@@ -230,6 +230,17 @@ def test_substring_dedup_finds_planted_passages(spark, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup_passage_around_a_frequent_line(spark, seed):
+    rng = np.random.default_rng(seed)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**6, n))
+    line = text(45)
+    both = [f"{text(8)} {line} {text(7)}" for _ in range(6)]
+    rows = [(i, f"{text(60)} {line} {text(60)}") for i in range(40)] + [(100 + i, f"{text(60)} {both[i // 2]} {text(60)}") for i in range(12)]
+    got = substring_dedup.substring_dedup(make(spark, [(i, t, "en", "s") for i, t in rows]), enough=1, hashes=2).collect()
+    assert {(r.doc_id, r.first_word, r.last_word, r.other_id) for r in got} == {(100 + i, 60, 119, 100 + (i ^ 1)) for i in range(12)}
+
+
 # 7
 
 
