@@ -241,6 +241,19 @@ def test_substring_dedup_passage_around_a_frequent_line(spark, seed):
     assert {(r.doc_id, r.first_word, r.last_word, r.other_id) for r in got} == {(100 + i, 60, 119, 100 + (i ^ 1)) for i in range(12)}
 
 
+@pytest.mark.parametrize("ids", [(1, 2), (2, 1)])
+@pytest.mark.parametrize("others", [0, 40])
+def test_substring_dedup_reports_each_place_of_a_passage(spark, ids, others):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**6, n))
+    shared = text(60)
+    rows = [(ids[0], f"{text(30)} {shared} {text(30)}"), (ids[1], f"{shared} {text(200)} {shared} {text(20)}")]
+    rows += [(10 + i, f"{text(20)} {shared} {text(20)}") for i in range(others)]
+    got = substring_dedup.substring_dedup(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    found = {(r.first_word, r.last_word) for r in got if r.doc_id == ids[1]}
+    assert found >= {(0, 59), (260, 319)} and all(0 <= a < b <= 59 or 260 <= a < b <= 319 for a, b in found)
+
+
 # 7
 
 
