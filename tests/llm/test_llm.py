@@ -254,6 +254,19 @@ def test_substring_dedup_reports_each_place_of_a_passage(spark, ids, others):
     assert found >= {(0, 59), (260, 319)} and all(0 <= a < b <= 59 or 260 <= a < b <= 319 for a, b in found)
 
 
+def test_substring_dedup_recall_at_the_accepted_share(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    rows = []
+    for k in range(300):
+        near = words(54)  # 50 shingles, of which two changed words leave 40: a share of 80 %
+        other = [w if i not in (17, 36) else "changed" for i, w in enumerate(near)]
+        rows += [(2 * k, " ".join(words(30) + near + words(30))), (2 * k + 1, " ".join(words(20) + other + words(40)))]
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.substring_dedup(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    found = sum((2 * k, 2 * k + 1) in got for k in range(300))
+    assert found >= 297 and all(a ^ 1 == b for a, b in got)
+
+
 # 7
 
 
