@@ -15,7 +15,7 @@ Equal sets are one node. Within a list not all pairs are formed: each node is pa
 one with the fewest rare shingles, such as the original of a group of near copies) and with its neighbour. A pair is dropped
 if the sizes differ too much or if their parity signatures differ in more places than the sets can (a lower bound of the
 symmetric difference, so exact); the rest are verified on the full sets. Then components are found, and in every list of
-more than three nodes that still spans several components, all pairs across components are compared by signature, in blocks
+more than three nodes (of more than two, if its shingle is frequent) that still spans several components, all pairs across components are compared by signature, in blocks
 of BLOCK nodes, and the survivors verified. So no link between different components is lost, and pairs within a group of
 near copies are not multiplied. Lists of frequent shingles (a slot count over twice the mean) are joined with their centre
 rather than gathered, so a shingle that a third of all documents has is dealt over many tasks; the other lists are no
@@ -372,7 +372,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     label = components(found)
 
     # lists that still span several components
-    long_lists = scanned.where("b is null").select("token", F.col("a").alias("key")).unionByName(often.join(centre.where("len > 3").select("token"), "token", "left_semi").select("token", "key"))
+    long_lists = scanned.where("b is null").select("token", F.col("a").alias("key")).unionByName(often.join(centre.where("len > 2").select("token"), "token", "left_semi").select("token", "key"))
     named = long_lists.join(nodes.select("key", "id", "n"), "key").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = materialize(named.select("token", "id", "n", "label"), "lists", True)
     open_lists = named.groupBy("token").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("len")).where("p <> q").select("token", "len")

@@ -119,6 +119,19 @@ def test_join_on_random_near_copies(spark, words, num):
     assert got == brute_components(rows, words, num, 100)
 
 
+def test_join_of_a_frequent_list_of_three_with_an_oversize_centre(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "slot_ranks", lambda first, total: FREQUENT)
+    near, more = [f"u{i}" for i in range(300)], [f"v{i}" for i in range(200)]
+    texts = [" ".join(near + more), " ".join([*near, "one"]), " ".join([*near, "two"])]
+    sets = [ngram_join.shingle_set(t, 4) for t in texts]
+    slots = lambda s: (s >> np.uint64(64 - ngram_join.SLOT_BITS)).astype(np.int64)
+    FREQUENT = np.zeros(1 << ngram_join.SLOT_BITS, np.uint8)
+    FREQUENT[slots(sets[0])] = 2  # all of the large text is frequent and makes it the centre; the others have a rare shingle each
+    rows = [(i + 1, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(make(spark, rows)).collect()}
+    assert got == brute_components(rows, 4, 85, 100) == {1: 1, 2: 2, 3: 2}
+
+
 def test_signature_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for n in (3, 200, 3000):
