@@ -5,7 +5,9 @@ one-versus-one linear support vector machines among that family's languages vote
 character 1- to 3-grams of the lower-cased text, square-rooted and scaled to length one.
 
 Training rows are rows with a language that the caller's filter admits; of these at most TRAIN_PER_LANG for each language,
-those with the smallest hash of the id, are read (a documented bound); all rows are predicted over their whole texts.
+those with the smallest hash of the id, are read (a documented bound); with over FULL_LANGS languages fewer of each, but at least
+one, so that every language with a usable row is trained. All rows are predicted over their whole texts. The number of machines
+grows with the square of the number of languages.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; with no training rows every text is `und`; with one
 language it is always that one; null ids are never trained on; an empty table gives no rows; other columns are ignored.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_rows
 
-DIM, TRAIN_PER_LANG, MAX_LANGS = 4096, 400, 64
+DIM, TRAIN_PER_LANG, FULL_LANGS = 4096, 400, 64
 
 # Families of languages that are often told apart; any other language is a family of its own.
 FAMILY = {
@@ -117,20 +119,21 @@ class Model:
 
 
 def training_rows(docs: DataFrame, admitted: Column, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
-    """At most per_lang rows of each of the MAX_LANGS most frequent languages."""
+    """At most per_lang rows of each language; if there are over FULL_LANGS, fewer of each, and at least one."""
     docs = docs.where(admitted).select("doc_id", "lang", "text")
     admitted = F.lit(True)
     rows = docs.where(admitted & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = docs.where(admitted & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    langs = rows.select("lang").distinct().count()
+    if langs > FULL_LANGS:
+        per_lang = max(1, per_lang * FULL_LANGS // langs)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_lang).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    ids = ids.join(F.broadcast(known.withColumnRenamed("lang", "_lang")), "_lang")  # at most MAX_LANGS rows
-    # at most per_lang * MAX_LANGS ids
+    # at most per_lang * FULL_LANGS ids, or one for each language
     return rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
 
 
 def fit(docs: DataFrame, admitted: Column, per_lang: int = TRAIN_PER_LANG) -> Model | None:
-    """Trains on the driver from feature vectors that the executors computed: at most per_lang * MAX_LANGS rows of DIM half floats."""
+    """Trains on the driver from feature vectors that the executors computed: at most per_lang * FULL_LANGS rows, or one for each language, of DIM half floats."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -381,6 +381,12 @@ def test_language_edges(spark, docs, empty):
     assert language_id.keep_known(docs).columns == docs.columns
 
 
+def test_language_trains_every_language(spark):
+    rows = [(3 * i + k, f"text {i} {k}", f"l{i:02}", "s") for i in range(80) for k in range(3)] + [(1000, "...", "none", "s")]
+    got = [r.lang for r in language_id.training_rows(make(spark, rows), F.lit(True), 2).collect()]
+    assert sorted(got) == [f"l{i:02}" for i in range(80)]
+
+
 # the pipeline
 
 
