@@ -762,6 +762,13 @@ def orf_flag(spark, d):
     return x.select("doc_id", D.is_complete_orf(F.col("s")).alias("orf"))
 
 
+@query()
+def orf_flag_whole(spark, d):
+    """The same check over all bases of each text, between a start and a stop codon, T turned into C in even ids; no SQL form (hand cases in the tests)."""
+    dna = F.when(F.col("doc_id") % 2 == 0, F.translate("dna", "T", "C")).otherwise(F.col("dna"))
+    return view(spark, d, "dna").select("doc_id", D.is_complete_orf(F.concat(F.lit("ATG"), dna, F.lit("TGA"))).alias("orf"))
+
+
 @query(DN + f", c AS (SELECT doc_id, i, substr(dna, (3 * i + 1)::BIGINT, 3) AS codon FROM (SELECT doc_id, dna, unnest(range(0, length(dna) // 3)) AS i FROM dna) x) SELECT d.doc_id, coalesce(string_agg(substr('{D.AMINO}', (16 * (strpos('TCAG', codon[1]) - 1) + 4 * (strpos('TCAG', codon[2]) - 1) + strpos('TCAG', codon[3]))::BIGINT, 1), '' ORDER BY i), '') AS protein FROM dna d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id")
 def translate(spark, d):
     return view(spark, d, "dna").select("doc_id", D.translate(F.col("dna")).alias("protein"))
@@ -784,6 +791,14 @@ def spliced_sequence(spark, d):
     return view(spark, d, "dna").select("doc_id", D.spliced(F.col("dna"), parts, F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")).alias("s"))
 
 
+@query()
+def spliced_sequence_whole(spark, d):
+    """The bases 10 to 30 of each 40 bases of a text, as splice_motifs cuts it; no SQL form (hand cases in the tests)."""
+    n = F.expr("length(dna) div 40").cast("int")
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.struct((k * 40 + 10).alias("start"), (k * 40 + 30).alias("stop")))).otherwise(F.array())
+    return view(spark, d, "dna").select("doc_id", D.spliced(F.col("dna"), parts, F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")).alias("s"))
+
+
 @query(DN + ", t AS (SELECT unnest(string_split(dna, '')) AS b FROM dna) SELECT CASE b WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 4 END AS token, count(*) AS n FROM t GROUP BY token")
 def tokenise_bases(spark, d):
     x = view(spark, d, "dna").where(F.length("dna") > 0).select(F.explode(D.tokens(F.col("dna"), {"A": 0, "C": 1, "G": 2}, 4)).alias("token"))

@@ -1,5 +1,7 @@
 """Single operators on literal inputs, after the cases that the blueprint lists."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +128,23 @@ def tree(spark):
     ], TREE)
 
 
+def test_whole_text_queries(spark):
+    from strandloom.plans.catalogue import QUERIES
+    from strandloom.plans.fixtures import view
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    dna = {r.doc_id: r.dna for r in view(spark, sf, "dna").collect()}
+    flag = lambda s: len(s) % 3 == 0 and not {s[k : k + 3] for k in range(0, len(s), 3)} & {"TAA", "TAG", "TGA"}
+    want = {i: flag(s if i % 2 else s.replace("T", "C")) for i, s in dna.items()}
+    got = {r.doc_id: r.orf for r in QUERIES["orf_flag_whole"](spark, sf).collect()}
+    assert got == want and any(want[i] for i in dna if len(dna[i]) > 200)
+    cut = {i: "".join(s[k * 40 + 10 : k * 40 + 30] for k in range(len(s) // 40)) for i, s in dna.items()}
+    want = {i: s if i % 2 == 0 else s[::-1].translate(str.maketrans("ACGT", "TGCA")) for i, s in cut.items()}
+    assert {r.doc_id: r.s for r in QUERIES["spliced_sequence_whole"](spark, sf).collect()} == want
+
+
 def test_cascade_with_cycle(spark):
     df = frame(spark, [("a", "b", "gene", "c", "+", 0, 1, None, 0), ("b", "a", "mRNA", "c", "+", 0, 1, None, 1), ("z", None, "gene", "c", "+", 0, 1, None, 2)], TREE)
     assert rows(hierarchy.cascade_delete(df, df.where("id = 'a'").select("id")), "id") == [("z",)]
