@@ -41,7 +41,7 @@ def min_feature_length(df: DataFrame, types: list[str], least: int) -> DataFrame
 
 
 def min_gene_length(df: DataFrame, least: int) -> DataFrame:
-    return cascade_delete(df, df.where((F.col("type") == "gene") & (F.col("stop") - F.col("start") < least)).select("id"), 3)
+    return cascade_delete(df, df.where((F.col("type") == "gene") & (F.col("stop") - F.col("start") < least)).select("id"))
 
 
 def valid_genes(df: DataFrame, require_utrs: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def valid_genes(df: DataFrame, require_utrs: bool = False) -> DataFrame:
     bad_m = df.where("type = 'mRNA'").join(good, "id", "left_anti").select("id")
     genes_with = df.where("type = 'mRNA'").join(good, "id", "left_semi").select(F.col("parent").alias("id")).distinct()
     bad_g = df.where("type = 'gene'").join(genes_with, "id", "left_anti").select("id")
-    return cascade_delete(df, bad_m.unionByName(bad_g), 3)
+    return cascade_delete(df, bad_m.unionByName(bad_g))
 
 
 def filter_predictions(df: DataFrame, types: list[str], min_part: int, min_gene: int, require_utrs: bool = False) -> DataFrame:
@@ -63,9 +63,9 @@ def filter_predictions(df: DataFrame, types: list[str], min_part: int, min_gene:
 
 def quality_pass(df: DataFrame, flag: str = "quality") -> DataFrame:
     """Drops genes and mRNAs with flag '0' and all below them, then genes that are left without an mRNA."""
-    one = written(cascade_delete(df, df.where(F.col("type").isin("gene", "mRNA") & (F.col(flag) == "0")).select("id"), 3), "passed")
+    one = written(cascade_delete(df, df.where(F.col("type").isin("gene", "mRNA") & (F.col(flag) == "0")).select("id")), "passed")
     owners = one.where("type = 'mRNA'").select(F.col("parent").alias("id")).distinct()
-    return cascade_delete(one, one.where("type = 'gene'").join(owners, "id", "left_anti").select("id"), 3)
+    return cascade_delete(one, one.where("type = 'gene'").join(owners, "id", "left_anti").select("id"))
 
 
 def filter_log(df: DataFrame, reason: str) -> DataFrame:

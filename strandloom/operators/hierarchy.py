@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from .intervals import gaps, merge
 from .tables import written
 
-LEVELS = 8  # deeper trees than gene, transcript, part are rare; a parent cycle ends here as well
+UNIONS = 8  # generations until the ids found so far are written as one table
 
 
-def cascade_delete(df: DataFrame, roots: DataFrame, levels: int = LEVELS) -> DataFrame:
+def cascade_delete(df: DataFrame, roots: DataFrame) -> DataFrame:
     """df without the features of roots(id) and all their descendants. See removed() for what goes."""
-    gone = removed(df, roots, levels).select("id")
+    gone = removed(df, roots).select("id")
     keep = df.join(gone, "id", "left_anti")
     return keep.join(gone.withColumnRenamed("id", "parent"), "parent", "left_anti").select(*df.columns)
 
 
-def removed(df: DataFrame, roots: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(id, direct): ids that go, direct being whether the id is in roots. At most `levels` semi joins over the written
-    (id, parent) table, so that the plan does not grow with the depth and a parent cycle ends; it stops at the last generation."""
+def removed(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, direct): ids that go, direct being whether the id is in roots. One semi join for each generation over the written
+    (id, parent) table, until a generation has no id that isn't gone already, so a parent cycle ends too."""
     edges = written(df.where("id is not null").select("id", "parent"), "edges")
     front = written(edges.join(roots.select("id").distinct(), "id", "left_semi").select("id").distinct(), "front")
     out = front.withColumn("direct", F.lit(True))
-    for _ in range(levels):
-        if not front.limit(1).count():
-            break
-        front = written(edges.join(front.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct(), "front")
-        out = out.unionByName(front.withColumn("direct", F.lit(False)))
+    depth = 0
+    while front.limit(1).count():
+        front = written(edges.join(front.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct().join(out.select("id"), "id", "left_anti"), "front")
+        out, depth = out.unionByName(front.withColumn("direct", F.lit(False))), depth + 1
+        if depth % UNIONS == 0:
+            out = written(out, "removed")
     return written(out.groupBy("id").agg(F.max("direct").alias("direct")), "removed")
 
 

@@ -316,13 +316,13 @@ def _roots(f):
 @query(FT + _TREE + " SELECT id, parent, type, start, stop FROM feature f WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.id = f.id)")
 def parent_cascade_delete(spark, d):
     f = view(spark, d, "feature")
-    return hierarchy.cascade_delete(f, _roots(f), 3).select("id", "parent", "type", "start", "stop")
+    return hierarchy.cascade_delete(f, _roots(f)).select("id", "parent", "type", "start", "stop")
 
 
 @query(FT + _TREE + " SELECT t.id, t.id IN (SELECT id FROM del) AS direct FROM tree t")
 def cascade_removed(spark, d):
     f = view(spark, d, "feature")
-    return hierarchy.removed(f, _roots(f), 3)
+    return hierarchy.removed(f, _roots(f))
 
 
 @query(FT + " SELECT id, parent FROM (SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY stop - start DESC, row) AS k FROM feature WHERE type = 'mRNA') x WHERE k = 1")

@@ -128,6 +128,11 @@ def tree(spark):
     ], TREE)
 
 
+def test_cascade_of_a_deep_tree(spark):
+    df = frame(spark, [(f"n{i}", f"n{i - 1}" if i else None, "gene", "c", "+", 0, 1, None, i) for i in range(12)] + [("z", None, "gene", "c", "+", 0, 1, None, 12)], TREE)
+    assert rows(hierarchy.cascade_delete(df, df.where("id = 'n0'").select("id")), "id") == [("z",)]
+
+
 def test_whole_text_queries(spark):
     from strandloom.plans.catalogue import QUERIES
     from strandloom.plans.fixtures import view
