@@ -347,7 +347,8 @@ def across(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id."""
+    """One row per row of docs: doc_id, n_shingles, component_id. Only components are given, no links and no number of links:
+    pairs within a component that is connected already are not verified."""
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
