@@ -47,8 +47,10 @@ def release(*dfs: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
-    """Bounds the rows and the bytes of an Arrow batch, so that batches of long texts fit a Python worker."""
+def arrow_rows(spark: SparkSession, rows: int = 8192, size: str = "4m") -> None:
+    """Bounds the rows and the bytes of an Arrow batch, so that batches of long texts fit a Python worker.
+
+    This is a setting of the session that later queries see too: plans are lazy, so it can't be put back before they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -7,6 +7,8 @@ shingles of the same pair of documents collide with a chance of about 2**-64 for
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -22,17 +24,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    if not text:
-        return np.zeros(0, np.uint64)
-    raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of some UTF-8 bytes."""
+    raw = _LOWER[np.frombuffer(data, np.uint8)]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not len(raw):
+        return none
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.empty(len(raw), bool)
     edge[0] = not space[0]
     np.logical_and(~space[1:], space[:-1], out=edge[1:])
     begin = np.flatnonzero(edge)
     if not len(begin):
-        return np.zeros(0, np.uint64)
+        return none
     value = _BYTE[raw]
     value[space] = 0
     place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], begin]), np.diff(np.concatenate([[0], begin, [len(raw)]])))
@@ -40,7 +44,32 @@ def word_hashes(text: str | None) -> np.ndarray:
         value *= _POWER[place & (len(_POWER) - 1)] + (place >> 12).astype(np.uint64) * np.uint64(0xA24BAED4963EE408)
     else:
         value *= _POWER[place]
-    return mix(np.add.reduceat(value, begin))
+    return mix(np.add.reduceat(value, begin)), begin
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return _hashed((text or "").encode("utf-8", "surrogatepass"))[0]
+
+
+def parts_of(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, UTF-8 texts) of runs of texts of about `size` bytes; a longer text is a run of its own."""
+    first, held, n = 0, [], 0
+    for i, t in enumerate(texts):
+        data = (t or "").encode("utf-8", "surrogatepass")
+        if held and n + len(data) > size:
+            yield first, held
+            first, held, n = i, [], 0
+        held.append(data)
+        n += len(data)
+    if held:
+        yield first, held
+
+
+def many_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts one after the other, and the place of each text's first word, with the total at the end."""
+    words, begin = _hashed(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.searchsorted(begin, np.concatenate([[0], ends]))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
