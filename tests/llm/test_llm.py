@@ -154,6 +154,18 @@ def test_components_of_a_chain(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
 
 
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-50, 150, (120, 2))] + [(1000, 1000)] + [(5000 + i, 5001 + i) for i in range(60)] + [(7000, 7001 + i) for i in range(50)]
+    label = {x: x for p in pairs for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == label
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_keep_one_keeps_columns_and_clean_rows(spark, docs):
     out = ngram_join.keep_one(docs, 5, 80, 100)
     assert out.columns == docs.columns
@@ -280,6 +292,78 @@ def test_substring_dedup_recall_at_the_accepted_share(spark):
     assert found >= 297 and all(a ^ 1 == b for a, b in got)
 
 
+def test_passages_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(9)
+    for share in ((8, 10), (1, 2), (1, 1)):
+        xs, ys = [], []
+        for k in range(150):
+            x = rng.integers(0, 1 << 32, int(rng.integers(0, 60)), dtype=np.uint32)
+            y = np.concatenate([rng.integers(0, 1 << 32, int(rng.integers(0, 9)), dtype=np.uint32), x[int(rng.integers(0, 5)) :]])
+            y[rng.random(len(y)) < rng.choice([0, 0.05, 0.2, 0.6])] = 7
+            xs.append(x)
+            ys.append(np.concatenate([y, y]) if k % 5 == 0 else y)
+        want = [(k, p) for k in range(150) for p in substring_dedup.passages(xs[k], ys[k], 10, share)]
+        got = substring_dedup.all_passages(xs, ys, 10, share)
+        assert [(k, p[:4]) for k, p in got] == [(k, p[:4]) for k, p in want] and np.allclose([p[4] for _, p in got], [p[4] for _, p in want])
+        sizes = np.array([len(x) for x in xs])
+        hits = [np.isin(x, y) for x, y in zip(xs, ys)]
+        got = substring_dedup.longest(np.concatenate(hits), sizes, np.cumsum(sizes) - sizes, share)
+        assert got.tolist() == [max((e - s for s, e in substring_dedup.stretches(h, share, 1)), default=0) for h in hits]
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 300, n)).encode() for n in (0, 3, 70, 200, 49, 50, 120)]
+    value, whole, text, l, c, r, near = substring_dedup.text_windows(texts, 5, 46, 3)
+    for i, t in enumerate(texts):
+        one = substring_dedup.text_windows([t], 5, 46, 3)
+        assert [x[text == i].tolist() for x in (value, whole, l, c, r, near)] == [one[k].tolist() for k in (0, 1, 3, 4, 5, 6)]
+        assert (len(one[0]) > 0) == (len(t.split()) >= 50)
+
+
+def brute_stretches(rows, words=50):
+    """Pairs of documents with an equal stretch of that many words."""
+    at = {}
+    for i, t in rows:
+        w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split() if x]
+        for k in range(len(w) - words + 1):
+            at.setdefault(" ".join(w[k : k + words]), set()).add(i)
+    return [s for s in at.values() if len(s) > 1]
+
+
+def test_substring_dedup_against_brute_force(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = substring_dedup.substring_dedup(docs).collect()
+    groups = brute_stretches([(r.doc_id, r.text) for r in docs.collect()])
+    direct = {(r.doc_id, r.other_id) for r in got}
+    classes = {}
+    for r in got:
+        classes.setdefault(r.doc_id, set()).add((r.class_doc, r.class_word))
+    pairs = {(a, b) for g in groups for a in g for b in g if a < b}
+    assert pairs and all(classes[a] & classes[b] for a, b in pairs)
+    small = {(a, b) for g in groups if len(g) <= 4 for a in g for b in g if a < b}
+    assert len(small & direct) >= 0.9 * len(small)
+
+
+def test_substring_dedup_classes_and_hubs(spark):
+    """Forty documents share a passage in other surroundings, and twelve are near copies of another one: each is one class."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    shared, near = words(55), words(120)
+    rows = [(i, " ".join(words(20) + shared + words(20))) for i in range(40)]
+    for i in range(12):
+        w = list(near)
+        for k in rng.integers(0, 120, 3):
+            w[k] = f"x{i}"
+        rows.append((100 + i, " ".join(words(30) + w + words(30))))
+    got = substring_dedup.substring_dedup(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {(r.doc_id, r.class_doc, r.class_word) for r in got} == {(i, 0, 20) for i in range(40)} | {(100 + i, 100, min(r.first_word for r in got if r.doc_id == 100)) for i in range(12)}
+    near_pairs = {(r.doc_id, r.other_id) for r in got if r.doc_id >= 100}
+    assert len(near_pairs) == 12 * 11
+
+
 # 7
 
 
