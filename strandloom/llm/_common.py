@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def release(*dfs: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark deletes the shuffle files of plans that are done. Called after large stages."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_rows(spark: SparkSession, rows: int = 8192, size: str = "4m") -> None:
     """Bounds the rows and the bytes of an Arrow batch, so that batches of long texts fit a Python worker.
 
