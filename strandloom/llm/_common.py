@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,7 @@ def release(*dfs: DataFrame) -> None:
 def forget(spark: SparkSession) -> None:
     """Has the driver collect its garbage, so that Spark deletes the shuffle files of plans that are done. Called after large stages."""
     gc.collect()
+    time.sleep(0.5)  # listeners hold a plan a moment longer than its write takes
     spark._jvm.System.gc()
 
 
