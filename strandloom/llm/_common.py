@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of the text contracts, as a Java regex class.
 WS = r"[\x20\x09-\x0D]+"
+#: Spark then deletes the shuffle files of a plan when its execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,12 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and returns a reader of it: cuts lineage and survives lost executors.
 
-    narrow: for tables that are small beside the texts; they get four files for each core of the cluster at most."""
+    narrow: for tables that are small beside the texts; they get four files for each core of the cluster at most. The shuffle
+    files of the plan are deleted once the table is there."""
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/strandloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,13 +55,6 @@ def release(*dfs: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def forget(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that Spark deletes the shuffle files of plans that are done. Called after large stages."""
-    gc.collect()
-    time.sleep(0.5)  # listeners hold a plan a moment longer than its write takes
-    spark._jvm.System.gc()
-
-
 def arrow_rows(spark: SparkSession, rows: int = 8192, size: str = "4m") -> None:
     """Bounds the rows and the bytes of an Arrow batch, so that batches of long texts fit a Python worker.
 
