@@ -28,6 +28,8 @@ id takes its group's component_id (null if it has no other row); rows with one i
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_rows, materialize, release
+from ._common import arrow_rows, fresh, materialize, release
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -44,7 +46,7 @@ WORDS, NUM, DEN = 4, 85, 100
 SLOT_BITS, PARTS = 22, 64
 MAX_BOUNDARY, SCAN_COST = 256, 2.0
 BLOCK = 512
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, PART_ROWS = 500_000, 4_000_000
 
 
 def prefix_length(n: np.ndarray | int, k: int, num: int = NUM, den: int = DEN):
@@ -78,19 +80,15 @@ def links(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both) and both > 0
 
 
-_KEY = np.array([1, 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15], np.uint64)
-
-
-def set_key(s: np.ndarray) -> int:
-    """64-bit key of a set, as a signed number."""
-    parts = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(0x9E3779B97F4A7C15))), s.sum(dtype=np.uint64), len(s)], np.uint64)
-    return int(mix((parts * _KEY).sum(keepdims=True)).view(np.int64)[0])
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """128-bit key of a set (sorted hashes), as two signed numbers: the first one meets in lists, both tell sets apart."""
+    return struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest())
 
 
 # --- pass 1: one row per document, and slot counts -----------------------------------------------------------------------
 
-FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
-FIRST_DDL = "doc_id long, n long, key long, sig binary, part int, counts binary"
+FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+FIRST_DDL = "doc_id long, n long, key long, key2 long, sig binary, part int, counts binary"
 
 
 def first_pass(docs: DataFrame, words: int) -> DataFrame:
@@ -104,11 +102,13 @@ def first_pass(docs: DataFrame, words: int) -> DataFrame:
             size = 0
 
         for b in batches:
-            ids, ns, keys, sigs = b.column(0), [], [], []
+            ids, ns, keys, more, sigs = b.column(0), [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, words)
                 ns.append(len(s))
-                keys.append(set_key(s) if len(s) else None)
+                k1, k2 = set_keys(s) if len(s) else (None, None)
+                keys.append(k1)
+                more.append(k2)
                 sigs.append(signature(s) if len(s) else None)
                 if len(s):
                     held.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
@@ -116,12 +116,12 @@ def first_pass(docs: DataFrame, words: int) -> DataFrame:
                     if size > 1 << 21:
                         add()
             none = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=FIRST)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(more, pa.int64()), pa.array(sigs, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=FIRST)
         if size:
             add()
         for k, part in enumerate(np.split(total, PARTS)):
             if part.any():
-                one = [pa.nulls(1).cast(FIRST.field(i).type) for i in range(4)]
+                one = [pa.nulls(1).cast(FIRST.field(i).type) for i in range(5)]
                 yield pa.RecordBatch.from_arrays([*one, pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=FIRST)
 
     return docs.mapInArrow(run, FIRST_DDL)
@@ -194,18 +194,18 @@ def entries(docs: DataFrame, ranks: np.ndarray, bound: int, words: int, num: int
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**SLOT_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, words)
-                if not len(s) or (key := set_key(s)) in seen:
+                if not len(s) or (key := set_keys(s)) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
                 tokens, often, rare = set_entries(s, shared.value, bound, num, den)
-                for col, v in zip(out, (tokens.view(np.int64), np.full(len(tokens), key), np.full(len(tokens), len(s), np.int32), np.full(len(tokens), rare, np.float32), often), strict=True):
+                for col, v in zip(out, (tokens.view(np.int64), np.full(len(tokens), key[0]), np.full(len(tokens), len(s), np.int32), np.full(len(tokens), rare, np.float32), often), strict=True):
                     col.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(out, ENTRY, strict=True)], schema=ENTRY)
@@ -353,15 +353,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     arrow_rows(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = materialize(first_pass(docs, words), "first")
-    rows = first.where("part is null").select("doc_id", "n", "key", "sig")
-    # a node for each distinct set; its id is its smallest doc_id
-    nodes = materialize(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "nodes", True)
+    rows = first.where("part is null").select("doc_id", "n", "key", "key2", "sig")
+    # a node for each distinct set (two sets with one key are two nodes); its id is its smallest doc_id
+    nodes = materialize(rows.where("key is not null and doc_id is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "nodes", True)
     total = rows.agg(F.sum("n")).first()[0] or 0
     sizes = {r.n: r["count"] for r in nodes.where(F.col("n") <= 2 * MAX_BOUNDARY).groupBy("n").count().collect()}  # at most 2 * MAX_BOUNDARY rows
     ranks, bound = slot_ranks(first, total), boundary(sizes, num, den)
     entry = materialize(entries(docs.where("doc_id is not null"), ranks, bound, words, num, den), "entries")
 
-    light = entry.where("not often").repartition("token").sortWithinPartitions("token", "n", "key")
+    light = entry.where("not often")
+    light = light.repartition(partitions(light), "token").sortWithinPartitions("token", "n", "key")
     scanned = materialize(scan_lists(light, num, den), "scanned", True)
     often = entry.where("often").select("token", "key", "n", "rare").distinct()
     centre = often.groupBy("token").agg(F.min(F.struct("rare", "n", "key")).alias("c"), F.count(F.lit(1)).alias("len")).where("len > 1")
@@ -383,14 +384,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     if rest.limit(1).count():
         label = components(materialize(found.unionByName(verify(rest, docs, words, num, den)), "links", True))
 
-    class_of = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("label", "id").alias("component_id"))
-    known = rows.where("key is not null").join(class_of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    class_of = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "key2", F.coalesce("label", "id").alias("component_id"))
+    known = rows.where("key is not null").join(class_of, ["key", "key2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = known.unionByName(rows.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     out = materialize(out, "components", True)
     release(first, nodes, entry, scanned, close, named, rest)
     return out
 
 
+def partitions(table: DataFrame, rows: int = PART_ROWS) -> int:
+    """Shuffle partitions for a written table: the session's number, or more where they would hold over `rows` rows each."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // rows))
+
+
 def numbered(lists: DataFrame) -> DataFrame:
     """lists (token, id, n, label, len) with place: a number from 0 below len within the list.
 
@@ -408,10 +414,11 @@ def numbered(lists: DataFrame) -> DataFrame:
     return short.unionByName(long_ones.select(*short.columns))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The rows of docs that are first (smallest doc_id) of their component, with docs' own columns; all rows without an id stay."""
-    found = jaccard_components(docs, words, num, den)
-    gone = materialize(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone", True)
+def keep_one(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are first (smallest id) of their component, with docs' own columns; all rows without an id stay."""
+    found, name = jaccard_components(docs, words, num, den, id_col, text_col), fresh(docs, "_gone")
+    gone = materialize(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone", True)
+    release(found)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)  # counted; above that many rows the join is shuffled
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -132,6 +132,27 @@ def test_join_of_a_frequent_list_of_three_with_an_oversize_centre(spark, monkeyp
     assert got == brute_components(rows, 4, 85, 100) == {1: 1, 2: 2, 3: 2}
 
 
+def test_join_on_frequent_lists_of_copied_nodes(spark):
+    """Lines that most texts share make lists frequent; large and small texts around them are centres of lists that cannot link."""
+    rng = np.random.default_rng(21)
+    lines = [[f"l{k}w{i}" for i in range(40)] for k in range(3)]
+    rows = []
+    for i in range(90):
+        w = [x for k in rng.permutation(3)[: int(rng.integers(1, 4))] for x in lines[k]] + [f"o{int(rng.integers(0, 30))}" for _ in range(int(rng.integers(0, 5)))]
+        w += w[: int(rng.integers(0, 4))] * int(rng.integers(0, 20))
+        rows += [(len(rows) + c, " ".join(w), "en", "s") for c in range(int(rng.choice([1, 1, 4])))]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(make(spark, rows)).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+
+
+def test_join_tells_sets_with_one_key_apart(spark, monkeypatch):
+    keys = ngram_join.set_keys
+    monkeypatch.setattr(ngram_join, "set_keys", lambda s: (7, keys(s)[1]))
+    rows = [(1, "a b c d e f", "en", "s"), (2, "u v w x y z", "en", "s"), (3, "A b c d e f", "en", "s")]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in ngram_join.jaccard_components(make(spark, rows)).collect()}
+    assert got == {1: (1, 3), 2: (2, 3), 3: (1, 3)}
+
+
 def test_signature_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for n in (3, 200, 3000):
@@ -171,6 +192,8 @@ def test_keep_one_keeps_columns_and_clean_rows(spark, docs):
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} >= {1, 4, 5, 8, 10, 12}
     assert 2 not in {r.doc_id for r in out.collect()}
+    clash = docs.withColumn("_gone", F.col("doc_id")).withColumn("component_id", F.lit("x"))
+    assert ngram_join.keep_one(clash, 5, 80, 100).columns == clash.columns
 
 
 # 3
