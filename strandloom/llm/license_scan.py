@@ -28,8 +28,21 @@ from ._common import arrow_rows
 # Phrases that the contract names, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Short license notices as templates, label: markup.
+# License notices, headers of source files and whole texts as templates, label: markup.
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = "this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu @ general public license as published by the free software foundation either version <<var 2>> of the license or <<opt>>at your option<</opt>> any later version"
 TEMPLATES = {
+    "full-bsd-2": f"{_BSD} {_BSD_END}",
+    "full-bsd-3": f"{_BSD} <<opt>>3<</opt>> neither the name of <<var 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}",
+    "full-isc": "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var 8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var 8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "full-mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "header-agpl": _FREE.replace("@", "affero"),
+    "header-apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<opt>>http<</opt>> <<opt>>https<</opt>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "header-cc": "this work is licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> creative commons attribution <<opt>>noncommercial<</opt>> <<opt>>sharealike<</opt>> <<opt>>noderivatives<</opt>> 4 0 international license",
+    "header-gpl": _FREE.replace("@ ", ""),
+    "header-lgpl": _FREE.replace("@", "lesser"),
+    "header-mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<opt>>http<</opt>> <<opt>>https<</opt>> mozilla org mpl 2 0",
     "notice-apache": "licensed under the <<opt>>terms of the<</opt>> apache license <<opt>>version <<var 2>><</opt>>",
     "notice-cc": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by <<opt>>nc<</opt>> <<opt>>sa<</opt>> <<opt>>nd<</opt>> 4 0",
     "notice-gpl": "this <<opt>>work<</opt>> <<opt>>program<</opt>> <<opt>>software<</opt>> is licensed under the <<opt>>terms of the<</opt>> <<opt>>gnu<</opt>> general public license <<opt>>version 3<</opt>>",
