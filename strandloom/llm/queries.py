@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, jpeg_media, language_id, license_scan, mixing, ngram_join, quality, substring_dedup, token_counts
-from ._common import count_ws_words, documents, materialize, shared_dir
+from ._common import documents, materialize, shared_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,20 +28,20 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts all documents under version words-1, deletes those with fewer than ten words, revises the counts of words-1 to
-    leave out words without a letter or digit, inserts all under version chars-1, and sends the deletes a second time."""
+    """Inserts all documents under the versions `current` and `byte_bpe_50k` with that vocabulary's counts, deletes those with fewer
+    than ten tokens from `current`, revises the other counts of `current` to those of byte_bpe_multi_50k, and sends the deletes a
+    second time."""
     import uuid
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counts = documents(spark, sf_dir).select("source", "lang", count_ws_words(text).alias("w"), F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("v"), F.length(text).cast("long").alias("c"))
-    counts = materialize(counts, "counts")
+    files = {"a": public_tokenizers.path("byte_bpe_50k.tiktoken"), "b": public_tokenizers.path(RANKS)}
+    counts = materialize(token_counts.count_tokens(documents(spark, sf_dir).select("source", "lang", "text"), files, public_tokenizers.PATTERN), "counts")
     ledger = token_counts.Ledger(spark, f"{shared_dir(spark)}/strandloom/ledger-{uuid.uuid4().hex}")
-    words = counts.withColumn("version", F.lit("words-1"))
-    short = token_counts.deletes(words.where("w < 10").withColumn("n_tokens", F.col("w")))
-    ledger.commit("insert-words", token_counts.inserts(words.withColumn("n_tokens", F.col("w"))))
+    current, own = (counts.withColumn("version", F.lit(v)).withColumn("n_tokens", F.col("a")) for v in ("current", "byte_bpe_50k"))
+    short = token_counts.deletes(current.where("a < 10"))
+    ledger.commit("insert-current", token_counts.inserts(current))
     ledger.commit("delete-short", short)
-    ledger.commit("revise-words", token_counts.revisions(words.where("w >= 10 and w <> v"), F.col("w"), F.col("v")))
-    ledger.commit("insert-chars", token_counts.inserts(counts.withColumn("version", F.lit("chars-1")).withColumn("n_tokens", F.col("c"))))
+    ledger.commit("revise-current", token_counts.revisions(current.where("a >= 10 and a <> b"), F.col("a"), F.col("b")))
+    ledger.commit("insert-byte_bpe_50k", token_counts.inserts(own))
     ledger.commit("delete-short", short)
     return token_counts.rollup(ledger.totals()).select("version", "level", "source", "lang", "n_docs", "n_tokens")
 
@@ -91,9 +92,19 @@ r AS (SELECT doc_id, doc_id AS m FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u
 SELECT n.doc_id, n.n_shingles, min(r.m) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
 """
 
+
+def _pattern(markup: str) -> str:
+    """A template as a regular expression over a text in which every word has a blank of its own on either side."""
+    part = {"<<opt>>": "(", "<</opt>>": ")?"}
+    found = re.findall(r"<<opt>>|<</opt>>|<<var \d+>>|[^\s<]+", markup)
+    return "".join(part.get(x) or (f"( [^ ]+ ){{0,{x[6:-2]}}}" if x.startswith("<<var") else f" {x} ") for x in found)
+
+
+_LONG = ",\n".join(f"  {{'k': '{k}', 'n': len(regexp_extract_all(u, '{_pattern(v)}'))}}" for k, v in license_scan.TEMPLATES.items() if k.startswith(("header-", "full-")))
+
 ORACLE["op3_license_scan"] = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
-p AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS t,
+p AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS t, array_to_string(list_transform(ws, lambda x: ' ' || x || ' '), '') AS u,
  list_filter(range(1, len(ws)), lambda i: ws[i:i + 1] = ['mit', 'license']) AS mit,
  list_filter(range(1, len(ws)), lambda i: ws[i:i + 1] = ['apache', 'license']) AS apache,
  list_filter(range(1, len(ws)), lambda i: ws[i:i + 2] = ['general', 'public', 'license']) AS gpl FROM w),
@@ -107,18 +118,12 @@ m AS (SELECT doc_id, ws, al, list_filter([CASE WHEN len(apache) > 0 THEN 'apache
   {'k': 'text-bsd', 'n': len(regexp_extract_all(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'))},
   {'k': 'text-isc', 'n': len(regexp_extract_all(t, ' permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted'))},
   {'k': 'text-mit', 'n': len(regexp_extract_all(t, ' permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction'))},
-  {'k': 'text-rights', 'n': len(regexp_extract_all(t, ' copyright (c )?([^ ]+ ){0,6}all rights reserved'))}], lambda x: x.n > 0), lambda x: x) AS tm FROM q)
+  {'k': 'text-rights', 'n': len(regexp_extract_all(t, ' copyright (c )?([^ ]+ ){0,6}all rights reserved'))},
+@LONG@], lambda x: x.n > 0), lambda x: x) AS tm FROM q)
 SELECT doc_id, len(ws)::BIGINT AS n_words, len(al)::BIGINT AS n_base, list_min(al) - 1 AS first_word, list_max(al) - 1 AS last_word, array_to_string(base, ',') AS base_labels,
  array_to_string(list_sort(list_concat(base, list_transform(tm, lambda x: x.k))), ',') AS labels, (CASE WHEN len(al) > 0 THEN 0.5 ELSE 0.0 END + CASE WHEN len(tm) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score,
  coalesce(list_sum(list_transform(tm, lambda x: x.n)), 0)::BIGINT AS n_template FROM m
-"""
-
-ORACLE["op4_token_counts"] = rf"""
-WITH c AS (SELECT source, lang, len({_WORDS})::BIGINT AS w, len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))::BIGINT AS v, length(coalesce(text, ''))::BIGINT AS c FROM documents),
-t AS (SELECT 'words-1' AS version, source, lang, count(*) AS n_docs, sum(v)::BIGINT AS n_tokens FROM c WHERE w >= 10 GROUP BY ALL UNION ALL SELECT 'chars-1', source, lang, count(*), sum(c)::BIGINT FROM c GROUP BY ALL)
-SELECT version, CASE GROUPING(source, lang) WHEN 0 THEN 'source,lang' WHEN 1 THEN 'source' WHEN 2 THEN 'lang' ELSE '' END AS level, source, lang, sum(n_docs)::BIGINT AS n_docs, sum(n_tokens)::BIGINT AS n_tokens
-FROM t GROUP BY GROUPING SETS ((version, source, lang), (version, source), (version, lang), (version))
-"""
+""".replace("@LONG@", _LONG)
 
 ORACLE["op5_exact_dedup"] = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

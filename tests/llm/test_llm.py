@@ -208,6 +208,61 @@ def test_templates(text, labels):
     assert [x[2] for x in license_scan.Scanner().scan(text)[2]] == labels
 
 
+# A license text and a header as projects print them.
+MIT = """The MIT License (MIT) Copyright (c) 2020 A Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("text, labels", [
+    (MIT, ["full-mit", "text-mit"]), (MIT.replace("publish, ", ""), ["text-mit"]), (FREE.format("", 3), ["header-gpl"]), (FREE.format("Lesser ", "2.1"), ["header-lgpl"]), (FREE.format("Affero ", 3), ["header-agpl"]),
+    ('This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.', ["header-mpl"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["header-cc"]),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', ["header-apache", "notice-apache"]),
+])
+def test_standard_texts(text, labels):
+    assert sorted(x[2] for x in license_scan.Scanner().scan("x " + text + " y")[2]) == labels
+
+
+def test_templates_accept_the_wording_that_they_spell_out():
+    """Each template with all and with none of its optional words; no text without its first or its last mandatory word."""
+    import re
+
+    for k, markup in license_scan.TEMPLATES.items():
+        accepts = license_scan.compile_template(markup).accepts
+        least = re.sub(r"<<opt>>.*?<</opt>>", "", markup)
+        for wording in (markup.replace("<<opt>>", "").replace("<</opt>>", ""), least):
+            for n in (0, 2):
+                words = re.sub(r"<<var \d+>>", " any" * n, wording).encode().split()
+                assert accepts(words, 0) == len(words), k
+                assert accepts([b"other", *words[1:]], 0) == -1
+        words = re.sub(r"<<var \d+>>", "", least).encode().split()
+        assert accepts(words[:-1], 0) == -1
+
+
+def test_automata_against_regular_expressions():
+    import re
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        parts = ["a"]
+        for _ in range(int(rng.integers(1, 6))):
+            w = "abc"[int(rng.integers(0, 3))]
+            parts.append([w, f"<<opt>>{w}<</opt>>", f"<<var {int(rng.integers(1, 3))}>>", f"<<opt>>{w} <<opt>>c<</opt>><</opt>>"][int(rng.integers(0, 4))])
+        markup = " ".join(parts)
+        words = ["abc"[i] for i in rng.integers(0, 3, 8)]
+        text = "".join(f" {w} " for w in words)
+        pattern = queries._pattern(markup)
+        for at in range(8):
+            ends = [e for e in range(at, 9) if re.fullmatch(pattern, text[3 * at : 3 * e])]
+            assert license_scan.compile_template(markup).accepts([w.encode() for w in words], at) == max(ends, default=-1)
+
+
 def test_license_columns(spark, docs, empty):
     got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
     assert (got[12].n_base, got[12].first_word, got[12].labels, got[12].score) == (1, 3, "mit,notice-mit", 1.0)
@@ -232,6 +287,64 @@ def test_ledger_is_idempotent_and_additive(spark, tmp_path):
     assert again.batches() == ["b1", "b2", "b3", "b4"] and [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 2, 9)]
 
 
+def test_ledger_after_deaths_and_with_two_writers(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", "en", "v", 5, "x")], "source string, lang string, version string, n_tokens long, n_docs string")
+    path = str(tmp_path / "ledger")
+    ledger, put = token_counts.Ledger(spark, path), token_counts.Ledger._put
+    calls = []
+
+    def dies(at):
+        def run(self, *args):
+            calls.append(args[0])
+            if len(calls) == at:
+                raise SystemExit
+            return put(self, *args)
+
+        return run
+
+    for at in (1, 2):  # after the data is written, and between commit and marker
+        calls.clear()
+        monkeypatch.setattr(token_counts.Ledger, "_put", dies(at))
+        with pytest.raises(SystemExit):
+            ledger.commit("b1", token_counts.inserts(rows))
+        monkeypatch.setattr(token_counts.Ledger, "_put", put)
+    assert not ledger.commit("b1", token_counts.inserts(rows)) and ledger.batches() == ["b1"]
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 1, 5)]
+    other = token_counts.Ledger(spark, path)
+    monkeypatch.setattr(token_counts.Ledger, "_totals", lambda self, last, f=token_counts.Ledger._totals: (self is ledger and other.commit("b2", token_counts.inserts(rows)), f(self, last))[1])
+    with pytest.raises(RuntimeError, match="another writer"):
+        ledger.commit("b3", token_counts.inserts(rows))
+    monkeypatch.undo()
+    assert ledger.commit("b3", token_counts.inserts(rows)) and ledger.batches() == ["b1", "b2", "b3"]
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 3, 15)]
+
+
+def test_counts_by_vocabularies(spark, docs, empty):
+    files = {"n": P.path("byte_bpe_50k.tiktoken"), "m": RANKS}
+    got = token_counts.count_tokens(docs, files, P.PATTERN)
+    assert got.columns == [c for c in docs.columns if c not in ("text", "n")] + ["n", "m"]
+    for k, f in files.items():
+        core = bpe.codec(f, P.PATTERN).core
+        want = sorted((r.doc_id or 0, len(core.encode_ordinary(r.text or ""))) for r in docs.collect())
+        assert sorted((r.doc_id or 0, r[k]) for r in got.collect()) == want
+    assert token_counts.count_tokens(empty, files, P.PATTERN).count() == 0
+
+
+def test_token_count_query_by_hand(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    one, two = (bpe.codec(f, P.PATTERN).core for f in (P.path("byte_bpe_50k.tiktoken"), RANKS))
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        a, b = len(one.encode_ordinary(r.text or "")), len(two.encode_ordinary(r.text or ""))
+        for version, n in (("byte_bpe_50k", a), *([("current", b)] if a >= 10 else [])):
+            for level, s, g in (("source,lang", r.source, r.lang), ("source", r.source, None), ("lang", None, r.lang), ("", None, None)):
+                x = want.setdefault((version, level, s, g), [0, 0])
+                x[0] += 1
+                x[1] += n
+    assert {(r.version, r.level, r.source, r.lang): [r.n_docs, r.n_tokens] for r in queries.op4_token_counts(spark, SF).collect()} == want
+
+
 # 5
 
 
@@ -428,6 +541,26 @@ def test_resampling_prefers_the_target(spark, docs, empty):
     assert quality.importance_resample(empty, labels).count() == 0
 
 
+def test_weights_and_draws_by_hand(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    texts = [(i, t) for i, t, *_ in ROWS]
+    raw, target = (np.bincount(np.concatenate([quality.grams(t) for i, t in own]), minlength=quality.BUCKETS) for own in (texts, [x for x in texts if x[0] in (1, 2)]))
+    p, q = (target + 1) / (target.sum() + quality.BUCKETS), (raw + 1) / (raw.sum() + quality.BUCKETS)
+    want = {(i or 0, round(float(sum(np.log(p[g] / q[g]) for g in quality.grams(t))), 6)) for i, t in texts}
+    got = quality.importance_resample(docs, labels).collect()
+    assert {(r.doc_id or 0, round(r.log_weight, 6)) for r in got} == want
+    assert sum(r.kept for r in got) == len(ROWS) * 4 // 5
+    assert min(r.key for r in got if r.kept) >= max(r.key for r in got if not r.kept)
+    mean = quality.importance_resample(docs, labels, per_gram=True).where("doc_id = 1").first().log_weight
+    assert mean == pytest.approx(next(w for i, w in want if i == 1) / len(quality.grams(BASE)), abs=1e-6)
+
+
+def test_top_k_with_many_ties(spark):
+    rows = spark.createDataFrame([(i % 7, 1.0) for i in range(300)] + [(None, 1.0), (9, 2.0)], "doc_id long, key double")
+    kept = [r.doc_id for r in quality.top_k(rows, 60).collect() if r.kept]
+    assert len(kept) == 60 and 9 in kept and None in kept and set(kept) == {None, 9, 0, 1}
+
+
 # 9
 
 
@@ -488,12 +621,42 @@ def test_language_edges(spark, docs, empty):
     assert language_id.keep_known(docs).columns == docs.columns
 
 
-def test_language_trains_every_language(spark):
+def test_language_trains_every_language(spark, monkeypatch):
     rows = [(3 * i + k, f"text {i} {k}", f"l{i:02}", "s") for i in range(80) for k in range(3)] + [(1000, "...", "none", "s")]
+    monkeypatch.setattr(language_id, "TRAIN_ROWS", 100)
     got = [r.lang for r in language_id.training_rows(make(spark, rows), F.lit(True), 2).collect()]
     assert sorted(got) == [f"l{i:02}" for i in range(80)]
 
 
+def test_language_machines_for_a_hundred_languages():
+    rng = np.random.default_rng(6)
+    x = rng.random((200, language_id.DIM), np.float32)
+    x[np.arange(200), np.arange(200) // 2 * 7] += 60
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    langs = np.array([f"l{i // 2:03}" for i in range(200)], dtype=object)
+    found, score = language_id.Model(x, langs).predict(x.astype(np.float64))
+    assert found == langs.tolist() and (score > 0.5).all()
+
+
+def test_language_filter_uses_the_prediction(spark):
+    """Two languages by their letters: mislabelled and unlabelled rows get the predicted language, texts of other letters go; without
+    any label all rows with a letter stay as they are."""
+    rng = np.random.default_rng(7)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(60))
+    rows = [(i, text("abcdef" if i % 2 else "uvwxyz"), "aa" if i % 2 else "uu", "s") for i in range(900)]
+    wrong = next(i for i in range(1001, 1500) if zlib.crc32(str(i).encode()) % 4 == 2)  # not trained on
+    rows += [(wrong, text("abcdef"), "uu", "s"), (1503, text("abcdef"), None, "s"), (2000, "0 1 2", "aa", "s"), (2001, None, "aa", "s")]
+    docs = make(spark, rows)
+    got = {r.doc_id: r.lang for r in language_id.keep_known(docs).collect()}
+    assert got == {i: "aa" if i % 2 or i == wrong else "uu" for i, *_ in rows if i < 2000}
+    model, bound = language_id.fit(docs, F.lit(True), calibrate=language_id.CALIBRATE)
+    assert 0.25 < bound < 0.5
+    odd = make(spark, [(1, "q", None, "s")])
+    assert language_id.keep_predicted(odd, model, 0.9).count() == 0
+    bare = language_id.keep_known(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.doc_id for r in bare} == {i for i, *_ in rows if i < 2000} and {r.lang for r in bare} == {None}
+
+
 # the pipeline
 
 
