@@ -330,7 +330,7 @@ def representative_transcript(spark, d):
     return hierarchy.representative(view(spark, d, "feature"))
 
 
-@query(FT + ", b AS (SELECT id, parent FROM (SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY (canonical = '1') DESC, stop - start DESC, row) AS k FROM feature WHERE type = 'mRNA') x WHERE k = 1) SELECT id, parent, type, start, stop FROM feature WHERE id IN (SELECT id FROM b) OR id IN (SELECT parent FROM b) OR parent IN (SELECT id FROM b)")
+@query(FT + ", b AS MATERIALIZED (SELECT id, parent FROM (SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY (canonical = '1') DESC, stop - start DESC, row) AS k FROM feature WHERE type = 'mRNA') x WHERE k = 1), k AS MATERIALIZED (SELECT id FROM b UNION SELECT parent FROM b) SELECT f.id, f.parent, type, start, stop FROM feature f JOIN k ON k.id = f.id UNION ALL SELECT f.id, f.parent, type, start, stop FROM feature f JOIN b ON b.id = f.parent WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.id = f.id)")
 def annotated_or_longest(spark, d):
     return hierarchy.keep_representative(view(spark, d, "feature"), "annotated_or_longest").select("id", "parent", "type", "start", "stop")
 
@@ -340,8 +340,8 @@ def longest_transcript(spark, d):
     return hierarchy.longest_transcript(view(spark, d, "feature"))
 
 
-_SHORT = ", kept AS (SELECT * FROM feature WHERE NOT (type IN ('CDS', 'five_prime_UTR') AND stop - start < 15))"
-_BOUND = ", mm AS (SELECT m.id, m.parent, coalesce(min(p.start), any_value(m.start)) AS s, coalesce(max(p.stop), any_value(m.stop)) AS e FROM kept m LEFT JOIN kept p ON p.parent = m.id WHERE m.type = 'mRNA' GROUP BY m.id, m.parent), gg AS (SELECT parent AS id, min(s) AS s, max(e) AS e FROM mm GROUP BY parent), bound AS (SELECT k.id, k.parent, k.type, k.seq, k.strand, k.canonical, k.row, coalesce(mm.s, gg.s, k.start) AS start, coalesce(mm.e, gg.e, k.stop) AS stop FROM kept k LEFT JOIN mm ON mm.id = k.id LEFT JOIN gg ON gg.id = k.id)"
+_SHORT = ", kept AS MATERIALIZED (SELECT * FROM feature WHERE NOT (type IN ('CDS', 'five_prime_UTR') AND stop - start < 15))"
+_BOUND = ", mm AS MATERIALIZED (SELECT m.id, m.parent, coalesce(min(p.start), any_value(m.start)) AS s, coalesce(max(p.stop), any_value(m.stop)) AS e FROM kept m LEFT JOIN kept p ON p.parent = m.id WHERE m.type = 'mRNA' GROUP BY m.id, m.parent), gg AS MATERIALIZED (SELECT parent AS id, min(s) AS s, max(e) AS e FROM mm GROUP BY parent), bound AS MATERIALIZED (SELECT k.id, k.parent, k.type, k.seq, k.strand, k.canonical, k.row, coalesce(mm.s, gg.s, k.start) AS start, coalesce(mm.e, gg.e, k.stop) AS stop FROM kept k LEFT JOIN mm ON mm.id = k.id LEFT JOIN gg ON gg.id = k.id)"
 
 
 @query(FT + _SHORT + _BOUND + " SELECT id, parent, type, start, stop FROM bound")
@@ -349,7 +349,7 @@ def propagate_bounds(spark, d):
     return filters.min_feature_length(view(spark, d, "feature"), ["CDS", "five_prime_UTR"], 15).select("id", "parent", "type", "start", "stop")
 
 
-_VALID = ", okm AS (SELECT m.id, m.parent FROM {t} m WHERE m.type = 'mRNA' AND EXISTS (SELECT 1 FROM {t} p WHERE p.parent = m.id AND p.type = 'CDS')), okg AS (SELECT g.id FROM {t} g WHERE g.type = 'gene' AND EXISTS (SELECT 1 FROM okm WHERE okm.parent = g.id)), valid AS (SELECT * FROM {t} WHERE id IN (SELECT id FROM okg) OR (type = 'mRNA' AND id IN (SELECT okm.id FROM okm JOIN okg ON okm.parent = okg.id)) OR parent IN (SELECT okm.id FROM okm JOIN okg ON okm.parent = okg.id))"
+_VALID = ", withc AS MATERIALIZED (SELECT DISTINCT parent AS id FROM {t} WHERE type = 'CDS'), okm AS MATERIALIZED (SELECT m.id, m.parent FROM {t} m JOIN withc c ON c.id = m.id WHERE m.type = 'mRNA'), okg AS MATERIALIZED (SELECT g.id FROM {t} g WHERE g.type = 'gene' AND EXISTS (SELECT 1 FROM okm WHERE okm.parent = g.id)), okt AS MATERIALIZED (SELECT okm.id FROM okm JOIN okg ON okm.parent = okg.id), valid AS (SELECT f.* FROM {t} f JOIN okg ON okg.id = f.id UNION ALL SELECT f.* FROM {t} f JOIN okt ON okt.id = f.id WHERE f.type = 'mRNA' UNION ALL SELECT f.* FROM {t} f JOIN okt ON okt.id = f.parent)"
 
 
 @query(FT + _VALID.format(t="feature") + " SELECT id, parent, type, start, stop FROM valid")
@@ -357,7 +357,7 @@ def valid_genes(spark, d):
     return filters.valid_genes(view(spark, d, "feature")).select("id", "parent", "type", "start", "stop")
 
 
-@query(FT + _SHORT + _BOUND + ", lg AS (SELECT * FROM bound b WHERE (type = 'gene' AND stop - start >= 60) OR (type = 'mRNA' AND parent IN (SELECT id FROM bound WHERE type = 'gene' AND stop - start >= 60)) OR parent IN (SELECT id FROM bound WHERE type = 'mRNA' AND parent IN (SELECT id FROM bound WHERE type = 'gene' AND stop - start >= 60)))" + _VALID.format(t="lg") + " SELECT id, parent, type, start, stop FROM valid")
+@query(FT + _SHORT + _BOUND + ", lgg AS MATERIALIZED (SELECT * FROM bound WHERE type = 'gene' AND stop - start >= 60), lgm AS MATERIALIZED (SELECT m.* FROM bound m JOIN lgg g ON g.id = m.parent WHERE m.type = 'mRNA'), lg AS MATERIALIZED (SELECT * FROM lgg UNION ALL SELECT * FROM lgm UNION ALL SELECT p.* FROM bound p JOIN lgm m ON m.id = p.parent)" + _VALID.format(t="lg") + " SELECT id, parent, type, start, stop FROM valid")
 def prediction_filters(spark, d):
     return filters.filter_predictions(view(spark, d, "feature"), ["CDS", "five_prime_UTR"], 15, 60).select("id", "parent", "type", "start", "stop")
 
@@ -418,8 +418,9 @@ def cds_phase(spark, d):
     return hierarchy.cds_phase(view(spark, d, "feature").where("type = 'CDS'")).select("id", "parent", "strand", "start", "stop", "phase")
 
 
-_GROUP = """, t AS (SELECT seq, strand, start, stop, row_number() OVER (PARTITION BY seq ORDER BY start, stop, strand) AS gene FROM (SELECT seq, strand, start, stop FROM feature WHERE type = 'mRNA' AND stop - start >= 30) x),
-gp AS (SELECT t.seq, t.strand, t.gene, p.type AS entity, p.start, p.stop FROM t JOIN feature p ON p.seq = t.seq AND p.strand = t.strand AND p.type NOT IN ('gene', 'mRNA') AND p.start >= t.start AND p.stop <= t.stop)"""
+_GROUP = """, t AS MATERIALIZED (SELECT seq, strand, start, stop, row_number() OVER (PARTITION BY seq ORDER BY start, stop, strand) AS gene FROM (SELECT seq, strand, start, stop FROM feature WHERE type = 'mRNA' AND stop - start >= 30) x),
+gb AS MATERIALIZED (SELECT *, unnest(range(start // 256, (stop - 1) // 256 + 1)) AS bin FROM t), fb AS MATERIALIZED (SELECT *, start // 256 AS bin FROM feature WHERE type NOT IN ('gene', 'mRNA')),
+gp AS MATERIALIZED (SELECT t.seq, t.strand, t.gene, p.type AS entity, p.start, p.stop FROM gb t JOIN fb p ON p.seq = t.seq AND p.strand = t.strand AND p.bin = t.bin AND p.start >= t.start AND p.stop <= t.stop)"""
 
 
 def _decoded(spark, d):

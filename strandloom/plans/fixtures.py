@@ -60,4 +60,4 @@ def ctes(*names: str) -> str:
     for n in names:
         for k in (*NEEDS.get(n, ()), n):
             out[k] = DNA["duck"] if k == "dna" else SQL[k]
-    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in out.items())
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in out.items())
