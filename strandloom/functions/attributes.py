@@ -60,12 +60,14 @@ def chromosome_number(name: Column) -> Column:
 
 
 def merged_key(chrom: Column, genes: Column, strand: Column) -> Column:
-    return F.concat_ws(" ~ ", chrom, F.array_join(genes, " | "), strand)
+    """chrom~gene|gene~strand."""
+    return F.concat_ws("~", chrom, F.array_join(genes, "|"), strand)
 
 
 def split_merged_key(key: Column) -> Column:
-    p = F.split(key, " ~ ")
-    return F.struct(p[0].alias("chrom"), F.split(p[1], r" \| ").alias("genes"), p[2].alias("strand"))
+    """chrom, genes and strand of a key; null if it has not three parts."""
+    p = F.split(key, "~")
+    return F.when(F.size(p) == 3, F.struct(F.get(p, F.lit(0)).alias("chrom"), F.split(F.get(p, F.lit(1)), r"\|").alias("genes"), F.get(p, F.lit(2)).alias("strand")))
 
 
 def gene_of(transcript: Column, known: Column) -> Column:

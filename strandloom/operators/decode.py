@@ -2,13 +2,17 @@
 
 A block's max-plus product (states x states) says how well each state before the block leads to each state at its end. The
 products of a sequence's blocks are combined in order, which fixes the state at every block's end, and each block is then
-traced back on its own between its two fixed states. Near ties can differ from a single pass, as float sums associate otherwise.
+traced back on its own between its two fixed states. A block is one row, and all blocks of an Arrow batch take each step together.
+Near ties can differ from a single pass, as float sums associate otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ from .tables import written
 
 EPS = float(np.finfo(float).eps)
 STATES = ("intergenic", "intron", "five_prime_utr", "cds", "three_prime_utr")
-BLOCK = 100_000
+BLOCK, BATCH_BYTES = 1024, "16m"
 
 # Transition priors between STATES, by domain and by whether incomplete transcripts were removed from training.
 PRIORS = {
@@ -106,28 +110,87 @@ def _trace(e: np.ndarray, trans: np.ndarray, score: np.ndarray, last: int | None
     return path
 
 
-def _product(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best log score from each state before the block to each state at its end."""
-    p = np.where(np.eye(len(trans), dtype=bool), 0.0, -np.inf)
-    for row in e:
-        p = (p[:, :, None] + trans[None]).max(axis=1) + row
-    return p
+def _padded(flat: np.ndarray, length: np.ndarray, n: int, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, how many blocks are at least t + 1 long for each t, log emissions [t, block, state]) of blocks sorted from the longest on."""
+    order = np.argsort(-length, kind="stable")
+    size = length[order]
+    begin = (np.cumsum(length) - length)[order]
+    at = np.minimum(np.arange(size[0])[:, None], size[None] - 1) + begin[None]
+    return order, np.searchsorted(-size, -np.arange(size[0]), "left"), np.log(flat.reshape(-1, n)[at] + eps)
+
+
+def products(flat: np.ndarray, length: np.ndarray, head: np.ndarray, trans: np.ndarray, first: np.ndarray, eps: float = EPS) -> np.ndarray:
+    """[block, state before, state at the end]: best log scores through many blocks at once. A head block has no place before it: its
+    first place takes the initial scores, on the diagonal."""
+    n = len(trans)
+    order, live, e = _padded(flat, length, n, eps)
+    start = np.where(np.eye(n, dtype=bool), first[:, None], -np.inf)
+    p = np.where(head[order][:, None, None], start, trans) + e[0][:, None, :]
+    for t in range(1, len(e)):
+        k = live[t]
+        own = p[:k]
+        best = own[:, :, 0, None] + trans[0]
+        for i in range(1, n):
+            np.maximum(best, own[:, :, i, None] + trans[i], out=best)
+        p[:k] = best + e[t, :k, None, :]
+    out = np.empty_like(p)
+    out[order] = p
+    return out
+
+
+def traces(flat: np.ndarray, length: np.ndarray, state_in: np.ndarray, state_out: np.ndarray, trans: np.ndarray, first: np.ndarray, eps: float = EPS) -> np.ndarray:
+    """States of all places of many blocks, one after the other, each between its two fixed states (state_in -1: none before)."""
+    n = len(trans)
+    order, live, e = _padded(flat, length, n, eps)
+    came, out = state_in[order], state_out[order]
+    score = np.where((came < 0)[:, None], first, trans[came]) + e[0]
+    back = np.zeros((len(e), len(order), n), np.int8)
+    for t in range(1, len(e)):
+        k = live[t]
+        best, arg = score[:k, 0, None] + trans[0], np.zeros((k, n), np.int8)
+        for i in range(1, n):
+            step = score[:k, i, None] + trans[i]
+            better = step > best
+            arg[better] = i
+            np.maximum(best, step, out=best)
+        back[t, :k] = arg
+        score[:k] = best + e[t, :k]
+    path = np.zeros((len(order), len(e)), np.int8)
+    now = out.copy()
+    for t in range(len(e) - 1, -1, -1):
+        k = live[t]
+        path[:k, t] = now[:k]
+        if t:
+            now[:k] = back[t, np.arange(k), now[:k]]
+    whole = np.empty_like(path)
+    whole[order] = path
+    return whole[np.arange(len(e))[None] < length[:, None]].astype(np.int64)
 
 
 def viterbi_paths(df: DataFrame, keys: list[str], matrix: np.ndarray, initial: np.ndarray | None = None, alpha: float | None = None, probs: str = "probs", pos: str = "pos", block: int = BLOCK, eps: float = EPS) -> DataFrame:
-    """(keys, pos, state) for rows (keys, pos from 0, probs array)."""
+    """(keys, pos, state) for rows (keys, pos from 0, probs array). A block is one row, and a task works on many of them at once."""
     n = len(matrix)
     m, start = checked(matrix if alpha is None else regularised(matrix, alpha), initial, n)
     trans, first = np.log(m + eps), np.log(start + eps)
-    rows = df.select(*keys, F.col(pos).cast("long").alias("pos"), F.col(probs).cast("array<double>").alias("probs")).withColumn("block", F.expr(f"pos div {block}"))
-    rows = written(rows, "emissions")
+    rows = df.select(*keys, F.col(pos).cast("long").alias("pos"), F.col(probs).cast("array<double>").alias("probs"))
     key_ddl = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys)
-    emissions = lambda pdf: np.log(np.stack(pdf.sort_values("pos")["probs"].to_numpy()) + eps)
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[[*keys, "block"]].head(1).copy()
-        out["m"] = [_product(emissions(pdf), trans).ravel().tolist()]
-        return out
+    place = F.array_sort(F.collect_list(F.struct("pos", "probs")))  # at most `block` places
+    packed = rows.groupBy(*keys, F.expr(f"pos div {block}").alias("block")).agg(place.alias("x"))
+    packed = written(packed.select(*keys, "block", F.col("x.pos").alias("pos"), F.flatten("x.probs").alias("flat")), "emissions")
+    width = len(keys)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def arrays(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        col = b.column(name)
+        return col.flatten().to_numpy(), col.value_lengths().to_numpy().astype(np.int64)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat, size = arrays(b, "flat")
+                p = products(flat, size // n, b.column("block").to_numpy() == 0, trans, first, eps)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * n * n, pa.int32()), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: width + 1], lists], names=[*keys, "block", "m"])
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block").reset_index(drop=True)
@@ -149,33 +212,20 @@ def viterbi_paths(df: DataFrame, keys: list[str], matrix: np.ndarray, initial: n
         pdf["state_out"], pdf["state_in"] = out, np.concatenate([[-1], out[:-1]])
         return pdf[[*keys, "block", "state_in", "state_out"]]
 
-    def head(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Product of a first block: only its first place has no transition before it."""
-        e = emissions(pdf)
-        p = np.full((n, n), -np.inf)
-        np.fill_diagonal(p, first + e[0])
-        for row in e[1:]:
-            p = (p[:, :, None] + trans[None]).max(axis=1) + row
-        out = pdf[[*keys, "block"]].head(1).copy()
-        out["m"] = [p.ravel().tolist()]
-        return out
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        e, a, z = emissions(pdf), int(pdf["state_in"][0]), int(pdf["state_out"][0])
-        if a < 0:
-            path = _trace(e[1:], trans, first + e[0], z)
-        else:
-            score = np.full(n, -np.inf)
-            score[a] = 0.0
-            path = _trace(e, trans, score, z)[1:]
-        pdf["state"] = path
-        return pdf[[*keys, "pos", "state"]]
-
-    ddl = f"{key_ddl}, block long, m array<double>"
-    products = rows.where("block = 0").groupBy(*keys, "block").applyInPandas(head, ddl).unionByName(rows.where("block > 0").groupBy(*keys, "block").applyInPandas(product, ddl))
-    ends = written(products.groupBy(*keys).applyInPandas(combine, f"{key_ddl}, block long, state_in long, state_out long"), "block-ends")
-    return rows.join(ends, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(trace, f"{key_ddl}, pos long, state long")
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat, size = arrays(b, "flat")
+                path = traces(flat, size // n, b.column("state_in").to_numpy(), b.column("state_out").to_numpy(), trans, first, eps)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(size // n)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], b.column("pos"), pa.ListArray.from_arrays(offsets, pa.array(path))], names=[*keys, "pos", "state"])
+
+    made = packed.select(*keys, "block", "flat").mapInArrow(product, f"{key_ddl}, block long, m array<double>")
+    # a row of states x states numbers for each block of a sequence
+    ends = written(made.groupBy(*keys).applyInPandas(combine, f"{key_ddl}, block long, state_in long, state_out long"), "block-ends")
+    both = packed.join(ends, [*keys, "block"]).select(*keys, "pos", "flat", "state_in", "state_out")
+    paths = both.mapInArrow(trace, f"{key_ddl}, pos array<long>, state array<long>")
+    return paths.select(*keys, F.inline(F.arrays_zip("pos", "state")))
 
 
 def direct_path(probs: Column) -> Column:

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import interval_sets, introns, transcript_exons
-from .intervals import merge, overlap_bases, overlap_join
+from .hierarchy import interval_sets, introns, longest_transcript, transcript_exons
+from .intervals import clusters, merge, overlap_bases, overlap_join
+from .tables import written
+
+
+MOTIF_BLOCK = 1 << 13
+TREE = ("id", "parent", "type", "seq", "strand", "start", "stop", "row")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -72,8 +77,10 @@ def locus_counts(pred: DataFrame, true: DataFrame) -> DataFrame:
 
 
 def structure_counts(pred: DataFrame, true: DataFrame) -> DataFrame:
-    """Base (without strand), exon, intron and intron-chain counts over exons rebuilt from parts."""
-    pe, te = transcript_exons(pred), transcript_exons(true)
+    """Base (without strand), exon, intron, intron-chain and multi-exon locus counts over exons rebuilt from parts.
+
+    A multi-exon locus is a gene with an intron; a predicted one is right if one of its intron chains is a true transcript's."""
+    pe, te = written(transcript_exons(pred), "exons"), written(transcript_exons(true), "exons")
     place = ["seq", "strand", "start", "stop"]
     bases = lambda x: merge(x.select("seq", "start", "stop"), ("seq",))
     pb, tb = bases(pe), bases(te)
@@ -82,18 +89,27 @@ def structure_counts(pred: DataFrame, true: DataFrame) -> DataFrame:
     base = shared.join(total(pb, "np"), "k").join(total(tb, "nt"), "k").select(F.lit("base").alias("level"), "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
     pi, ti = introns(pe), introns(te)
     chain = lambda x: x.groupBy("parent", "seq", "strand").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("chain"))  # noqa: E731  one transcript's introns
-    return prf(base.unionByName(set_counts(pe, te, place, "exon")).unionByName(set_counts(pi, ti, place, "intron")).unionByName(set_counts(chain(pi), chain(ti), ["seq", "strand", "chain"], "intron_chain")))
+    gene = lambda d: d.where("type = 'mRNA'").select(F.col("id").alias("parent"), F.col("parent").alias("gene"))
+    pc, tc = written(chain(pi).join(gene(pred), "parent"), "chains"), written(chain(ti).join(gene(true), "parent"), "chains")
+    keys = ["seq", "strand", "chain"]
+    count = lambda x, n: x.agg(F.count_distinct("gene").alias(n)).withColumn("k", F.lit(1))
+    loci = count(pc.join(tc.select(*keys).distinct(), keys, "left_semi"), "tp").join(count(pc, "np"), "k").join(count(tc, "nt"), "k")
+    loci = loci.select(F.lit("multi_exon_locus").alias("level"), "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
+    return prf(base.unionByName(loci).unionByName(set_counts(pe, te, place, "exon")).unionByName(set_counts(pi, ti, place, "intron")).unionByName(set_counts(pc, tc, keys, "intron_chain")))
 
 
 def transcript_levels(pred: DataFrame, true: DataFrame, tolerance: int = 0) -> DataFrame:
     """Gene-pair evaluation: pairs of overlapping genes of one strand are compared through all pairs of their transcripts.
 
     A gene counts as found at a level if any of its transcripts agrees with any of a partner's: transcript_cds (equal CDS),
-    transcript_intron (introns equal too), transcript (and both ends within the tolerance). Genes without a partner are false."""
+    transcript_intron (introns equal too), transcript (and both ends within the tolerance). Genes without a partner are false.
+    The other eight levels are those of interval_levels()."""
+    pred, true = (written(d.select(*TREE), "tree") for d in (pred, true))  # read for every level
+    p_sets, t_sets = written(interval_sets(pred), "sets"), written(interval_sets(true), "sets")
     span = lambda d: d.where("type = 'gene'").select("id", "seq", "strand", "start", "stop")
     pairs = overlap_join(span(pred), span(true)).select(F.col("id").alias("pg"), F.col("r_id").alias("tg"))
-    sets = lambda d, g, x: d.where("type = 'mRNA'").select(F.col("id").alias("parent"), F.col("parent").alias(g)).join(interval_sets(d), "parent").select(g, *(F.col(c).alias(f"{x}_{c}") for c in ("cds", "exon", "intron")))
-    x = pairs.join(sets(pred, "pg", "p"), "pg").join(sets(true, "tg", "t"), "tg")
+    sets = lambda d, s, g, x: d.where("type = 'mRNA'").select(F.col("id").alias("parent"), F.col("parent").alias(g)).join(s, "parent").select(g, *(F.col(c).alias(f"{x}_{c}") for c in ("cds", "exon", "intron")))
+    x = pairs.join(sets(pred, p_sets, "pg", "p"), "pg").join(sets(true, t_sets, "tg", "t"), "tg")
     same = lambda c: F.col(f"p_{c}") == F.col(f"t_{c}")
     end = lambda k, f: F.abs(F.element_at("p_exon", k)[f] - F.element_at("t_exon", k)[f]) <= tolerance  # noqa: E731  exons are sorted and disjoint
     levels = {"transcript_cds": same("cds"), "transcript_intron": same("cds") & same("intron"), "transcript": same("cds") & same("intron") & end(1, "start") & end(-1, "stop")}
@@ -104,7 +120,36 @@ def transcript_levels(pred: DataFrame, true: DataFrame, tolerance: int = 0) -> D
     p, t = found("pg").withColumn("k", F.lit(1)), found("tg").select(*(F.col(k).alias(f"t_{k}") for k in levels)).withColumn("k", F.lit(1))
     one = p.join(t, "k").join(n(pred, "np"), "k").join(n(true, "nt"), "k")
     rows = F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).cast("long").alias("tp"), (F.col("np") - F.col(k)).cast("long").alias("fp"), (F.col("nt") - F.col(f"t_{k}")).cast("long").alias("fn")) for k in levels))
-    return prf(one.select(F.inline(rows)))
+    return prf(one.select(F.inline(rows)).unionByName(interval_levels(pred, true, p_sets, t_sets)))
+
+
+def interval_levels(pred: DataFrame, true: DataFrame, p_sets: DataFrame, t_sets: DataFrame) -> DataFrame:
+    """(level, tp, fp, fn) of the intervals exon_cds, exon, intron_cds and intron of genes that overlap across both sides, and of each
+    gene's longest transcript alone (level_longest).
+
+    Within a cluster of overlapping genes an interval counts once for each side, those of longest transcripts once for each
+    transcript, sets being interval_sets() of either side; genes without a partner count every transcript's intervals as false. One tagged aggregation gives all levels."""
+    of = {"exon_cds": "cds", "exon": "exon", "intron_cds": "intron_cds", "intron": "intron"}
+    span = lambda d: d.where("type = 'gene'").select("id", "seq", "strand", "start", "stop")
+    group = written(clusters(span(pred), span(true)), "gene-clusters")
+    met = group.groupBy("cluster").agg((F.count_distinct("side") == 2).alias("met"))
+
+    def rows(d: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+        m = d.where("type = 'mRNA'").select(F.col("id").alias("parent"), F.col("parent").alias("gene"))
+        x = m.join(sets, "parent").join(longest_transcript(d).select(F.col("transcript").alias("parent"), F.lit(True).alias("best")), "parent", "left")
+        named = lambda k: lambda v: F.struct(F.lit(k).alias("level"), v["start"].alias("start"), v["stop"].alias("stop"))
+        items = F.concat(*(F.transform(F.col(c), named(k)) for k, c in of.items()))
+        return x.select(F.lit(side).alias("side"), F.col("gene").cast("string").alias("id"), "best", F.inline(items))
+
+    x = rows(pred, p_sets, "pred").unionByName(rows(true, t_sets, "true")).join(group, ["side", "id"]).join(met, "cluster")
+    tags = F.array_compact(F.array(F.struct("level", F.col("met").alias("once")), F.when(F.col("best"), F.struct(F.concat("level", F.lit("_longest")).alias("level"), F.lit(False).alias("once")))))
+    x = x.select("side", "cluster", "start", "stop", F.inline(tags))
+    n = lambda side: F.when(F.first("once"), F.max((F.col("side") == side).cast("long"))).otherwise(F.sum((F.col("side") == side).cast("long")))
+    x = x.groupBy("level", "cluster", "start", "stop").agg(n("pred").alias("p"), n("true").alias("t"))
+    some = lambda c, of_: F.coalesce(F.sum(F.when(c, F.col(of_))), F.lit(0)).cast("long")
+    x = x.groupBy("level").agg(some(F.col("t") > 0, "p").alias("tp"), some(F.col("t") == 0, "p").alias("fp"), some(F.col("p") == 0, "t").alias("fn"))
+    every = pred.sparkSession.createDataFrame([(k + end,) for k in of for end in ("", "_longest")], "level string")
+    return every.join(x, "level", "left").fillna(0, ["tp", "fp", "fn"]).select("level", "tp", "fp", "fn")
 
 
 def sites(df: DataFrame) -> DataFrame:
@@ -126,11 +171,16 @@ def site_counts(pred: DataFrame, true: DataFrame) -> DataFrame:
 
 
 def splice_motifs(introns_: DataFrame, sequence: DataFrame) -> DataFrame:
-    """(motif, n, percent) of introns (seq, strand, start, stop) on sequence(seq, dna); lower-case bases count as upper-case."""
+    """(motif, n, percent) of introns (seq, strand, start, stop) on sequence(seq, dna); lower-case bases count as upper-case.
+
+    The two bases at either end come from blocks of the sequence, so no row holds a whole one. Introns that run over its end are left out."""
     from ..functions.dna import reverse_complement
+    from ..sources.fasta import bases_at, blocks
 
-    x = introns_.join(sequence, "seq").where((F.col("stop") - F.col("start") >= 4) & (F.col("stop") <= F.length("dna")))
-    left, right = F.upper(F.expr("substring(dna, cast(start + 1 as int), 2)")), F.upper(F.expr("substring(dna, cast(stop - 1 as int), 2)"))
+    pieces = written(blocks(sequence, MOTIF_BLOCK, 1), "blocks")
+    x = introns_.where(F.col("stop") - F.col("start") >= 4).select("seq", "strand", "start", "stop")
+    x = bases_at(bases_at(x, pieces, F.col("start"), 2, "_left", MOTIF_BLOCK), pieces, F.col("stop") - 2, 2, "_right", MOTIF_BLOCK).where(F.length("_right") == 2)
+    left, right = F.upper("_left"), F.upper("_right")
     pair = F.when(F.col("strand") == "-", F.concat_ws("-", reverse_complement(right), reverse_complement(left))).otherwise(F.concat_ws("-", left, right))
     x = x.select(F.when(pair.isin("GT-AG", "GC-AG"), pair).otherwise("other").alias("motif")).groupBy("motif").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window

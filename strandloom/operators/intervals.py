@@ -127,15 +127,26 @@ def pad(start: Column, stop: Column, margin: int, length: Column) -> tuple[Colum
     return a, b, start - a, stop - a
 
 
-def clusters(pred: DataFrame, true: DataFrame, keys=KEYS, rounds: int = 40) -> DataFrame:
+def clusters(pred: DataFrame, true: DataFrame, keys=KEYS) -> DataFrame:
     """Connected components of overlaps between predicted and true intervals (columns id, start, stop and keys each).
 
     Returns (side, id, cluster) where side is "pred" or "true" and cluster is the smallest member, as side and id joined by
-    a colon. Intervals without a partner are clusters of their own."""
-    from .graph import components
-
-    pairs = overlap_join(pred, true, keys).select(F.concat(F.lit("pred:"), F.col("id").cast("string")).alias("a"), F.concat(F.lit("true:"), F.col("r_id").cast("string")).alias("b"))
-    label = components(pairs, rounds)
-    every = pred.select(F.lit("pred").alias("side"), F.col("id").cast("string").alias("id")).unionByName(true.select(F.lit("true").alias("side"), F.col("id").cast("string").alias("id")))
-    every = every.withColumn("node", F.concat_ws(":", "side", "id"))
-    return every.join(label, "node", "left").select("side", "id", F.coalesce("label", "node").alias("cluster"))
+    a colon. Intervals without a partner are clusters of their own.
+
+    One sweep by start: at a join, an interval that starts while one of the other side is open, all open intervals are of one
+    component. Two joins in a row are of one if an interval that was open at the first still is at the second, and an interval that
+    is no join itself belongs to the next join if it is open there."""
+    cols = [*keys, "start", "stop", F.col("id").cast("string").alias("id")]
+    x = pred.select(F.lit("pred").alias("side"), *cols).unionByName(true.select(F.lit("true").alias("side"), *cols))
+    w = Window.partitionBy(*keys).orderBy("start", "stop", "side", "id")
+    before, upto, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("stop"))).over(before)
+    x = x.withColumn("_open", F.when(F.col("side") == "pred", of("true")).otherwise(of("pred"))).withColumn("_reach", F.max("stop").over(upto))
+    x = x.withColumn("_join", F.coalesce(F.col("_open") > F.col("start"), F.lit(False)))
+    x = x.withColumn("_held", F.last(F.when(F.col("_join"), F.col("_reach")), True).over(before))
+    x = x.withColumn("_new", (F.col("_join") & F.coalesce(F.col("_held") <= F.col("start"), F.lit(True))).cast("int")).withColumn("_part", F.sum("_new").over(upto))
+    x = x.withColumn("_next", F.first(F.when(F.col("_join"), F.struct("start", "_part")), True).over(after))
+    part = F.when(F.col("_join"), F.col("_part")).when(F.col("_next.start") < F.col("stop"), F.col("_next._part"))
+    x = x.select(*keys, "side", "id", part.alias("_part"), F.concat_ws(":", "side", "id").alias("node"))
+    least = x.where("_part is not null").groupBy(*keys, "_part").agg(F.min("node").alias("cluster"))
+    return x.join(least, [*keys, "_part"], "left").select("side", "id", F.coalesce("cluster", "node").alias("cluster"))

@@ -90,10 +90,10 @@ def candidates(genes: DataFrame) -> DataFrame:
 
 
 def apply_merges(df: DataFrame, merges: DataFrame, keep_unmerged: bool = True) -> DataFrame:
-    """A feature tree in which each accepted chain (members, two or more) is one gene concat_<first> with one mRNA and all parts.
+    """A feature tree in which each accepted chain (members, two or more) is one gene concat_<members joined by _> with one mRNA and all parts.
 
     A gene in several chains goes to the one with most members, then to the one whose first member comes first by name."""
-    m = merges.where(F.size("members") > 1).select(F.concat(F.lit("concat_"), F.element_at("members", 1)).alias("new"), "members")
+    m = merges.where(F.size("members") > 1).select(F.concat(F.lit("concat_"), F.array_join("members", "_")).alias("new"), "members")
     each = m.select("new", F.size("members").alias("n"), F.explode("members").alias("gene"))
     each = each.withColumn("_k", F.row_number().over(Window.partitionBy("gene").orderBy(F.desc("n"), "new"))).where("_k = 1")
     full = each.groupBy("new", "n").agg(F.count(F.lit(1)).alias("have")).where("have = n").select("new")

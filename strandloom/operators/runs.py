@@ -5,23 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1 << 18  # positions of one sequence that a task sorts
 
-def runs(df: DataFrame, keys: list[str], label: str = "label", pos: str = "pos") -> DataFrame:
-    """Maximal runs of equal labels: keys, label, start, stop (half-open)."""
-    w = Window.partitionBy(*keys).orderBy(pos)
-    new = F.coalesce((~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("int"), F.lit(1))
-    new = F.when(F.lag(pos).over(w).isNull() | (F.lag(pos).over(w) + 1 < F.col(pos)), 1).otherwise(new)
-    x = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy(*keys, "_run").agg(F.first(label).alias(label), F.min(pos).alias("start"), (F.max(pos) + 1).alias("stop")).drop("_run")
+
+def _touching(parts: DataFrame, keys: list[str], label: str | None = None) -> DataFrame:
+    """parts (start, stop; sorted and disjoint within keys) with the number _run of the maximal stretch that touching parts (of one
+    label) form. Its rows are runs of blocks, not positions."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    same = F.lag("stop").over(w) == F.col("start")
+    if label is not None:
+        same = same & F.lag(label).over(w).eqNullSafe(F.col(label))
+    new = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
+    return parts.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _in_block(pos: str, block: int) -> Column:
+    return F.floor(F.col(pos) / F.lit(block))
 
 
-def true_runs(df: DataFrame, keys: list[str], value: str = "v", mask: str | None = None, pos: str = "pos") -> DataFrame:
-    """Runs of value = 1; with a mask column (true: usable), runs that touch an unusable place are left out whole."""
-    x = df.withColumn("_on", F.col(value) == 1)
-    w = Window.partitionBy(*keys).orderBy(pos)
-    x = x.withColumn("_new", F.coalesce((F.col("_on") != F.lag("_on").over(w)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def runs(df: DataFrame, keys: list[str], label: str = "label", pos: str = "pos", block: int = BLOCK) -> DataFrame:
+    """Maximal runs of equal labels: keys, label, start, stop (half-open). Runs are found in blocks of positions, which spread a
+    long sequence over tasks, and those that touch at block edges are joined."""
+    w = Window.partitionBy(*keys, "_block").orderBy(pos)
+    same = F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.lag(pos).over(w) + 1 == F.col(pos))
+    x = df.withColumn("_block", _in_block(pos, block)).withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    x = x.withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = x.groupBy(*keys, "_block", "_part").agg(F.first(label).alias(label), F.min(pos).alias("start"), (F.max(pos) + 1).alias("stop"))
+    return _touching(parts, keys, label).groupBy(*keys, "_run").agg(F.first(label).alias(label), F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")
+
+
+def true_runs(df: DataFrame, keys: list[str], value: str = "v", mask: str | None = None, pos: str = "pos", block: int = BLOCK) -> DataFrame:
+    """Runs of value = 1; with a mask column (true: usable), runs that touch an unusable place are left out whole. In blocks, as runs()."""
+    w = Window.partitionBy(*keys, "_block").orderBy(pos)
+    x = df.where(F.col(value) == 1).withColumn("_block", _in_block(pos, block))
+    x = x.withColumn("_new", F.when(F.coalesce(F.lag(pos).over(w) + 1 == F.col(pos), F.lit(False)), 0).otherwise(1)).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     usable = F.min(F.col(mask).cast("int")) if mask else F.lit(1)
-    x = x.where("_on").groupBy(*keys, "_run").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("stop"), usable.alias("_ok"))
+    parts = x.groupBy(*keys, "_block", "_part").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("stop"), usable.alias("_ok"))
+    x = _touching(parts, keys).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("_ok").alias("_ok"))
     return x.where("_ok = 1").select(*keys, "start", "stop")
 
 
@@ -33,13 +53,21 @@ def group_runs(run_table: DataFrame, keys: list[str], groups: dict[str, list[int
     return merge(run_table.withColumn("entity", F.explode(of)), (*keys, "entity")).select(*keys, "entity", "start", "stop")
 
 
-def biluo(df: DataFrame, keys: list[str], label: str = "label", pos: str = "pos", forward: bool = True, name: str = "tag") -> DataFrame:
-    """BILUO tag ids: 1 + 4 * (class - 1) + (0 begin, 1 inside, 2 last, 3 unit); labels below 1 pass through."""
-    w = Window.partitionBy(*keys).orderBy(F.col(pos) if forward else F.col(pos).desc())
-    same_before = F.coalesce(F.lag(label).over(w) == F.col(label), F.lit(False))
-    same_after = F.coalesce(F.lead(label).over(w) == F.col(label), F.lit(False))
+def biluo(df: DataFrame, keys: list[str], label: str = "label", pos: str = "pos", forward: bool = True, name: str = "tag", block: int = BLOCK) -> DataFrame:
+    """BILUO tag ids: 1 + 4 * (class - 1) + (0 begin, 1 inside, 2 last, 3 unit); labels below 1 pass through.
+
+    Neighbours are looked up within blocks of positions; at their edges they come from a table of each block's first and last label."""
+    x = df.withColumn("_block", _in_block(pos, block))
+    ends = x.groupBy(*keys, "_block").agg(F.max_by(label, pos).alias("_last"), F.min_by(label, pos).alias("_first"))
+    step = lambda d, c, n: ends.select(*keys, (F.col("_block") + d).alias("_block"), F.col(c).alias(n))
+    x = x.join(step(1, "_last", "_left"), [*keys, "_block"], "left").join(step(-1, "_first", "_right"), [*keys, "_block"], "left")
+    w = Window.partitionBy(*keys, "_block").orderBy(pos)
+    edge = lambda c, own: F.when(F.lag(pos).over(w).isNull() if c == "_left" else F.lead(pos).over(w).isNull(), F.col(c)).otherwise(own)
+    left, right = edge("_left", F.lag(label).over(w)), edge("_right", F.lead(label).over(w))
+    before, after = (left, right) if forward else (right, left)
+    same_before, same_after = (F.coalesce(v == F.col(label), F.lit(False)) for v in (before, after))
     kind = F.when(same_before & same_after, 1).when(same_before, 2).when(same_after, 0).otherwise(3)
-    return df.withColumn(name, F.when(F.col(label) < 1, F.col(label)).otherwise(1 + 4 * (F.col(label) - 1) + kind).cast("int"))
+    return x.select(*df.columns, F.when(F.col(label) < 1, F.col(label)).otherwise(1 + 4 * (F.col(label) - 1) + kind).cast("int").alias(name))
 
 
 def biluo_class(tag: Column) -> Column:

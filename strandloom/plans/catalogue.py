@@ -644,7 +644,14 @@ def _sets(level: str, a: str, b: str, cols: str) -> str:
     return f"SELECT '{level}' AS level, (SELECT count(*) FROM ({p} INTERSECT {t})) AS tp, (SELECT count(*) FROM ({p} EXCEPT {t})) AS fp, (SELECT count(*) FROM ({t} EXCEPT {p})) AS fn"
 
 
-@query(FT + _PT + ", " + _exons("pred", "p") + ", " + _exons("tru", "t") + ", c AS (" + " UNION ALL ".join((_sets("base", "pb", "tb", "seq, pos"), _sets("exon", "pe", "te", "seq, strand, start, stop"), _sets("intron", "pi", "ti", "seq, strand, start, stop"), _sets("intron_chain", "pc", "tc", "seq, strand, chain"))) + f") SELECT level, tp, fp, fn, {PRF} FROM c")
+def _loci(t: str, x: str) -> str:
+    return f"{x}g AS (SELECT m.parent AS gene, z.seq, z.strand, chain FROM (SELECT parent, seq, strand, string_agg(concat(start, '-', stop), ',' ORDER BY start) AS chain FROM {x}i GROUP BY ALL) z JOIN {t} m ON m.id = z.parent AND m.type = 'mRNA')"
+
+
+_HIT = "(SELECT count(DISTINCT gene) FROM pg WHERE (seq, strand, chain) IN (SELECT (seq, strand, chain) FROM tc))"
+
+
+@query(FT + _PT + ", " + _exons("pred", "p") + ", " + _exons("tru", "t") + ", " + _loci("pred", "p") + ", " + _loci("tru", "t") + ", c AS (" + " UNION ALL ".join((f"SELECT 'multi_exon_locus' AS level, {_HIT} AS tp, (SELECT count(DISTINCT gene) FROM pg) - {_HIT} AS fp, (SELECT count(DISTINCT gene) FROM tg) - {_HIT} AS fn", _sets("base", "pb", "tb", "seq, pos"), _sets("exon", "pe", "te", "seq, strand, start, stop"), _sets("intron", "pi", "ti", "seq, strand, start, stop"), _sets("intron_chain", "pc", "tc", "seq, strand, chain"))) + f") SELECT level, tp, fp, fn, {PRF} FROM c")
 def eval_structure(spark, d):
     return E.structure_counts(*_pair(spark, d))
 
@@ -664,10 +671,23 @@ def _tset(t: str, x: str) -> str:
     return f"""{x}set AS (SELECT m.parent AS gene, m.id AS tr, (SELECT {text} FROM (SELECT DISTINCT parent, start, stop FROM {t} WHERE type = 'CDS') q WHERE q.parent = m.id) AS cds, (SELECT min(start) FROM {x}e WHERE parent = m.id) AS lo, (SELECT max(stop) FROM {x}e WHERE parent = m.id) AS hi, (SELECT {text} FROM {x}i WHERE parent = m.id) AS it FROM {t} m WHERE m.type = 'mRNA')"""
 
 
-@query(FT + _PT + ", " + _exons("pred", "p") + ", " + _exons("tru", "t") + ", " + _tset("pred", "p") + ", " + _tset("tru", "t") + f""", gp AS (SELECT p.id AS pg, t.id AS tg FROM pred p JOIN tru t ON p.type = 'gene' AND t.type = 'gene' AND p.seq = t.seq AND p.strand = t.strand AND p.start < t.stop AND t.start < p.stop),
+def _items(t: str, x: str) -> str:
+    return f"""{x}l AS (SELECT tr FROM (SELECT m.id AS tr, row_number() OVER (PARTITION BY m.parent ORDER BY sum(p.stop - p.start) DESC, any_value(m.row)) AS k FROM {t} m JOIN {t} p ON p.parent = m.id WHERE m.type = 'mRNA' GROUP BY m.parent, m.id) z WHERE k = 1),
+{x}cg AS (SELECT * FROM (SELECT parent, max(stop) OVER (PARTITION BY parent ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start, start AS stop FROM {t} WHERE type = 'CDS') z WHERE start < stop),
+{x}it AS (SELECT DISTINCT 'exon_cds' AS level, parent, start, stop FROM {t} WHERE type = 'CDS' UNION ALL SELECT 'exon', parent, start, stop FROM {x}e UNION ALL SELECT 'intron', parent, start, stop FROM {x}i UNION ALL SELECT 'intron_cds', parent, start, stop FROM {x}cg),
+{x}a AS (SELECT it.level, gi.isl, it.start, it.stop, l.tr IS NOT NULL AS lg FROM {x}it it JOIN {t} m ON m.id = it.parent AND m.type = 'mRNA' JOIN gi ON gi.id = m.parent LEFT JOIN {x}l l ON l.tr = m.id)"""
+
+
+#: Both trees have the same genes, so the clusters across them are the islands of overlapping genes.
+_LEVELS = """, gi AS (SELECT id, concat(seq, strand, sum(o) OVER (PARTITION BY seq, strand ORDER BY start, stop, id ROWS UNBOUNDED PRECEDING)) AS isl FROM (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY seq, strand ORDER BY start, stop, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM feature WHERE type = 'gene') z), """ + _items("pred", "p") + ", " + _items("tru", "t") + """,
+ab AS (SELECT *, 1 AS p, 0 AS t FROM pa UNION ALL SELECT *, 0, 1 FROM ta), ev AS (SELECT level, isl, start, stop, max(p) AS p, max(t) AS t FROM ab GROUP BY ALL UNION ALL SELECT concat(level, '_longest'), isl, start, stop, sum(p), sum(t) FROM ab WHERE lg GROUP BY ALL),
+iv AS (SELECT level, sum(CASE WHEN t > 0 THEN p ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN t = 0 THEN p ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN p = 0 THEN t ELSE 0 END)::BIGINT AS fn FROM ev GROUP BY level)"""
+
+
+@query(FT + _PT + ", " + _exons("pred", "p") + ", " + _exons("tru", "t") + _LEVELS + ", " + _tset("pred", "p") + ", " + _tset("tru", "t") + f""", gp AS (SELECT p.id AS pg, t.id AS tg FROM pred p JOIN tru t ON p.type = 'gene' AND t.type = 'gene' AND p.seq = t.seq AND p.strand = t.strand AND p.start < t.stop AND t.start < p.stop),
 h AS (SELECT pg, tg, bool_or(p.cds IS NOT DISTINCT FROM t.cds) AS c, bool_or(p.cds IS NOT DISTINCT FROM t.cds AND p.it IS NOT DISTINCT FROM t.it) AS i, bool_or(p.cds IS NOT DISTINCT FROM t.cds AND p.it IS NOT DISTINCT FROM t.it AND p.lo = t.lo AND p.hi = t.hi) AS e FROM gp JOIN pset p ON p.gene = pg JOIN tset t ON t.gene = tg GROUP BY ALL), np AS (SELECT count(*) AS n FROM pred WHERE type = 'gene'),
 c AS (SELECT 'transcript_cds' AS level, (SELECT count(DISTINCT pg) FROM h WHERE c) AS tp, n - (SELECT count(DISTINCT pg) FROM h WHERE c) AS fp, n - (SELECT count(DISTINCT tg) FROM h WHERE c) AS fn FROM np UNION ALL SELECT 'transcript_intron', (SELECT count(DISTINCT pg) FROM h WHERE i), n - (SELECT count(DISTINCT pg) FROM h WHERE i), n - (SELECT count(DISTINCT tg) FROM h WHERE i) FROM np
-UNION ALL SELECT 'transcript', (SELECT count(DISTINCT pg) FROM h WHERE e), n - (SELECT count(DISTINCT pg) FROM h WHERE e), n - (SELECT count(DISTINCT tg) FROM h WHERE e) FROM np) SELECT level, tp, fp, fn, {PRF} FROM c""")
+UNION ALL SELECT 'transcript', (SELECT count(DISTINCT pg) FROM h WHERE e), n - (SELECT count(DISTINCT pg) FROM h WHERE e), n - (SELECT count(DISTINCT tg) FROM h WHERE e) FROM np UNION ALL SELECT * FROM iv) SELECT level, tp, fp, fn, {PRF} FROM c""")
 def eval_transcript_levels(spark, d):
     return E.transcript_levels(*_pair(spark, d))
 

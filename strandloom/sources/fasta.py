@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
@@ -20,11 +20,21 @@ def read(spark: SparkSession, path, names: dict[str, str] | None = None) -> Data
     return x
 
 
-def blocks(sequence: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(seq, block, offset, dna) pieces, so that a long contig is spread over tasks."""
-    n = F.greatest(F.ceil(F.length("dna") / F.lit(size)), F.lit(1)).cast("int")
-    x = sequence.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
-    return x.select("seq", "block", (F.col("block").cast("long") * size).alias("offset"), F.substr("dna", F.col("block") * size + 1, F.lit(size)).alias("piece")).withColumnRenamed("piece", "dna")
+def blocks(sequence: DataFrame, size: int = BLOCK, overlap: int = 0) -> DataFrame:
+    """(seq, block, offset, dna) pieces, so that a long contig is spread over tasks; each has the first `overlap` bases of the next one
+    too. One pass of a pattern cuts them: substrings by place would walk the string again for each piece."""
+    pieces = F.regexp_extract_all("dna", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    if overlap:
+        pieces = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(pieces, i + 1), 1, overlap), F.lit(""))))
+    x = sequence.select("seq", F.posexplode(pieces).alias("block", "dna"))
+    return x.select("seq", "block", (F.col("block").cast("long") * size).alias("offset"), "dna")
+
+
+def bases_at(places: DataFrame, pieces: DataFrame, at: Column, n: int, name: str, size: int = BLOCK) -> DataFrame:
+    """places with the n bases from place `at` on (fewer at the sequence's end), from blocks() of that size with an overlap of n - 1."""
+    x = places.withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / F.lit(size)).cast("int"))
+    x = x.join(pieces.select("seq", "block", "dna"), ["seq", "block"])
+    return x.withColumn(name, F.substr("dna", (F.col("_at") % size + 1).cast("int"), F.lit(n))).select(*places.columns, name)
 
 
 def longest(sequence: DataFrame, n: int) -> DataFrame:

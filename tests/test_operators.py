@@ -66,6 +66,22 @@ def test_clusters_count_every_interval_once(spark):
     assert got == sorted([("pred", "1", "pred:1"), ("pred", "2", "pred:1"), ("pred", "3", "pred:3"), ("true", "7", "pred:1"), ("true", "8", "true:8")])
 
 
+def test_clusters_against_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    for n, span in ((40, 400), (60, 250), (30, 60)):
+        side = lambda m: [(i, "c", "+-"[i % 2], int(s), int(s + w)) for i, (s, w) in enumerate(zip(rng.integers(0, span, m), rng.integers(1, 14, m)))]
+        p, t = side(n), side(n - 7)
+        nodes = {f"pred:{r[0]}": r for r in p} | {f"true:{r[0]}": r for r in t}
+        label = {k: k for k in nodes}
+        for _ in range(2 * n):
+            for a, x in nodes.items():
+                for b, y in nodes.items():
+                    if a[0] != b[0] and x[2] == y[2] and x[3] < y[4] and y[3] < x[4]:
+                        label[a] = label[b] = min(label[a], label[b])
+        got = intervals.clusters(frame(spark, p, "id int, " + IV), frame(spark, t, "id int, " + IV)).collect()
+        assert {f"{r.side}:{r.id}": r.cluster for r in got} == label
+
+
 def labels(spark, values, key="k"):
     return frame(spark, [(key, i, v) for i, v in enumerate(values)], "grp string, pos long, label int")
 
@@ -82,6 +98,18 @@ def test_group_runs(spark):
     assert rows(runs.group_runs(r, ["grp"], {"a": [1, 2], "b": [3], "c": [2, 3]}), "entity", "start", "stop") == [("a", 1, 4), ("a", 5, 7), ("b", 7, 8), ("c", 5, 8)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 1000])
+def test_runs_and_tags_across_blocks(spark, block):
+    rng = np.random.default_rng(13)
+    v = rng.integers(-1, 3, 60).repeat(rng.integers(1, 6, 60))[:90].tolist()
+    df = labels(spark, v).unionByName(labels(spark, v[::-1], "m"))
+    whole = lambda f: rows(f(1 << 20))
+    for f in (lambda b: runs.runs(df, ["grp"], block=b).select("grp", "label", "start", "stop"), lambda b: runs.true_runs(df.withColumn("ok", F.col("pos") % 9 != 4), ["grp"], "label", "ok", block=b), lambda b: runs.biluo(df, ["grp"], block=b), lambda b: runs.biluo(df, ["grp"], forward=False, block=b)):
+        assert rows(f(block)) == whole(f)
+    cut = [0, *[i for i in range(1, 90) if v[i] != v[i - 1]], 90]
+    assert [r[1:] for r in rows(runs.runs(df, ["grp"], block=block), "grp", "start", "label", "stop") if r[0] == "k"] == [(a, v[a], b) for a, b in zip(cut, cut[1:])]
+
+
 def test_biluo_round_trip(spark):
     v = [0, 1, 0, 2, 2, 0, 3, 0, 1, 1, 1, -1]
     t = runs.biluo(labels(spark, v), ["grp"]).withColumn("back", runs.biluo_class(F.col("tag"))).orderBy("pos").collect()
@@ -203,6 +231,13 @@ def test_attributes(spark):
     assert p == "ID=x_a;Parent=x_b,x_c;geneID=d"
 
 
+def test_merged_keys(spark):
+    df = frame(spark, [("c1", ["a", "b"], "+")], "c string, g array<string>, s string")
+    key = df.select(A.merged_key(F.col("c"), F.col("g"), F.col("s")).alias("k"))
+    assert key.first().k == "c1~a|b~+"
+    assert key.unionByName(frame(spark, [("odd",)], "k string")).select(A.split_merged_key(F.col("k")).alias("x")).collect() == [((("c1", ["a", "b"], "+")),), (None,)]
+
+
 @pytest.mark.parametrize("name, want", [("arabidopsis thaliana", "Athaliana"), ("ZEA MAYS", "Zmays"), ("yeast", "yeast"), ("  ", ""), (None, "")])
 def test_species_id(spark, name, want):
     assert frame(spark, [(name,)], "n string").select(A.species_id(F.col("n"))).first()[0] == want
@@ -220,6 +255,64 @@ def test_viterbi_against_all_paths(spark):
         assert got == want.tolist()
 
 
+def test_viterbi_of_many_blocks_at_once():
+    rng = np.random.default_rng(14)
+    m, start = rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(4))
+    size = np.array([7, 1, 30, 12, 30])
+    parts = [rng.dirichlet(np.ones(4), k) for k in size]
+    flat, tr, first = np.concatenate(parts).ravel(), np.log(m + decode.EPS), np.log(start + decode.EPS)
+    p = decode.products(flat, size, np.array([True, False, False, True, False]), tr, first)
+    paths = np.split(decode.traces(flat, size, np.array([-1, 2, 0, -1, 3]), np.array([1, 0, 3, 2, 2]), tr, first), np.cumsum(size)[:-1])
+    for k, e in enumerate(parts):
+        e = np.log(e + decode.EPS)
+        score = np.where(np.eye(4, dtype=bool), (first + e[0])[:, None], -np.inf) if k in (0, 3) else tr + e[0]
+        for row in e[1:]:
+            score = (score[:, :, None] + tr).max(axis=1) + row
+        assert np.allclose(p[k], score)
+        a, z = (-1, 2, 0, -1, 3)[k], (1, 0, 3, 2, 2)[k]
+        path = paths[k]
+        own = (first[path[0]] if a < 0 else tr[a, path[0]]) + e[0, path[0]] + sum(tr[path[t - 1], path[t]] + e[t, path[t]] for t in range(1, len(e)))
+        best = p[k][:, z].max() if a < 0 else p[k][a, z]
+        assert path[-1] == z and np.isclose(own, best)
+
+
+def test_gene_pair_levels(spark):
+    """Two true genes meet one predicted gene; a third true gene has no partner. Shared intervals count once, longest ones by transcript."""
+    def t(gene, start, stop, *transcripts):
+        out = [(gene, None, "gene", "c", "+", start, stop, None, 0)]
+        for k, parts in enumerate(transcripts):
+            out += [(f"{gene}m{k}", gene, "mRNA", "c", "+", start, stop, None, k + 1)]
+            out += [(f"{gene}m{k}p{i}", f"{gene}m{k}", "CDS", "c", "+", a, b, None, 10 * k + i) for i, (a, b) in enumerate(parts)]
+        return out
+
+    pred = frame(spark, t("a", 0, 100, [(0, 10), (20, 30)], [(0, 10), (20, 30), (40, 60)]), TREE)
+    true = frame(spark, t("x", 0, 35, [(0, 10), (20, 30)]) + t("y", 38, 100, [(40, 60), (70, 80)]) + t("z", 500, 600, [(500, 510)], [(500, 510), (520, 530)]), TREE)
+    got = {r.level: (r.tp, r.fp, r.fn) for r in evaluate.transcript_levels(pred, true).collect()}
+    assert got == {
+        "transcript_cds": (1, 0, 2), "transcript_intron": (1, 0, 2), "transcript": (1, 0, 2), "exon_cds": (3, 0, 4), "exon": (3, 0, 4), "intron_cds": (1, 1, 2), "intron": (1, 1, 2),
+        "exon_cds_longest": (3, 0, 3), "exon_longest": (3, 0, 3), "intron_cds_longest": (1, 1, 2), "intron_longest": (1, 1, 2),
+    }
+
+
+def test_blocks_and_motifs(spark):
+    from strandloom.sources import fasta
+
+    dna = "".join(np.random.default_rng(15).choice(list("ACGT"), 40000))
+    seq = frame(spark, [("c", dna), ("d", ""), ("e", "ACG")], "seq string, dna string")
+    got = {(r.seq, r.block): r.dna for r in fasta.blocks(seq, 7, 2).where("seq <> 'c'").collect()}
+    assert got == {("e", 0): "ACG"}
+    pieces = fasta.blocks(seq, 8192, 1)
+    at = [0, 8191, 8192, 16383, 39998, 39999]
+    found = fasta.bases_at(frame(spark, [("c", i) for i in at], "seq string, at long"), pieces, F.col("at"), 2, "b", 8192)
+    assert rows(found, "at", "b") == [(i, dna[i : i + 2]) for i in at]
+    introns = frame(spark, [("c", "+", a, a + 50) for a in (8142, 8191, 100, 39950, 39960)], IV)
+    want = {}
+    for a in (8142, 8191, 100, 39950):
+        m = f"{dna[a : a + 2]}-{dna[a + 48 : a + 50]}"
+        want[m if m in ("GT-AG", "GC-AG") else "other"] = want.get(m if m in ("GT-AG", "GC-AG") else "other", 0) + 1
+    assert {r.motif: r.n for r in evaluate.splice_motifs(introns, seq).collect()} == want
+
+
 def test_priors_are_stochastic():
     for k in decode.PRIORS:
         m, start = decode.checked(decode.priors(*k), None, 5)
@@ -244,8 +337,8 @@ def test_apply_merges(spark):
     t = tree(spark).select("id", "parent", "type", "seq", "strand", "start", "stop", "row")
     t = t.unionByName(frame(spark, [("g9", None, "gene", "c", "+", 52, 58, 20), ("m9", "g9", "mRNA", "c", "+", 52, 58, 21), ("p9", "m9", "CDS", "c", "+", 52, 58, 22)], "id string, parent string, type string, seq string, strand string, start long, stop long, row long"))
     out = orf.apply_merges(t, frame(spark, [(["g1", "g9"],)], "members array<string>"))
-    assert rows(out.where("type = 'gene'"), "id", "start", "stop") == [("concat_g1", 0, 58), ("g2", 60, 99)]
-    assert rows(out.where("type = 'CDS' and strand = '+'"), "parent", "start", "phase") == [("concat_g1.t1", 9, 0), ("concat_g1.t1", 29, 2), ("concat_g1.t1", 52, 2)]
+    assert rows(out.where("type = 'gene'"), "id", "start", "stop") == [("concat_g1_g9", 0, 58), ("g2", 60, 99)]
+    assert rows(out.where("type = 'CDS' and strand = '+'"), "parent", "start", "phase") == [("concat_g1_g9.t1", 9, 0), ("concat_g1_g9.t1", 29, 2), ("concat_g1_g9.t1", 52, 2)]
 
 
 def test_prf_zero_safe(spark):
