@@ -73,3 +73,8 @@ def split_merged_key(key: Column) -> Column:
 def gene_of(transcript: Column, known: Column) -> Column:
     """The gene by lookup, else the id without what follows its last dot."""
     return F.coalesce(known, F.regexp_replace(transcript, r"\.[^.]*$", ""))
+
+
+def chromosome_order(name: Column) -> list[Column]:
+    """Sort keys: numbered chromosomes by number, then all other names by name."""
+    return [chromosome_number(name).asc_nulls_last(), name]

@@ -186,3 +186,8 @@ def splice_motifs(introns_: DataFrame, sequence: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return x.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
+
+
+def macro_mean(metrics: DataFrame, *by: str) -> DataFrame:
+    """Unweighted means of precision, recall, f1 (and jaccard) over the rows of each group."""
+    return metrics.groupBy(*by).agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1", "jaccard") if c in metrics.columns))

@@ -156,3 +156,8 @@ def in_region(df: DataFrame, seq: str, start: int, stop: int) -> DataFrame:
 
 def every_nth(df: DataFrame, step: int, pos: str = "pos") -> DataFrame:
     return df.where(F.col(pos) % step == 0)
+
+
+def set_column(df: DataFrame, name: str, value: str | None) -> DataFrame:
+    """df with a constant in a text column, such as another source."""
+    return df.withColumn(name, F.lit(value).cast("string"))

@@ -150,3 +150,18 @@ def clusters(pred: DataFrame, true: DataFrame, keys=KEYS) -> DataFrame:
     x = x.select(*keys, "side", "id", part.alias("_part"), F.concat_ws(":", "side", "id").alias("node"))
     least = x.where("_part is not null").groupBy(*keys, "_part").agg(F.min("node").alias("cluster"))
     return x.join(least, [*keys, "_part"], "left").select("side", "id", F.coalesce("cluster", "node").alias("cluster"))
+
+
+def out_of_order(df: DataFrame, keys=("seq",), order: str = "row") -> DataFrame:
+    """(keys, n_bad): rows that start before the one ahead of them in `order`, by group; 0 for sorted groups."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    bad = F.coalesce((F.lag("start").over(w) > F.col("start")).cast("long"), F.lit(0))
+    return df.withColumn("_bad", bad).groupBy(*keys).agg(F.sum("_bad").alias("n_bad"))
+
+
+def masked_share_at_most(windows: DataFrame, masks: DataFrame, share: float, keys=KEYS) -> DataFrame:
+    """The windows (keys, start, stop) of which masks cover at most that share; overlapping masks count once."""
+    hit = overlap_join(windows.select(*keys, "start", "stop").distinct(), merge(masks, keys).select(*keys, "start", "stop"), keys)
+    covered = hit.groupBy(*keys, "start", "stop").agg(F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")).alias("_masked"))
+    x = windows.join(covered, [*keys, "start", "stop"], "left")
+    return x.where(F.coalesce("_masked", F.lit(0)) <= (F.col("stop") - F.col("start")) * share).select(*windows.columns)

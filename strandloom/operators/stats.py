@@ -99,3 +99,37 @@ def missed_novel(df: DataFrame) -> DataFrame:
     r = lambda a, b: F.when(F.col(b) > 0, F.col(a) * 100.0 / F.col(b)).otherwise(F.lit(0.0))
     s, p = F.col("sensitivity"), F.col("precision")
     return df.withColumn("missed_percent", r("missed", "n_true")).withColumn("novel_percent", r("novel", "n_pred")).withColumn("f1", F.when(s + p > 0, 2 * s * p / (s + p)).otherwise(F.lit(0.0)))
+
+
+def masked_bincount(df: DataFrame, n_labels: int, mask: str, label: str = "label") -> DataFrame:
+    """(label, n, n_masked) of each label from 0 below n_labels, and of all other values as label -1. Tables of batches add up: see added()."""
+    name = F.when(F.col(label).between(0, n_labels - 1), F.col(label)).otherwise(-1).cast("int")
+    counts = df.groupBy(name.alias("label")).agg(F.count_if(F.col(mask)).alias("n"), F.count_if(~F.coalesce(F.col(mask), F.lit(False))).alias("n_masked"))
+    every = df.sparkSession.range(-1, n_labels).select(F.col("id").cast("int").alias("label"))
+    return every.join(counts, "label", "left").fillna(0, ["n", "n_masked"])
+
+
+def added(tables: list[DataFrame], by: list[str]) -> DataFrame:
+    """Sum of the number columns of tables with the same columns."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy(*by).agg(*(F.sum(c).alias(c) for c in out.columns if c not in by))
+
+
+def terminal_codons(df: DataFrame, by: list[str], dna: str = "dna") -> DataFrame:
+    """(by, kind, codon, n): first and last three bases of coding sequences; those with fewer are left out."""
+    x = df.where(F.length(dna) >= 3)
+    ends = F.array(F.struct(F.lit("start").alias("kind"), F.upper(F.substring(dna, 1, 3)).alias("codon")), F.struct(F.lit("stop").alias("kind"), F.upper(F.substring(dna, -3, 3)).alias("codon")))
+    return x.select(*by, F.inline(ends)).groupBy(*by, "kind", "codon").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mean_scores(scores: DataFrame, by: list[str], threshold: float = 0.5, score: str = "score") -> DataFrame:
+    """(by, score, accepted): the mean over models, and whether it reaches the threshold."""
+    return scores.groupBy(*by).agg(F.avg(score).alias("score")).withColumn("accepted", F.col("score") >= threshold)
+
+
+def mean_pool(vectors: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
+    """(by, vector): the mean of each group's vectors, such as a protein's from those of its residues. Sums are partial by place."""
+    x = vectors.select(*by, F.posexplode(vector).alias("_d", "_v")).groupBy(*by, "_d").agg(F.avg("_v").alias("_v"))
+    return x.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_v"))), lambda p: p["_v"]).alias(vector))  # a vector's places

@@ -834,3 +834,63 @@ def orf_chain_merge(spark, d):
     g = x.select("seq", k.alias("k")).select("seq", F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat_ws(":", "seq", "k").alias("gene"), (F.col("k") * 12).alias("start"), (F.col("k") * 12 + 12).alias("stop"))
     kinds = F.array(F.struct(F.col("gene").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("gene").alias("type")), F.struct(F.concat("gene", F.lit(".t1")).alias("id"), F.col("gene").alias("parent"), F.lit("mRNA").alias("type")), F.struct(F.concat("gene", F.lit(".c")).alias("id"), F.concat("gene", F.lit(".t1")).alias("parent"), F.lit("CDS").alias("type")))
     return orf.candidates(orf.gene_table(g.select("seq", "strand", "start", "stop", F.inline(kinds)), x))
+
+
+# --- further checks and summaries ----------------------------------------------------------------------------------------
+
+
+@query(FT + " SELECT id, type, 'engine' AS source FROM feature")
+def source_setter(spark, d):
+    return filters.set_column(view(spark, d, "feature"), "source", "engine").select("id", "type", "source")
+
+
+@query("WITH s AS (SELECT DISTINCT CASE WHEN o_custkey % 7 = 0 THEN concat('scaffold', o_custkey % 30) ELSE concat('chr', o_custkey % 30) END AS seq FROM orders) SELECT seq, row_number() OVER (ORDER BY CASE WHEN seq LIKE 'chr%' THEN substr(seq, 4)::INTEGER ELSE 1000000 END, seq) AS place FROM s")
+def chromosome_order(spark, d):
+    from pyspark.sql import Window
+
+    k = (F.col("o_custkey") % 30).cast("string")
+    s = base(spark, d, "orders").select(F.when(F.col("o_custkey") % 7 == 0, F.concat(F.lit("scaffold"), k)).otherwise(F.concat(F.lit("chr"), k)).alias("seq")).distinct()
+    return s.select("seq", F.row_number().over(Window.orderBy(*A.chromosome_order(F.col("seq")))).cast("long").alias("place"))  # a row for each sequence name
+
+
+@query(FT + " SELECT seq, sum(CASE WHEN before > start THEN 1 ELSE 0 END)::BIGINT AS n_bad FROM (SELECT seq, start, lag(start) OVER (PARTITION BY seq ORDER BY row, id) AS before FROM feature WHERE type = 'gene') x GROUP BY seq")
+def sortedness_check(spark, d):
+    return intervals.out_of_order(view(spark, d, "feature").where("type = 'gene'"))
+
+
+@query("WITH " + WINDOW + ", m AS (SELECT doc_id, n_chars // 4 AS ms, n_chars // 2 AS me FROM documents) SELECT w.doc_id, start, start + 1024 AS stop FROM w JOIN m USING (doc_id) WHERE greatest(0, least(start + 1024, me) - greatest(start, ms)) <= 1024 * 0.3")
+def mask_window_filter(spark, d):
+    x = base(spark, d, "documents")
+    w = runs.index_windows(x.select("doc_id", runs.padded_length(F.col("n_chars"), 1024, 512).alias("length")), "length", 1024, 512).select("doc_id", "start", "stop")
+    m = x.select("doc_id", F.expr("n_chars div 4").alias("start"), F.expr("n_chars div 2").alias("stop")).where("start < stop")
+    return intervals.masked_share_at_most(w, m, 0.3, ("doc_id",))
+
+
+@query(LB + ", g AS (SELECT v::INTEGER AS label FROM range(-1, 4) r(v)), c AS (SELECT CASE WHEN label < 4 THEN label ELSE -1 END AS label, count(*) FILTER (pos % 11 <> 0) AS n, count(*) FILTER (pos % 11 = 0) AS n_masked FROM label GROUP BY 1) SELECT g.label, coalesce(n, 0) AS n, coalesce(n_masked, 0) AS n_masked FROM g LEFT JOIN c ON c.label = g.label")
+def masked_bincount(spark, d):
+    """Counted in two batches that are added."""
+    x = view(spark, d, "label").withColumn("ok", F.col("pos") % 11 != 0)
+    return stats.added([stats.masked_bincount(x.where(F.col("grp") % 2 == k), 4, "ok") for k in (0, 1)], ["label"])
+
+
+@query(DN + " SELECT doc_id % 3 AS part, kind, codon, count(*) AS n FROM (SELECT doc_id, unnest(['start', 'stop']) AS kind, unnest([dna[1:3], right(dna, 3)]) AS codon FROM dna WHERE length(dna) >= 3) x GROUP BY ALL")
+def terminal_codons(spark, d):
+    return stats.terminal_codons(view(spark, d, "dna").withColumn("part", F.col("doc_id") % 3), ["part"])
+
+
+@query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[2] + embedding[3]) / 3, 6) AS score, (embedding[1]::DOUBLE + embedding[2] + embedding[3]) / 3 >= 0.01 AS accepted FROM embeddings")
+def mean_scores(spark, d):
+    x = base(spark, d, "embeddings").select("vec_id", F.explode(F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))).alias("score"))
+    return rounded(stats.mean_scores(x, ["vec_id"], 0.01), "score", digits=6)
+
+
+@query("SELECT label, k AS place, round(avg(v), 6) AS value FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS k FROM embeddings) x GROUP BY ALL")
+def mean_pool(spark, d):
+    x = base(spark, d, "embeddings").select("label", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
+    return rounded(stats.mean_pool(x, ["label"]).select("label", F.posexplode("embedding").alias("place", "value")).withColumn("place", F.col("place").cast("long")), "value", digits=6)
+
+
+@query(I + ", " + OUTER + f""", n AS (SELECT typ, count(*) FILTER (predicted AND labeled) AS tp, count(*) FILTER (NOT labeled) AS fp, count(*) FILTER (NOT predicted) AS fn FROM o GROUP BY typ), e AS (SELECT {PRF}, tp::DOUBLE / (tp + fp + fn) AS jaccard FROM n)
+SELECT round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f1), 9) AS f1, round(avg(jaccard), 9) AS jaccard FROM e""")
+def eval_macro_mean(spark, d):
+    return rounded(E.macro_mean(E.entity_metrics(_strands(spark, d), "typ")), "precision", "recall", "f1", "jaccard")

@@ -1,5 +1,6 @@
 """Readers and writers: round trips and malformed input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.sources import fasta, gff, reports
@@ -80,3 +81,16 @@ def test_windowed_counts(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:10", "a", 1.0), ("2024-01-01 00:00:50", "a", 2.0), ("2024-01-01 00:01:10", "a", 4.0)], "ts string, event_type string, value double")
     got = ingest.windowed_counts(df, "1 minute", "5 minutes").select(F.col("window.start").cast("string").alias("s"), "n", "total").orderBy("s").collect()
     assert [(r.n, r.total) for r in got] == [(2, 3.0), (1, 4.0)]
+
+
+def test_discover(spark, tmp_path):
+    from strandloom.sources import files
+
+    for name in ("a.gff", "b.gff.gz", "c.txt", "sub/d.gff", "sub/_x.gff"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("")
+    names = lambda *x: [p.rsplit("/", 1)[1] for p in files.discover(spark, ",".join(f"{tmp_path}/{i}" for i in x), (".gff",))]
+    assert names("") == ["a.gff", "b.gff.gz", "d.gff"] and names("a.gff", "sub", "a.gff") == ["a.gff", "d.gff"]
+    assert names("b.gff") == ["b.gff.gz"] and names("a.gff.gz") == ["a.gff"] and names("*") == ["a.gff", "b.gff.gz", "d.gff"] and names("c.txt") == ["c.txt"]
+    with pytest.raises(FileNotFoundError):
+        names("none.gff")
