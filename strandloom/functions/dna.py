@@ -68,7 +68,8 @@ def near_boundary(gap: Column) -> Column:
     return gap.between(-2, 2)
 
 
-def tokens(dna: Column, vocabulary: dict[str, int], unknown: int) -> Column:
-    """Ids of bases, case ignored; IUPAC codes outside the vocabulary are `unknown`, any other letter is null."""
+def tokens(dna: Column, vocabulary: dict[str, int], unknown: int, strict: bool = False) -> Column:
+    """Ids of bases, case ignored; IUPAC codes outside the vocabulary are `unknown`, any other letter is null, or with strict an error."""
     ids = F.create_map(*(F.lit(v) for b in sorted({*IUPAC.upper()}) for v in (b, vocabulary.get(b, unknown))))
-    return F.transform(F.split(F.upper(dna), ""), lambda b: F.try_element_at(ids, b))
+    found = lambda b: F.try_element_at(ids, b)
+    return F.transform(F.split(F.upper(dna), ""), lambda b: F.coalesce(found(b), F.raise_error(F.concat(F.lit("unmapped base "), b)).cast("int")) if strict else found(b))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .hierarchy import cascade_delete, propagate_bounds
 from .intervals import overlap_flag
-from .tables import written
+from .tables import checked, written
 
 PART_TYPES = ("five_prime_UTR", "CDS", "three_prime_UTR")
 
@@ -99,7 +99,8 @@ def overlapping_parts(wide: DataFrame) -> DataFrame:
 
 
 def filter_features(wide: DataFrame, remove_incomplete: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Canonical transcripts of genes that pass all filters, and the log (seq, strand, gene_id, reason, start, stop). Works if nothing is filtered."""
+    """Canonical transcripts of genes that pass all filters, and the log (seq, strand, gene_id, reason, start, stop). Works if nothing is filtered.
+    A gene with several spans raises."""
     log = written(bad_canonical(wide), "filtered")
     kept = apply_filters(wide, log).where("canonical = '1'")
     steps = [(overlapping_genes, True), (incomplete, remove_incomplete), (overlapping_parts, True)]
@@ -107,7 +108,8 @@ def filter_features(wide: DataFrame, remove_incomplete: bool = True) -> tuple[Da
         found = written(step(kept), "filtered")  # a few columns of the genes that go; read again by each later step
         log = log.unionByName(found)
         kept = apply_filters(kept, found) if remove else kept
-    spans = wide.groupBy("seq", "strand", "gene_id").agg(F.min("gene_start").alias("start"), F.max("gene_stop").alias("stop"))
+    one = lambda c: checked(F.min(c), F.min(c) == F.max(c), f"a gene has several values of {c}")
+    spans = wide.groupBy("seq", "strand", "gene_id").agg(one("gene_start").alias("start"), one("gene_stop").alias("stop"))
     return kept, log.join(spans, ["seq", "strand", "gene_id"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import gaps, merge
-from .tables import written
+from .tables import checked, written
 
 UNIONS = 8  # generations until the ids found so far are written as one table
 
@@ -50,32 +50,40 @@ def attach_orphans(df: DataFrame) -> DataFrame:
 
 
 def remap_duplicate_ids(df: DataFrame) -> DataFrame:
-    """Rows with one id get _2, _3, ... in file order; a child goes to the first of its parents' rows that contains it."""
+    """Rows with one id get _2, _3, ... in file order; a child goes to the first of its parents' rows that contains it. A child whose
+    parent's id is repeated and none of whose rows contains it raises."""
     n = F.row_number().over(Window.partitionBy("id").orderBy("row"))
     new_id = lambda k: F.when(k > 1, F.concat_ws("_", "id", k)).otherwise(F.col("id"))
     named = df.withColumn("_k", n).withColumn("_new", F.when(F.col("id").isNotNull(), new_id(F.col("_k"))))
     parents = named.where("id is not null").select(F.col("id").alias("parent"), F.col("_new").alias("_p"), F.col("_k").alias("_pk"), F.col("start").alias("_ps"), F.col("stop").alias("_pe"), F.col("seq").alias("_pq"))
     hit = named.join(parents, "parent").where((F.col("_ps") <= F.col("start")) & (F.col("_pe") >= F.col("stop")) & (F.col("_pq") == F.col("seq")))
     first = hit.withColumn("_o", F.row_number().over(Window.partitionBy("row").orderBy("_pk"))).where("_o = 1").select("row", "_p")
-    return named.join(first, "row", "left").withColumn("parent", F.coalesce("_p", "parent")).withColumn("id", F.col("_new")).select(*df.columns)
-
-
-def representative(df: DataFrame, mode: str = "longest", flag: str = "canonical") -> DataFrame:
-    """(id, parent): one mRNA for each known gene. longest: by length; annotated: those with flag '1' only; annotated_or_longest:
-    flagged ones first. Ties go to the first row of the file."""
+    several = named.where("_k = 2 and id is not null").select(F.col("id").alias("parent"), F.lit(True).alias("_several"))
+    x = named.join(first, "row", "left").join(several, "parent", "left")
+    found = checked(F.coalesce("_p", "parent"), F.col("_p").isNotNull() | F.col("_several").isNull(), F.concat(F.lit("no parent contains the child of "), "parent"))
+    return x.withColumn("parent", found).withColumn("id", F.col("_new")).select(*df.columns)
+
+
+def representative(df: DataFrame, mode: str = "longest", flag: str = "canonical", allowed: tuple[str, ...] = ("", "0", "1")) -> DataFrame:
+    """(id, parent): one mRNA for each known gene. longest: by length; annotated: flagged ones ('1') first, then by length, and an error
+    if there is no flag column; annotated_or_longest: annotated where the column exists, else longest. A flag that is neither null nor
+    allowed raises. Ties go to the first row of the file."""
+    if mode not in ("longest", "annotated", "annotated_or_longest"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "annotated" and flag not in df.columns:
+        raise ValueError(f"no column {flag}")
     genes = df.where("type = 'gene'").select(F.col("id").alias("parent")).distinct()
     m = df.where("type = 'mRNA'").join(genes, "parent", "left_semi")
-    if mode == "annotated":
-        m = m.where(F.col(flag) == "1")
     order = [(F.col("stop") - F.col("start")).desc(), F.col("row")]
-    if mode == "annotated_or_longest":
-        order.insert(0, F.coalesce(F.col(flag) == "1", F.lit(False)).desc())
+    if mode != "longest" and flag in df.columns:
+        known = F.col(flag).isNull() | F.col(flag).isin(*allowed)
+        order.insert(0, checked(F.coalesce(F.col(flag) == "1", F.lit(False)), known, F.concat(F.lit(f"invalid value of {flag}: "), flag)).desc())
     return m.withColumn("_k", F.row_number().over(Window.partitionBy("parent").orderBy(*order))).where("_k = 1").select("id", "parent")
 
 
-def keep_representative(df: DataFrame, mode: str = "longest", flag: str = "canonical") -> DataFrame:
+def keep_representative(df: DataFrame, mode: str = "longest", flag: str = "canonical", allowed: tuple[str, ...] = ("", "0", "1")) -> DataFrame:
     """df with the genes that have a representative, that mRNA and its parts."""
-    best = representative(df, mode, flag)
+    best = representative(df, mode, flag, allowed)
     keep = best.select("id").unionByName(best.select(F.col("parent").alias("id"))).distinct()
     top = df.where("type in ('gene', 'mRNA')").join(keep, "id", "left_semi")
     parts = df.where("type not in ('gene', 'mRNA')").join(best.select(F.col("id").alias("parent")), "parent", "left_semi")
@@ -93,8 +101,11 @@ def propagate_bounds(df: DataFrame) -> DataFrame:
     return m.join(of, "id", "left").withColumn("start", F.when(is_g, F.coalesce("_s", "start")).otherwise(F.col("start"))).withColumn("stop", F.when(is_g, F.coalesce("_e", "stop")).otherwise(F.col("stop"))).select(*df.columns)
 
 
-def flatten(df: DataFrame, parts=("five_prime_UTR", "CDS", "three_prime_UTR")) -> DataFrame:
-    """Wide rows gene, transcript, part; sequence_length is the largest stop of a top-level feature of the sequence."""
+def flatten(df: DataFrame, parts=("five_prime_UTR", "CDS", "three_prime_UTR"), strict: bool = True) -> DataFrame:
+    """Wide rows gene, transcript, part; sequence_length is the largest stop of a top-level feature of the sequence. Exons are skipped;
+    strict: any other type raises."""
+    if strict:
+        df = df.withColumn("type", checked(F.col("type"), F.col("type").isin("gene", "mRNA", "exon", *parts), F.concat(F.lit("unknown feature type "), F.coalesce("type", F.lit("null")))))
     g = df.where("type = 'gene'").select(F.col("id").alias("gene_id"), "seq", "strand", F.col("start").alias("gene_start"), F.col("stop").alias("gene_stop"))
     m = df.where("type = 'mRNA'").select(F.col("id").alias("transcript_id"), F.col("parent").alias("gene_id"), F.col("start").alias("transcript_start"), F.col("stop").alias("transcript_stop"), *([F.col("canonical")] if "canonical" in df.columns else []))
     p = df.where(F.col("type").isin(*parts)).select(F.col("id").alias("feature_id"), F.col("parent").alias("transcript_id"), F.col("type").alias("feature_type"), F.col("start").alias("feature_start"), F.col("stop").alias("feature_stop"))
@@ -180,9 +191,17 @@ def group_parts(intervals: DataFrame, min_length: int) -> DataFrame:
     return x.select("seq", "strand", "gene", F.col("start").alias("t_start"), F.col("stop").alias("t_stop"), F.col("r_entity").alias("entity"), F.col("r_start").alias("start"), F.col("r_stop").alias("stop"))
 
 
-def emit_features(groups: DataFrame) -> DataFrame:
+def emit_features(groups: DataFrame, strip_introns: bool = True) -> DataFrame:
     """GFF-like rows (id, parent, type, seq, strand, start, stop, phase) from group_parts: a gene and an mRNA for each group with CDS or
-    UTR parts, bounded by these, and the parts, numbered by type in genomic order."""
+    UTR parts, bounded by these, and the parts, numbered by type in genomic order. Without strip_introns a group that begins or ends
+    with an intron raises."""
+    if not strip_introns:
+        w = Window.partitionBy("seq", "gene")
+        inner = F.when(F.col("entity") != "intron", F.col("start")), F.when(F.col("entity") != "intron", F.col("stop"))
+        inside = (F.col("entity") != "intron") | ((F.col("start") > F.min(inner[0]).over(w)) & (F.col("stop") < F.max(inner[1]).over(w)))
+        x = groups.where(F.col("entity").isin("CDS", "five_prime_UTR", "three_prime_UTR", "intron")).withColumn("_in", inside)
+        bad = F.max(F.coalesce(~F.col("_in"), F.lit(True))).over(w)
+        groups = x.withColumn("start", checked(F.col("start"), ~bad, "a gene has terminal introns")).drop("_in")
     p = groups.where(F.col("entity").isin("CDS", "five_prime_UTR", "three_prime_UTR"))
     gid = F.concat(F.col("seq"), F.lit(".gene_"), F.col("gene").cast("string"))
     p = p.withColumn("gid", gid).withColumn("tid", F.concat("gid", F.lit(".t1")))

@@ -50,6 +50,27 @@ def boundary_masks(log: DataFrame, genes: DataFrame, up: int = 944, down: int =
     return near.select(*KEYS, "gene_id", "reason", a.alias("start"), b.alias("stop"))
 
 
+def reason_masks(log: DataFrame, genes: DataFrame, domain: DataFrame, remove_incomplete: bool = True, up: int = 944, down: int = 1240, partial: str = "incomplete_features") -> DataFrame:
+    """(seq, strand, reason, start, stop): what each reason of log(seq, strand, reason, start, stop) masks of domain(seq, strand, lo, hi).
+
+    A filtered gene is masked itself. One of reason `partial` is masked with its flanks, or, if such genes are kept
+    (remove_incomplete False), by its flanks alone. Flanks are `up` bases before and `down` bases after it in reading order, cut at the
+    nearest other gene and at the domain. Empty masks are left out."""
+    if up < 1 or down < 1:
+        raise ValueError("flanks must be at least one base")
+    one = log.select(*KEYS, "reason", "start", "stop").distinct()
+    is_partial = F.col("reason") == partial
+    near = nearest(one.where(is_partial), genes.select(*KEYS, "start", "stop"), KEYS).join(domain, [*KEYS])
+    plus = F.col("strand") == "+"
+    left, right = F.when(plus, F.lit(up)).otherwise(F.lit(down)), F.when(plus, F.lit(down)).otherwise(F.lit(up))
+    before = F.struct(F.greatest(F.col("start") - left, "upstream_stop", "lo").alias("a"), F.least("start", "hi").alias("b"))
+    after = F.struct(F.greatest("stop", "lo").alias("a"), F.least(F.col("stop") + right, "downstream_start", "hi").alias("b"))
+    flanks = near.select(*KEYS, "reason", F.inline(F.array(before, after))).where("a < b").select(*KEYS, "reason", F.col("a").alias("start"), F.col("b").alias("stop"))
+    inner = (one if remove_incomplete else one.where(~is_partial)).join(domain, [*KEYS])
+    inner = inner.select(*KEYS, "reason", F.greatest("start", "lo").alias("start"), F.least("stop", "hi").alias("stop")).where("start < stop")
+    return inner.unionByName(flanks).distinct()
+
+
 def masked_runs(runs: DataFrame, masks: DataFrame, label: str = "label", mask_value: int = -1) -> DataFrame:
     """Label runs (seq, strand, label, start, stop) with every masked stretch cut out and given mask_value."""
     m = merge(masks, KEYS).select(*KEYS, F.col("start").alias("ms"), F.col("stop").alias("me"))

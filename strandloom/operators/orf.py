@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
+from ..sources import fasta
 from .hierarchy import cds_phase
 
 GROWTH = 1.3  # a chain of over two genes must be this much longer than its longest member
@@ -17,14 +18,17 @@ def gene_table(df: DataFrame, sequence: DataFrame) -> DataFrame:
 
     donor and acceptor are the two bases at the gene's ends that a junction with the neighbour is judged by."""
     m = df.where("type = 'mRNA'").select(F.col("id").alias("parent"), F.col("parent").alias("gene"))
-    parts = df.where("type = 'CDS'").select("parent", "start", "stop").join(m, "parent").groupBy("gene").agg(F.collect_set(F.struct("start", "stop")).alias("parts"))  # one gene's CDS
-    g = df.where("type = 'gene'").select("seq", "strand", F.col("id").alias("gene"), "start", "stop").join(parts, "gene", "left").join(sequence, "seq")
-    plus = F.col("strand") == "+"
-    s = lambda a, n: F.upper(F.substr("dna", a.cast("int"), F.lit(n)))
-    donor = F.when(plus, s(F.col("stop"), 2)).otherwise(D.reverse_complement(s(F.col("stop") - 1, 2)))
-    acceptor = F.when(plus, s(F.greatest(F.col("start") - 1, F.lit(1)), 2)).otherwise(D.reverse_complement(s(F.col("start") + 2, 2)))
-    cds = F.when(F.col("parts").isNotNull(), F.upper(D.spliced(F.col("dna"), F.col("parts"), F.col("strand")))).otherwise("")
-    return g.select("seq", "strand", "gene", "start", "stop", cds.alias("cds"), donor.alias("donor"), acceptor.alias("acceptor"))
+    g = df.where("type = 'gene'").select("seq", "strand", F.col("id").alias("gene"), "start", "stop").join(sequence.select("seq"), "seq", "left_semi")
+    parts = df.where("type = 'CDS'").select("parent", "start", "stop").join(m, "parent").join(g.select("gene", "seq"), "gene").select("gene", "seq", F.lit("cds").alias("kind"), "start", "stop")
+    plus, zero = F.col("strand") == "+", F.lit(0)
+    two = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.greatest(at, zero).alias("start"), (F.greatest(at, zero) + 2).alias("stop"))
+    ends = F.array(two("donor", F.when(plus, F.col("stop") - 1).otherwise(F.col("stop") - 2)), two("acceptor", F.when(plus, F.col("start") - 2).otherwise(F.col("start") + 1)))
+    places = parts.unionByName(g.select("gene", "seq", F.inline(ends)))
+    found = fasta.cut(places, fasta.blocks(sequence, fasta.SLICE), ("gene", "kind"))
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("dna"))).alias(k)
+    x = g.join(found.groupBy("gene").agg(*(of(k) for k in ("cds", "donor", "acceptor"))), "gene")
+    read = lambda k: F.upper(F.when(plus, F.col(k)).otherwise(D.reverse_complement(F.col(k)))).alias(k)
+    return x.select("seq", "strand", "gene", "start", "stop", F.coalesce(read("cds"), F.lit("")).alias("cds"), read("donor"), read("acceptor"))
 
 
 def complete(nuc: str) -> bool:

@@ -5,7 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def checked(value: Column, ok: Column, message: str | Column) -> Column:
+    """value, or an error with that message when a row is read for which ok is not true."""
+    text = F.lit(message) if isinstance(message, str) else message
+    return F.when(ok, value).otherwise(F.raise_error(text))
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

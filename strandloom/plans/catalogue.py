@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import dna as D
 from ..functions import logits as L
-from ..operators import decode, filters, hierarchy, intervals, labels, orf, runs, stats
+from ..operators import dataset, decode, filters, hierarchy, intervals, labels, orf, runs, stats
 from ..operators import evaluate as E
+from ..sources import fasta, gff, reports
 from .fixtures import base, ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -774,18 +775,10 @@ def codon_usage(spark, d):
     return view(spark, d, "dna").select(F.explode(D.codons(F.col("dna"))).alias("codon")).groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ORF = ", o AS (SELECT doc_id, concat('ATG', translate(substr(dna, 1, (doc_id % 6 * 3)::BIGINT), 'T', 'C'), CASE WHEN doc_id % 4 = 0 THEN 'TGA' WHEN doc_id % 4 = 1 THEN 'TAA' ELSE substr(dna, 1, (doc_id % 5)::BIGINT) END) AS s FROM dna)"
-
-
-@query(DN + _ORF + " SELECT doc_id, length(s) >= 6 AND length(s) % 3 = 0 AND right(s, 3) IN ('TAA', 'TAG', 'TGA') AND NOT regexp_matches(substr(s, 1, length(s) - 3), '^(...)*(TAA|TAG|TGA)') AS orf FROM o")
-def orf_flag(spark, d):
-    x = view(spark, d, "dna").select("doc_id", F.concat(F.lit("ATG"), F.translate(F.substr("dna", F.lit(1), (F.col("doc_id") % 6 * 3).cast("int")), "T", "C"), F.when(F.col("doc_id") % 4 == 0, "TGA").when(F.col("doc_id") % 4 == 1, "TAA").otherwise(F.substr("dna", F.lit(1), (F.col("doc_id") % 5).cast("int")))).alias("s"))
-    return x.select("doc_id", D.is_complete_orf(F.col("s")).alias("orf"))
-
-
-@query()
+@query(DN + """, o AS (SELECT doc_id, 'ATG' || CASE WHEN doc_id % 2 = 0 THEN translate(dna, 'T', 'C') ELSE dna END || 'TGA' AS s FROM dna)
+SELECT doc_id, coalesce(regexp_full_match(s, 'ATG(?:[ACG]..|T[CT].|TA[CT]|TG[CGT])*(?:TAA|TAG|TGA)'), FALSE) AS orf FROM o""")
 def orf_flag_whole(spark, d):
-    """The same check over all bases of each text, between a start and a stop codon, T turned into C in even ids; no SQL form (hand cases in the tests)."""
+    """All bases of each text between a start and a stop codon; without T in even ids, so that some hold no other stop."""
     dna = F.when(F.col("doc_id") % 2 == 0, F.translate("dna", "T", "C")).otherwise(F.col("dna"))
     return view(spark, d, "dna").select("doc_id", D.is_complete_orf(F.concat(F.lit("ATG"), dna, F.lit("TGA"))).alias("orf"))
 
@@ -806,20 +799,26 @@ def splice_motifs(spark, d):
     return rounded(E.splice_motifs(i, x.select("seq", "dna")), "percent")
 
 
-@query(DN + " SELECT doc_id, concat(substr(dna, 11, 20), substr(dna, 51, 20)) AS s FROM dna WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, reverse(translate(concat(substr(dna, 11, 20), substr(dna, 51, 20)), 'ACGT', 'TGCA')) FROM dna WHERE doc_id % 2 = 1")
-def spliced_sequence(spark, d):
-    parts = F.array(F.struct(F.lit(50).alias("start"), F.lit(70).alias("stop")), F.struct(F.lit(10).alias("start"), F.lit(30).alias("stop")))
-    return view(spark, d, "dna").select("doc_id", D.spliced(F.col("dna"), parts, F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")).alias("s"))
-
-
-@query()
+@query(DN + """, p AS (SELECT doc_id, coalesce(string_agg(substr(dna, (k * 40 + 11)::BIGINT, 20), '' ORDER BY k), '') AS s FROM dna LEFT JOIN (SELECT doc_id, unnest(range(0, length(dna) // 40)) AS k FROM dna) x USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN s ELSE reverse(translate(s, 'ACGT', 'TGCA')) END AS s FROM p""")
 def spliced_sequence_whole(spark, d):
-    """The bases 10 to 30 of each 40 bases of a text, as splice_motifs cuts it; no SQL form (hand cases in the tests)."""
+    """The bases 10 to 30 of each 40 bases of a text, as splice_motifs cuts it."""
     n = F.expr("length(dna) div 40").cast("int")
     parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.struct((k * 40 + 10).alias("start"), (k * 40 + 30).alias("stop")))).otherwise(F.array())
     return view(spark, d, "dna").select("doc_id", D.spliced(F.col("dna"), parts, F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")).alias("s"))
 
 
+@query(DN + """, p AS (SELECT doc_id, string_agg(substr(dna, (k * 40 + 11)::BIGINT, 20), '' ORDER BY k) AS s FROM dna JOIN (SELECT doc_id, unnest(range(0, length(dna) // 40)) AS k FROM dna) x USING (doc_id) GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS seq, CASE WHEN doc_id % 2 = 0 THEN s ELSE reverse(translate(s, 'ACGT', 'TGCA')) END AS dna FROM p""")
+def transcript_sequences(spark, d):
+    """The same parts as features of one transcript for each text, read from sequence blocks."""
+    x = view(spark, d, "dna").select(F.col("doc_id").cast("string").alias("seq"), (F.col("doc_id") % 2 == 0).alias("even"), "dna")
+    n = F.expr("length(dna) div 40").cast("long")
+    f = x.where(n > 0).select("seq", F.when(F.col("even"), "+").otherwise("-").alias("strand"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k"))
+    f = f.select(F.col("seq").alias("parent"), F.lit("CDS").alias("type"), "seq", "strand", (F.col("k") * 40 + 10).alias("start"), (F.col("k") * 40 + 30).alias("stop"))
+    return fasta.transcripts(f, x.select("seq", "dna"))
+
+
 @query(DN + ", t AS (SELECT unnest(string_split(dna, '')) AS b FROM dna) SELECT CASE b WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 4 END AS token, count(*) AS n FROM t GROUP BY token")
 def tokenise_bases(spark, d):
     x = view(spark, d, "dna").where(F.length("dna") > 0).select(F.explode(D.tokens(F.col("dna"), {"A": 0, "C": 1, "G": 2}, 4)).alias("token"))
@@ -894,3 +893,86 @@ def mean_pool(spark, d):
 SELECT round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f1), 9) AS f1, round(avg(jaccard), 9) AS jaccard FROM e""")
 def eval_macro_mean(spark, d):
     return rounded(E.macro_mean(E.entity_metrics(_strands(spark, d), "typ")), "precision", "recall", "f1", "jaccard")
+
+
+# --- datasets and inputs -------------------------------------------------------------------------------------------------
+
+_MASKS = """, n AS (SELECT seq, strand, gene_id, 'canonical_transcript' AS reason FROM badc UNION SELECT seq, strand, gene_id, 'incomplete_features' FROM wide WHERE canonical = '1' GROUP BY seq, strand, gene_id, transcript_id HAVING count(DISTINCT feature_type) < 3),
+g AS MATERIALIZED (SELECT DISTINCT seq, strand, gene_id, gene_start AS start, gene_stop AS stop FROM wide), dm AS (SELECT seq, strand, max(sequence_length) - 100 AS hi FROM wide GROUP BY ALL),
+l AS MATERIALIZED (SELECT DISTINCT seq, strand, reason, start, stop FROM n JOIN g USING (seq, strand, gene_id)),
+f AS (SELECT l.*, hi, CASE WHEN strand = '+' THEN 944 ELSE 1240 END AS a, CASE WHEN strand = '+' THEN 1240 ELSE 944 END AS b, (SELECT max(g.stop) FROM g WHERE g.seq = l.seq AND g.strand = l.strand AND g.stop < l.start) AS u, (SELECT min(g.start) FROM g WHERE g.seq = l.seq AND g.strand = l.strand AND g.start > l.stop) AS d FROM l JOIN dm USING (seq, strand)),
+q AS (SELECT seq, strand, reason, start, least(stop, hi) AS stop FROM f UNION SELECT seq, strand, reason, greatest(start - a, u, 0), least(start, hi) FROM f WHERE reason = 'incomplete_features' UNION SELECT seq, strand, reason, stop, least(stop + b, d, hi) FROM f WHERE reason = 'incomplete_features')
+SELECT * FROM q WHERE start < stop"""
+
+
+@query(WD + _BADC + _MASKS)
+def reason_masks(spark, d):
+    w = view(spark, d, "wide")
+    g = w.select("seq", "strand", "gene_id", F.col("gene_start").alias("start"), F.col("gene_stop").alias("stop")).distinct()
+    domain = w.groupBy("seq", "strand").agg(F.lit(0).cast("long").alias("lo"), (F.max("sequence_length") - 100).alias("hi"))
+    log = filters.bad_canonical(w).unionByName(filters.incomplete(w))
+    return labels.reason_masks(log.join(g, ["seq", "strand", "gene_id"]), g, domain)
+
+
+@query(LB + TAG + " SELECT grp, pos, label, tag::INTEGER AS tag, ((pos * 7 + grp) % 5)::INTEGER AS token FROM t")
+def label_token_dataset(spark, d):
+    """Labels in blocks of 16 places with tokens of seven places more, joined and taken apart again."""
+    x = view(spark, d, "label")
+    own = dataset.pack(x, ["grp"], "label", 16)
+    token = lambda df: df.select("grp", "pos", ((F.col("pos") * 7 + F.col("grp")) % 5).cast("int").alias("token"))
+    more = x.groupBy("grp").agg(F.max("pos").alias("n")).withColumn("pos", F.explode(F.sequence(F.col("n") + 1, F.col("n") + 7)))
+    made = dataset.label_tokens(own, dataset.pack(token(x).unionByName(token(more)), ["grp"], "token", 16), ["grp"])
+    return made.select("grp", "block", F.posexplode(F.arrays_zip("label", "tag", "token"))).select("grp", (F.col("block") * 16 + F.col("pos")).alias("pos"), "col.label", "col.tag", "col.token")
+
+
+@query(LB + ", a AS (SELECT grp, count(*) AS n FROM label GROUP BY grp), b AS (SELECT user_id AS grp, max(event_id) AS last FROM events GROUP BY user_id) SELECT a.grp, n, last FROM a JOIN b ON b.grp = a.grp")
+def aligned_join(spark, d):
+    a = view(spark, d, "label").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    return dataset.exact_join(a, base(spark, d, "events").groupBy(F.col("user_id").alias("grp")).agg(F.max("event_id").alias("last")), ["grp"])
+
+
+@query(LB + " SELECT grp, pos, label FROM label")
+def shard_merge(spark, d):
+    """Three shards of each group's places, put together and checked for gaps."""
+    x = view(spark, d, "label")
+    return dataset.merge_shards([x.where(F.col("pos") % 3 == k) for k in (1, 0, 2)], ["grp"]).select("grp", "pos", "label")
+
+
+@query("SELECT vec_id, k AS place, round(embedding[k + 1]::DOUBLE, 6) AS value FROM (FROM embeddings ORDER BY vec_id LIMIT 50) e, range(8) r(k)")
+def sample_reader(spark, d):
+    """The first 50 samples with eight places each; both limits are the reader's."""
+    x = dataset.samples(base(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], 50, 8)
+    return rounded(x.select("vec_id", F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("place", "value")).withColumn("place", F.col("place").cast("long")), "value", digits=6)
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % 6)::INTEGER AS worker FROM documents")
+def strided_split(spark, d):
+    return dataset.strided(base(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 6).select("doc_id", "worker")
+
+
+@query("""WITH m AS (SELECT r_name AS species, n_name AS seq, n_nationkey AS num FROM nation JOIN region ON r_regionkey = n_regionkey), a AS (SELECT DISTINCT n_name AS seq FROM nation WHERE n_nationkey % 4 <> 0), b AS (SELECT DISTINCT n_name AS seq FROM nation WHERE n_nationkey % 3 <> 0),
+o AS (SELECT species, string_agg(seq, ',' ORDER BY seq) AS lex, string_agg(seq, ',' ORDER BY num) AS byn FROM m GROUP BY species)
+SELECT species, 'warning' AS level, 'features_only' AS issue, string_agg(seq, ',' ORDER BY seq) AS ids FROM m WHERE seq IN (FROM a) AND seq NOT IN (FROM b) GROUP BY species
+UNION ALL SELECT species, 'warning', 'sequence_only', string_agg(seq, ',' ORDER BY seq) FROM m WHERE seq IN (FROM b) AND seq NOT IN (FROM a) GROUP BY species
+UNION ALL SELECT species, 'warning', 'order', byn FROM o WHERE lex <> byn""")
+def id_validation(spark, d):
+    m = base(spark, d, "nation").join(base(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    m = m.select(F.col("r_name").alias("species"), F.col("n_name").alias("source"), F.concat(F.lit("chr"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").alias("k"))
+    ids = lambda n: m.where(F.col("k") % n != 0).select("species", F.col("source").alias("seq"))
+    return reports.validate_ids(m.drop("k"), ids(4), ids(3))
+
+
+_NORMAL = """, t AS (SELECT f.*, row_number() OVER (PARTITION BY parent ORDER BY (canonical = '1') DESC, stop - start DESC, row) AS k FROM feature f WHERE type = 'mRNA'), b AS MATERIALIZED (SELECT * FROM t WHERE k = 1)
+SELECT id, parent, type, start, stop, CAST(NULL AS VARCHAR) AS longest FROM feature WHERE type = 'gene' AND id IN (SELECT parent FROM b) UNION ALL SELECT id, parent, 'mRNA', start, stop, '1' FROM b
+UNION ALL SELECT concat_ws(':', f.type, f.parent, f.start + 1, f.stop, f.strand), f.parent, f.type, f.start, f.stop, NULL FROM feature f JOIN b ON b.id = f.parent"""
+
+
+@query(FT + _NORMAL)
+def normalised_features(spark, d):
+    """Transcripts of two type names with tags, and parts whose parent list has an unknown id first."""
+    x = view(spark, d, "feature")
+    kind = F.when((F.col("type") == "mRNA") & (F.col("start") % 2 == 0), "transcript").otherwise(F.col("type"))
+    tag = F.when(F.col("canonical") == "1", "basic, Ensembl_canonical").otherwise("basic")
+    part = ~F.col("type").isin("gene", "mRNA")
+    x = x.select("id", F.when(part, F.concat(F.lit("none,"), "parent")).otherwise(F.col("parent")).alias("parent"), kind.alias("type"), "seq", "strand", "start", "stop", "row", F.create_map(F.lit("tag"), tag).alias("attrs"), F.lit("").alias("attributes"))
+    return gff.normalise(x).select("id", "parent", "type", "start", "stop", F.try_element_at("attrs", F.lit("longest")).alias("longest"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logits as L
-from ..operators import decode, evaluate, filters, hierarchy, labels, runs
+from ..operators import decode, evaluate, filters, hierarchy, labels, runs, stats
 from ..sources import fasta
 
 #: Class groups of decoded states, by name of the interval that they make.
@@ -41,11 +41,13 @@ def sequence_windows(sequence: DataFrame, window: int, stride: int) -> DataFrame
     """Windows of both strands of sequence(seq, dna); the negative strand is the complement in genomic order."""
     from ..functions.dna import complement
 
-    x = sequence.withColumn("n", F.length("dna")).withColumn("length", runs.padded_length(F.col("n"), window, stride))
-    both = x.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-")))).withColumn("dna", F.rpad(F.when(F.col("strand") == "-", complement(F.col("dna"))).otherwise(F.col("dna")), F.col("length").cast("int"), F.lit("N")))
-    w = runs.index_windows(both, "length", window, stride)
-    w = w.withColumn("dna", F.substr("dna", (F.col("start") + 1).cast("int"), F.lit(window))).withColumn("v_stop", F.least("v_stop", "n"))
-    return w.where("v_start < v_stop").select("seq", "strand", "start", "stop", "v_start", "v_stop", "dna")
+    x = sequence.select("seq", F.length("dna").alias("n")).withColumn("length", runs.padded_length(F.col("n"), window, stride))
+    w = runs.index_windows(x, "length", window, stride).withColumn("v_stop", F.least("v_stop", "n")).where("v_start < v_stop")
+    key = ("name", "v_start", "v_stop", "w_start", "w_stop")
+    w = fasta.cut(w.select("seq", "start", "stop", F.col("seq").alias("name"), "v_start", "v_stop", F.col("start").alias("w_start"), F.col("stop").alias("w_stop")), fasta.blocks(sequence, fasta.SLICE), key)
+    w = w.withColumn("dna", F.rpad("dna", window, "N")).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    dna = F.when(F.col("strand") == "-", complement(F.col("dna"))).otherwise(F.col("dna")).alias("dna")
+    return w.select(F.col("name").alias("seq"), "strand", F.col("w_start").alias("start"), F.col("w_stop").alias("stop"), "v_start", "v_stop", dna)
 
 
 def predicted_intervals(scored: DataFrame, bias: float = 0.0, domain: str = "plant", complete: bool = True, direct: bool = False, alpha: float | None = None) -> DataFrame:
@@ -76,10 +78,19 @@ def prepare(features: DataFrame, up: int = 944, down: int = 1240) -> dict[str, D
     kept, log = filters.filter_features(wide)
     domain = wide.groupBy("seq", "strand").agg(F.lit(0).cast("long").alias("lo"), F.max("sequence_length").alias("hi"))
     genes = wide.select("seq", "strand", "gene_id", F.col("gene_start").alias("start"), F.col("gene_stop").alias("stop")).distinct()
-    masks = labels.boundary_masks(log.select("seq", "strand", "gene_id", "reason", "start", "stop"), genes, up, down)
+    masks = labels.reason_masks(log.select("seq", "strand", "gene_id", "reason", "start", "stop"), genes, domain, up=up, down=down)
     return {"kept": kept, "log": log, "stacked": hierarchy.stack(kept), "layers": labels.feature_layers(kept, domain), "regions": labels.region_layers(kept), "masks": masks}
 
 
+def summarize(features: DataFrame) -> dict[str, DataFrame]:
+    """Summary tables of a feature tree: counts with percentages, transcripts per gene, canonical rate and kinds of parts."""
+    tables = {f"by_{c}": stats.value_counts(features, c) for c in ("source", "type", "strand", "seq") if c in features.columns}
+    tables |= {"transcripts_per_gene": stats.children_histogram(features), "type_combinations": stats.type_combinations(features)}
+    if "canonical" in features.columns:
+        tables["canonical_rate"] = stats.canonical_rate(features)
+    return tables
+
+
 def evaluate_trees(pred: DataFrame, true: DataFrame) -> DataFrame:
     """One table (section, level, tp, fp, fn, precision, recall, f1) of all evaluation levels."""
     parts = {"locus": evaluate.locus_counts, "structure": evaluate.structure_counts, "pairs": evaluate.transcript_levels, "sites": evaluate.site_counts}

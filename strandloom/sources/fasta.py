@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+SLICE = 1 << 14  # width of the blocks that cut() takes bases from; each place walks through half a block on average
 
 
 def read(spark: SparkSession, path, names: dict[str, str] | None = None) -> DataFrame:
@@ -30,6 +31,21 @@ def blocks(sequence: DataFrame, size: int = BLOCK, overlap: int = 0) -> DataFram
     return x.select("seq", "block", (F.col("block").cast("long") * size).alias("offset"), "dna")
 
 
+def cut(places: DataFrame, pieces: DataFrame, keys: tuple[str, ...], size: int = SLICE) -> DataFrame:
+    """(keys, dna): the bases of each key's distinct half-open places (keys, seq, start, stop) in genomic order, from blocks() of that size.
+
+    A place is dealt to the blocks it touches, so no row carries a whole sequence. Places without bases give ''; those before or
+    beyond the sequence are clipped."""
+    a, b = F.greatest("start", F.lit(0)).cast("long"), F.greatest(F.col("stop") - 1, F.col("start"), F.lit(0)).cast("long")
+    block = lambda p: F.floor(p / F.lit(size)).cast("int")
+    each = places.select(*keys, "seq", "start", "stop").distinct().withColumn("block", F.explode(F.sequence(block(a), block(b))))
+    x = each.join(pieces.select("seq", "block", "offset", "dna"), ["seq", "block"], "left")
+    lo, hi = F.greatest("start", "offset"), F.least("stop", F.col("offset") + size)
+    piece = F.coalesce(F.when(lo < hi, F.substr("dna", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))), F.lit(""))
+    x = x.select(*keys, F.struct("start", "stop", "block", piece.alias("dna")).alias("p"))
+    return x.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("p"))["dna"], "").alias("dna"))  # one key's places
+
+
 def bases_at(places: DataFrame, pieces: DataFrame, at: Column, n: int, name: str, size: int = BLOCK) -> DataFrame:
     """places with the n bases from place `at` on (fewer at the sequence's end), from blocks() of that size with an overlap of n - 1."""
     x = places.withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / F.lit(size)).cast("int"))
@@ -49,8 +65,10 @@ def write(sequence: DataFrame, path: str, width: int = 60) -> None:
 
 def transcripts(features: DataFrame, sequence: DataFrame, types=("CDS",)) -> DataFrame:
     """(seq, dna): the spliced sequence of each transcript's parts; those with other letters than A, C, G, T are left out."""
-    from ..functions.dna import spliced
+    from ..functions.dna import reverse_complement
 
-    p = features.where(F.col("type").isin(*types)).groupBy("parent", "seq", "strand").agg(F.collect_set(F.struct("start", "stop")).alias("parts"))  # one transcript
-    x = p.join(sequence.select("seq", "dna"), "seq").select(F.col("parent").alias("seq"), spliced(F.col("dna"), F.col("parts"), F.col("strand")).alias("dna"))
+    p = features.where(F.col("type").isin(*types)).select("parent", "strand", "seq", "start", "stop")
+    p = p.withColumn("_seq", F.col("seq"))
+    x = cut(p, blocks(sequence, SLICE), ("parent", "_seq", "strand"))
+    x = x.select(F.col("parent").alias("seq"), F.when(F.col("strand") == "-", reverse_complement(F.col("dna"))).otherwise(F.col("dna")).alias("dna"))
     return x.where(F.col("dna").rlike("^[ACGTacgt]+$"))

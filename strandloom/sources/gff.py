@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A
@@ -10,7 +13,7 @@ from ..functions import attributes as A
 COLUMNS = "seq string, source string, type string, start long, stop long, score double, strand string, phase byte, attributes string"
 
 
-def read(spark: SparkSession, path, lenient: bool = False, types: list[str] | None = None, seqs: list[str] | None = None, sources: list[str] | None = None) -> DataFrame:
+def read(spark: SparkSession, path, lenient: bool = False, types: list[str] | None = None, seqs: list[str] | None = None, sources: list[str] | None = None, source_types: list[tuple[str, str]] | None = None) -> DataFrame:
     """Feature rows with the map attrs, id, parent and row (file order). The filters act before attributes are parsed.
 
     '.' is null; only lines that begin with # are comments, and quotes have no meaning."""
@@ -19,17 +22,21 @@ def read(spark: SparkSession, path, lenient: bool = False, types: list[str] | No
     for col, names in (("type", types), ("seq", seqs), ("source", sources)):
         if names is not None:
             df = df.where(F.col(col).isin(*names))
+    if source_types is not None:
+        either = [(F.col("source") == s) & (F.col("type") == t) for s, t in source_types]
+        df = df.where(reduce(or_, either, F.lit(False)))
     df = df.withColumn("start", F.col("start") - 1).withColumn("attrs", A.parse(F.col("attributes"), lenient))
     return df.withColumn("id", F.try_element_at("attrs", F.lit("ID"))).withColumn("parent", F.try_element_at("attrs", F.lit("Parent")))
 
 
 def read_gtf(spark: SparkSession, path) -> DataFrame:
-    """GFF2 or GTF: `key "value";` attributes; transcript_id (transcriptId, proteinId) is the parent of parts, gene_id of transcripts."""
+    """GFF2 or GTF: `key "value";` attributes; transcript_id (transcriptId, proteinId) is the parent of parts, gene_id of transcripts.
+    Values of a repeated key are joined by commas."""
     df = spark.read.schema(COLUMNS).option("sep", "\t").option("comment", "#").option("nullValue", ".").option("quote", "").csv(path).withColumn("row", F.monotonically_increasing_id()).withColumn("start", F.col("start") - 1)
     keys, plain = F.regexp_extract_all("attributes", F.lit(r'([\w.-]+)\s+(?:"([^"]*)"|([^;"\s]+))'), 1), F.regexp_extract_all("attributes", F.lit(r'([\w.-]+)\s+(?:"([^"]*)"|([^;"\s]+))'), 0)
     values = F.transform(plain, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\w.-]+\s+", ""), '^"|"$', ""))
     pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    attrs = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
+    attrs = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], F.concat_ws(",", F.try_element_at(m, e["key"]), e["value"]))))
     df = df.withColumn("attrs", F.coalesce(attrs, F.create_map().cast("map<string,string>")))
     get = lambda k: F.try_element_at("attrs", F.lit(k))
     transcript = F.coalesce(get("transcript_id"), get("transcriptId"), get("proteinId"))
@@ -61,12 +68,17 @@ def lines(df: DataFrame):
     """The nine GFF columns of each row as one line, in system A coordinates; `attributes` is used if there, else id and parent."""
     attributes = F.col("attributes") if "attributes" in df.columns else A.id_parent(F.col("id"), F.col("parent"))
     col = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(".")) if c in df.columns else F.lit(".")
-    return F.concat_ws("\t", col("seq"), col("source"), col("type"), (F.col("start") + 1).cast("string"), F.col("stop").cast("string"), col("score"), col("strand"), col("phase"), F.coalesce(attributes, F.lit(".")))
+    return F.concat_ws("\t", col("seq"), col("source"), col("type"), F.coalesce((F.col("start") + 1).cast("string"), F.lit(".")), col("stop"), col("score"), col("strand"), col("phase"), F.coalesce(attributes, F.lit(".")))
 
 
-def write(df: DataFrame, path: str, header_lines: list[str] | None = None, order: list[str] | None = None) -> None:
-    """One sorted text file: header, then features in file order (row) or by `order`. A GFF file is one file by definition;
-    rows are sorted in parallel by range before they are put together."""
+def write(df: DataFrame, path: str, header_lines: list[str] | None = None, order: list[str] | None = None, fill_missing: bool = True) -> None:
+    """One sorted text file: header, then features in file order (row) or by `order`. A GFF file is one file by definition: one task
+    sorts and writes it, on disk where it must. Nulls become '.'; without fill_missing a null or missing column of the nine raises."""
+    if not fill_missing:
+        if gone := [c.split()[0] for c in COLUMNS.split(", ") if c.split()[0] not in df.columns]:
+            raise ValueError(f"missing columns: {gone}")
+        full = reduce(and_, (F.col(c.split()[0]).isNotNull() for c in COLUMNS.split(", ")))
+        df = df.withColumn("seq", F.when(full, F.col("seq")).otherwise(F.raise_error(F.lit("a null in a required column"))))
     spark = df.sparkSession
     head = spark.createDataFrame([(-1, i, x) for i, x in enumerate(header_lines or ["##gff-version 3"])], "a int, b long, value string")
     keyed = df.select(F.lit(0).alias("a"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(order or ["row"])], lines(df).alias("value"))
@@ -75,6 +87,33 @@ def write(df: DataFrame, path: str, header_lines: list[str] | None = None, order
     head.orderBy("b").select("value").coalesce(1).unionByName(body).coalesce(1).write.mode("overwrite").text(path)
 
 
+def normalise(df: DataFrame, tag: str = "Ensembl_canonical") -> DataFrame:
+    """Rows of read() from files with several transcripts of a gene: each known gene with a transcript, one transcript of it as mRNA
+    with longest=1, and that one's exons, CDS and UTRs, with ids type:parent:start:stop:strand (1-based).
+
+    A transcript with the tag goes before others, then the longest one, then the first of the file. A gene or chosen transcript with
+    several rows raises. Of several parents the first chosen one counts."""
+    first = F.trim(F.element_at(F.filter(F.split("parent", ","), lambda p: F.trim(p) != ""), 1))
+    is_t = F.col("type").isin("mRNA", "transcript")
+    genes = df.where("type = 'gene' and id <> ''").groupBy(F.col("id").alias("_gene")).agg(F.count(F.lit(1)).alias("_n"))
+    tagged = F.array_contains(F.transform(F.split(F.coalesce(F.try_element_at("attrs", F.lit("tag")), F.lit("")), ","), lambda t: F.trim(t)), tag)
+    t = df.where(is_t & (F.col("id") != "")).select(F.col("id").alias("_id"), first.alias("_gene"), F.struct(tagged.alias("c"), (F.col("stop") - F.col("start")).alias("n"), (-F.col("row")).alias("r")).alias("_rank"))
+    best = t.join(genes, "_gene").groupBy("_gene").agg(F.max(F.struct("_rank", "_id"))["_id"].alias("_id"), F.max("_n").alias("_n"))
+    times = t.groupBy("_gene", "_id").agg(F.count(F.lit(1)).alias("_m"))
+    best = best.join(times, ["_gene", "_id"]).select("_gene", F.when((F.col("_n") == 1) & (F.col("_m") == 1), F.col("_id")).otherwise(F.raise_error(F.concat(F.lit("several rows of "), "_gene"))).alias("_id"))
+    cols = [c for c in df.columns if c not in ("type", "id", "parent", "attrs", "attributes")]
+    out = lambda x, kind, ident, parent, attrs: x.select(*cols, kind.alias("type"), ident.alias("id"), parent.alias("parent"), attrs.alias("attrs"))
+    put = lambda *kv: F.map_concat(F.map_filter("attrs", lambda k, _: ~k.isin(*[a for a, _ in kv])), F.create_map(*(v for a, b in kv for v in (F.lit(a), b))))
+    g = out(df.where("type = 'gene'").join(best, F.col("id") == F.col("_gene")), F.col("type"), F.col("id"), F.col("parent"), F.col("attrs"))
+    m = df.where(is_t).withColumn("_gene", first).withColumnRenamed("id", "_id").join(best, ["_gene", "_id"])
+    m = out(m, F.lit("mRNA"), F.col("_id"), F.col("parent"), put(("longest", F.lit("1"))))
+    c = df.where(F.col("type").isin("exon", "CDS", "five_prime_UTR", "three_prime_UTR")).select("*", F.posexplode(F.split("parent", ",")).alias("_k", "_p")).withColumn("_id", F.trim("_p"))
+    c = c.join(best.select("_id"), "_id").withColumn("_o", F.row_number().over(Window.partitionBy("row").orderBy("_k"))).where("_o = 1")
+    name = F.concat_ws(":", "type", "_id", F.col("start") + 1, "stop", "strand")
+    c = out(c, F.col("type"), name, F.col("_id"), put(("Parent", F.col("_id")), ("ID", name)))
+    return g.unionByName(m).unionByName(c).withColumn("attributes", A.render(F.col("attrs"))).select(*df.columns)
+
+
 def load(spark: SparkSession, path, drop: list[str] | None = None) -> DataFrame:
     """read() with normalised attribute names and without the attributes in drop; `attributes` is written anew. Names that clash raise."""
     df = read(spark, path)

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.attributes import chromosome_number
+
 
 def comparison_stats(spark: SparkSession, path) -> DataFrame:
     """(path, level, sensitivity, precision) of comparison reports with lines such as `Base level: 85.2 | 90.1 |`."""
@@ -45,6 +47,23 @@ def registry(spark: SparkSession, species: list[dict]) -> tuple[DataFrame, DataF
     return spark.createDataFrame(rows, "species string, name string, gff string, fasta string"), spark.createDataFrame(maps, "species string, source string, name string")
 
 
+def validate_ids(chromosome_map: DataFrame, features: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(species, level, issue, ids) of chromosome_map(species, source, name) against the ids (species, seq) of feature and sequence files.
+
+    Errors: no mapped id in either file (no_features, no_sequence), no name chr<number> (no_numbers). Warnings: mapped ids in one file
+    only (features_only, sequence_only), and ids whose order as text is not that of their numbers (order; ids by number)."""
+    m = chromosome_map.select("species", "source", chromosome_number(F.col("name")).alias("num"))
+    has = lambda d, c: d.select("species", F.col("seq").alias("source"), F.lit(True).alias(c)).distinct()
+    x = m.join(has(features, "f"), ["species", "source"], "left").join(has(sequences, "s"), ["species", "source"], "left").fillna(False, ["f", "s"])
+    where = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("source"))))  # noqa: E731  the mapped ids of one species
+    numbered = F.array_sort(F.collect_set(F.when(F.col("num").isNotNull(), F.struct("num", "source"))))["source"]
+    g = x.groupBy("species").agg(F.max("f").alias("f"), F.max("s").alias("s"), where(F.col("f") & ~F.col("s")).alias("fo"), where(F.col("s") & ~F.col("f")).alias("so"), numbered.alias("by_num"))
+    none = F.array().cast("array<string>")
+    found = [(~F.col("f"), "error", "no_features", none), (~F.col("s"), "error", "no_sequence", none), (F.size("by_num") == 0, "error", "no_numbers", none), (F.size("fo") > 0, "warning", "features_only", F.col("fo")), (F.size("so") > 0, "warning", "sequence_only", F.col("so")), (F.array_sort("by_num") != F.col("by_num"), "warning", "order", F.col("by_num"))]
+    rows = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(level).alias("level"), F.lit(issue).alias("issue"), F.array_join(ids, ",").alias("ids"))) for c, level, issue, ids in found)))
+    return g.select("species", F.inline(rows))
+
+
 def write_manifest(entries: list[dict], path: str) -> None:
     """Manifest of a run: one JSON list on the driver's side."""
     with open(path, "w", encoding="utf-8") as f:

@@ -370,3 +370,98 @@ def test_prepare_labels_cover_the_domain(spark):
     assert out["log"].count() == 0
     assert rows(out["layers"], "label", "start", "stop") == [("CDS", 30, 60), ("five_prime_UTR", 10, 20), ("intergenic", 0, 10), ("intron", 20, 30), ("intron", 60, 80), ("three_prime_UTR", 80, 100)]
     assert rows(LB.one_hot_errors(out["layers"], frame(spark, [("c", "+", 0, 100)], "seq string, strand string, lo long, hi long")), "uncovered", "extra") == [(0, 0)]
+
+
+def raises(df, text):
+    with pytest.raises(Exception, match=text):
+        df.collect()
+
+
+def test_invalid_trees_raise(spark):
+    t = tree(spark)
+    raises(hierarchy.flatten(t.withColumn("type", F.when(F.col("id") == "p1", "tRNA").otherwise(F.col("type")))), "unknown feature type tRNA")
+    assert hierarchy.flatten(t.withColumn("type", F.when(F.col("id") == "p1", "tRNA").otherwise(F.col("type"))), strict=False).count() == 4
+    raises(hierarchy.representative(t, "annotated", allowed=("", "1")), "invalid value of canonical: 0")
+    with pytest.raises(ValueError):
+        hierarchy.representative(t.drop("canonical"), "annotated")
+    assert rows(hierarchy.representative(t.drop("canonical"), "annotated_or_longest")) == [("m1", "g1"), ("m3", "g2")]
+    d = frame(spark, [("p", None, "gene", "c", "+", 0, 9, None, 0), ("p", None, "gene", "c", "+", 20, 40, None, 1), ("k", "p", "CDS", "c", "+", 5, 30, None, 2)], TREE)
+    raises(hierarchy.remap_duplicate_ids(d), "no parent contains the child of p")
+    raises(spark.range(1).select(D.tokens(F.lit("AC-"), {"A": 0, "C": 1}, 4, strict=True)), "unmapped base -")
+
+
+def test_terminal_introns_raise(spark):
+    ddl = "seq string, strand string, gene long, t_start long, t_stop long, entity string, start long, stop long"
+    inner = [("c", "+", 1, 0, 30, "CDS", 0, 10), ("c", "+", 1, 0, 30, "intron", 10, 20), ("c", "+", 1, 0, 30, "CDS", 20, 30)]
+    assert hierarchy.emit_features(frame(spark, inner, ddl), strip_introns=False).count() == 4
+    outer = frame(spark, [*inner[:2], ("c", "+", 2, 40, 50, "CDS", 40, 50)], ddl)
+    raises(hierarchy.emit_features(outer, strip_introns=False), "terminal introns")
+    assert rows(hierarchy.emit_features(outer).where("type = 'gene'"), "start", "stop") == [(0, 10), (40, 50)]
+
+
+def test_genes_of_several_spans_raise(spark):
+    parts = [("sp", "c", "+", "g", i, 90, "t", 0, 90, "1", f"f{i}", k, 30 * i, 30 * i + 10) for i, k in enumerate(("CDS", "CDS"))]
+    wide = frame(spark, parts, "species string, seq string, strand string, gene_id string, gene_start long, gene_stop long, transcript_id string, transcript_start long, transcript_stop long, canonical string, feature_id string, feature_type string, feature_start long, feature_stop long")
+    raises(filters.filter_features(wide)[1], "several values of gene_start")
+
+
+def test_cut_across_blocks(spark):
+    from strandloom.sources import fasta
+
+    dna = "".join(np.random.default_rng(3).choice(list("ACGT"), 1000))
+    seq = frame(spark, [("c", dna), ("d", "")], "seq string, dna string")
+    places = [("a", "c", 5, 6), ("a", "c", 90, 310), ("a", "c", 90, 310), ("b", "c", 100, 200), ("e", "c", 990, 1200), ("f", "c", 2000, 2010), ("g", "d", 0, 4), ("h", "x", 0, 4), ("i", "c", 7, 7)]
+    got = {r.k: r.dna for r in fasta.cut(frame(spark, places, "k string, seq string, start long, stop long"), fasta.blocks(seq, 100), ("k",), 100).collect()}
+    assert got == {"a": dna[5:6] + dna[90:310], "b": dna[100:200], "e": dna[990:], "f": "", "g": "", "h": "", "i": ""}
+
+
+def test_masks_by_reason(spark):
+    from strandloom.operators import labels
+
+    ddl = "seq string, strand string, reason string, start long, stop long"
+    log = frame(spark, [("c", "+", "overlapping_gene", 100, 200), ("c", "+", "incomplete_features", 300, 400), ("c", "-", "incomplete_features", 300, 400)], ddl)
+    all_genes = frame(spark, [("c", "+", 100, 200), ("c", "+", 300, 400), ("c", "+", 420, 500), ("c", "-", 300, 400)], IV)
+    domain = frame(spark, [("c", "+", 0, 1000), ("c", "-", 0, 450)], "seq string, strand string, lo long, hi long")
+    flanks = [("+", "incomplete_features", 250, 300), ("+", "incomplete_features", 400, 420), ("-", "incomplete_features", 200, 300), ("-", "incomplete_features", 400, 450)]
+    inner = [("+", "incomplete_features", 300, 400), ("-", "incomplete_features", 300, 400)]
+    other = [("+", "overlapping_gene", 100, 200)]
+    cols = ("strand", "reason", "start", "stop")
+    assert rows(labels.reason_masks(log, all_genes, domain, up=50, down=100), *cols) == sorted(flanks + inner + other)
+    assert rows(labels.reason_masks(log, all_genes, domain, False, 50, 100), *cols) == sorted(flanks + other)
+    assert labels.reason_masks(log.limit(0), all_genes, domain).count() == 0
+    with pytest.raises(ValueError):
+        labels.reason_masks(log, all_genes, domain, up=0)
+
+
+def test_datasets(spark, tmp_path):
+    from strandloom.operators import dataset
+
+    labels = frame(spark, [("s", i, v) for i, v in enumerate((1, 1, 1, 0, 2, 2, -1, 3))], "k string, pos long, label int")
+    for block in (2, 3, 100):
+        got = {r.block: r.tag for r in dataset.block_tags(dataset.pack(labels, ["k"], "label", block), ["k"]).collect()}
+        assert [v for b in sorted(got) for v in got[b]] == [1, 2, 3, 0, 5, 7, -1, 12]
+        back = {r.block: r.tag for r in dataset.block_tags(dataset.pack(labels, ["k"], "label", block), ["k"], forward=False).collect()}
+        assert [v for b in sorted(back) for v in back[b]] == [3, 2, 1, 0, 7, 5, -1, 12]
+    tokens = lambda n: dataset.pack(frame(spark, [("s", i, i % 4) for i in range(n)], "k string, pos long, token int"), ["k"], "token", 3)
+    packed = dataset.pack(labels, ["k"], "label", 3)
+    made = dataset.label_tokens(packed, tokens(11), ["k"]).orderBy("block").collect()
+    assert [v for r in made for v in r.token] == [i % 4 for i in range(8)] and [v for r in made for v in r.label] == [1, 1, 1, 0, 2, 2, -1, 3]
+    for short in (7, 5):
+        raises(dataset.label_tokens(packed, tokens(short), ["k"]), "more labels than tokens")
+    a, b = frame(spark, [(1, "x"), (2, "y")], "k int, a string"), frame(spark, [(1, "p"), (2, "q")], "k int, b string")
+    assert rows(dataset.exact_join(a, b, ["k"])) == [(1, "x", "p"), (2, "y", "q")]
+    raises(dataset.exact_join(a, b.where("k = 1"), ["k"]), "not aligned")
+    raises(dataset.exact_join(a.where("k = 1"), b, ["k"]), "not aligned")
+    for rank in (10, 2, 1):
+        labels.where(F.col("pos") % 3 == rank % 3).withColumn("rank", F.lit(rank)).write.mode("overwrite").parquet(str(tmp_path / f"predictions.{rank}.parquet"))
+    shards = dataset.read_shards(spark, str(tmp_path))
+    assert [s.first()["rank"] for s in shards] == [1, 2, 10]
+    raises(dataset.merge_shards(shards, ["k"]), "gaps or repeats")
+    rest = labels.where("pos % 3 = 0").withColumn("rank", F.lit(0))
+    assert dataset.merge_shards([*shards[:2], rest], ["k"]).count() == 8
+    with pytest.raises(FileNotFoundError):
+        dataset.read_shards(spark, str(tmp_path / "none"))
+    x = frame(spark, [(3, [1, 2, 3]), (1, [4]), (2, [])], "i int, v array<int>")
+    assert rows(dataset.samples(x, ["i"], 2, 2)) == [(1, [4]), (2, [])] and rows(dataset.samples(x, ["i"], None, 2))[2] == (3, [1, 2])
+    y = frame(spark, [("a", 5), ("b", 9), ("c", 5), ("d", 1)], "id string, n int")
+    assert rows(dataset.strided(y, "n", "id", 2), "id", "worker") == [("a", 1), ("b", 0), ("c", 0), ("d", 1)]

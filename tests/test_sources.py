@@ -94,3 +94,41 @@ def test_discover(spark, tmp_path):
     assert names("b.gff") == ["b.gff.gz"] and names("a.gff.gz") == ["a.gff"] and names("*") == ["a.gff", "b.gff.gz", "d.gff"] and names("c.txt") == ["c.txt"]
     with pytest.raises(FileNotFoundError):
         names("none.gff")
+
+
+def test_normalise(spark, tmp_path):
+    lines = ["gene\t1\t100\tID=g1", "transcript\t1\t90\tID=t1;Parent=g1;tag=basic", "mRNA\t1\t50\tID=t2;Parent=g1;tag=basic,Ensembl_canonical", "exon\t1\t50\tID=e;Parent=t1,t2", "CDS\t1\t20\tID=c;Parent=t2", "CDS\t30\t40\tID=c;Parent=t2",
+             "CDS\t30\t40\tID=d;Parent=t1", "gene\t200\t300\tID=g2", "mRNA\t1\t9\tID=t9;Parent=gone", "gene\t400\t500\tID=g3", "transcript\t400\t450\tID=t4;Parent=g3", "transcript\t440\t500\tID=t5;Parent=g3"]
+    text = "".join("\t".join(("c", "s", k, a, b, ".", "+", ".", at)) + "\n" for k, a, b, at in (x.split("\t") for x in lines))
+    (tmp_path / "a.gff3").write_text(text)
+    got = gff.normalise(gff.read(spark, str(tmp_path / "a.gff3")))
+    assert {(r.type, r.id, r.parent, r.attrs.get("longest")) for r in got.collect()} == {
+        ("gene", "g1", None, None), ("mRNA", "t2", "g1", "1"), ("exon", "exon:t2:1:50:+", "t2", None), ("CDS", "CDS:t2:1:20:+", "t2", None), ("CDS", "CDS:t2:30:40:+", "t2", None), ("gene", "g3", None, None), ("mRNA", "t5", "g3", "1"),
+    }
+    assert "Parent=t2" in got.where("type = 'exon'").first().attributes
+    (tmp_path / "b.gff3").write_text(text + text.split("\n")[0] + "\n")
+    with pytest.raises(Exception, match="several rows of g1"):
+        gff.normalise(gff.read(spark, str(tmp_path / "b.gff3"))).collect()
+
+
+def test_strict_write_scan_filters_and_repeated_keys(spark, tmp_path):
+    (tmp_path / "a.gff3").write_text(GFF)
+    df = gff.read(spark, str(tmp_path / "a.gff3"), source_types=[("src", "exon"), ("other", "gene")])
+    assert [r.id for r in df.orderBy("row").collect()] == ["e1", "e2"]
+    with pytest.raises(Exception, match="null in a required column"):
+        gff.write(df, str(tmp_path / "o"), fill_missing=False)
+    with pytest.raises(ValueError):
+        gff.write(df.drop("score"), str(tmp_path / "o"), fill_missing=False)
+    gff.write(df.withColumn("score", F.lit(1.0)).withColumn("phase", F.lit(0)), str(tmp_path / "p"), fill_missing=False)
+    assert gff.read(spark, str(tmp_path / "p")).count() == 2
+    (tmp_path / "a.gtf").write_text('c\ts\texon\t1\t9\t.\t+\t.\tgene_id "g"; transcript_id "t"; tag "a"; tag "b";\n')
+    assert gff.read_gtf(spark, str(tmp_path / "a.gtf")).first().attrs["tag"] == "a,b"
+
+
+def test_validate_ids(spark):
+    m = spark.createDataFrame([("s", "b", "chr1"), ("s", "a", "chr2"), ("s", "u", "scaffold"), ("t", "x", "one")], "species string, source string, name string")
+    f = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "zz"), ("t", "x")], "species string, seq string")
+    q = spark.createDataFrame([("s", "b"), ("s", "u")], "species string, seq string")
+    assert {tuple(r) for r in reports.validate_ids(m, f, q).collect()} == {
+        ("s", "warning", "features_only", "a"), ("s", "warning", "sequence_only", "u"), ("s", "warning", "order", "b,a"), ("t", "error", "no_sequence", ""), ("t", "warning", "features_only", "x"), ("t", "error", "no_numbers", ""),
+    }
