@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logits as L
 from ..operators import decode, evaluate, filters, hierarchy, labels, runs, stats
+from ..operators.tables import written
 from ..sources import fasta
 
 #: Class groups of decoded states, by name of the interval that they make.
@@ -66,8 +67,11 @@ def predicted_intervals(scored: DataFrame, bias: float = 0.0, domain: str = "pla
 
 
 def predict(sequence: DataFrame, scorer: Callable[[list[str]], np.ndarray], window: int = 8192, stride: int = 4096, min_length: int = 3, min_part: int = 3, min_gene: int = 30, **decoding) -> DataFrame:
-    """Feature rows from sequence(seq, dna): windows, scores, decoding, grouping, emission and the usual filters."""
-    found = predicted_intervals(score(sequence_windows(sequence, window, stride), scorer), **decoding)
+    """Feature rows from sequence(seq, dna): windows, scores, decoding, grouping, emission and the usual filters.
+
+    Scores and intervals are written once to the shared folder, as later steps read them several times."""
+    scored = written(score(sequence_windows(sequence, window, stride), scorer), "scores")
+    found = written(predicted_intervals(scored, **decoding), "predicted")
     tree = hierarchy.emit_features(hierarchy.group_parts(found, min_length))
     return filters.filter_predictions(tree, list(filters.PART_TYPES), min_part, min_gene)
 
