@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jpeg_media, language_id, license_scan, mixing, ngram_join, quality, substring_dedup, token_counts
+from . import bpe, collocations, exact_dedup, hard_negatives, jpeg_media, language_id, license_scan, mixing, nearest, ngram_join, quality, substring_dedup, token_counts
 from ._common import documents, materialize, shared_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -72,10 +72,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 # Weights of the mixing query.
 MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard_join, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_substring_dedup, op7_mixing, op8_quality, op9_jpeg_media, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard_join, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_substring_dedup, op7_mixing, op8_quality, op9_jpeg_media, op10_language_id, op11_hard_negatives, op12_nearest, op13_collocations)}
 ORACLE: dict[str, str] = {}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -152,3 +166,35 @@ SELECT doc_id, domain, lang, source, n_tokens, budget::BIGINT AS budget, (epochs
 
 
 ORACLE["op7_mixing"] = _mix_sql()
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLE["op11_hard_negatives"] = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLE["op12_nearest"] = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLE["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) t(n)),
+f AS MATERIALIZED (SELECT lang, n, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, n, phrase HAVING n = 1 OR count(*) >= 30),
+u AS MATERIALIZED (SELECT lang, phrase, n AS size, f AS a, ws, unnest(range(1, n)) AS k FROM f WHERE n > 1),
+h AS MATERIALIZED (SELECT *, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:], ' ') AS p2 FROM u),
+c AS (SELECT h.lang, h.phrase, size, a, k, y.f AS l, z.f AS r, (2000000::HUGEINT * a // (y.f + z.f))::BIGINT AS score FROM h JOIN f y ON y.lang = h.lang AND y.phrase = p1 JOIN f z ON z.lang = h.lang AND z.phrase = p2),
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, sub AS phrase, max(f) AS f FROM (SELECT lang, f, unnest(list_transform(range(1, n - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS sub FROM f, (VALUES (2), (3)) t(m) WHERE m < n) GROUP BY ALL),
+k AS (SELECT s.* FROM s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase WHERE o.f IS NULL OR 100::HUGEINT * o.f < 80::HUGEINT * s.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT r.lang, rank, phrase, a, l, r.r, t.n::BIGINT AS n, score FROM r JOIN (SELECT lang, sum(f) AS n FROM f WHERE n = 1 GROUP BY lang) t ON t.lang = r.lang WHERE rank <= 2000
+"""
