@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,20 @@ def checked(value: Column, ok: Column, message: str | Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(text))
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir; a temporary folder only where that is unset on a local master."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path under spark.checkpoint.dir; a temporary folder only where that is unset on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/strandloom/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/strandloom/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in such a folder."""
+    spark = df.sparkSession
+    path = folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

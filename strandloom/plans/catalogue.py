@@ -12,6 +12,7 @@ from ..functions import dna as D
 from ..functions import logits as L
 from ..operators import dataset, decode, filters, hierarchy, intervals, labels, orf, runs, stats
 from ..operators import evaluate as E
+from ..operators.tables import folder
 from ..sources import fasta, gff, reports
 from .fixtures import base, ctes, view
 
@@ -976,3 +977,25 @@ def normalised_features(spark, d):
     part = ~F.col("type").isin("gene", "mRNA")
     x = x.select("id", F.when(part, F.concat(F.lit("none,"), "parent")).otherwise(F.col("parent")).alias("parent"), kind.alias("type"), "seq", "strand", "start", "stop", "row", F.create_map(F.lit("tag"), tag).alias("attrs"), F.lit("").alias("attributes"))
     return gff.normalise(x).select("id", "parent", "type", "start", "stop", F.try_element_at("attrs", F.lit("longest")).alias("longest"))
+
+
+# --- files ---------------------------------------------------------------------------------------------------------------
+
+
+@query(DN + """, b AS (SELECT doc_id, dna, unnest(range(0, (len(dna) + 999) // 1000)) AS block FROM dna WHERE len(dna) > 0)
+SELECT concat('doc', doc_id) AS seq, block::INTEGER AS block, block * 1000 AS offset, len(substr(dna, block * 1000 + 1, 1010))::INTEGER AS n, md5(substr(dna, block * 1000 + 1, 1010)) AS digest FROM b""")
+def fasta_blocks(spark, d):
+    """Blocks of 1,000 bases with an overlap of 10, read from FASTA files of all texts' bases whose titles hold a >."""
+    path = folder(spark, "fasta")
+    fasta.write(view(spark, d, "dna").select(F.concat(F.lit("doc"), "doc_id").alias("seq"), F.lit("mutation A->B >x").alias("title"), "dna"), path)
+    x = fasta.read_blocks(spark, path, 1000, 10)
+    return x.select("seq", "block", "offset", F.length("dna").alias("n"), F.md5("dna").alias("digest"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, concat('c', doc_id % 3) AS seq, doc_id AS start, n_chars AS stop FROM documents")
+def file_order(spark, d):
+    """Rows of feature files in several parts, numbered in the order of the files and of the lines in them."""
+    path = folder(spark, "lines")
+    x = base(spark, d, "documents").select("doc_id", F.concat_ws("\t", F.concat(F.lit("c"), F.col("doc_id") % 3), F.lit("s"), F.lit("exon"), (F.col("doc_id") + 1).cast("string"), F.col("n_chars").cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.lit("ID=a")).alias("value"))
+    x.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    return gff.read(spark, path).select("row", "seq", "start", "stop")

@@ -2,23 +2,121 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+PIECE = 1 << 16  # bases of a row of scan() at most
 SLICE = 1 << 14  # width of the blocks that cut() takes bases from; each place walks through half a block on average
 
 
-def read(spark: SparkSession, path, names: dict[str, str] | None = None) -> DataFrame:
-    """(seq, dna, path): one row for each record; the id is the first word of its title. Compressed files are read by suffix.
-
-    names maps ids to new ones and leaves other records out. A record must fit in a row (2 GB)."""
-    x = spark.read.option("lineSep", ">").text(path).where(F.col("value").rlike(r"\S"))
-    x = x.select(F.regexp_extract("value", r"^(\S+)", 1).alias("seq"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*(\n|$)", ""), r"\s", "").alias("dna"), F.col("_metadata.file_path").alias("path"))
+def pieces(lines: DataFrame) -> DataFrame:
+    """(path, split, seg, title, at, dna) from lines (path, split, value) in the order of the scan: seg counts the records that begin in a
+    split, 0 is what stands before the first of them. A piece has PIECE bases at most, and every segment has one, perhaps an empty one."""
+    schema = pa.schema([("path", pa.string()), ("split", pa.int64()), ("seg", pa.int64()), ("title", pa.string()), ("at", pa.int64()), ("dna", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, seg, title, at, held, size, made = None, 0, None, 0, [], 0, [[] for _ in schema]
+
+        def out(final: bool) -> None:
+            nonlocal at, held, size
+            whole = b"".join(held).translate(None, b" \t\r\n\x0b\x0c").decode()
+            for k in range(0, max(len(whole), 1) if at == 0 else len(whole), PIECE):
+                if not final and len(whole) - k < PIECE:
+                    break
+                for column, v in zip(made, (*here, seg, title, at + k, whole[k : k + PIECE]), strict=True):
+                    column.append(v)
+            done = len(whole) if final else len(whole) - len(whole) % PIECE
+            held, at = [whole[done:].encode()], at + done
+            size = len(whole) - done
+
+        for b in batches:
+            paths, splits, values = (b.column(k).to_pylist() for k in range(3))
+            for path, split, value in zip(paths, splits, values, strict=True):
+                if (path, split) != here:
+                    if here is not None:
+                        out(True)
+                    here, seg, title, at, held, size = (path, split), 0, None, 0, [], 0
+                if value[:1] == b">":
+                    out(True)
+                    seg, title, at, held, size = seg + 1, (value[1:].decode().split(None, 1) or [""])[0], 0, [], 0
+                else:
+                    held.append(value)
+                    size += len(value)
+                    if size >= PIECE:
+                        out(False)
+            if made[0]:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
+                made = [[] for _ in schema]
+        if here is not None:
+            out(True)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
+
+    return lines.select("path", "split", F.col("value").cast("binary").alias("value")).mapInArrow(run, "path string, split long, seg long, title string, at long, dna string")
+
+
+def lines(spark: SparkSession, path) -> DataFrame:
+    """(path, split, value): the lines of text files and the place where their split of the file begins."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), "value")
+
+
+def scan(x: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """(path, record, seq, start, dna): pieces of records with their place in them, from lines(). A record begins with a line that begins
+    with >, its id is the first word there; record tells those of one file apart.
+
+    A split of a file is read by one task from line to line, nothing is shuffled. What stands before its first title belongs to the
+    last record of the splits before it: one row for each split has the last title, the bases after it and those before the first
+    one, and a window over these rows carries id and place on. So the files are read twice, and no row holds a record. The
+    rows are as many as the splits that the driver lists anyway, so they are broadcast. Compressed files are one split.
+    names maps ids to new ones and leaves other records out."""
+    p = pieces(x)
+    seg = p.groupBy("path", "split", "seg").agg(F.sum(F.length("dna")).alias("n"), F.max("title").alias("title"))
+    s = seg.groupBy("path", "split").agg(F.sum(F.when(F.col("seg") == 0, F.col("n"))).alias("head"), F.max(F.when(F.col("seg") > 0, F.struct("seg", "title", "n"))).alias("last"))
+    upto = Window.partitionBy("path").orderBy("split")
+    s = s.withColumn("cum", F.sum(F.coalesce("head", F.lit(0))).over(upto)).withColumn("last", F.when(F.col("last").isNotNull(), F.struct("split", "last", "cum")))
+    s = s.withColumn("from", F.last("last", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1))).withColumn("cum", F.coalesce(F.lag("cum").over(upto), F.lit(0)))
+    carry = s.select("path", "split", F.col("from.last.title").alias("_title"), F.struct(F.col("from.split").alias("split"), F.col("from.last.seg").alias("seg")).alias("_record"), (F.col("from.last.n") + F.col("cum") - F.col("from.cum")).alias("_start"))
+    begun = F.col("seg") > 0
+    y = p.join(F.broadcast(carry), ["path", "split"]).select("path", F.when(begun, F.struct("split", "seg")).otherwise(F.col("_record")).alias("record"), F.when(begun, F.col("title")).otherwise(F.col("_title")).alias("seq"), F.when(begun, F.col("at")).otherwise(F.col("at") + F.col("_start")).alias("start"), "dna").where("seq is not null")
     if names is not None:
         table = F.create_map(*(F.lit(v) for kv in names.items() for v in kv))
-        x = x.withColumn("seq", F.try_element_at(table, F.col("seq"))).where("seq is not null")
-    return x
+        y = y.withColumn("seq", F.try_element_at(table, F.col("seq"))).where("seq is not null")
+    return y
+
+
+def read(spark: SparkSession, path, names: dict[str, str] | None = None) -> DataFrame:
+    """(seq, dna, path): one row for each record, for records that fit in a row; read_blocks() has no such bound."""
+    return whole(scan(lines(spark, path), names))
+
+
+def whole(scanned: DataFrame) -> DataFrame:
+    x = scanned.groupBy("path", "record", "seq").agg(F.array_join(F.array_sort(F.collect_list(F.struct("start", "dna")))["dna"], "").alias("dna"))
+    return x.select("seq", "dna", "path")
+
+
+def lengths(scanned: DataFrame) -> DataFrame:
+    """(seq, length, path) of each record; no bases are moved."""
+    return scanned.groupBy("path", "record", "seq").agg(F.sum(F.length("dna")).alias("length")).select("seq", "length", "path")
+
+
+def read_blocks(spark: SparkSession, path, size: int = BLOCK, overlap: int = 0, names: dict[str, str] | None = None) -> DataFrame:
+    """(seq, block, offset, dna, path): what blocks() gives, straight from the files."""
+    return aligned(scan(lines(spark, path), names), size, overlap)
+
+
+def aligned(scanned: DataFrame, size: int = BLOCK, overlap: int = 0) -> DataFrame:
+    """Blocks of `size` bases from the pieces of scan(), each with the first `overlap` bases of the next one."""
+    end, at = F.col("start") + F.length("dna"), lambda p: F.expr(f"({p}) div {size}")
+    x = scanned.withColumn("_end", end).where(F.col("_end") > F.col("start"))
+    x = x.withColumn("block", F.explode(F.sequence(F.greatest(at(f"start - {overlap}"), F.lit(0)), at("_end - 1"))))
+    lo, hi = F.greatest(F.col("start"), F.col("block") * size), F.least(F.col("_end"), (F.col("block") + 1) * size + overlap)
+    x = x.where(lo < hi).select("path", "record", "seq", "block", lo.alias("lo"), F.substr("dna", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("dna"))
+    x = x.groupBy("path", "record", "seq", "block").agg(F.array_join(F.array_sort(F.collect_list(F.struct("lo", "dna")))["dna"], "").alias("dna"))  # one block's bases
+    # a block that only the overlap of the one before reaches into has bases of its own, so none is made up here
+    return x.select("seq", F.col("block").cast("int").alias("block"), (F.col("block") * size).alias("offset"), "dna", "path")
 
 
 def blocks(sequence: DataFrame, size: int = BLOCK, overlap: int = 0) -> DataFrame:
@@ -59,8 +157,10 @@ def longest(sequence: DataFrame, n: int) -> DataFrame:
 
 
 def write(sequence: DataFrame, path: str, width: int = 60) -> None:
+    """FASTA files of sequence(seq, dna and perhaps title, the rest of the first line)."""
     body = F.regexp_replace("dna", f"(.{{{width}}})(?=.)", "$1\n")
-    sequence.orderBy("seq").select(F.concat(F.lit(">"), "seq", F.lit("\n"), body)).write.mode("overwrite").text(path)
+    title = F.concat_ws(" ", "seq", "title") if "title" in sequence.columns else F.col("seq")
+    sequence.orderBy("seq").select(F.concat(F.lit(">"), title, F.lit("\n"), body)).write.mode("overwrite").text(path)
 
 
 def transcripts(features: DataFrame, sequence: DataFrame, types=("CDS",)) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def discover(spark: SparkSession, inputs: str | list[str], suffixes: tuple[str, ...] = ("",)) -> list[str]:
@@ -32,3 +33,15 @@ def discover(spark: SparkSession, inputs: str | list[str], suffixes: tuple[str,
             own.add(fs.getFileStatus(other).getPath().toString())
         found |= own
     return sorted(found)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df, as a text or CSV reader gives it, with `row`: numbers from 0 on in the order of the files by path and of the rows in them.
+
+    Within a split of a file rows come in order; counts of the splits before are added. The files are read once more for those, without
+    their columns. There are as many counts as splits that the driver lists anyway, so they are broadcast."""
+    x = df.withColumns({"_path": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
+    s = x.groupBy("_path", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_path", "_split").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    return x.join(F.broadcast(s), ["_path", "_split"]).withColumn("row", F.col("_before") + F.col("_id") - F.col("_first")).select(*df.columns, "row")

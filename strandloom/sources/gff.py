@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A
+from . import fasta
+from .files import numbered
 
 COLUMNS = "seq string, source string, type string, start long, stop long, score double, strand string, phase byte, attributes string"
 
 
 def read(spark: SparkSession, path, lenient: bool = False, types: list[str] | None = None, seqs: list[str] | None = None, sources: list[str] | None = None, source_types: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Feature rows with the map attrs, id, parent and row (file order). The filters act before attributes are parsed.
+    """Feature rows with the map attrs, id, parent and row (the order of files by path, and within them). The filters act before attributes are parsed.
 
     '.' is null; only lines that begin with # are comments, and quotes have no meaning."""
     df = spark.read.schema(COLUMNS).option("sep", "\t").option("comment", "#").option("nullValue", ".").option("quote", "").csv(path)
-    df = df.withColumn("row", F.monotonically_increasing_id())
+    df = numbered(df)
     for col, names in (("type", types), ("seq", seqs), ("source", sources)):
         if names is not None:
             df = df.where(F.col(col).isin(*names))
@@ -32,7 +34,8 @@ def read(spark: SparkSession, path, lenient: bool = False, types: list[str] | No
 def read_gtf(spark: SparkSession, path) -> DataFrame:
     """GFF2 or GTF: `key "value";` attributes; transcript_id (transcriptId, proteinId) is the parent of parts, gene_id of transcripts.
     Values of a repeated key are joined by commas."""
-    df = spark.read.schema(COLUMNS).option("sep", "\t").option("comment", "#").option("nullValue", ".").option("quote", "").csv(path).withColumn("row", F.monotonically_increasing_id()).withColumn("start", F.col("start") - 1)
+    df = spark.read.schema(COLUMNS).option("sep", "\t").option("comment", "#").option("nullValue", ".").option("quote", "").csv(path)
+    df = numbered(df).withColumn("start", F.col("start") - 1)
     keys, plain = F.regexp_extract_all("attributes", F.lit(r'([\w.-]+)\s+(?:"([^"]*)"|([^;"\s]+))'), 1), F.regexp_extract_all("attributes", F.lit(r'([\w.-]+)\s+(?:"([^"]*)"|([^;"\s]+))'), 0)
     values = F.transform(plain, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\w.-]+\s+", ""), '^"|"$', ""))
     pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
@@ -57,11 +60,16 @@ def directives(spark: SparkSession, path) -> DataFrame:
     return x.select("path", F.element_at("w", 1).alias("name"), F.when(F.element_at("w", 1) == "sequence-region", region).otherwise(values).alias("values"))
 
 
+def embedded_scan(spark: SparkSession, path) -> DataFrame:
+    """Pieces of the records of the ##FASTA sections, as fasta.scan() gives them: feature rows have tabs, comments and directives begin
+    with #, so what is left are titles and bases; nothing before the first title counts."""
+    x = fasta.lines(spark, path)
+    return fasta.scan(x.where(F.col("value").startswith(">") | ~(F.col("value").contains("\t") | F.col("value").startswith("#"))))
+
+
 def embedded_fasta(spark: SparkSession, path) -> DataFrame:
-    """(seq, dna) of the ##FASTA section of GFF3 files that are read whole, one file a row."""
-    text = spark.read.text(path, wholetext=True).where(F.col("value").contains("##FASTA"))
-    body = F.element_at(F.split("value", r"(?m)^##FASTA\s*$"), -1)
-    return text.select(F.explode(F.filter(F.split(body, r"(?m)^>"), lambda r: r.rlike(r"\S"))).alias("r")).select(F.regexp_extract("r", r"^(\S+)", 1).alias("seq"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "").alias("dna"))
+    """(seq, dna) of the ##FASTA section of GFF3 files."""
+    return fasta.whole(embedded_scan(spark, path)).select("seq", "dna")
 
 
 def lines(df: DataFrame):

@@ -57,6 +57,62 @@ def test_fasta(spark, tmp_path):
     assert [r.seq for r in fasta.read(spark, str(tmp_path / "a.fa"), {"c2": "two"}).collect()] == ["two"]
 
 
+def test_fasta_scan_over_splits(spark, tmp_path, monkeypatch):
+    """Records that cross many splits, titles with > inside, empty records and several files: the same as a plain parse of each file."""
+    import random
+
+    rng = random.Random(5)
+    want, lengths = {}, {}
+    for name in ("a", "b"):
+        out = ["\n", "lost text before the first title\n"]
+        for k in range(12):
+            dna = "".join(rng.choice("ACGTNacgt") for _ in range(rng.choice([0, 1, 59, 60, 61, 900, 2500])))
+            out.append(f">{name}{k} mutation A->B >x\n" + "".join(dna[i : i + 60] + "\n" for i in range(0, len(dna), 60)) + rng.choice(["", "\n"]))
+            want[name, f"{name}{k}"] = dna
+        (tmp_path / f"{name}.fa").write_text("".join(out))
+    monkeypatch.setattr(fasta, "PIECE", 256)
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        scanned = fasta.scan(fasta.lines(spark, str(tmp_path / "*.fa")))
+        assert fasta.lines(spark, str(tmp_path / "a.fa")).select("split").distinct().count() > 10
+        assert scanned.agg(F.max(F.length("dna"))).first()[0] <= 256
+        file = lambda r: r.path.rsplit("/", 1)[1][0]
+        assert {(file(r), r.seq): r.dna for r in fasta.whole(scanned).collect()} == want
+        assert {(file(r), r.seq): r.length for r in fasta.lengths(scanned).collect()} == {k: len(v) for k, v in want.items()}
+        got = {(file(r), r.seq, r.block): (r.offset, r.dna) for r in fasta.read_blocks(spark, str(tmp_path / "*.fa"), 100, 7).collect()}
+        assert got == {(f, s, b): (b * 100, d[b * 100 : b * 100 + 107]) for (f, s), d in want.items() for b in range(-(-len(d) // 100))}
+        assert [r.seq for r in fasta.read_blocks(spark, str(tmp_path / "a.fa"), 4000, names={"a3": "three"}).collect()] in (["three"], [])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    (tmp_path / "none.fa").write_text("")
+    assert fasta.read(spark, str(tmp_path / "none.fa")).collect() == []
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    line = "chr1\ts\texon\t{}\t{}\t.\t+\t.\tID=e{}\n"
+    (tmp_path / "a.gff").write_text("##gff-version 3\n" + line.format(1, 2, 0))
+    (tmp_path / "b.gff").write_text("".join(line.format(i, i + 1, i) + "# note\n" * (i % 3) for i in range(1, 51)))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("200", keep):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = gff.read(spark, [str(tmp_path / "b.gff"), str(tmp_path / "a.gff")], types=["exon"]).orderBy("row").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+        assert [(r.row, r.id) for r in got] == [(i, f"e{i}") for i in range(51)]
+
+
+def test_embedded_fasta_over_splits(spark, tmp_path):
+    (tmp_path / "a.gff3").write_text(GFF * 20 + "##FASTA\n>chr1 A->B\ttab\n" + "ACGTACGTAC\n" * 50 + "\n>chr2\nGG\n")
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert {(r.seq, r.dna) for r in gff.embedded_fasta(spark, str(tmp_path / "a.gff3")).collect()} == {("chr1", "ACGTACGTAC" * 50), ("chr2", "GG")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+
+
 def test_reports(spark, tmp_path):
     (tmp_path / "s").write_text("#  x\n        Base level:    85.2     |    90.1    |\n Intron chain level: 1.5 | 2.5 |\n  Missed exons:      12/340 ( 3.5%)\n")
     assert {(r.level, r.sensitivity, r.precision) for r in reports.comparison_stats(spark, str(tmp_path / "s")).collect()} == {("base", 85.2, 90.1), ("intron_chain", 1.5, 2.5)}
