@@ -12,8 +12,8 @@ from ..functions import dna as D
 from ..functions import logits as L
 from ..operators import dataset, decode, filters, hierarchy, intervals, labels, orf, runs, stats
 from ..operators import evaluate as E
-from ..operators.tables import folder
-from ..sources import fasta, gff, reports
+from ..operators.tables import folder, written
+from ..sources import arrays, fasta, gff, reports
 from .fixtures import base, ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -999,3 +999,17 @@ def file_order(spark, d):
     x = base(spark, d, "documents").select("doc_id", F.concat_ws("\t", F.concat(F.lit("c"), F.col("doc_id") % 3), F.lit("s"), F.lit("exon"), (F.col("doc_id") + 1).cast("string"), F.col("n_chars").cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.lit("ID=a")).alias("value"))
     x.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
     return gff.read(spark, path).select("row", "seq", "start", "stop")
+
+
+@query("""WITH e AS (SELECT event_type AS grp, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, user_id, value, event_id % 2 = 0 AS even FROM events)
+SELECT grp, pos, user_id, value, even FROM e WHERE pos >= 100 AND pos < 1700""")
+def array_store(spark, d):
+    """A chunked array store of one group for each kind of event, written in two commits, the second of which goes on in a chunk that is
+    half full, and read back by a range of places."""
+    path = folder(spark, "arrays")
+    e = spark.sql("SELECT concat('events/', event_type) AS `group`, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1L AS sequence, user_id, value, event_id % 2 = 0 AS even FROM {e}", e=base(spark, d, "events"))
+    e = written(e, "places")
+    arrays.write(e.where("sequence < 777"), path, chunk=500)
+    arrays.write(e.where("sequence >= 777").withColumn("sequence", F.col("sequence") - 777), path, chunk=500, append=True)
+    x = arrays.read(spark, path, ["user_id", "value", "even"]).where("sequence >= 100 and sequence < 1700")
+    return x.select(F.substring_index("group", "/", -1).alias("grp"), F.col("sequence").alias("pos"), "user_id", "value", "even")
