@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ._common import arrow_rows, materialize
 
 BITS = 28  # a bitmap has 2^28 bits (32 MB) at most
+PHRASES = 1 << 15  # rows of a record batch
 COUNTS = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 WORD, BLANK, BREAK = 0, 1, 2
 KIND = np.zeros(256, "u1")
@@ -93,20 +94,25 @@ class Words:
         found[at] = has(bitmap, h)
         return found
 
-    def counts(self, n: int, at: np.ndarray) -> pa.RecordBatch:
-        """Counts of the n-grams at these places by language."""
+    def counts(self, n: int, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts of the n-grams at these places by language, PHRASES at a time."""
         key, size = self.lang[at] * len(self.vocabulary) + self.ids[at], len(self.vocabulary)
         code, distinct = pd.factorize(key)
         for j in range(1, n):
             code, distinct = pd.factorize(code * size + self.ids[at + j])
         first = np.zeros(len(distinct), "i8")
         first[code[::-1]] = at[::-1]
-        begin, length = self.at[first], self.at[first + n] - 1 - self.at[first]
-        offset = np.r_[0, np.cumsum(length)]
-        letters = self.text[np.repeat(begin - offset[:-1], length) + np.arange(offset[-1])]
-        phrase = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offset.astype("i8")), pa.py_buffer(letters)]).cast(pa.string())
-        lang = pa.DictionaryArray.from_arrays(pa.array(self.lang[first], pa.int32()), pa.array(self.names, pa.string())).cast(pa.string())
-        return pa.record_batch([lang, pa.array(np.full(len(first), n, "i4")), phrase, pa.array(np.bincount(code, minlength=len(first)).astype("i8"))], schema=COUNTS)
+        times = np.bincount(code, minlength=len(first)).astype("i8")
+        del key, code, distinct
+        names = pa.array(self.names, pa.string())
+        for k in range(0, len(first), PHRASES):
+            some = first[k : k + PHRASES]
+            begin, length = self.at[some], self.at[some + n] - 1 - self.at[some]
+            offset = np.r_[0, np.cumsum(length)]
+            letters = self.text[np.repeat(begin - offset[:-1], length) + np.arange(offset[-1])]
+            phrase = pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(offset.astype("i8")), pa.py_buffer(letters)]).cast(pa.string())
+            lang = pa.DictionaryArray.from_arrays(pa.array(self.lang[some], pa.int32()), names).cast(pa.string())
+            yield pa.record_batch([lang, pa.array(np.full(len(some), n, "i4")), phrase, pa.array(times[k : k + PHRASES])], schema=COUNTS)
 
 
 def exploded(docs: DataFrame, sizes: range, given: int = 0, bitmap=None) -> DataFrame:
@@ -126,9 +132,9 @@ def exploded(docs: DataFrame, sizes: range, given: int = 0, bitmap=None) -> Data
                 for j in range(n - given + 1 if given else 0):
                     at = at[ok[at + j]]
                 if len(at):
-                    yield w.counts(n, at)
+                    yield from w.counts(n, at)
 
-    arrow_rows(docs.sparkSession, size="8m")
+    arrow_rows(docs.sparkSession)
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, n int, phrase string, f long")
 
 
