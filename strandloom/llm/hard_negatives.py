@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._common import materialize
 from .vector_blocks import block_join, by_norm, dtype_of, fewest, first_of_each, matrix, pack, vectors
 
-ANY = 1 << 62  # limits of a window that has none
+ANY = (1 << 63) - 1  # limits of a window that has none
 SLACK = 1 + 1e-9  # norms are rounded
 CHUNK = 1 << 22  # scores that are looked at together
 FOUND = pa.schema([("anchor_id", pa.int64()), ("mark", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
@@ -35,7 +35,7 @@ def product(q: np.ndarray, c: np.ndarray, most: float) -> np.ndarray:
     if most < 2.0**53:
         return (q @ c.T).astype("i8")
     exact = np.array([[int(x) for x in row] for row in q], dtype=object).reshape(q.shape) @ np.array([[int(x) for x in row] for row in c], dtype=object).reshape(c.shape).T
-    return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype("i8")
+    return np.clip(exact, -ANY, ANY).astype("i8")
 
 
 class WindowSearch:
