@@ -5,39 +5,40 @@ Coordinates are 0-based and half-open everywhere; readers and writers convert (s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sweep import BLOCK, Take, running
+
 KEYS = ("seq", "strand")
 #: Width of the bins of the range joins, in bases. Wider than most features, so that an interval falls into one or two.
 BIN = 4096
 
 
-def overlap_flag(df: DataFrame, keys=KEYS, name: str = "has_overlap") -> DataFrame:
-    """Marks intervals that overlap another one of their group (touching is not overlapping). One sort, no self join."""
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
-    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.lead("start").over(w)
-    return df.withColumn(name, F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("stop"), F.lit(False)))
+def overlap_flag(df: DataFrame, keys=KEYS, name: str = "has_overlap", width: int = BLOCK) -> DataFrame:
+    """Marks intervals that overlap another one of their group (touching is not overlapping). One sweep in blocks, no self join."""
+    x = running(df, keys, [F.col("start"), F.col("stop")], "start", {"_before": Take("max", F.col("stop")), "_after": Take("near", F.col("start"), ahead=True)}, width)
+    return x.withColumn(name, F.coalesce(F.col("_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_after") < F.col("stop"), F.lit(False))).drop("_before", "_after")
 
 
-def islands(df: DataFrame, keys=KEYS, slack: int = 0, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys=KEYS, slack: int = 0, name: str = "island", width: int = BLOCK) -> DataFrame:
     """Numbers the islands of each group: an interval joins the one before if it starts at most `slack` after the largest stop."""
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col("start") > reach + slack), 1).otherwise(0)
-    return df.withColumn("_opens", opens).withColumn(name, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+    order = [F.col("start"), F.col("stop")]
+    x = running(df, keys, order, "start", {"_reach": Take("max", F.col("stop"))}, width)
+    opens = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + slack), 1).otherwise(0)
+    # of rows with one start and stop all join the first, so it does not matter which of them comes first
+    return running(x.withColumn("_opens", opens), keys, [*order, -F.col("_opens")], "start", {name: Take("sum", F.col("_opens"), here=True)}, width).drop("_reach", "_opens")
 
 
-def merge(df: DataFrame, keys=KEYS, slack: int = 0) -> DataFrame:
+def merge(df: DataFrame, keys=KEYS, slack: int = 0, width: int = BLOCK) -> DataFrame:
     """Union of intervals: keys, start, stop, n_members. slack 0 also joins intervals that touch, -1 only those that overlap."""
-    return islands(df, keys, slack).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_members")).drop("island")
+    return islands(df, keys, slack, width=width).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_members")).drop("island")
 
 
-def gaps(merged: DataFrame, keys=KEYS) -> DataFrame:
+def gaps(merged: DataFrame, keys=KEYS, width: int = BLOCK) -> DataFrame:
     """Gaps between consecutive disjoint intervals of a group, such as introns between exons."""
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
-    return merged.select(*keys, F.col("stop").alias("start"), F.lead("start").over(w).alias("stop")).where(F.col("stop") > F.col("start"))
+    x = running(merged, keys, [F.col("start"), F.col("stop")], "start", {"_next": Take("near", F.col("start"), ahead=True)}, width)
+    return x.select(*keys, F.col("stop").alias("start"), F.col("_next").alias("stop")).where(F.col("stop") > F.col("start"))
 
 
 def complement(df: DataFrame, domain: DataFrame, keys=KEYS) -> DataFrame:
@@ -73,18 +74,22 @@ def overlap_bases(left: DataFrame, right: DataFrame, keys=KEYS, width: int = BIN
     return overlap_join(left, right, keys, width=width).groupBy(*keys).agg(F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")).cast("long").alias("bases"))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, keys=KEYS) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, keys=KEYS, width: int = BLOCK) -> DataFrame:
     """queries with upstream_stop (largest target stop below start) and downstream_start (smallest target start above stop).
 
-    Two range frames over the union of both sides, so targets are read once and nothing is joined."""
-    cols = queries.columns
-    none = [F.lit(None).cast(t).alias(c) for c, t in queries.dtypes if c not in keys]
-    q = queries.select(*cols, F.lit(True).alias("_q"), F.col("start").alias("_up"), F.col("stop").alias("_down"), F.lit(None).cast("long").alias("_t1"), F.lit(None).cast("long").alias("_t2"))
-    t = targets.select(*keys, *none, F.lit(False).alias("_q"), F.col("stop").alias("_up"), F.col("start").alias("_down"), F.col("stop").alias("_t1"), F.col("start").alias("_t2")).select(*cols, "_q", "_up", "_down", "_t1", "_t2")
-    up = Window.partitionBy(*keys).orderBy("_up").rangeBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy("_down").rangeBetween(1, Window.unboundedFollowing)
-    both = q.unionByName(t).withColumn("upstream_stop", F.max("_t1").over(up)).withColumn("downstream_start", F.min("_t2").over(down))
-    return both.where("_q").select(*cols, "upstream_stop", "downstream_start")
+    Two sweeps in blocks over the union of both sides, so targets are read once for each and nothing is joined to them."""
+    cols, row = queries.columns, F.struct(*queries.columns)
+    none = F.lit(None).cast(queries.select(row.alias("r")).schema["r"].dataType)
+    side = lambda q, t, at, last: q.select(*keys, at.alias("_at"), F.lit(last).alias("_last"), F.lit(None).cast("long").alias("_t"), row.alias("_row")).unionByName(t)
+    # of rows at one place, queries come before targets where those ahead or behind must lie strictly beyond them
+    up = side(queries, targets.select(*keys, F.col("stop").alias("_at"), F.lit(1).alias("_last"), F.col("stop").alias("_t"), none.alias("_row")), F.col("start"), 0)
+    up = running(up, keys, [F.col("_at"), F.col("_last")], "_at", {"upstream_stop": Take("max", F.col("_t"))}, width).where("_row is not null")
+    row_up = F.struct(F.col("_row"), "upstream_stop")
+    found = up.select(*keys, F.col("_row.stop").alias("_at"), F.lit(1).alias("_last"), F.lit(None).cast("long").alias("_t"), row_up.alias("_row"))
+    blank = F.lit(None).cast(found.schema["_row"].dataType)
+    down = found.unionByName(targets.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_last"), F.col("start").alias("_t"), blank.alias("_row")))
+    down = running(down, keys, [F.col("_at"), F.col("_last")], "_at", {"downstream_start": Take("min", F.col("_t"), ahead=True)}, width).where("_row is not null")
+    return down.select(*(F.col(f"_row._row.{c}").alias(c) for c in cols), F.col("_row.upstream_stop").alias("upstream_stop"), "downstream_start")
 
 
 def band_join(left: DataFrame, right: DataFrame, tolerance: int, keys=KEYS) -> DataFrame:
@@ -127,36 +132,35 @@ def pad(start: Column, stop: Column, margin: int, length: Column) -> tuple[Colum
     return a, b, start - a, stop - a
 
 
-def clusters(pred: DataFrame, true: DataFrame, keys=KEYS) -> DataFrame:
+def clusters(pred: DataFrame, true: DataFrame, keys=KEYS, width: int = BLOCK) -> DataFrame:
     """Connected components of overlaps between predicted and true intervals (columns id, start, stop and keys each).
 
     Returns (side, id, cluster) where side is "pred" or "true" and cluster is the smallest member, as side and id joined by
     a colon. Intervals without a partner are clusters of their own.
 
-    One sweep by start: at a join, an interval that starts while one of the other side is open, all open intervals are of one
+    A sweep by start, in blocks: at a join, an interval that starts while one of the other side is open, all open intervals are of one
     component. Two joins in a row are of one if an interval that was open at the first still is at the second, and an interval that
     is no join itself belongs to the next join if it is open there."""
     cols = [*keys, "start", "stop", F.col("id").cast("string").alias("id")]
     x = pred.select(F.lit("pred").alias("side"), *cols).unionByName(true.select(F.lit("true").alias("side"), *cols))
-    w = Window.partitionBy(*keys).orderBy("start", "stop", "side", "id")
-    before, upto, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("stop"))).over(before)
-    x = x.withColumn("_open", F.when(F.col("side") == "pred", of("true")).otherwise(of("pred"))).withColumn("_reach", F.max("stop").over(upto))
-    x = x.withColumn("_join", F.coalesce(F.col("_open") > F.col("start"), F.lit(False)))
-    x = x.withColumn("_held", F.last(F.when(F.col("_join"), F.col("_reach")), True).over(before))
-    x = x.withColumn("_new", (F.col("_join") & F.coalesce(F.col("_held") <= F.col("start"), F.lit(True))).cast("int")).withColumn("_part", F.sum("_new").over(upto))
-    x = x.withColumn("_next", F.first(F.when(F.col("_join"), F.struct("start", "_part")), True).over(after))
+    order, start = [F.col(c) for c in ("start", "stop", "side", "id")], F.col("start")
+    side = lambda k: Take("max", F.when(F.col("side") == k, F.col("stop")))
+    x = running(x, keys, order, "start", {"_p": side("pred"), "_t": side("true"), "_reach": Take("max", F.col("stop"), here=True)}, width)
+    x = x.withColumn("_join", F.coalesce(F.when(F.col("side") == "pred", F.col("_t")).otherwise(F.col("_p")) > start, F.lit(False)))
+    x = running(x, keys, order, "start", {"_held": Take("near", F.when(F.col("_join"), F.col("_reach")))}, width)
+    x = x.withColumn("_new", (F.col("_join") & F.coalesce(F.col("_held") <= start, F.lit(True))).cast("int"))
+    x = running(x, keys, order, "start", {"_part": Take("sum", F.col("_new"), here=True)}, width)
+    x = running(x, keys, order, "start", {"_next": Take("near", F.when(F.col("_join"), F.struct("start", "_part")), ahead=True)}, width)
     part = F.when(F.col("_join"), F.col("_part")).when(F.col("_next.start") < F.col("stop"), F.col("_next._part"))
     x = x.select(*keys, "side", "id", part.alias("_part"), F.concat_ws(":", "side", "id").alias("node"))
     least = x.where("_part is not null").groupBy(*keys, "_part").agg(F.min("node").alias("cluster"))
     return x.join(least, [*keys, "_part"], "left").select("side", "id", F.coalesce("cluster", "node").alias("cluster"))
 
 
-def out_of_order(df: DataFrame, keys=("seq",), order: str = "row") -> DataFrame:
-    """(keys, n_bad): rows that start before the one ahead of them in `order`, by group; 0 for sorted groups."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    bad = F.coalesce((F.lag("start").over(w) > F.col("start")).cast("long"), F.lit(0))
-    return df.withColumn("_bad", bad).groupBy(*keys).agg(F.sum("_bad").alias("n_bad"))
+def out_of_order(df: DataFrame, keys=("seq",), order: str = "row", width: int = BLOCK) -> DataFrame:
+    """(keys, n_bad): rows that start before the one ahead of them in `order` (a number), by group; 0 for sorted groups."""
+    x = running(df, keys, [F.col(order)], order, {"_ahead": Take("near", F.col("start"))}, width)
+    return x.groupBy(*keys).agg(F.sum(F.coalesce((F.col("_ahead") > F.col("start")).cast("long"), F.lit(0))).alias("n_bad"))
 
 
 def masked_share_at_most(windows: DataFrame, masks: DataFrame, share: float, keys=KEYS) -> DataFrame:
