@@ -5,7 +5,7 @@ of phrases that do, and so do the parts that its cuts need. So n-grams with a wo
 words, below min_count can't matter, and most are left out before they become rows: a bitmap of the hashes of all words (pairs) that
 are frequent goes to every task. It never leaves out a frequent one; another one whose bit is set is counted in vain. Its size
 follows the counted number of frequent phrases, up to BITS at most; beyond that more is counted in vain. Each task sums equal
-n-grams of a batch by exact ids before it hands them on, and Spark sums them by their text.
+n-grams of a batch by exact ids before it hands them on, a slice of phrases at a time, and Spark sums them by their text.
 
 Defined results: null texts are empty; a null language is `und`; rows are counted as often as they are there; other columns are not
 read; texts without words and empty tables give no rows.
