@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A
@@ -1013,3 +1013,16 @@ def array_store(spark, d):
     arrays.write(e.where("sequence >= 777").withColumn("sequence", F.col("sequence") - 777), path, chunk=500, append=True)
     x = arrays.read(spark, path, ["user_id", "value", "even"]).where("sequence >= 100 and sequence < 1700")
     return x.select(F.substring_index("group", "/", -1).alias("grp"), F.col("sequence").alias("pos"), "user_id", "value", "even")
+
+
+@query(FT + """, r AS (SELECT id, parent, row // 4000 * 4000 + row_number() OVER (PARTITION BY row // 4000 ORDER BY md5(id)) AS row FROM feature),
+n AS (SELECT id AS name, row FROM r UNION ALL SELECT parent, row FROM r WHERE parent IS NOT NULL), s AS (SELECT min(row) AS row, max(row) AS upto FROM n GROUP BY name),
+o AS (SELECT r.id, r.row, max(s.upto) AS upto FROM r LEFT JOIN s ON s.row = r.row GROUP BY r.id, r.row),
+b AS (SELECT *, coalesce(max(upto) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS open FROM o),
+g AS (SELECT id, row, max(CASE WHEN open < row THEN row END) OVER (ORDER BY row) AS region FROM b) SELECT id, row, region, (region // 500)::BIGINT AS part FROM g""")
+def closed_regions(spark, d):
+    """Stretches of a feature file that can be parsed on their own, where the rows of four orders' trees are mixed and children may
+    come before their parents."""
+    f = view(spark, d, "feature").withColumn("bucket", F.expr("row div 4000"))
+    f = f.withColumn("row", F.col("bucket") * 4000 + F.row_number().over(Window.partitionBy("bucket").orderBy(F.md5("id"))))
+    return gff.closed_regions(f.select("id", "parent", "row"), 500).select("id", "row", "region", "part")

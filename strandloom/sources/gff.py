@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A
+from ..operators.sweep import BLOCK, Take, running
+from ..operators.tables import folder
 from . import fasta
 from .files import numbered
 
@@ -165,3 +168,30 @@ def match_record_id(names: DataFrame, records: DataFrame) -> DataFrame:
     """(name, record): names found as a record id or as one of its pipe-delimited parts."""
     parts = records.select(F.col("id").alias("record"), F.explode(F.array_union(F.array("id"), F.split("id", r"\|"))).alias("name")).where("name <> ''")
     return names.join(parts, "name").groupBy("name").agg(F.min("record").alias("record"))
+
+
+def closed_regions(df: DataFrame, target: int = 100_000, width: int = BLOCK) -> DataFrame:
+    """Rows of read() with `region`, the row at which the smallest stretch of the file begins that no tree leaves, and `part`, which puts
+    regions together that begin within the same `target` rows.
+
+    A name (an id or one of the parents) reaches from its first row to its last one, wherever children stand; a region ends where no
+    name reaches beyond. So a part can be parsed, written and forgotten on its own, and is as long as `target` rows and the
+    trees still open then. Reaches come from one aggregation; a sweep in blocks of rows finds the ends."""
+    parents = F.filter(F.split("parent", ","), lambda p: F.trim(p) != "")
+    names = df.select("row", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("id"), F.coalesce(F.transform(parents, lambda p: F.trim(p)), F.array().cast("array<string>")))))).alias("name"))
+    reach = names.groupBy("name").agg(F.min("row").alias("row"), F.max("row").alias("_to")).groupBy("row").agg(F.max("_to").alias("_to"))
+    x = df.join(reach, "row", "left")
+    x = running(x, [], [F.col("row")], "row", {"_open": Take("max", F.col("_to"))}, width)
+    begins = F.when(F.col("_open").isNull() | (F.col("_open") < F.col("row")), F.col("row"))
+    x = running(x.withColumn("_begins", begins), [], [F.col("row")], "row", {"region": Take("near", F.col("_begins"), here=True)}, width)
+    return x.select(*df.columns, "region", F.floor(F.col("region") / F.lit(target)).alias("part"))
+
+
+def parse_in_parts(spark: SparkSession, path, target: int = 100_000, **scan) -> Iterator[DataFrame]:
+    """The rows of read() part after part, in file order, each with whole trees only. They are written once, by part; then one part at a
+    time is read."""
+    table = folder(spark, "parts")
+    closed_regions(read(spark, path, **scan), target).repartition("part").write.partitionBy("part").parquet(table)
+    whole = spark.read.parquet(table)
+    for (part,) in sorted(whole.select("part").distinct().toLocalIterator()):
+        yield whole.where(F.col("part") == part).drop("part", "region")

@@ -188,3 +188,40 @@ def test_validate_ids(spark):
     assert {tuple(r) for r in reports.validate_ids(m, f, q).collect()} == {
         ("s", "warning", "features_only", "a"), ("s", "warning", "sequence_only", "u"), ("s", "warning", "order", "b,a"), ("t", "error", "no_sequence", ""), ("t", "warning", "features_only", "x"), ("t", "error", "no_numbers", ""),
     }
+
+
+def test_parts_hold_whole_trees(spark, tmp_path):
+    """Late and early children, several parents, names that are never defined, and rows without names: as the whole parse, part by part."""
+    import random
+
+    rng = random.Random(3)
+    lines, clock = [], 0
+    for g in range(40):
+        tree = [("gene", f"g{g}", None), ("mRNA", f"m{g}a", f"g{g}"), ("mRNA", f"m{g}b", f"g{g}"), ("exon", f"e{g}", f"m{g}a,m{g}b"), ("CDS", None, f"m{g}a"), ("CDS", None, f"gone{g}"), ("region", None, None)]
+        rng.shuffle(tree)
+        for k, (kind, name, parent) in enumerate(tree):
+            lines.append((clock + k + rng.choice([0, 0, 9]), kind, ";".join(x for x in (name and f"ID={name}", parent and f"Parent={parent}") if x) or "."))
+        clock += rng.choice([7, 7, 30])
+    lines.sort(key=lambda x: x[0])
+    (tmp_path / "a.gff3").write_text("".join(f"c\ts\t{k}\t{i + 1}\t{i + 5}\t.\t+\t.\t{a}\n" for i, (_, k, a) in enumerate(lines)))
+    whole = gff.read(spark, str(tmp_path / "a.gff3"))
+    got = {r.row: (r.region, r.part) for r in gff.closed_regions(whole, 20, width=8).collect()}
+    rows = sorted(whole.collect(), key=lambda r: r.row)
+    span = {}
+    for r in rows:
+        for n in [r.id, *(r.parent or "").split(",")]:
+            if n:
+                span[n] = (span.get(n, (r.row,))[0], r.row)
+    open_to, begin = -1, 0
+    for r in rows:
+        begin = r.row if open_to < r.row else begin
+        open_to = max([open_to, *(b for a, b in span.values() if a == r.row)])
+        assert got[r.row] == (begin, begin // 20)
+    assert len({x for x, _ in got.values()}) > 10
+    parts = [p.collect() for p in gff.parse_in_parts(spark, str(tmp_path / "a.gff3"), 20)]
+    assert len(parts) > 3 and sorted(r.row for p in parts for r in p) == [r.row for r in rows]
+    assert [min(r.row for r in p) for p in parts] == sorted(min(r.row for r in p) for p in parts)
+    known = {r.id for r in rows if r.id}
+    for p in parts:
+        ids = {r.id for r in p}
+        assert all(x in ids for r in p for x in (r.parent or "").split(",") if x in known)
