@@ -1,7 +1,7 @@
 """Most likely state paths over per-position probabilities, decoded in blocks so that one long sequence uses many tasks.
 
 A block's max-plus product (states x states) says how well each state before the block leads to each state at its end. The
-products of a sequence's blocks are combined in order, which fixes the state at every block's end, and each block is then
+products of neighbouring blocks are combined in rounds, which fixes the state at every block's end, and each block is then
 traced back on its own between its two fixed states. A block is one row, and all blocks of an Arrow batch take each step together.
 Near ties can differ from a single pass, as float sums associate otherwise.
 """
@@ -20,7 +20,7 @@ from .tables import written
 
 EPS = float(np.finfo(float).eps)
 STATES = ("intergenic", "intron", "five_prime_utr", "cds", "three_prime_utr")
-BLOCK, BATCH_BYTES = 1024, "16m"
+BLOCK, FAN, BATCH_BYTES = 1024, 256, "16m"  # places of a block, blocks that one row of the next round stands for
 
 # Transition priors between STATES, by domain and by whether incomplete transcripts were removed from training.
 PRIORS = {
@@ -111,12 +111,25 @@ def _trace(e: np.ndarray, trans: np.ndarray, score: np.ndarray, last: int | None
 
 
 def _padded(flat: np.ndarray, length: np.ndarray, n: int, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, how many blocks are at least t + 1 long for each t, log emissions [t, block, state]) of blocks sorted from the longest on."""
+    """(order, how many blocks are at least t + 1 long for each t, log emissions [t, state, block]) of blocks sorted from the longest on."""
     order = np.argsort(-length, kind="stable")
     size = length[order]
     begin = (np.cumsum(length) - length)[order]
     at = np.minimum(np.arange(size[0])[:, None], size[None] - 1) + begin[None]
-    return order, np.searchsorted(-size, -np.arange(size[0]), "left"), np.log(flat.reshape(-1, n)[at] + eps)
+    logs = np.log(flat.reshape(-1, n).T + eps)  # [state, place]
+    e = np.empty((size[0], n, len(size)))
+    for j in range(n):
+        e[:, j] = logs[j][at]
+    return order, np.searchsorted(-size, -np.arange(size[0]), "left"), e
+
+
+def _step(score: np.ndarray, trans: np.ndarray, best: np.ndarray, other: np.ndarray) -> None:
+    """best[j] = max over i of score[i] + trans[i, j], for all blocks, which lie along the last axis."""
+    weight = trans.reshape(*trans.shape, *[1] * (score.ndim - 1))
+    np.add(score[0], weight[0], out=best)
+    for i in range(1, len(trans)):
+        np.add(score[i], weight[i], out=other)
+        np.maximum(best, other, out=best)
 
 
 def products(flat: np.ndarray, length: np.ndarray, head: np.ndarray, trans: np.ndarray, first: np.ndarray, eps: float = EPS) -> np.ndarray:
@@ -125,49 +138,103 @@ def products(flat: np.ndarray, length: np.ndarray, head: np.ndarray, trans: np.n
     n = len(trans)
     order, live, e = _padded(flat, length, n, eps)
     start = np.where(np.eye(n, dtype=bool), first[:, None], -np.inf)
-    p = np.where(head[order][:, None, None], start, trans) + e[0][:, None, :]
+    p = np.ascontiguousarray(np.where(head[order], start.T[:, :, None], trans.T[:, :, None]) + e[0][:, None, :])  # [state now, state before, block]
+    best, other = np.empty_like(p), np.empty_like(p)
+    flat_p, flat_best, flat_other = (x.reshape(n, -1) for x in (p, best, other))
     for t in range(1, len(e)):
         k = live[t]
-        own = p[:k]
-        best = own[:, :, 0, None] + trans[0]
-        for i in range(1, n):
-            np.maximum(best, own[:, :, i, None] + trans[i], out=best)
-        p[:k] = best + e[t, :k, None, :]
-    out = np.empty_like(p)
-    out[order] = p
+        if k == len(order):  # long runs of memory are quicker
+            _step(flat_p, trans, flat_best, flat_other)
+        else:
+            _step(p[..., :k], trans, best[..., :k], other[..., :k])
+        np.add(best[..., :k], e[t, :, None, :k], out=p[..., :k])
+    out = np.empty((len(order), n, n))
+    out[order] = p.transpose(2, 1, 0)
     return out
 
 
 def traces(flat: np.ndarray, length: np.ndarray, state_in: np.ndarray, state_out: np.ndarray, trans: np.ndarray, first: np.ndarray, eps: float = EPS) -> np.ndarray:
-    """States of all places of many blocks, one after the other, each between its two fixed states (state_in -1: none before)."""
+    """States of all places of many blocks, one after the other, each between its two fixed states (state_in -1: none before). Scores of
+    all places are kept, so the way back looks only at the steps into the states it takes."""
     n = len(trans)
-    order, live, e = _padded(flat, length, n, eps)
-    came, out = state_in[order], state_out[order]
-    score = np.where((came < 0)[:, None], first, trans[came]) + e[0]
-    back = np.zeros((len(e), len(order), n), np.int8)
-    for t in range(1, len(e)):
+    order, live, score = _padded(flat, length, n, eps)  # emissions become scores in place
+    came = state_in[order]
+    score[0] += np.where(came < 0, first[:, None], trans[came].T)
+    best, other = np.empty(score.shape[1:]), np.empty(score.shape[1:])
+    for t in range(1, len(score)):
         k = live[t]
-        best, arg = score[:k, 0, None] + trans[0], np.zeros((k, n), np.int8)
-        for i in range(1, n):
-            step = score[:k, i, None] + trans[i]
-            better = step > best
-            arg[better] = i
-            np.maximum(best, step, out=best)
-        back[t, :k] = arg
-        score[:k] = best + e[t, :k]
-    path = np.zeros((len(order), len(e)), np.int8)
-    now = out.copy()
-    for t in range(len(e) - 1, -1, -1):
+        _step(score[t - 1, :, :k], trans, best[:, :k], other[:, :k])
+        score[t, :, :k] += best[:, :k]
+    path = np.zeros((len(order), len(score)), np.int8)
+    now = state_out[order].astype(np.int64)
+    into = np.ascontiguousarray(trans.T)  # [state, state before]
+    for t in range(len(score) - 1, -1, -1):
         k = live[t]
         path[:k, t] = now[:k]
         if t:
-            now[:k] = back[t, np.arange(k), now[:k]]
+            now[:k] = (score[t - 1, :, :k] + into[now[:k]].T).argmax(axis=0)
     whole = np.empty_like(path)
     whole[order] = path
-    return whole[np.arange(len(e))[None] < length[:, None]].astype(np.int64)
+    return whole[np.arange(len(score))[None] < length[:, None]].astype(np.int64)
+
+
+def chain(m: np.ndarray) -> np.ndarray:
+    """The max-plus product of matrices [block, before, after] in order: neighbours are multiplied in rounds."""
+    while len(m) > 1:
+        odd = m[-1:] if len(m) % 2 else m[:0]
+        a, b = m[: len(m) - len(odd) : 2], m[1 : len(m) - len(odd) : 2]
+        m = np.concatenate([(a[:, :, :, None] + b[:, None, :, :]).max(axis=2), odd])
+    return m[0]
+
+
+def resolve(m: np.ndarray, state_in: int, state_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """States before and at the end of each of a row of blocks, between fixed ones; -1: none before, the best at the end."""
+    score, backs = m[0].max(axis=0) if state_in < 0 else m[0][state_in], []
+    for p in m[1:]:
+        step = score[:, None] + p
+        backs.append(step.argmax(axis=0))
+        score = step.max(axis=0)
+    out = np.empty(len(m), np.int64)
+    out[-1] = score.argmax() if state_out < 0 else state_out
+    for k in range(len(m) - 1, 0, -1):
+        out[k - 1] = backs[k - 1][out[k]]
+    return np.concatenate([[state_in], out[:-1]]), out
+
+
+def block_ends(made: DataFrame, keys: list[str], key_ddl: str, n: int, fan: int = FAN) -> DataFrame:
+    """(keys, block, state_in, state_out) from the blocks' products (keys, block, m): products of `fan` blocks each are made in parallel and
+    resolved likewise, round by round, until a sequence has `fan` at most; then each round's ends fix the states inside. So a task
+    holds `fan` small matrices, however long a sequence is."""
+    ends = f"{key_ddl}, block long, state_in long, state_out long"
+    stack = lambda pdf: np.stack(pdf["m"].to_numpy()).reshape(len(pdf), n, n)
+    most = made.agg(F.max("block")).first()[0]
+    if most is None or most < fan:
+
+        def top(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("block").reset_index(drop=True)
+            pdf["state_in"], pdf["state_out"] = resolve(stack(pdf), -1, -1)
+            return pdf[[*keys, "block", "state_in", "state_out"]]
+
+        return written(made.groupBy(*keys).applyInPandas(top, ends), "block-ends")
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block").reset_index(drop=True)
+        one = pdf.iloc[:1][[*keys, "_up"]].rename(columns={"_up": "block"})
+        one["m"] = [chain(stack(pdf)).ravel()]
+        return one
+
+    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block").reset_index(drop=True)
+        pdf["state_in"], pdf["state_out"] = resolve(stack(pdf), int(pdf["state_in"][0]), int(pdf["state_out"][0]))
+        return pdf[[*keys, "block", "state_in", "state_out"]]
+
+    x = made.withColumn("_up", F.expr(f"block div {fan}"))
+    up = written(x.groupBy(*keys, "_up").applyInPandas(multiply, f"{key_ddl}, block long, m array<double>"), "block-products")
+    found = block_ends(up, keys, key_ddl, n, fan).withColumnRenamed("block", "_up")
+    return written(x.join(found, [*keys, "_up"]).groupBy(*keys, "_up").applyInPandas(inner, ends), "block-ends")
 
 
-def viterbi_paths(df: DataFrame, keys: list[str], matrix: np.ndarray, initial: np.ndarray | None = None, alpha: float | None = None, probs: str = "probs", pos: str = "pos", block: int = BLOCK, eps: float = EPS) -> DataFrame:
+def viterbi_paths(df: DataFrame, keys: list[str], matrix: np.ndarray, initial: np.ndarray | None = None, alpha: float | None = None, probs: str = "probs", pos: str = "pos", block: int = BLOCK, eps: float = EPS, fan: int = FAN) -> DataFrame:
     """(keys, pos, state) for rows (keys, pos from 0, probs array). A block is one row, and a task works on many of them at once."""
     n = len(matrix)
     m, start = checked(matrix if alpha is None else regularised(matrix, alpha), initial, n)
@@ -192,26 +259,6 @@ def viterbi_paths(df: DataFrame, keys: list[str], matrix: np.ndarray, initial: n
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * n * n, pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns[: width + 1], lists], names=[*keys, "block", "m"])
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block").reset_index(drop=True)
-        # before the first place: the initial scores stand for a place whose transition is free
-        score, backs = None, []
-        for flat in pdf["m"]:
-            p = np.array(flat).reshape(n, n)
-            if score is None:
-                backs.append(np.zeros(n, np.int64))
-                score = p.max(axis=0)
-            else:
-                step = score[:, None] + p
-                backs.append(step.argmax(axis=0))
-                score = step.max(axis=0)
-        out = np.empty(len(pdf), np.int64)
-        out[-1] = score.argmax()
-        for b in range(len(pdf) - 1, 0, -1):
-            out[b - 1] = backs[b][out[b]]
-        pdf["state_out"], pdf["state_in"] = out, np.concatenate([[-1], out[:-1]])
-        return pdf[[*keys, "block", "state_in", "state_out"]]
-
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -220,9 +267,8 @@ def viterbi_paths(df: DataFrame, keys: list[str], matrix: np.ndarray, initial: n
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size // n)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], b.column("pos"), pa.ListArray.from_arrays(offsets, pa.array(path))], names=[*keys, "pos", "state"])
 
-    made = packed.select(*keys, "block", "flat").mapInArrow(product, f"{key_ddl}, block long, m array<double>")
-    # a row of states x states numbers for each block of a sequence
-    ends = written(made.groupBy(*keys).applyInPandas(combine, f"{key_ddl}, block long, state_in long, state_out long"), "block-ends")
+    made = written(packed.select(*keys, "block", "flat").mapInArrow(product, f"{key_ddl}, block long, m array<double>"), "products")
+    ends = block_ends(made, keys, key_ddl, n, fan)
     both = packed.join(ends, [*keys, "block"]).select(*keys, "pos", "flat", "state_in", "state_out")
     paths = both.mapInArrow(trace, f"{key_ddl}, pos array<long>, state array<long>")
     return paths.select(*keys, F.inline(F.arrays_zip("pos", "state")))

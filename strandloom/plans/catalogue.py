@@ -289,18 +289,32 @@ def direct_decode(spark, d):
     return x.select("vec_id", *(F.round(F.col("p")[i], 9).alias(f"p{i}") for i in range(5)), "state")
 
 
-@query()
+def _viterbi_sql() -> str:
+    """One step for each place forward and one back, by recursion: nothing of it works in blocks."""
+    m, start = decode.checked(decode.regularised(decode.priors("plant", True), 1e-3), None, 5)
+    row = lambda v: "[" + ", ".join(f"ln({x!r}::DOUBLE + {decode.EPS!r}::DOUBLE)" for x in map(float, v)) + "]"
+    into = "[" + ", ".join(row(m[:, j]) for j in range(5)) + "]"
+    return f"""WITH RECURSIVE z AS MATERIALIZED (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, list_transform(embedding[1:5], lambda v: exp(20 * v::DOUBLE - 20 * list_max(embedding[1:5])::DOUBLE)) AS q FROM embeddings),
+e AS MATERIALIZED (SELECT label, pos, list_transform(q, lambda v: ln(v / list_sum(q) + {decode.EPS!r}::DOUBLE)) AS e FROM z),
+f AS (SELECT label, pos, list_transform(range(1, 6), lambda j: {row(start)}[j] + e[j]) AS s, [0, 0, 0, 0, 0]::BIGINT[] AS came FROM e WHERE pos = 0
+ UNION ALL SELECT label, pos, list_transform(range(1, 6), lambda j: list_max(w[j]) + e[j]), list_transform(range(1, 6), lambda j: list_position(w[j], list_max(w[j]))::BIGINT) FROM
+  (SELECT e.label, e.pos, e.e, list_transform({into}, lambda t: list_transform(range(1, 6), lambda i: f.s[i] + t[i])) AS w FROM f JOIN e ON e.label = f.label AND e.pos = f.pos + 1) x),
+b AS (SELECT label, pos, list_position(s, list_max(s))::BIGINT AS state FROM (SELECT *, max(pos) OVER (PARTITION BY label) AS last FROM f) x WHERE pos = last
+ UNION ALL SELECT b.label, b.pos - 1, f.came[b.state] FROM b JOIN f ON f.label = b.label AND f.pos = b.pos WHERE b.pos > 0),
+path AS (SELECT label, pos, state - 1 AS state FROM b)"""
+
+
+@query(_viterbi_sql() + " SELECT * FROM path")
 def viterbi_path(spark, d):
-    """State of each vector of a label's sequence, in blocks of 16; no SQL form (see the tests against all paths)."""
-    from pyspark.sql import Window
-
+    """State of each vector of a label's sequence, in blocks of 16 that are combined four at a time."""
     e = base(spark, d, "embeddings").select("label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("pos"), L.softmax(F.transform(F.slice("embedding", 1, 5), lambda x: x * 20)).alias("probs"))
-    return decode.viterbi_paths(e, ["label"], decode.priors("plant", True), alpha=1e-3, block=16)
+    return decode.viterbi_paths(e, ["label"], decode.priors("plant", True), alpha=1e-3, block=16, fan=4)
 
 
-@query()
+@query(_viterbi_sql() + """, g AS (SELECT label, pos, unnest(CASE state WHEN 1 THEN ['transcript', 'intron'] WHEN 2 THEN ['transcript', 'exon', 'five_prime_UTR'] WHEN 3 THEN ['transcript', 'exon', 'CDS'] WHEN 4 THEN ['transcript', 'exon', 'three_prime_UTR'] ELSE [] END) AS entity FROM path)
+SELECT label, entity, min(pos) AS start, max(pos) + 1 AS stop FROM (SELECT *, pos - row_number() OVER (PARTITION BY label, entity ORDER BY pos) AS k FROM g) x GROUP BY label, entity, k""")
 def viterbi_intervals(spark, d):
-    """Decoded runs of class groups as named intervals; no SQL form."""
+    """Decoded runs of class groups as named intervals."""
     p = viterbi_path(spark, d).withColumnRenamed("state", "class")
     r = runs.runs(p, ["label"], "class")
     return runs.group_runs(r, ["label"], {"transcript": [1, 2, 3, 4], "exon": [2, 3, 4], "intron": [1], "five_prime_UTR": [2], "CDS": [3], "three_prime_UTR": [4]}, "class")

@@ -255,6 +255,20 @@ def test_viterbi_against_all_paths(spark):
         assert got == want.tolist()
 
 
+def test_viterbi_in_rounds(spark):
+    """Blocks combined two at a time over several rounds, sequences of different lengths, one of them a single place: as in one pass."""
+    rng = np.random.default_rng(11)
+    m, start = rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(4))
+    seqs = {k: rng.dirichlet(np.ones(4) * 0.05, n) for k, n in (("a", 83), ("b", 1), ("c", 16), ("d", 40))}
+    df = spark.createDataFrame([(k, i, [float(x) for x in p]) for k, e in seqs.items() for i, p in enumerate(e)], "k string, pos long, probs array<double>").repartition(3)
+    for block, fan in ((4, 2), (4, 3), (7, 256), (100, 256)):
+        got = {}
+        for r in decode.viterbi_paths(df, ["k"], m, start, block=block, fan=fan).orderBy("pos").collect():
+            got.setdefault(r.k, []).append(r.state)
+        assert got == {k: decode.viterbi(e, m, start).tolist() for k, e in seqs.items()}
+    assert decode.viterbi_paths(df.limit(0), ["k"], m, start).collect() == []
+
+
 def test_viterbi_of_many_blocks_at_once():
     rng = np.random.default_rng(14)
     m, start = rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(4))
