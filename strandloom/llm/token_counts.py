@@ -110,7 +110,8 @@ class Ledger:
         return json.loads(text)
 
     def _put(self, path: str, content: dict) -> bool:
-        """Creates a file whole or not at all, by a name of its own; False if it is there already."""
+        """Creates a file whole or not at all, by a name of its own; False if it is there already. A rename onto a file must fail, as it
+        does on HDFS and local file systems; stores that copy and delete instead can't hold a ledger with two writers."""
         tmp, to = self._path(f"{self.path}/commits/.{uuid.uuid4().hex}"), self._path(path)
         stream = self._fs.create(tmp, False)
         stream.write(json.dumps(content).encode())
@@ -120,19 +121,41 @@ class Ledger:
             self._fs.delete(tmp, False)
         return bool(done)
 
-    def _versions(self) -> list[str]:
-        return sorted(n for s in self._fs.listStatus(self._path(f"{self.path}/commits")) if (n := s.getPath().getName()).endswith(".json"))
+    def _versions(self) -> list[int]:
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/commits")))
+        return sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json") and n[0] != ".")
+
+    def _commit(self, version: int) -> str:
+        return f"{self.path}/commits/{version:06d}.json"
 
     def _last(self) -> dict | None:
-        done = self._versions()
-        return self._read(f"{self.path}/commits/{done[-1]}") if done else None
+        """The last commit: from the pointer on, which may lag behind or be gone, so commits are listed only where it is."""
+        version, pointer = None, self._path(f"{self.path}/last")
+        if self._fs.exists(pointer):
+            try:
+                version = self._read(f"{self.path}/last")["version"]
+            except ValueError:  # its writer died half-way
+                version = None
+        if version is None or not self._fs.exists(self._path(self._commit(version))):
+            done = self._versions()
+            if not done:
+                return None
+            version = done[-1]
+        while self._fs.exists(self._path(self._commit(version + 1))):
+            version += 1
+        return self._read(self._commit(version))
+
+    def _point(self, version: int) -> None:
+        stream = self._fs.create(self._path(f"{self.path}/last"), True)
+        stream.write(json.dumps({"version": version}).encode())
+        stream.close()
 
     def _marker(self, batch: str) -> str:
         return f"{self.path}/batches/{hashlib.sha256(batch.encode()).hexdigest()}.json"
 
     def batches(self) -> list[str]:
         """All batch ids in the order of their commits; reads every commit."""
-        return [self._read(f"{self.path}/commits/{n}")["batch"] for n in self._versions()]
+        return [self._read(self._commit(n))["batch"] for n in self._versions()]
 
     def _totals(self, last: dict | None) -> DataFrame:
         if last is None:
@@ -154,9 +177,10 @@ class Ledger:
         new = self._totals(last).unionByName(deltas(events).select("source", "lang", "version", "n_docs", "n_tokens"))
         new = new.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
         new.write.parquet(f"{self.path}/{made['data']}")
-        if not self._put(f"{self.path}/commits/{version:06d}.json", made):
+        if not self._put(self._commit(version), made):
             raise RuntimeError(f"version {version} was committed by another writer; run the batch again")
         self._put(self._marker(batch), made)
+        self._point(version)
         return True
 
 
