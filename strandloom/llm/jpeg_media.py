@@ -7,7 +7,8 @@ is at most 65,535). decode() is a reader of baseline JPEGs in general: it parses
 (all restart intervals at once, in step, in numpy) and rebuilds the DC-only luminance thumbnail, one sample for each block.
 
 Edge cases: a null text equals the empty one (64 zero bytes); equal texts give equal values; an empty table gives no rows;
-other columns are ignored; progressive, lossless or arithmetic JPEGs raise ValueError.
+other columns are ignored. decode() raises ValueError or another of DAMAGED for what it can't read (progressive, lossless and
+arithmetic JPEGs, files cut short); media_features() gives null features and a reason for these and for null and empty media.
 """
 
 from __future__ import annotations
@@ -197,7 +198,8 @@ def decode_many(files: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
             base += len(body)
             left = across * down - interval * np.arange(len(s))
             todo.append(np.minimum(left, interval))
-        first = _in_step(np.concatenate([*bodies, np.full(8, 255, np.uint8)]), np.concatenate(starts), np.concatenate(todo), parts)
+        stops = np.concatenate([s + b for (_, _, _, _, _, b, _, _), s in zip(items, starts, strict=True)])
+        first = _in_step(np.concatenate([*bodies, np.full(8, 255, np.uint8)]), np.concatenate(starts), stops, np.concatenate(todo), parts)
         row = 0
         for k, j, f, _, s, _, across, down in items:
             h, v = parts[0]["h"], parts[0]["v"]
@@ -209,8 +211,8 @@ def decode_many(files: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     return out
 
 
-def _in_step(data: np.ndarray, starts: np.ndarray, todo: np.ndarray, parts: list[dict]) -> np.ndarray:
-    """DC values of the first component, [interval, unit, v * h], all intervals one code at a time."""
+def _in_step(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, todo: np.ndarray, parts: list[dict]) -> np.ndarray:
+    """DC values of the first component, [interval, unit, v * h], all intervals one code at a time; ends: the places after their bytes."""
     bit = starts.astype(np.int64) * 8
     per = parts[0]["h"] * parts[0]["v"]
     most = int(todo.max())
@@ -233,6 +235,8 @@ def _in_step(data: np.ndarray, starts: np.ndarray, todo: np.ndarray, parts: list
                 n, cat = p["dc"][0][w], p["dc"][1][w].astype(np.uint32)
                 if (n == 0).any():
                     raise ValueError("the scan has no valid code")
+                if (b >> 3 > ends[own]).any():
+                    raise ValueError("the scan ends too early")
                 b = b + n
                 extra = (peek(b) >> (16 - cat)).astype(np.int32)
                 d = np.where((cat > 0) & (extra < ((1 << cat) >> 1)), extra - ((1 << cat) - 1).astype(np.int32), extra).astype(np.int32)
@@ -245,9 +249,11 @@ def _in_step(data: np.ndarray, starts: np.ndarray, todo: np.ndarray, parts: list
                 while len(live):
                     w = peek(b[live])
                     n, s = p["ac"][0][w], p["ac"][1][w]
+                    if (n == 0).any():
+                        raise ValueError("the scan has no valid code")
                     b[live] += n + (s & 15)
                     k[live] += np.where(s == 0, 64, (s >> 4) + 1)
-                    live = live[(k[live] < 64) & (n > 0)]
+                    live = live[k[live] < 64]
                 if whole:
                     bit = b
                 else:
@@ -270,9 +276,11 @@ def feature(images: list[tuple[int, int, np.ndarray]]) -> str:
     return f"{images[0][0]}x{images[0][1]}*{len(images)}:{int.from_bytes(np.packbits(small[:, 1:] > small[:, :-1]).tobytes(), 'big'):016x}"
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, problem string"
 MEDIA = "doc_id long, n_bytes long, media binary"
 _GROUP = 1 << 22
+#: What decoding a damaged file raises: a missing table or marker, or places beyond the data.
+DAMAGED = (ValueError, IndexError, KeyError, AttributeError, OverflowError)
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,23 +295,44 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, MEDIA)
 
 
-def media_rows(media: list[bytes]) -> list[dict]:
-    """Features of stored files, decoded in groups of about 4 MB."""
+def media_row(data: bytes, images: list[tuple[int, int, np.ndarray]]) -> dict:
+    payload = np.concatenate([x[2].ravel() for x in images]).tobytes()
+    return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": feature(images), "width": images[0][0], "height": sum(x[1] for x in images), "problem": None}
+
+
+def unreadable(data: bytes | None, problem: str) -> dict:
+    """What is known of a file that can't be decoded."""
+    return dict.fromkeys(_ARROW.names[2:]) | {"media_bytes": None if data is None else len(data), "media_sha256": None if data is None else hashlib.sha256(data).hexdigest(), "problem": problem}
+
+
+def media_rows(media: list[bytes | None]) -> list[dict]:
+    """Features of stored files, decoded in groups of about 4 MB; those of a group with a damaged file are decoded one by one."""
     out, at = [], 0
     while at < len(media):
         end, size = at, 0
-        while end < len(media) and (end == at or size + len(media[end]) <= _GROUP):
-            size += len(media[end])
+        while end < len(media) and (end == at or size + len(media[end] or b"") <= _GROUP):
+            size += len(media[end] or b"")
             end += 1
-        for data, images in zip(media[at:end], decode_many(media[at:end]), strict=True):
-            payload = np.concatenate([x[2].ravel() for x in images]).tobytes()
-            out.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": feature(images), "width": images[0][0], "height": sum(x[1] for x in images)})
+        some = media[at:end]
+        there = [d for d in some if d]
+        try:
+            found = iter(decode_many(there))
+            out += [media_row(d, next(found)) if d else unreadable(d, "no media" if d is None else "empty") for d in some]
+        except DAMAGED:
+            for d in some:
+                if not d:
+                    out.append(unreadable(d, "no media" if d is None else "empty"))
+                    continue
+                try:
+                    out.append(media_row(d, decode(d)))
+                except DAMAGED as e:
+                    out.append(unreadable(d, f"damaged: {e}"[:200]))
         at = end
     return out
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads the media column back and computes its features."""
+    """Reads the media column back and computes its features. Of null, empty and damaged media those are null and `problem` says why."""
     arrow_rows(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +341,7 @@ def media_features(media: DataFrame) -> DataFrame:
             cols = {k: [r[k] for r in rows] for k in _ARROW.names[2:]}
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(cols[k], _ARROW.field(k).type) for k in _ARROW.names[2:])], schema=_ARROW)
 
-    return media.mapInArrow(run, SCHEMA)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
 
 
 _ARROW = pa.schema([(k, pa.string() if t == "string" else pa.int64()) for k, t in (x.split() for x in SCHEMA.split(", "))])
