@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import dna as D
 from ..sources import fasta
 from .hierarchy import cds_phase
+from .sweep import Take, running
+from .tables import written
 
+BLOCK, HALO = 1024, 64  # genes of a block, and of those after it that a task sees at first
+OPEN = "open"
 GROWTH = 1.3  # a chain of over two genes must be this much longer than its longest member
 
 
@@ -36,8 +40,9 @@ def complete(nuc: str) -> bool:
     return len(nuc) >= 6 and len(nuc) % 3 == 0 and nuc[:3] == "ATG" and ends[-1] and not any(ends[:-1])
 
 
-def _chain(rows: list, i: int, whole: list[bool]) -> tuple[int, str, int] | None:
-    """(last member, joined sequence, bases cut at the last junction) of the first chain from i that is a complete frame."""
+def _chain(rows: list, i: int, whole: list[bool]) -> tuple[int, str, int] | str | None:
+    """(last member, joined sequence, bases cut at the last junction) of the first chain from i that is a complete frame; OPEN if the
+    rows end before that is decided."""
     joined, read = rows[i].cds, 0
     if not joined or whole[i]:
         return (i, joined, 0) if joined else None
@@ -63,26 +68,56 @@ def _chain(rows: list, i: int, whole: list[bool]) -> tuple[int, str, int] | None
                 if len(made) > longest and (j - i < 2 or len(made) >= GROWTH * longest):
                     return j, made, cut
         joined += own.cds
-    return None
+    return OPEN
 
 
-def orf_chains(genes: DataFrame) -> DataFrame:
+def orf_chains(genes: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """(seq, strand, members, cut, cds): for each gene the chain of it and its next neighbours that forms a complete frame.
 
-    The fold runs once for each sequence and strand: its rows are genes, not bases."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        forward = pdf["strand"].iloc[0] == "+"
-        rows = list(pdf.sort_values(["start", "stop", "gene"], ascending=forward).itertuples(index=False))
-        whole = [complete(r.cds) for r in rows]
-        out = []
-        for i in range(len(rows)):
-            if found := _chain(rows, i, whole):
-                j, cds, cut = found
-                out.append((rows[i].seq, rows[i].strand, [r.gene for r in rows[i : j + 1]], cut, cds))
-        return pd.DataFrame(out, columns=["seq", "strand", "members", "cut", "cds"])
-
-    return genes.groupBy("seq", "strand").applyInPandas(run, "seq string, strand string, members array<string>, cut int, cds string")
+    Genes are numbered along each sequence and strand by a sweep, and dealt over blocks with the first `halo` genes of what follows.
+    A stop codon in frame or a gene without bases ends a chain, so most are decided there. Those still open at the end of what
+    their block holds are tried again with a halo twice as wide, in rounds, until none is open: rounds follow the logarithm of the
+    longest chain, and a task holds a block and its halo, however many genes a sequence has."""
+    at = ["seq", "strand"]
+    x = running(genes, at, [F.col("start"), F.col("stop"), F.col("gene")], "start", {"_before": Take("sum", F.lit(1).cast("long"))})
+    x = x.withColumn("idx", F.coalesce("_before", F.lit(0).cast("long"))).withColumn("idx", F.when(F.col("strand") == "+", F.col("idx")).otherwise(-F.col("idx"))).drop("_before")
+    last = x.groupBy(*at).agg(F.max("idx").alias("last"))
+    x = written(x.join(last, at), "genes")  # numbered once, read in every round
+    names = ["seq", "strand", "members", "cut", "cds", "open"]
+    ddl = "seq string, strand string, members array<string>, cut int, cds string, open long"
+    found, begun, wide = None, None, halo
+    while True:
+        reach, again = wide, begun is not None
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = list(pdf.sort_values("idx").itertuples(index=False))
+            whole = [complete(r.cds) for r in rows]
+            own = int(pdf["part"].iloc[0])
+            out = []
+            for i in range(len(rows)):
+                if rows[i].idx // block != own or (again and not rows[i].tried):
+                    continue
+                made = _chain(rows, i, whole)
+                if made == OPEN:
+                    if rows[-1].idx < rows[-1].last:
+                        out.append((rows[i].seq, rows[i].strand, None, None, None, rows[i].idx))
+                elif made:
+                    j, cds, cut = made
+                    out.append((rows[i].seq, rows[i].strand, [r.gene for r in rows[i : j + 1]], cut, cds, None))
+            return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=object) for k, n in enumerate(names)})
+
+        y = x if begun is None else x.join(begun, [*at, "idx"], "left").withColumn("tried", F.coalesce("tried", F.lit(False)))
+        part = F.explode(F.sequence(F.floor((F.col("idx") - reach) / F.lit(block)), F.floor(F.col("idx") / F.lit(block))))
+        y = y.withColumn("part", part)
+        if begun is not None:
+            y = y.join(begun.select(*at, F.floor(F.col("idx") / F.lit(block)).alias("part")).distinct(), [*at, "part"], "left_semi")
+        y = y.where(F.col("idx") < (F.col("part") + 1) * block + reach)
+        made = written(y.groupBy(*at, "part").applyInPandas(run, ddl), "chains")
+        found = made if found is None else found.unionByName(made)
+        begun = made.where("open is not null").select(*at, F.col("open").alias("idx"), F.lit(True).alias("tried"))
+        if begun.isEmpty():
+            return found.where("members is not null").drop("open")
+        wide *= 2
 
 
 def candidates(genes: DataFrame) -> DataFrame:

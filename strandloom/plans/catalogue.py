@@ -840,9 +840,17 @@ def tokenise_bases(spark, d):
     return x.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(DN + f""", k AS (SELECT doc_id::VARCHAR AS seq, unnest(range(0, len(dna) // 12)) AS k, dna FROM dna), c AS (SELECT seq, k, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand, CASE WHEN k % 2 = 0 THEN k ELSE -k END AS o,
+ CASE WHEN k % 2 = 0 THEN substr(dna, 12 * k + 1, 12) ELSE reverse(translate(substr(dna, 12 * k + 1, 12), 'ACGT', 'TGCA')) END AS cds FROM k),
+s AS (SELECT *, cds LIKE 'ATG%' AS a, coalesce(list_min(list_filter([1, 2, 3, 4], lambda i: cds[3 * i - 2:3 * i] IN ('TAA', 'TAG', 'TGA'))), 0) AS stop FROM c),
+n AS (SELECT *, min(CASE WHEN stop > 0 THEN o END) OVER (PARTITION BY seq, strand ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS upto FROM s),
+m AS (SELECT seq, strand, o, o AS upto FROM n WHERE a AND stop = 4 UNION ALL SELECT n.seq, n.strand, n.o, n.upto FROM n JOIN s z ON z.seq = n.seq AND z.strand = n.strand AND z.o = n.upto WHERE n.a AND n.stop = 0 AND z.stop = 4 AND NOT z.a),
+p AS (SELECT m.seq, m.strand, m.o, list(concat(s.seq, ':', s.k) ORDER BY s.o) AS members, string_agg(s.cds, '' ORDER BY s.o) AS cds FROM m JOIN s ON s.seq = m.seq AND s.strand = m.strand AND s.o BETWEEN m.o AND m.upto GROUP BY ALL)
+SELECT concat(seq, '~', array_to_string(members, '|'), '~', strand) AS key, seq, strand, members,
+ array_to_string(list_transform(range(0, len(cds) // 3), lambda i: substr('{D.AMINO}', (16 * (strpos('TCAG', cds[3 * i + 1]) - 1) + 4 * (strpos('TCAG', cds[3 * i + 2]) - 1) + strpos('TCAG', cds[3 * i + 3]))::BIGINT, 1)), '') AS protein FROM p""")
 def orf_chain_merge(spark, d):
-    """Candidate proteins of neighbouring fragments: every text is a sequence with a fragment of 12 bases in each 12; no SQL form (hand cases in the tests)."""
+    """Candidate proteins of neighbouring fragments: every text is a sequence with a fragment of 12 bases in each 12. In SQL a fragment
+    is told by its start and its first stop codon."""
     x = view(spark, d, "dna").where(F.length("dna") >= 12).select(F.col("doc_id").cast("string").alias("seq"), "dna")
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("length(dna) div 12").cast("long") - 1))
     g = x.select("seq", k.alias("k")).select("seq", F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat_ws(":", "seq", "k").alias("gene"), (F.col("k") * 12).alias("start"), (F.col("k") * 12 + 12).alias("stop"))

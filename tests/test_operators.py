@@ -347,6 +347,38 @@ def test_orf_chains(spark):
     assert rows(orf.orf_chains(near), "members", "cut", "cds") == [(["a", "b"], 1, "ATGAAACCCTAA")]
 
 
+@pytest.mark.parametrize("block,halo", [(1024, 64), (4, 1), (3, 2)])
+def test_orf_chains_over_blocks(spark, block, halo):
+    """Random genes on both strands, chains of up to twelve genes, ties of places: as one fold over each strand."""
+    import random
+    from types import SimpleNamespace
+
+    rng = random.Random(block)
+    data, n = [], 0
+    for seq in ("a", "b"):
+        for strand in "+-":
+            at = 0
+            for _ in range(25):
+                size = rng.choice([1, 1, 2, 3, 12])
+                for k in range(size):
+                    body = "".join(rng.choice(["AAA", "CCC", "GGA", "TTC"]) for _ in range(rng.randrange(1, 4)))
+                    head, tail = "ATG" if (k == 0) == (rng.random() < 0.9) else "", rng.choice(["TAA", "TGA"]) if (k == size - 1) == (rng.random() < 0.9) else ""
+                    cds = rng.choice(["", "A", head + body + tail]) if rng.random() < 0.1 else head + body + tail
+                    data.append((seq, strand, f"g{n}", at, at + 10, cds, rng.choice(["GT", "AA"]), rng.choice(["AG", "AA"])))
+                    at += rng.choice([0, 9, 10, 11, 300])
+                    n += 1
+    names = ["seq", "strand", "gene", "start", "stop", "cds", "donor", "acceptor"]
+    want = set()
+    for key in {d[:2] for d in data}:
+        rows_ = [SimpleNamespace(**dict(zip(names, d, strict=True))) for d in sorted((d for d in data if d[:2] == key), key=lambda d: (d[3], d[4], d[2]), reverse=key[1] == "-")]
+        whole = [orf.complete(r.cds) for r in rows_]
+        for i in range(len(rows_)):
+            if (made := orf._chain(rows_, i, whole)) and made != orf.OPEN:
+                want.add((*key, tuple(r.gene for r in rows_[i : made[0] + 1]), made[2], made[1]))
+    got = [(r.seq, r.strand, tuple(r.members), r.cut, r.cds) for r in orf.orf_chains(genes(spark, data), block, halo).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(len(w[2]) for w in want) > 8
+
+
 def test_apply_merges(spark):
     t = tree(spark).select("id", "parent", "type", "seq", "strand", "start", "stop", "row")
     t = t.unionByName(frame(spark, [("g9", None, "gene", "c", "+", 52, 58, 20), ("m9", "g9", "mRNA", "c", "+", 52, 58, 21), ("p9", "m9", "CDS", "c", "+", 52, 58, 22)], "id string, parent string, type string, seq string, strand string, start long, stop long, row long"))
