@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import dna as D
 from ..functions import logits as L
-from ..operators import dataset, decode, filters, hierarchy, intervals, labels, orf, runs, stats
+from ..operators import dataset, decode, filters, hierarchy, intervals, labels, orf, runs, stats, trees
 from ..operators import evaluate as E
 from ..operators.tables import folder, written
 from ..sources import arrays, fasta, gff, reports
@@ -1048,3 +1048,39 @@ def closed_regions(spark, d):
     f = view(spark, d, "feature").withColumn("bucket", F.expr("row div 4000"))
     f = f.withColumn("row", F.col("bucket") * 4000 + F.row_number().over(Window.partitionBy("bucket").orderBy(F.md5("id"))))
     return gff.closed_regions(f.select("id", "parent", "row"), 500).select("id", "row", "region", "part")
+
+
+def _forest(name: int) -> dict:
+    """A model in JSON form by rule: complete trees of depth 3 with splits at multiples of 1/32."""
+    grown = []
+    for t in range(12):
+        n = 15
+        inner = range(7)
+        condition = [((5 * t + 3 * k + name) % 13 - 6) / 32 for k in inner] + [((7 * t + 11 * k + name) % 17 - 8) / 16 for k in range(7, n)]
+        grown.append({"left_children": [2 * k + 1 for k in inner] + [-1] * 8, "right_children": [2 * k + 2 for k in inner] + [-1] * 8, "split_indices": [(9 * t + 4 * k + name) % 64 for k in range(n)], "split_conditions": condition, "default_left": [(t + k) % 2 for k in range(n)]})
+    return {"learner": {"objective": {"name": "binary:logistic"}, "learner_model_param": {"base_score": "4E-1"}, "gradient_booster": {"model": {"trees": grown}}}}
+
+
+def _forest_sql(model: dict) -> str:
+    """The model as one sum of nested CASEs; component 5 is missing in odd rows."""
+
+    def node(t: dict, k: int) -> str:
+        if t["left_children"][k] < 0:
+            return repr(t["split_conditions"][k])
+        left, right = node(t, t["left_children"][k]), node(t, t["right_children"][k])
+        i = t["split_indices"][k]
+        whole = f"CASE WHEN embedding[{i + 1}] < {t['split_conditions'][k]!r} THEN {left} ELSE {right} END"
+        return f"CASE WHEN vec_id % 2 = 1 THEN {left if t['default_left'][k] else right} ELSE {whole} END" if i == 5 else whole
+
+    return " + ".join(node(t, 0) for t in model["learner"]["gradient_booster"]["model"]["trees"])
+
+
+@query(f"""WITH m AS (SELECT vec_id, ln(0.4 / 0.6) + {_forest_sql(_forest(1))} AS a, ln(0.4 / 0.6) + {_forest_sql(_forest(2))} AS b FROM embeddings), s AS (SELECT vec_id, 1 / (1 + exp(-a)) AS a, 1 / (1 + exp(-b)) AS b FROM m)
+SELECT vec_id, round(a, 9) AS a, round(b, 9) AS b, round((a + b) / 2, 9) AS mean_score, ((a + b) / 2 >= 0.5)::INTEGER AS predicted_label FROM s""")
+def tree_scores(spark, d):
+    """Mean scores and labels of all vectors by two boosted-tree models; a component is missing in odd rows."""
+    import json
+
+    e = base(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v, i: F.when((i == 5) & (F.col("vec_id") % 2 == 1), F.lit(None)).otherwise(v)).alias("x"))
+    models = {n: trees.Ensemble.from_json(json.dumps(_forest(k))) for k, n in ((1, "a"), (2, "b"))}
+    return rounded(trees.score(e, models, "vec_id", "x"), "a", "b", "mean_score")

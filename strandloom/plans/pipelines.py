@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logits as L
-from ..operators import decode, evaluate, filters, hierarchy, labels, runs, stats
+from ..operators import decode, evaluate, filters, hierarchy, labels, orf, runs, stats, trees
 from ..operators.tables import written
 from ..sources import fasta
 
@@ -107,3 +107,13 @@ def evaluate_trees(pred: DataFrame, true: DataFrame) -> DataFrame:
 
 def transcript_fasta(features: DataFrame, sequence: DataFrame, path: str) -> None:
     fasta.write(fasta.transcripts(features, sequence, ("CDS", "five_prime_UTR", "three_prime_UTR")), path)
+
+
+def join_fragments(features: DataFrame, sequence: DataFrame, embedder: Callable[[list[str]], list[np.ndarray]], models: dict[str, trees.Ensemble], threshold: float = 0.5, keep_unmerged: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(feature tree with accepted chains joined, scores by key): candidate proteins of genes and of chains of fragments are embedded,
+    scored by all models, and chains with a mean of at least the threshold are joined."""
+    found = written(orf.candidates(orf.gene_table(features, sequence)), "candidates")
+    proteins = trees.embed(found.select("key", "protein").distinct(), embedder, "protein")
+    scores = written(trees.score(proteins, models, "key", "features", threshold), "protein-scores")
+    merges = found.where(F.size("members") > 1).join(scores.where("predicted_label = 1").select("key"), "key", "left_semi").select("members")
+    return orf.apply_merges(features, merges, keep_unmerged), scores
