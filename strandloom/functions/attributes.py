@@ -78,3 +78,37 @@ def gene_of(transcript: Column, known: Column) -> Column:
 def chromosome_order(name: Column) -> list[Column]:
     """Sort keys: numbered chromosomes by number, then all other names by name."""
     return [chromosome_number(name).asc_nulls_last(), name]
+
+
+#: What stands between semicolons; those inside quotes do not count, and a quote without a partner is a plain letter.
+TOKEN = r'(?:[^;"]|"[^"]*"|")+'
+
+
+def parse_quoted(attributes: Column) -> Column:
+    """Map of arrays of an attribute string of GFF3 (k=v) or of GFF2 and GTF (k "v" or k v); its first part tells which.
+
+    Semicolons in quotes belong to the value. A value that is quoted as a whole is one value without its quotes, others are split at
+    commas; empty ones are left out, and a key without any is 'true'. Values of equal keys are appended. Percent codes are
+    decoded where they are valid, + stays."""
+    whole = F.transform(F.regexp_extract_all(F.coalesce(attributes, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda p: F.trim(F.regexp_replace(p, "[\\t\\r\\n]", " ")))
+    parts = F.filter(whole, lambda p: p != "")
+    gff3 = F.coalesce(F.get(parts, 0), F.lit("")).rlike(r"^\w+=")
+    mark = F.when(gff3, F.lit("=")).otherwise(F.lit(" "))
+    decode = lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v)
+
+    def entry(p: Column) -> Column:
+        at = F.call_function("locate", mark, p)
+        key, value = F.when(at > 0, F.substr(p, F.lit(1), at - 1)).otherwise(p), F.when(at > 0, F.trim(F.substr(p, at + 1))).otherwise(F.lit(""))
+        quoted = (F.length(value) > 1) & value.startswith('"') & value.endswith('"')
+        values = F.when(quoted, F.array(F.substr(value, F.lit(2), F.length(value) - 2))).otherwise(F.split(value, ","))
+        values = F.filter(values, lambda v: v != "")
+        return F.struct(F.trim(key).alias("key"), F.when(F.size(values) > 0, F.transform(values, decode)).otherwise(F.array(F.lit("true"))).alias("values"))
+
+    entries = F.transform(parts, entry)
+    none = F.array().cast("array<string>")
+    return F.aggregate(entries, F.create_map().cast("map<string,array<string>>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], F.concat(F.coalesce(F.try_element_at(m, e["key"]), none), e["values"]))))
+
+
+def is_gff3(attributes: Column) -> Column:
+    """Whether the first attribute is written k=v; without attributes, too."""
+    return F.coalesce(attributes.rlike(r'^[\s;]*\w+=') | ~attributes.rlike(r"[^\s;]"), F.lit(True))

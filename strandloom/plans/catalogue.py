@@ -1084,3 +1084,25 @@ def tree_scores(spark, d):
     e = base(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v, i: F.when((i == 5) & (F.col("vec_id") % 2 == 1), F.lit(None)).otherwise(v)).alias("x"))
     models = {n: trees.Ensemble.from_json(json.dumps(_forest(k))) for k, n in ((1, "a"), (2, "b"))}
     return rounded(trees.score(e, models, "vec_id", "x"), "a", "b", "mean_score")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS m, o_orderpriority AS p FROM orders)
+SELECT k AS start, CASE WHEN m IN (0, 3) THEN 'parent' WHEN m = 4 THEN 'annotation' ELSE 'child' END AS kind, CASE m WHEN 0 THEN concat('o', k) WHEN 3 THEN concat('T', k) WHEN 4 THEN concat('a', k) END AS id,
+ CASE m WHEN 1 THEN concat('t; ', k) WHEN 2 THEN concat('T', k, '|"U|', k, '"') END AS parents, CASE m WHEN 0 THEN concat(p, '; second, third|plain text') WHEN 1 THEN 'a|b' WHEN 3 THEN p ELSE '' END AS notes FROM o""")
+def line_records(spark, d):
+    """Kinds, ids, parents and notes of feature lines of five styles in one file; the SQL knows them from how the lines are made."""
+    o = base(spark, d, "orders")
+    k, p = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    styles = [
+        ("exon", say("ID=o", k, ';Note="', p, '; second, third";Note=plain%20text;flag')), ("exon", say('gene_id "g"; transcript_id "t; ', k, '"; Note "a"; Note "b";')), ("exon", say("Parent=T", k, ',"U,', k, '"')),
+        ("Transcript", say('Transcript "T', k, '" ; Note "', p, '"')), ("gene", say("ID=a", k)),
+    ]
+    m = F.col("o_orderkey") % 5
+    pick = lambda part: F.coalesce(*(F.when(m == i, F.lit(x[part]) if part == 0 else x[part]) for i, x in enumerate(styles)))
+    place = lambda v: F.when(m == 4, F.lit(".")).otherwise(v.cast("string"))
+    path = folder(spark, "records")
+    o.select(F.concat_ws("\t", F.when(m == 4, F.concat(F.lit("s"), k)).otherwise(F.lit("c")), F.lit("x"), pick(0), place(F.col("o_orderkey") + 1), place(F.col("o_orderkey") + 9), F.lit("."), F.lit("+"), F.lit("."), pick(1)).alias("value")).write.text(path)
+    x = gff.records(spark, path)
+    start = F.coalesce("start", F.substring("seq", 2, 99).cast("long"))
+    return x.select(start.alias("start"), "kind", "id", F.array_join("parents", "|").alias("parents"), F.array_join(F.coalesce(F.try_element_at("quals", F.lit("Note")), F.array().cast("array<string>")), "|").alias("notes"))

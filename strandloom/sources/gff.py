@@ -50,6 +50,44 @@ def read_gtf(spark: SparkSession, path) -> DataFrame:
     return df.withColumn("id", F.when(F.col("type") == "gene", get("gene_id")).when(is_t, transcript)).withColumn("parent", F.when(F.col("type") == "gene", F.lit(None)).when(is_t, get("gene_id")).otherwise(transcript))
 
 
+# Attributes that name a part's transcript in GFF2, in the order in which they are looked for; attributes that name a
+# feature of that type or its parent in flat files; the types of parts there.
+TRANSCRIPT_KEYS = ("transcript_id", "transcriptId", "proteinId")
+FLAT_KEYS = ("Transcript", "CDS")
+FLAT_PARTS = ("intron", "exon", "three_prime_UTR", "coding_exon", "five_prime_UTR", "CDS", "stop_codon", "start_codon")
+
+
+def records(spark: SparkSession, path) -> DataFrame:
+    """(row, kind, text, seq, source, type, start, stop, score, strand, phase, id, parents, quals) of every line but comments, of files
+    of GFF3, GFF2 or GTF, also mixed, in one scan.
+
+    kind is `directive` (text has what follows ##), `annotation` (no place: about the whole sequence), `child` (has parents),
+    `parent` (has an id) or `feature`. quals is a map of arrays. In GFF2 the transcript's id is the parent; in flat files, where the
+    attributes Transcript or CDS name a feature, they are the id of a feature of that type and the parent of the parts of one. A
+    feature that is its own parent has no id. Lines with fewer than eight fields raise."""
+    x = numbered(spark.read.text(path)).withColumn("line", F.trim(F.col("value"))).where((F.col("line") != "") & (F.col("line").startswith("##") | ~F.col("line").startswith("#")))
+    plain, f = ~F.col("line").startswith("##"), F.split("line", "\t")
+    f = F.when(plain, F.when(F.size(f) >= 8, f).otherwise(F.raise_error(F.concat(F.lit("under eight fields: "), F.col("line"))).cast("array<string>")))
+    x = x.withColumn("f", F.transform(f, lambda v: F.when(v != ".", v)))
+    field = lambda k: F.get("f", F.lit(k))
+    x = x.withColumn("quals", F.when(plain, A.parse_quoted(field(8)))).withColumn("gff3", A.is_gff3(field(8)))
+    x = x.select("row", "line", "quals", "gff3", plain.alias("plain"), field(0).alias("seq"), field(1).alias("source"), field(2).alias("type"), (field(3).cast("long") - 1).alias("start"), field(4).cast("long").alias("stop"), field(5).cast("double").alias("score"), F.when(field(6).isin("+", "-"), field(6)).alias("strand"), field(7).cast("byte").alias("phase"))
+    get = lambda k: F.try_element_at("quals", F.lit(k))
+    named = F.coalesce(*(get(k) for k in TRANSCRIPT_KEYS))
+    flat = F.coalesce(*(F.when(get(k).isNotNull(), F.lit(k)) for k in FLAT_KEYS))
+    own, from_flat = F.get(get("ID"), 0), F.try_element_at("quals", flat)
+    is_flat = (F.col("type") == flat) & own.isNull()
+    ident = F.when(~F.col("gff3") & is_flat, F.get(from_flat, 0)).otherwise(own)
+    part = ~F.coalesce(F.col("type") == flat, F.lit(False)) & F.col("type").isin(*FLAT_PARTS)
+    parents = F.when(F.col("gff3"), get("Parent")).otherwise(F.coalesce(F.when(part, from_flat), named, get("Parent")))
+    x = x.withColumns({"id": F.when(F.col("plain"), ident), "parents": F.when(F.col("plain"), parents)})
+    x = x.withColumn("id", F.when(F.coalesce(F.array_contains("parents", F.col("id")), F.lit(False)), None).otherwise(F.col("id")))
+    placed = F.col("start").isNotNull() & F.col("stop").isNotNull()
+    kind = F.when(~F.col("plain"), "directive").when(~placed, "annotation").when(F.col("parents").isNotNull(), "child").when(F.col("id").isNotNull(), "parent").otherwise("feature")
+    text = F.when(~F.col("plain"), F.substring("line", 3, 1 << 30))
+    return x.select("row", kind.alias("kind"), text.alias("text"), "seq", "source", "type", "start", "stop", "score", "strand", "phase", "id", "parents", "quals")
+
+
 def header(spark: SparkSession, path) -> DataFrame:
     """(path, line): all lines that begin with #, wherever they stand."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where(F.col("line").startswith("#"))

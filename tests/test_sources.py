@@ -225,3 +225,40 @@ def test_parts_hold_whole_trees(spark, tmp_path):
     for p in parts:
         ids = {r.id for r in p}
         assert all(x in ids for r in p for x in (r.parent or "").split(",") if x in known)
+
+
+def test_quoted_attributes(spark):
+    from strandloom.functions import attributes as A
+
+    cases = {
+        'ID=a;Note="x; y, z";Alias=p,q%20r;flag;k=': {"ID": ["a"], "Note": ["x; y, z"], "Alias": ["p", "q r"], "flag": ["true"], "k": ["true"]},
+        'gene_id "g"; transcript_id "t; 1"; n 3; tag "a"; tag "b";': {"gene_id": ["g"], "transcript_id": ["t; 1"], "n": ["3"], "tag": ["a", "b"]},
+        'Sequence "Y74C9A" ; Note "Clone Y74C9A; Genbank AC024206"': {"Sequence": ["Y74C9A"], "Note": ["Clone Y74C9A; Genbank AC024206"]},
+        'name "fgenesh1_pg.C_chr_1000003"; transcriptId 869': {"name": ["fgenesh1_pg.C_chr_1000003"], "transcriptId": ["869"]},
+        "count=9;gene=amx-2;sequence=SAGE:aacggagccg": {"count": ["9"], "gene": ["amx-2"], "sequence": ["SAGE:aacggagccg"]},
+        "ID=a=b;Note=100%;x=a+b%2C;x=c": {"ID": ["a=b"], "Note": ["100%"], "x": ["a+b,", "c"]},
+        'Note=lone" quote;b=1': {"Note": ['lone" quote'], "b": ["1"]},
+        " ;; ;": {}, "": {}, None: {}, 'Note="";a=,': {"Note": ["true"], "a": ["true"]},
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, a string")
+    got = {r.a: r.m for r in df.select("a", A.parse_quoted(F.col("a")).alias("m")).collect()}
+    assert got == cases
+
+
+def test_records(spark, tmp_path):
+    lines = [
+        ("##sequence-region c 1 9", ("directive", "sequence-region c 1 9", None, None)), ("# note", None), ("", None), ("###", ("directive", "#", None, None)),
+        ("c\ts\tgene\t1\t9\t.\t+\t.\tID=g", ("parent", None, "g", None)), ("c\ts\tmRNA\t1\t9\t.\t+\t.\tID=m;Parent=g,h", ("child", None, "m", ["g", "h"])),
+        ("c\ts\texon\t1\t9\t.\t?\t.\tID=x;Parent=x", ("child", None, None, ["x"])), ("c\ts\tregion\t1\t9\t.\t.\t.", ("feature", None, None, None)),
+        ("c\ts\tgene\t.\t.\t.\t.\t.\tID=a", ("annotation", None, "a", None)),
+        ('c\ts\texon\t1\t9\t.\t+\t.\tgene_id "g"; transcript_id "t; 1"', ("child", None, None, ["t; 1"])), ("c\ts\tCDS\t1\t9\t.\t+\t0\tname x; proteinId 7", ("child", None, None, ["7"])),
+        ('c\ts\tTranscript\t1\t9\t.\t+\t.\tTranscript "B1" ; Note "q; r"', ("parent", None, "B1", None)), ('c\ts\tcoding_exon\t1\t9\t.\t+\t.\tTranscript "B1"', ("child", None, None, ["B1"])),
+        ('c\ts\tCDS\t1\t9\t.\t+\t.\tCDS "C1"', ("parent", None, "C1", None)), ('c\ts\tCDS\t1\t9\t.\t+\t.\tTranscript "B1" ; CDS "C1"', ("child", None, None, ["B1"])), ('c\ts\tother\t1\t9\t.\t+\t.\tTranscript "B1"', ("feature", None, None, None)),
+    ]
+    (tmp_path / "a.gff").write_text("".join(x + "\n" for x, _ in lines))
+    got = gff.records(spark, str(tmp_path / "a.gff")).orderBy("row").collect()
+    assert [(r.kind, r.text, r.id, r.parents) for r in got] == [w for _, w in lines if w]
+    assert got[5].strand is None or got[5].strand == "+"
+    (tmp_path / "b.gff").write_text("c\ts\tgene\n")
+    with pytest.raises(Exception, match="under eight fields"):
+        gff.records(spark, str(tmp_path / "b.gff")).collect()
