@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import dna as D
 from ..functions import logits as L
-from ..operators import dataset, decode, filters, hierarchy, intervals, labels, orf, runs, stats, trees
+from ..operators import dataset, decode, filters, hierarchy, intervals, labels, orf, rollup, runs, stats, trees
 from ..operators import evaluate as E
 from ..operators.tables import folder, written
 from ..sources import arrays, fasta, gff, reports
@@ -1106,3 +1106,31 @@ def line_records(spark, d):
     x = gff.records(spark, path)
     start = F.coalesce("start", F.substring("seq", 2, 99).cast("long"))
     return x.select(start.alias("start"), "kind", "id", F.array_join("parents", "|").alias("parents"), F.array_join(F.coalesce(F.try_element_at("quals", F.lit("Note")), F.array().cast("array<string>")), "|").alias("notes"))
+
+
+def _window_states(spark, d):
+    """Path of the states of windows and tags by month; one month is written twice, as by a task that ran again."""
+    x = spark.sql("SELECT l_returnflag AS species, l_linestatus AS chrom, l_quantity > 10 AS kept, l_discount < 0.05 AS intergenic, l_tax < 0.04 AS selected, CAST(l_quantity AS BIGINT) AS length, l_linenumber AS tag, date_format(l_shipdate, 'yyyy-MM') AS month FROM {t}", t=base(spark, d, "lineitem"))
+    path = folder(spark, "states")
+    every = rollup.window_state(x, F.col("month")).unionByName(rollup.tag_state(x, F.col("month")))
+    rollup.save(every, path)
+    rollup.save(every.where(F.col("batch").endswith("-03")), path)
+    return rollup.load(spark, path)
+
+
+_SETS = "GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())"
+_LEVEL = "CASE WHEN grouping(l_returnflag) = 1 THEN 'all' WHEN grouping(l_linestatus) = 1 THEN 'species' ELSE 'dataset' END AS level, l_returnflag AS species, l_linestatus AS chrom"
+
+
+@query(f"""WITH x AS (SELECT l_returnflag, l_linestatus, l_quantity > 10 AS kept, l_discount < 0.05 AS ig, l_tax < 0.04 AS sel, CASE WHEN l_quantity > 10 THEN (2 ** floor(log2(l_quantity::BIGINT)))::BIGINT END AS p FROM lineitem)
+SELECT {_LEVEL}, count(*) AS processed, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS skipped, round(count(*) FILTER (kept) / count(*), 9) AS keep_rate,
+ count(*) FILTER (kept AND ig) AS available_intergenic, count(*) FILTER (kept AND NOT ig) AS available_genic, count(*) FILTER (kept AND sel AND ig) AS selected_intergenic, count(*) FILTER (kept AND sel AND NOT ig) AS selected_genic,
+ round(count(*) FILTER (kept AND ig) / count(*) FILTER (kept), 9) AS available_share, round(count(*) FILTER (kept AND sel AND ig) / count(*) FILTER (kept AND sel), 9) AS selected_share, quantile_disc(-p, 0.5) * -1 AS length_from FROM x {_SETS}""")
+def window_rollup(spark, d):
+    return rounded(rollup.window_rollup(_window_states(spark, d)), "keep_rate", "available_share", "selected_share")
+
+
+@query(f"""WITH x AS (SELECT {_LEVEL}, l_linenumber::VARCHAR AS tag, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_linenumber), (l_returnflag, l_linenumber), (l_linenumber)))
+SELECT level, species, chrom, tag, n, round(n / sum(n) OVER (PARTITION BY level, species, chrom), 9) AS frequency FROM x""")
+def tag_rollup(spark, d):
+    return rounded(rollup.tag_rollup(_window_states(spark, d)), "frequency")
