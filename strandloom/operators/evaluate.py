@@ -51,6 +51,22 @@ def entity_metrics(matched: DataFrame, *by: str) -> DataFrame:
     return prf(x).withColumn("jaccard", ratio(F.col("tp").cast("double"), (F.col("tp") + F.col("fp") + F.col("fn")).cast("double")))
 
 
+def level_counts(levels: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(level, tp, fp, fn) of sets of places (seq, strand, start, stop) or chains (seq, strand, chain) of two sides: one aggregation by
+    level and member has all of them."""
+    rows = None
+    for level, sides in levels.items():
+        for p, x in zip((True, False), sides, strict=True):
+            chain = F.col("chain") if "chain" in x.columns else F.array(F.struct("start", "stop"))
+            x = x.select(F.lit(level).alias("level"), "seq", "strand", chain.alias("chain"), F.lit(p).alias("p"))
+            rows = x if rows is None else rows.unionByName(x)
+    each = rows.groupBy("level", "seq", "strand", "chain").agg(F.max("p").alias("pred"), F.min("p").alias("only"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias
+    found = each.groupBy("level").agg(n(F.col("pred") & ~F.col("only"))("tp"), n(F.col("only"))("fp"), n(~F.col("pred"))("fn"))
+    every = rows.sparkSession.createDataFrame([(k,) for k in levels], "level string")  # an empty level has zeros
+    return every.join(found, "level", "left").fillna(0, ["tp", "fp", "fn"])
+
+
 def cds_chains(df: DataFrame) -> DataFrame:
     """(seq, strand, gene, transcript, chain): the sorted CDS intervals of each transcript, as an array that joins by value."""
     m = df.where("type = 'mRNA'").select(F.col("id").alias("transcript"), F.col("parent").alias("gene"))
@@ -62,14 +78,15 @@ def locus_counts(pred: DataFrame, true: DataFrame) -> DataFrame:
     """Locus, transcript and CDS exon counts. A predicted locus is right if one of its CDS chains is a true transcript's chain.
 
     Predicted loci are all genes and predicted transcripts all mRNAs, with or without CDS; true ones need a CDS."""
-    p, t = cds_chains(pred), cds_chains(true)
-    keys = ["seq", "chain"]
-    hit_p, hit_t = p.join(t.select(*keys).distinct(), keys, "left_semi"), t.join(p.select(*keys).distinct(), keys, "left_semi")
-    one = lambda d, c, n: d.agg(F.count_distinct(c).alias(n)).withColumn("k", F.lit(1))
-    parts = [one(hit_p, "gene", "pg"), one(hit_t, "gene", "tg"), one(hit_p, "transcript", "pt"), one(hit_t, "transcript", "tt"), one(t, "gene", "ng"), one(t, "transcript", "nt"), one(pred.where("type = 'gene'"), "id", "mg"), one(pred.where("type = 'mRNA'"), "id", "mt")]
-    x = parts[0]
-    for y in parts[1:]:
-        x = x.join(y, "k")
+    # both sides' chains once, each with whether the other side has it, and all distinct counts in one aggregation
+    c = written(cds_chains(pred).withColumn("p", F.lit(True)).unionByName(cds_chains(true).withColumn("p", F.lit(False))), "chains")
+    key = F.xxhash64("seq", "chain")  # deals the chains out; equality is by the chain itself
+    both = c.groupBy(key.alias("h"), "seq", "chain").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("h", "seq", "chain", F.lit(True).alias("hit"))
+    c = c.withColumn("h", key).join(both, ["h", "seq", "chain"], "left")
+    distinct = lambda side, hit, col: F.count_distinct(F.when((F.col("p") == side) & (F.col("hit") if hit else F.lit(True)), F.col(col)))
+    x = c.agg(*(distinct(side, hit, col).alias(n) for n, side, hit, col in (("pg", True, True, "gene"), ("tg", False, True, "gene"), ("pt", True, True, "transcript"), ("tt", False, True, "transcript"), ("ng", False, False, "gene"), ("nt", False, False, "transcript")))).withColumn("k", F.lit(1))
+    ids = pred.agg(*(F.count_distinct(F.when(F.col("type") == kind, F.col("id"))).alias(n) for n, kind in (("mg", "gene"), ("mt", "mRNA")))).withColumn("k", F.lit(1))
+    x = x.join(ids, "k")
     row = lambda level, tp, n, hit, m: F.struct(F.lit(level).alias("level"), F.col(tp).alias("tp"), (F.col(n) - F.col(tp)).alias("fp"), (F.col(m) - F.col(hit)).alias("fn"))
     loci = x.select(F.inline(F.array(row("locus", "pg", "mg", "tg", "ng"), row("transcript", "pt", "mt", "tt", "nt"))))
     exon = set_counts(pred.where("type = 'CDS'"), true.where("type = 'CDS'"), ["seq", "strand", "start", "stop"], "cds_exon")
@@ -95,7 +112,7 @@ def structure_counts(pred: DataFrame, true: DataFrame) -> DataFrame:
     count = lambda x, n: x.agg(F.count_distinct("gene").alias(n)).withColumn("k", F.lit(1))
     loci = count(pc.join(tc.select(*keys).distinct(), keys, "left_semi"), "tp").join(count(pc, "np"), "k").join(count(tc, "nt"), "k")
     loci = loci.select(F.lit("multi_exon_locus").alias("level"), "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
-    return prf(base.unionByName(loci).unionByName(set_counts(pe, te, place, "exon")).unionByName(set_counts(pi, ti, place, "intron")).unionByName(set_counts(pc, tc, keys, "intron_chain")))
+    return prf(base.unionByName(loci).unionByName(level_counts({"exon": (pe, te), "intron": (pi, ti), "intron_chain": (pc, tc)})))
 
 
 def transcript_levels(pred: DataFrame, true: DataFrame, tolerance: int = 0) -> DataFrame:

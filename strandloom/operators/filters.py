@@ -100,7 +100,8 @@ def overlapping_parts(wide: DataFrame) -> DataFrame:
 
 def filter_features(wide: DataFrame, remove_incomplete: bool = True) -> tuple[DataFrame, DataFrame]:
     """Canonical transcripts of genes that pass all filters, and the log (seq, strand, gene_id, reason, start, stop). Works if nothing is filtered.
-    A gene with several spans raises."""
+    A gene with several spans raises. The wide rows are written first, as every step reads a few columns of them again."""
+    wide = written(wide, "wide")
     log = written(bad_canonical(wide), "filtered")
     kept = apply_filters(wide, log).where("canonical = '1'")
     steps = [(overlapping_genes, True), (incomplete, remove_incomplete), (overlapping_parts, True)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .intervals import gaps, merge
 from .tables import checked, written
 
-UNIONS = 8  # generations until the ids found so far are written as one table
+GENERATIONS = 3  # that one plan finds: features have parts of parts, seldom more
 
 
 def cascade_delete(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -19,18 +19,22 @@ def cascade_delete(df: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def removed(df: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, direct): ids that go, direct being whether the id is in roots. One semi join for each generation over the written
-    (id, parent) table, until a generation has no id that isn't gone already, so a parent cycle ends too."""
+    """(id, direct): ids that go, direct being whether the id is in roots. Semi joins over the written (id, parent) table find
+    GENERATIONS at a time, written as one table, until the last of them has no id that isn't gone already, so a parent cycle ends too."""
     edges = written(df.where("id is not null").select("id", "parent"), "edges")
-    front = written(edges.join(roots.select("id").distinct(), "id", "left_semi").select("id").distinct(), "front")
-    out = front.withColumn("direct", F.lit(True))
-    depth = 0
-    while front.limit(1).count():
-        front = written(edges.join(front.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct().join(out.select("id"), "id", "left_anti"), "front")
-        out, depth = out.unionByName(front.withColumn("direct", F.lit(False))), depth + 1
-        if depth % UNIONS == 0:
-            out = written(out, "removed")
-    return written(out.groupBy("id").agg(F.max("direct").alias("direct")), "removed")
+    out = written(edges.join(roots.select("id").distinct(), "id", "left_semi").select("id").distinct().withColumn("depth", F.lit(0)), "front")
+    front, direct = out, F.col("depth") == 0
+    while True:
+        known, found = out.select("id"), None
+        for k in range(1, GENERATIONS + 1):
+            front = edges.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").distinct().join(known, "id", "left_anti").withColumn("depth", F.lit(k))
+            known, found = known.unionByName(front.select("id")), front if found is None else found.unionByName(front)
+        found = written(found, "front")
+        front = found.where(F.col("depth") == GENERATIONS)
+        out = out.unionByName(found)
+        if front.isEmpty():
+            return out.select("id", direct.alias("direct"))
+        out = written(out, "removed")
 
 
 def expand_parents(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweep import BLOCK, Take, running
+
 BLOCK = 1 << 18  # positions of one sequence that a task sorts
 
 
@@ -155,18 +157,24 @@ def contiguous(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(pos).alias("n_distinct"), F.min(pos).alias("lo"), F.max(pos).alias("hi")).select(*keys, "n", ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("n_distinct") == F.col("n"))).alias("ok"))
 
 
-def replace_bracketed(run_table: DataFrame, keys: list[str], first: int, middle: int, last: int, new: int, longest: int | None = None, label: str = "label") -> DataFrame:
-    """Relabels stretches of touching runs that begin with `first`, end with `last`, hold `middle` and no other first or last between."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    mark = F.when(F.col(label).isin(first, last), F.struct(F.col(label).alias("lab"), F.col("start").alias("s"), F.col("stop").alias("e")))
-    before = F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(mark, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    x = run_table.withColumn("_b", before).withColumn("_a", after)
-    inner = x.where((F.col(label) == middle) & (F.col("_b.lab") == first) & (F.col("_a.lab") == last)).select(*keys, F.col("_b.s").alias("s"), F.col("_a.e").alias("e")).distinct()
-    if longest is not None:
-        inner = inner.where(F.col("e") - F.col("s") <= longest)
-    hit = run_table.join(inner, keys).where((F.col("start") >= F.col("s")) & (F.col("stop") <= F.col("e"))).select(*keys, "start", F.lit(True).alias("_hit"))
-    return run_table.join(hit.distinct(), [*keys, "start"], "left").withColumn(label, F.when(F.col("_hit"), F.lit(new)).otherwise(F.col(label))).drop("_hit")
+def replace_bracketed(run_table: DataFrame, keys: list[str], first: int, middle: int, last: int, new: int, longest: int | None = None, label: str = "label", width: int = BLOCK) -> DataFrame:
+    """Relabels stretches of touching runs that begin with `first`, end with `last`, hold `middle` and no other first or last between.
+
+    Every run learns the marks (first or last) on either side and how many middles lie before them from two sweeps in blocks, and is
+    decided on its own; runs and stretches are not joined."""
+    order = [F.col("start"), F.col("stop")]
+    x = running(run_table, keys, order, "start", {"_m": Take("sum", (F.col(label) == middle).cast("long"), here=True)}, width)
+    own = F.struct(F.col(label).alias("lab"), F.col("start").alias("s"), F.col("stop").alias("e"), F.col("_m").alias("m"))
+    mark = F.when(F.col(label).isin(first, last), own)
+    x = running(x, keys, order, "start", {"_b": Take("near", mark), "_a": Take("near", mark, ahead=True)}, width)
+
+    def inside(b: Column, a: Column) -> Column:
+        ok = (b["lab"] == first) & (a["lab"] == last) & (a["m"] > b["m"])
+        return F.coalesce(ok & (a["e"] - b["s"] <= longest) if longest is not None else ok, F.lit(False))
+
+    marked = F.coalesce(F.col(label).isin(first, last), F.lit(False))
+    hit = (~marked & inside(F.col("_b"), F.col("_a"))) | (marked & (inside(own, F.col("_a")) | inside(F.col("_b"), own)))
+    return x.withColumn(label, F.when(hit, F.lit(new)).otherwise(F.col(label))).drop("_b", "_a", "_m")
 
 
 def label_raster(run_table: DataFrame, keys: list[str], lo: int, hi: int, label: str = "label") -> DataFrame:

@@ -78,10 +78,11 @@ def predict(sequence: DataFrame, scorer: Callable[[list[str]], np.ndarray], wind
 
 def prepare(features: DataFrame, up: int = 944, down: int = 1240) -> dict[str, DataFrame]:
     """Training labels from a feature tree: kept wide rows, the filter log, feature and region layers and masks, as run-length intervals."""
-    wide = hierarchy.flatten(features)
+    wide = written(hierarchy.flatten(features), "wide")
     kept, log = filters.filter_features(wide)
     domain = wide.groupBy("seq", "strand").agg(F.lit(0).cast("long").alias("lo"), F.max("sequence_length").alias("hi"))
     genes = wide.select("seq", "strand", "gene_id", F.col("gene_start").alias("start"), F.col("gene_stop").alias("stop")).distinct()
+    kept, log = written(kept, "kept"), written(log, "log")
     masks = labels.reason_masks(log.select("seq", "strand", "gene_id", "reason", "start", "stop"), genes, domain, up=up, down=down)
     return {"kept": kept, "log": log, "stacked": hierarchy.stack(kept), "layers": labels.feature_layers(kept, domain), "regions": labels.region_layers(kept), "masks": masks}
 

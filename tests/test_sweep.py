@@ -99,3 +99,31 @@ def test_running_takes(spark):
             other = [w for h, j, w in rows if h == g and w is not None and ((j > i if t.ahead else j < i) or t.here and j == i)]
             want = {"max": max, "min": min, "sum": sum}[t.kind](other) if other and t.kind != "near" else (other[0] if t.ahead else other[-1]) if other else None
             assert got[i][name] == want, (name, i)
+
+
+@pytest.mark.parametrize("longest", [None, 12])
+def test_replace_bracketed_in_blocks(spark, longest):
+    from strandloom.operators import runs
+
+    rng = random.Random(7)
+    rows = []
+    for g in ("a", "b", "c"):
+        at = 0
+        for _ in range(60):
+            size = rng.randrange(1, 5)
+            rows.append((g, rng.choice([0, 1, 2, 3, 3]), at, at + size))
+            at += size
+    want = []
+    for g in ("a", "b", "c"):
+        own = [list(r) for r in rows if r[0] == g]
+        new = [r[1] for r in own]
+        for i in range(len(own)):
+            for j in range(i + 1, len(own)):
+                if own[i][1] == 1 and own[j][1] == 2:
+                    mid = [r[1] for r in own[i + 1 : j]]
+                    if 3 in mid and not {1, 2} & set(mid) and (longest is None or own[j][3] - own[i][2] <= longest):
+                        new[i : j + 1] = [9] * (j - i + 1)
+        want += [(g, n, r[2], r[3]) for n, r in zip(new, own, strict=True)]
+    df = spark.createDataFrame(rows, "g string, label int, start long, stop long").repartition(3)
+    got = runs.replace_bracketed(df, ["g"], 1, 3, 2, 9, longest, width=5)
+    assert sorted(tuple(r) for r in got.select("g", "label", "start", "stop").collect()) == sorted(want) and any(w[1] == 9 for w in want)
