@@ -48,7 +48,8 @@ def test_query_against_sql(spark, name):
     assert got
     if name in queries.ORACLE:
         con = duckdb.connect()
-        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        for t in ("documents", "embeddings"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.sql(queries.ORACLE[name])
         cols = sorted(df.columns)
         assert cols == sorted(want.columns)
