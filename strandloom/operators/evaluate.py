@@ -196,7 +196,7 @@ def splice_motifs(introns_: DataFrame, sequence: DataFrame) -> DataFrame:
 
     pieces = written(blocks(sequence, MOTIF_BLOCK, 1), "blocks")
     x = introns_.where(F.col("stop") - F.col("start") >= 4).select("seq", "strand", "start", "stop")
-    x = bases_at(bases_at(x, pieces, F.col("start"), 2, "_left", MOTIF_BLOCK), pieces, F.col("stop") - 2, 2, "_right", MOTIF_BLOCK).where(F.length("_right") == 2)
+    x = bases_at(x, pieces, {"_left": F.col("start"), "_right": F.col("stop") - 2}, 2, MOTIF_BLOCK).where(F.length("_right") == 2)
     left, right = F.upper("_left"), F.upper("_right")
     pair = F.when(F.col("strand") == "-", F.concat_ws("-", reverse_complement(right), reverse_complement(left))).otherwise(F.concat_ws("-", left, right))
     x = x.select(F.when(pair.isin("GT-AG", "GC-AG"), pair).otherwise("other").alias("motif")).groupBy("motif").agg(F.count(F.lit(1)).alias("n"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import written
+
 BLOCK = 1 << 20
 PIECE = 1 << 16  # bases of a row of scan() at most
 SLICE = 1 << 14  # width of the blocks that cut() takes bases from; each place walks through half a block on average
@@ -144,11 +147,40 @@ def cut(places: DataFrame, pieces: DataFrame, keys: tuple[str, ...], size: int =
     return x.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("p"))["dna"], "").alias("dna"))  # one key's places
 
 
-def bases_at(places: DataFrame, pieces: DataFrame, at: Column, n: int, name: str, size: int = BLOCK) -> DataFrame:
-    """places with the n bases from place `at` on (fewer at the sequence's end), from blocks() of that size with an overlap of n - 1."""
-    x = places.withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / F.lit(size)).cast("int"))
-    x = x.join(pieces.select("seq", "block", "dna"), ["seq", "block"])
-    return x.withColumn(name, F.substr("dna", (F.col("_at") % size + 1).cast("int"), F.lit(n))).select(*places.columns, name)
+def gather(places: DataFrame, pieces: DataFrame, n: int, size: int = BLOCK) -> DataFrame:
+    """(seq, at, bases): the n bases from each distinct place (seq, at) on, fewer at the sequence's end, from blocks() of that size with an
+    overlap of n - 1. The places of a block meet it as one list, as long as the block at most, and are looked up in one pass."""
+    x = places.select("seq", F.col("at").cast("long").alias("at")).where("at >= 0").withColumn("block", F.floor(F.col("at") / F.lit(size)).cast("int"))
+    x = x.groupBy("seq", "block").agg(F.collect_set((F.col("at") % size).cast("int")).alias("at"))
+    x = x.join(pieces.select("seq", "block", "offset", F.col("dna").cast("binary").alias("dna")), ["seq", "block"]).select("seq", "offset", "at", "dna")
+    schema = pa.schema([("seq", pa.string()), ("at", pa.int64()), ("bases", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                dna, at = np.frombuffer(b.column(3)[k].as_py(), "u1"), b.column(2)[k].values.to_numpy()
+                at = at[at < len(dna)]
+                size_of = np.minimum(n, len(dna) - at)
+                ends = np.r_[0, np.cumsum(size_of)].astype("i4")
+                data = dna[np.repeat(at - ends[:-1], size_of) + np.arange(ends[-1])]
+                bases = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+                yield pa.record_batch([pa.array([b.column(0)[k].as_py()] * len(at), pa.string()), pa.array(at.astype("i8") + b.column(1)[k].as_py()), bases], schema=schema)
+
+    return x.mapInArrow(run, "seq string, at long, bases string")
+
+
+def bases_at(places: DataFrame, pieces: DataFrame, at: dict[str, Column], n: int, size: int = BLOCK) -> DataFrame:
+    """places with a column for each entry of at: the n bases from there on, '' where no sequence is. All places are gathered together; only
+    the bases found are joined back, never a block."""
+    wanted = None
+    for c in at.values():
+        x = places.select("seq", c.cast("long").alias("at"))
+        wanted = x if wanted is None else wanted.unionByName(x)
+    found = written(gather(wanted, pieces, n, size), "bases")
+    out = places
+    for name, c in at.items():
+        out = out.withColumn("_at", c.cast("long")).join(found.select("seq", F.col("at").alias("_at"), F.col("bases").alias(name)), ["seq", "_at"], "left").drop("_at").withColumn(name, F.coalesce(name, F.lit("")))
+    return out.select(*places.columns, *at)
 
 
 def longest(sequence: DataFrame, n: int) -> DataFrame:

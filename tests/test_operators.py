@@ -317,7 +317,7 @@ def test_blocks_and_motifs(spark):
     assert got == {("e", 0): "ACG"}
     pieces = fasta.blocks(seq, 8192, 1)
     at = [0, 8191, 8192, 16383, 39998, 39999]
-    found = fasta.bases_at(frame(spark, [("c", i) for i in at], "seq string, at long"), pieces, F.col("at"), 2, "b", 8192)
+    found = fasta.bases_at(frame(spark, [("c", i) for i in at], "seq string, at long"), pieces, {"b": F.col("at")}, 2, 8192)
     assert rows(found, "at", "b") == [(i, dna[i : i + 2]) for i in at]
     introns = frame(spark, [("c", "+", a, a + 50) for a in (8142, 8191, 100, 39950, 39960)], IV)
     want = {}
