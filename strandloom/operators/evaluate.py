@@ -38,7 +38,7 @@ def set_counts(pred: DataFrame, true: DataFrame, keys: list[str], level: str) ->
 
 def overlap_prf(pred: DataFrame, true: DataFrame, by: str = "seq") -> DataFrame:
     """Base-level counts by `by` of two sets of intervals without strand: shared, predicted only and true only bases."""
-    p, t = merge(pred, (by,)), merge(true, (by,))
+    p, t = written(merge(pred, (by,)), "bases"), written(merge(true, (by,)), "bases")
     size = lambda x, n: x.groupBy(by).agg(F.sum(F.col("stop") - F.col("start")).alias(n))
     x = size(p, "np").join(size(t, "nt"), by, "full").join(overlap_bases(p.select(by, "start", "stop"), t.select(by, "start", "stop"), (by,)), by, "left").fillna(0, ["np", "nt", "bases"])
     return prf(x.select(by, F.col("bases").alias("tp"), (F.col("np") - F.col("bases")).alias("fp"), (F.col("nt") - F.col("bases")).alias("fn")))
@@ -57,10 +57,10 @@ def level_counts(levels: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     rows = None
     for level, sides in levels.items():
         for p, x in zip((True, False), sides, strict=True):
-            chain = F.col("chain") if "chain" in x.columns else F.array(F.struct("start", "stop"))
-            x = x.select(F.lit(level).alias("level"), "seq", "strand", chain.alias("chain"), F.lit(p).alias("p"))
-            rows = x if rows is None else rows.unionByName(x)
-    each = rows.groupBy("level", "seq", "strand", "chain").agg(F.max("p").alias("pred"), F.min("p").alias("only"))
+            x = x.select(F.lit(level).alias("level"), *(c for c in ("seq", "strand", "start", "stop", "chain") if c in x.columns), F.lit(p).alias("p"))
+            rows = x if rows is None else rows.unionByName(x, allowMissingColumns=True)
+    key = [c for c in ("seq", "strand", "start", "stop", "chain") if c in rows.columns]  # of places, chain is null; of chains, start and stop
+    each = rows.groupBy("level", *key).agg(F.max("p").alias("pred"), F.min("p").alias("only"))
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias
     found = each.groupBy("level").agg(n(F.col("pred") & ~F.col("only"))("tp"), n(F.col("only"))("fp"), n(~F.col("pred"))("fn"))
     every = rows.sparkSession.createDataFrame([(k,) for k in levels], "level string")  # an empty level has zeros
@@ -100,7 +100,7 @@ def structure_counts(pred: DataFrame, true: DataFrame) -> DataFrame:
     pe, te = written(transcript_exons(pred), "exons"), written(transcript_exons(true), "exons")
     place = ["seq", "strand", "start", "stop"]
     bases = lambda x: merge(x.select("seq", "start", "stop"), ("seq",))
-    pb, tb = bases(pe), bases(te)
+    pb, tb = written(bases(pe), "bases"), written(bases(te), "bases")
     total = lambda x, n: x.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias(n)).withColumn("k", F.lit(1))
     shared = overlap_bases(pb, tb, ("seq",)).agg(F.coalesce(F.sum("bases"), F.lit(0)).alias("tp")).withColumn("k", F.lit(1))
     base = shared.join(total(pb, "np"), "k").join(total(tb, "nt"), "k").select(F.lit("base").alias("level"), "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
