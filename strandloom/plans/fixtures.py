@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels")
@@ -44,14 +46,12 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A projection as a DataFrame; base tables and what it needs become temporary views."""
-    for t in TABLES:
-        base(spark, sf_dir, t).createOrReplaceTempView(t)
-    for n in NEEDS.get(name, ()):
-        view(spark, sf_dir, n).createOrReplaceTempView(n)
-    if name == "dna":
-        return spark.sql(DNA["spark"])
-    return spark.sql(SQL[name].replace("VARCHAR(20)", "STRING").replace("VARCHAR(40)", "STRING").replace("VARCHAR(1)", "STRING"))
+    """A projection as a DataFrame. The tables and projections it reads are handed to Spark as DataFrames, so the session gets no views."""
+    sql = DNA["spark"] if name == "dna" else SQL[name]
+    sql = sql.replace("VARCHAR(20)", "STRING").replace("VARCHAR(40)", "STRING").replace("VARCHAR(1)", "STRING")
+    named = re.compile(r"\b(FROM|JOIN) (" + "|".join((*TABLES, *NEEDS.get(name, ()))) + r")\b")
+    read = {m[1] for m in named.findall(sql)}
+    return spark.sql(named.sub(r"\1 {\2}", sql), **{t: view(spark, sf_dir, t) if t in SQL else base(spark, sf_dir, t) for t in sorted(read)})
 
 
 def ctes(*names: str) -> str:
