@@ -145,11 +145,24 @@ def sample_windows(windows: DataFrame, share: str, background: float, proportion
 
 
 def split_rows(df: DataFrame, by: list[str], key: str, share: float, seed: int) -> DataFrame:
-    """Disjoint train and valid parts: of each dataset the first int(n * share) rows in hash order are train; sample_index runs within."""
-    w = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    x = df.withColumn("_k", F.row_number().over(w)).withColumn("split", F.when(F.col("_k") <= F.floor(n * share), "train").otherwise("valid"))
-    return x.withColumn("sample_index", (F.row_number().over(Window.partitionBy(*by, "split").orderBy("_k")) - 1).cast("long")).drop("_k")
+    """Disjoint train and valid parts: of each dataset the first int(n * share) rows in hash order are train; sample_index runs within.
+    Ranks come from a sweep over 4,096 slices of the hashes, so no task sorts a dataset."""
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    place = F.conv(F.substring("_o", 1, 8), 16, 10).cast("long")
+    x = running(df.withColumn("_o", order), by, [F.col("_o"), F.col(key)], place, {"_k": Take("sum", F.lit(1).cast("long"))}, 1 << 20)
+    n = df.groupBy(F.struct(*by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))  # a struct, as null values are a dataset too
+    x = x.withColumn("_by", F.struct(*by)).join(n, "_by").withColumn("_k", F.coalesce("_k", F.lit(0).cast("long"))).withColumn("_t", F.floor(F.col("_n") * share))
+    x = x.withColumn("split", F.when(F.col("_k") < F.col("_t"), "train").otherwise("valid"))
+    return x.withColumn("sample_index", F.when(F.col("split") == "train", F.col("_k")).otherwise(F.col("_k") - F.col("_t"))).select(*df.columns, "split", "sample_index")
+
+
+def run_codons(run_table: DataFrame, samples: DataFrame, keys: list[str], before: str = "three_prime_utr", after: str = "five_prime_utr", entity: str = "entity") -> DataFrame:
+    """run_table with start_codon, the three bases after a run of `after`, and stop_codon, those before a run of `before`, on samples (keys,
+    dna); null for other runs, shorter at a sample's end. A sample is a window, so its bases travel with its runs."""
+    x = run_table.join(samples.select(*keys, F.col("dna").alias("_dna")), keys, "left")
+    start = F.when(F.col(entity) == after, F.substr("_dna", (F.col("stop") + 1).cast("int"), F.lit(3)))
+    stop = F.when(F.col(entity) == before, F.substr("_dna", (F.greatest(F.col("start") - 3, F.lit(0)) + 1).cast("int"), F.least(F.col("start"), F.lit(3)).cast("int")))
+    return x.withColumns({"start_codon": start, "stop_codon": stop}).drop("_dna")
 
 
 def contiguous(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:

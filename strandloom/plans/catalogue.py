@@ -1134,3 +1134,28 @@ def window_rollup(spark, d):
 SELECT level, species, chrom, tag, n, round(n / sum(n) OVER (PARTITION BY level, species, chrom), 9) AS frequency FROM x""")
 def tag_rollup(spark, d):
     return rounded(rollup.tag_rollup(_window_states(spark, d)), "frequency")
+
+
+@query(DN + """, r AS (SELECT doc_id, unnest([{'entity': 'five_prime_utr', 'start': doc_id % 40, 'stop': doc_id % 40 + 20}, {'entity': 'three_prime_utr', 'start': doc_id % 5, 'stop': 90}, {'entity': 'cds', 'start': 20, 'stop': 30}], recursive := true) FROM dna)
+SELECT r.doc_id, entity, start, CASE WHEN entity = 'five_prime_utr' THEN substring(dna, stop + 1, 3) END AS start_codon, CASE WHEN entity = 'three_prime_utr' THEN right(left(dna, start), 3) END AS stop_codon FROM r JOIN dna ON dna.doc_id = r.doc_id""")
+def run_codons(spark, d):
+    """Codons on either side of three runs of each text's bases."""
+    x = view(spark, d, "dna")
+    run = lambda name, a, z: F.struct(F.lit(name).alias("entity"), a.alias("start"), z.alias("stop"))
+    k, whole = F.col("doc_id"), lambda v: F.lit(v).cast("long")
+    r = x.select("doc_id", F.inline(F.array(run("five_prime_utr", k % 40, k % 40 + 20), run("three_prime_utr", k % 5, whole(90)), run("cds", whole(20), whole(30)))))
+    return runs.run_codons(r, x, ["doc_id"]).select("doc_id", "entity", "start", "start_codon", "stop_codon")
+
+
+@query("""SELECT doc_id AS k, concat('c', doc_id % 3, chr(9), 's', chr(9), 'exon', chr(9), doc_id + 1, chr(9), doc_id + 9, chr(9), '.', chr(9), '+', chr(9), '.', chr(9), 'ID=c', doc_id % 3, '_e', doc_id, ';Parent=c', doc_id % 3, '_a,c', doc_id % 3, '_b;geneID=x') AS value FROM documents
+UNION ALL SELECT -1, '##gff-version 3'""")
+def merged_lines(spark, d):
+    """Feature files of three sequences merged with prefixed ids and the first one's header; one file named does not exist."""
+    path = folder(spark, "merge")
+    k = F.col("doc_id").cast("string")
+    for i in range(3):
+        x = base(spark, d, "documents").where(F.col("doc_id") % 3 == i).select("doc_id", F.concat_ws("\t", F.lit(f"c{i}"), F.lit("s"), F.lit("exon"), (F.col("doc_id") + 1).cast("string"), (F.col("doc_id") + 9).cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=e"), k, F.lit(";Parent=a,b;geneID=x"))).alias("value"))
+        head = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("##gff-version 3").alias("value"))
+        x.unionByName(head).orderBy("doc_id").select("value").write.text(f"{path}/{i}")
+    x = gff.merge_lines(spark, [f"{path}/none", f"{path}/0", f"{path}/1", f"{path}/2"])
+    return x.select(F.when(F.col("value").startswith("#"), F.lit(-1)).otherwise(F.get(F.split("value", "\t"), 3).cast("long") - 1).cast("long").alias("k"), "value")

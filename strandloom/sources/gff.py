@@ -195,6 +195,34 @@ def merge_files(tables: dict[str, DataFrame], prefix: bool = True) -> DataFrame:
     return out
 
 
+def merge_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, split, id, value): the lines of files in the order given, which sorting by the first three keeps. Missing files are left out;
+    lines that begin with # come from the first file there is; blank lines go; lines with under nine fields stay as they are, in others
+    the ID and all parents get the sequence's name and _ before them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = [p for p in paths if (q := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(q)]
+    if not there:
+        raise FileNotFoundError(f"none of {paths}")
+    out = None
+    for k, p in enumerate(there):
+        x = spark.read.text(p).select(F.lit(k).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+        x = x.where(F.trim("value") != "" if k == 0 else (F.trim("value") != "") & ~F.col("value").startswith("#"))
+        out = x if out is None else out.unionByName(x)
+    f = F.split("value", "\t")
+    seq = F.concat(F.regexp_replace(F.get(f, 0), r"([\\$])", r"\\$1"), F.lit("_"))  # a pattern's own signs are letters here
+    named = F.regexp_replace(F.get(f, 8), F.lit("(^|;)ID="), F.concat(F.lit("$1ID="), seq))
+    parents = F.transform(F.split(F.regexp_extract(named, "(?:^|;)Parent=([^;]*)", 1), ","), lambda v: F.concat(F.get(f, 0), F.lit("_"), v))
+    listed = F.regexp_replace(F.array_join(parents, ","), r"([\\$])", r"\\$1")
+    named = F.when(named.rlike("(^|;)Parent=[^;]"), F.regexp_replace(named, F.lit("(^|;)Parent=[^;]*"), F.concat(F.lit("$1Parent="), listed))).otherwise(named)
+    changed = F.concat_ws("\t", F.slice(f, 1, 8), F.array(named), F.slice(f, 10, 1 << 20))
+    return out.withColumn("value", F.when(F.col("value").startswith("#") | (F.size(f) < 9), F.col("value")).otherwise(changed))
+
+
+def write_merged(spark: SparkSession, paths: list[str], out: str) -> None:
+    """merge_lines() as text in sorted parts: one after the other they are the merged file."""
+    merge_lines(spark, paths).orderBy("file", "split", "id").select("value").write.mode("overwrite").text(out)
+
+
 def profile(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts by (seq, source, type), and (parent_type, child_type, n)."""
     counts = df.groupBy("seq", "source", "type").count()

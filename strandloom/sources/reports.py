@@ -68,3 +68,13 @@ def write_manifest(entries: list[dict], path: str) -> None:
     """Manifest of a run: one JSON list on the driver's side."""
     with open(path, "w", encoding="utf-8") as f:
         json.dump(entries, f, indent=2)
+
+
+def busco_summary(spark: SparkSession, path) -> DataFrame:
+    """(complete, single, duplicated, fragmented, missing, n, path) of BUSCO's short summaries, in percent, a row for each score line
+    C:..%[S:..%,D:..%],F:..%,M:..%,n:..; further parts of the line are passed over."""
+    number = r"(\d+(?:\.\d+)?)"
+    line = rf"C:{number}%\[S:{number}%,D:{number}%\],F:{number}%,M:{number}%.*?,n:(\d+)"
+    x = spark.read.text(path).where(F.col("value").rlike(line))
+    part = lambda k: F.regexp_extract("value", line, k)
+    return x.select(*(part(k).cast("double").alias(n) for k, n in enumerate(("complete", "single", "duplicated", "fragmented", "missing"), 1)), part(6).cast("long").alias("n"), F.col("_metadata.file_path").alias("path"))

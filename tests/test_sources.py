@@ -262,3 +262,19 @@ def test_records(spark, tmp_path):
     (tmp_path / "b.gff").write_text("c\ts\tgene\n")
     with pytest.raises(Exception, match="under eight fields"):
         gff.records(spark, str(tmp_path / "b.gff")).collect()
+
+
+def test_merge_lines_and_busco(spark, tmp_path):
+    feature = "c$1\ts\tgene\t1\t9\t.\t+\t.\t"
+    (tmp_path / "a.gff").write_text(f"##gff-version 3\n# own\n{feature}ID=g;x=1\n\nshort\tline\n{feature}Parent=p,q;ID=h\n{feature}.\n")
+    (tmp_path / "b.gff").write_text(f"##gff-version 3\n{feature.replace('c$1', 'd')}ID=g;geneID=7\n")
+    paths = [str(tmp_path / n) for n in ("none.gff", "a.gff", "gone.gff", "b.gff")]
+    gff.write_merged(spark, paths, str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    want = ["##gff-version 3", "# own", f"{feature}ID=c$1_g;x=1", "short\tline", f"{feature}Parent=c$1_p,c$1_q;ID=c$1_h", f"{feature}.", f"{feature.replace('c$1', 'd')}ID=d_g;geneID=7"]
+    assert "".join(p.read_text() for p in parts).splitlines() == want
+    with pytest.raises(FileNotFoundError):
+        gff.merge_lines(spark, paths[:1])
+    (tmp_path / "short_summary.txt").write_text("# BUSCO\n\tC:99.1%[S:97.0%,D:2.1%],F:0.5%,M:0.4%,n:2326\t\n\t2305\tComplete BUSCOs (C)\n")
+    r = reports.busco_summary(spark, str(tmp_path / "short_summary.txt")).collect()
+    assert [tuple(x)[:6] for x in r] == [(99.1, 97.0, 2.1, 0.5, 0.4, 2326)]
