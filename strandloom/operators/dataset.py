@@ -88,3 +88,15 @@ def strided(df: DataFrame, size: str, key: str, workers: int) -> DataFrame:
     before = n.select(size, F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(size)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each size
     own = df.withColumn("_own", F.row_number().over(Window.partitionBy(size).orderBy(key)))
     return own.join(before, size).withColumn("worker", ((F.col("_before") + F.col("_own") - 1) % workers).cast("int")).select(*df.columns, "worker")
+
+
+def group_presence(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, in_left, in_right) of every group key of either side, by one aggregation; common groups have both."""
+    side = lambda x, a, b: x.select(*keys, F.lit(a).alias("in_left"), F.lit(b).alias("in_right"))
+    both = side(left, True, False).unionByName(side(right, False, True))
+    return both.groupBy(*keys).agg(F.max("in_left").alias("in_left"), F.max("in_right").alias("in_right"))
+
+
+def common_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Group keys that both sides have."""
+    return group_presence(left, right, keys).where("in_left and in_right").select(*keys)

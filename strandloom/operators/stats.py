@@ -11,7 +11,15 @@ def _all():
 
 
 def value_counts(df: DataFrame, *cols: str) -> DataFrame:
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(_all()))
+    """(cols, n, percent), the most frequent first, ties by value."""
+    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(_all()))
+    return counts.orderBy(F.desc("n"), *cols)
+
+
+def mask_rate(df: DataFrame, masked: Column, *by: str) -> DataFrame:
+    """(by, n, n_masked, mask_rate): the share of rows where `masked` holds, by group; a null does not hold."""
+    held = F.coalesce(masked, F.lit(False)).cast("long")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(held).alias("n_masked")).withColumn("mask_rate", F.col("n_masked") / F.col("n"))
 
 
 def children_histogram(df: DataFrame, parent_type: str = "gene", child_type: str = "mRNA") -> DataFrame:

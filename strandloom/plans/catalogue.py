@@ -596,7 +596,7 @@ def sample_counts(spark, d):
 
 @query("SELECT lang, round(avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END), 9) AS mask_rate FROM documents GROUP BY lang")
 def mask_rate(spark, d):
-    return base(spark, d, "documents").groupBy("lang").agg(F.round(F.avg((F.col("n_chars") > 2000).cast("double")), 9).alias("mask_rate"))
+    return rounded(stats.mask_rate(base(spark, d, "documents"), F.col("n_chars") > 2000, "lang"), "mask_rate").select("lang", "mask_rate")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) x WHERE k = 1")
@@ -1159,3 +1159,19 @@ def merged_lines(spark, d):
         x.unionByName(head).orderBy("doc_id").select("value").write.text(f"{path}/{i}")
     x = gff.merge_lines(spark, [f"{path}/none", f"{path}/0", f"{path}/1", f"{path}/2"])
     return x.select(F.when(F.col("value").startswith("#"), F.lit(-1)).otherwise(F.get(F.split("value", "\t"), 3).cast("long") - 1).cast("long").alias("k"), "value")
+
+
+@query("""WITH v AS (SELECT DISTINCT user_id, event_id % 3 AS part FROM events WHERE event_type = 'view'), p AS (SELECT DISTINCT user_id, event_id % 3 AS part FROM events WHERE event_type = 'purchase')
+SELECT *, true AS in_left, true AS in_right FROM (SELECT * FROM v INTERSECT SELECT * FROM p) UNION ALL SELECT *, true, false FROM (SELECT * FROM v EXCEPT SELECT * FROM p) UNION ALL SELECT *, false, true FROM (SELECT * FROM p EXCEPT SELECT * FROM v)""")
+def group_presence(spark, d):
+    e = base(spark, d, "events").withColumn("part", F.col("event_id") % 3)
+    return dataset.group_presence(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), ["user_id", "part"])
+
+
+@query("SELECT l_orderkey % 50 AS grp, count(*) AS n, count(*) FILTER (l_discount > 0.05) AS big, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")
+def summary_files(spark, d):
+    """A summary table written as JSON lines and read back by its schema."""
+    path = folder(spark, "summary")
+    x = base(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("l_discount") > 0.05).cast("long")).alias("big"), F.round(F.avg("l_quantity"), 6).alias("mean"))
+    reports.write_summary(x, path)
+    return reports.read_summary(spark, path, "grp long, n long, big long, mean double")

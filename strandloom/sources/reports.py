@@ -78,3 +78,14 @@ def busco_summary(spark: SparkSession, path) -> DataFrame:
     x = spark.read.text(path).where(F.col("value").rlike(line))
     part = lambda k: F.regexp_extract("value", line, k)
     return x.select(*(part(k).cast("double").alias(n) for k, n in enumerate(("complete", "single", "duplicated", "fragmented", "missing"), 1)), part(6).cast("long").alias("n"), F.col("_metadata.file_path").alias("path"))
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """Rows as JSON, one a line, null fields included."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_summary(spark: SparkSession, path, schema: str) -> DataFrame:
+    """Rows of JSON lines by a given schema (nothing is inferred, so the files are read once); fields that are not there are null, a line that
+    is no JSON raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

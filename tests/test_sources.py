@@ -278,3 +278,19 @@ def test_merge_lines_and_busco(spark, tmp_path):
     (tmp_path / "short_summary.txt").write_text("# BUSCO\n\tC:99.1%[S:97.0%,D:2.1%],F:0.5%,M:0.4%,n:2326\t\n\t2305\tComplete BUSCOs (C)\n")
     r = reports.busco_summary(spark, str(tmp_path / "short_summary.txt")).collect()
     assert [tuple(x)[:6] for x in r] == [(99.1, 97.0, 2.1, 0.5, 0.4, 2326)]
+
+
+def test_summaries_and_groups(spark, tmp_path):
+    from strandloom.operators import dataset, stats
+
+    df = spark.createDataFrame([("a", 1, None), ("b", None, 2.5), (None, 3, 0.1)], "k string, n long, v double")
+    reports.write_summary(df, str(tmp_path / "s"))
+    assert {tuple(r) for r in reports.read_summary(spark, str(tmp_path / "s"), "k string, n long, v double, more int").collect()} == {("a", 1, None, None), ("b", None, 2.5, None), (None, 3, 0.1, None)}
+    (tmp_path / "bad.json").write_text("{no json\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        reports.read_summary(spark, str(tmp_path / "bad.json"), "k string").collect()
+    other = spark.createDataFrame([("a",), ("z",), (None,)], "k string")
+    assert {tuple(r) for r in dataset.group_presence(df, other, ["k"]).collect()} == {("a", True, True), ("b", True, False), ("z", False, True), (None, True, True)}
+    assert {r.k for r in dataset.common_groups(df, other, ["k"]).collect()} == {"a", None}
+    assert {tuple(r) for r in stats.mask_rate(df.unionByName(df), F.col("v") > 1, "k").collect()} == {("a", 2, 0, 0.0), ("b", 2, 2, 1.0), (None, 2, 0, 0.0)}
+    assert [r.k for r in stats.value_counts(other.unionByName(other.limit(1)), "k").collect()] == ["a", None, "z"]
