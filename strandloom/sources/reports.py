@@ -47,6 +47,25 @@ def registry(spark: SparkSession, species: list[dict]) -> tuple[DataFrame, DataF
     return spark.createDataFrame(rows, "species string, name string, gff string, fasta string"), spark.createDataFrame(maps, "species string, source string, name string")
 
 
+def registry_from_yaml(spark: SparkSession, path: str, species: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """registry() tables of a YAML file: a list of species, or one under the key `species`, each with id, name, gff and fasta (filename),
+    chromosome_map and split; of equal ids the last entry counts. The species table also has attributes_to_drop and use_in_training,
+    use_in_validation and use_in_evaluation. An unknown id in `species` raises."""
+    import yaml
+
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).toLocalIterator())  # one configuration file
+    data = yaml.safe_load(text) or []
+    entries = {e["id"]: e for e in (data if isinstance(data, list) else data.get("species", []))}
+    if gone := [i for i in species or [] if i not in entries]:
+        raise ValueError(f"unknown species {gone}; there are {sorted(entries)}")
+    chosen = [entries[i] for i in (species if species is not None else entries)]
+    uses = ("use_in_training", "use_in_validation", "use_in_evaluation")
+    rows = [(e["id"], e["name"], e["gff"]["filename"], e["fasta"]["filename"], e["gff"].get("attributes_to_drop"), *(bool(e["split"][u]) for u in uses)) for e in chosen]
+    maps = [(e["id"], str(a), str(b)) for e in chosen for a, b in e["chromosome_map"].items()]
+    ddl = "species string, name string, gff string, fasta string, attributes_to_drop array<string>, " + ", ".join(f"{u} boolean" for u in uses)
+    return spark.createDataFrame(rows, ddl), spark.createDataFrame(maps, "species string, source string, name string")
+
+
 def validate_ids(chromosome_map: DataFrame, features: DataFrame, sequences: DataFrame) -> DataFrame:
     """(species, level, issue, ids) of chromosome_map(species, source, name) against the ids (species, seq) of feature and sequence files.
 
