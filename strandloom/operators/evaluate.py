@@ -175,7 +175,7 @@ def sites(df: DataFrame) -> DataFrame:
     plus = F.col("strand") == "+"
     tis = c.select(F.lit("tis").alias("kind"), "seq", "strand", F.when(plus, F.col("lo")).otherwise(F.col("hi")).alias("pos"))
     tts = c.select(F.lit("tts").alias("kind"), "seq", "strand", F.when(plus, F.col("hi")).otherwise(F.col("lo")).alias("pos"))
-    i = introns(merge(df.where("type = 'CDS'"), ("parent", "seq", "strand")))
+    i = introns(merge(df.where("type = 'CDS'"), ("parent", "seq", "strand"), width=None))
     donor = i.select(F.lit("donor").alias("kind"), "seq", "strand", F.when(plus, F.col("start")).otherwise(F.col("stop")).alias("pos"))
     acceptor = i.select(F.lit("acceptor").alias("kind"), "seq", "strand", F.when(plus, F.col("stop")).otherwise(F.col("start")).alias("pos"))
     return tis.unionByName(tts).unionByName(donor).unionByName(acceptor).distinct()

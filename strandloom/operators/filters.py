@@ -95,7 +95,7 @@ def overlapping_genes(wide: DataFrame) -> DataFrame:
 
 def overlapping_parts(wide: DataFrame) -> DataFrame:
     p = wide.select("seq", "strand", "gene_id", "transcript_id", F.col("feature_start").alias("start"), F.col("feature_stop").alias("stop"))
-    return filter_log(overlap_flag(p, ("seq", "strand", "gene_id", "transcript_id")).where("has_overlap"), "overlapping_feature")
+    return filter_log(overlap_flag(p, ("seq", "strand", "gene_id", "transcript_id"), width=None).where("has_overlap"), "overlapping_feature")
 
 
 def filter_features(wide: DataFrame, remove_incomplete: bool = True) -> tuple[DataFrame, DataFrame]:

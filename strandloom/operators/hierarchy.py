@@ -138,22 +138,22 @@ def transcript_exons(parts: DataFrame) -> DataFrame:
     """Exons (parent, seq, strand, start, stop) of each transcript: merged CDS and UTR parts, or its exon rows if the table has any exon row."""
     flag = parts.agg(F.max((F.col("type") == "exon").cast("int")).alias("f"))
     keys = ("parent", "seq", "strand")
-    built = merge(parts.where(F.col("type").isin("CDS", "five_prime_UTR", "three_prime_UTR")), keys).select(*keys, "start", "stop")
+    built = merge(parts.where(F.col("type").isin("CDS", "five_prime_UTR", "three_prime_UTR")), keys, width=None).select(*keys, "start", "stop")
     explicit = parts.where("type = 'exon'").select(*keys, "start", "stop")
     return explicit.withColumn("f", F.lit(1)).unionByName(built.withColumn("f", F.lit(0))).join(F.broadcast(flag.withColumn("f", F.coalesce("f", F.lit(0)))), "f").drop("f")  # one row
 
 
 def introns(exons: DataFrame) -> DataFrame:
-    return gaps(exons, ("parent", "seq", "strand"))
+    return gaps(exons, ("parent", "seq", "strand"), width=None)
 
 
 def interval_sets(parts: DataFrame) -> DataFrame:
     """(parent, cds, utr, exon, intron, intron_cds): sorted distinct interval arrays of each transcript, exon rows ignored."""
     keys = ("parent",)
     p = parts.where(F.col("type").isin("CDS", "five_prime_UTR", "three_prime_UTR")).select("parent", "type", "start", "stop")
-    cds, exon = merge(p.where("type = 'CDS'"), keys), merge(p, keys)
+    cds, exon = merge(p.where("type = 'CDS'"), keys, width=None), merge(p, keys, width=None)
     kinds = p.where("type = 'CDS'").select("parent", F.lit("cds").alias("kind"), "start", "stop").unionByName(p.where("type <> 'CDS'").select("parent", F.lit("utr").alias("kind"), "start", "stop"))
-    for name, x in (("exon", exon), ("intron", gaps(exon, keys)), ("intron_cds", gaps(cds, keys))):
+    for name, x in (("exon", exon), ("intron", gaps(exon, keys, width=None)), ("intron_cds", gaps(cds, keys, width=None))):
         kinds = kinds.unionByName(x.select("parent", F.lit(name).alias("kind"), "start", "stop"))
     pick = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.struct("start", "stop")))).alias(k)  # noqa: E731  the parts of one transcript
     return kinds.groupBy("parent").agg(*(pick(k) for k in ("cds", "utr", "exon", "intron", "intron_cds")))
@@ -176,7 +176,7 @@ def cds_phase(cds: DataFrame) -> DataFrame:
 def segments(exons: DataFrame, transcripts: DataFrame) -> DataFrame:
     """(parent, state, start, stop) covering each transcript: exon and intron segments to its ends."""
     keys = ("parent",)
-    e = merge(exons, keys).select("parent", F.lit("exon").alias("state"), "start", "stop")
+    e = merge(exons, keys, width=None).select("parent", F.lit("exon").alias("state"), "start", "stop")
     from .intervals import complement
 
     i = complement(exons.select("parent", "start", "stop"), transcripts.select(F.col("id").alias("parent"), F.col("start").alias("lo"), F.col("stop").alias("hi")), keys).select("parent", F.lit("intron").alias("state"), "start", "stop")

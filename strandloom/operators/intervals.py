@@ -15,13 +15,13 @@ KEYS = ("seq", "strand")
 BIN = 4096
 
 
-def overlap_flag(df: DataFrame, keys=KEYS, name: str = "has_overlap", width: int = BLOCK) -> DataFrame:
+def overlap_flag(df: DataFrame, keys=KEYS, name: str = "has_overlap", width: int | None = BLOCK) -> DataFrame:
     """Marks intervals that overlap another one of their group (touching is not overlapping). One sweep in blocks, no self join."""
     x = running(df, keys, [F.col("start"), F.col("stop")], "start", {"_before": Take("max", F.col("stop")), "_after": Take("near", F.col("start"), ahead=True)}, width)
     return x.withColumn(name, F.coalesce(F.col("_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_after") < F.col("stop"), F.lit(False))).drop("_before", "_after")
 
 
-def islands(df: DataFrame, keys=KEYS, slack: int = 0, name: str = "island", width: int = BLOCK) -> DataFrame:
+def islands(df: DataFrame, keys=KEYS, slack: int = 0, name: str = "island", width: int | None = BLOCK) -> DataFrame:
     """Numbers the islands of each group: an interval joins the one before if it starts at most `slack` after the largest stop."""
     order = [F.col("start"), F.col("stop")]
     x = running(df, keys, order, "start", {"_reach": Take("max", F.col("stop"))}, width)
@@ -30,12 +30,12 @@ def islands(df: DataFrame, keys=KEYS, slack: int = 0, name: str = "island", widt
     return running(x.withColumn("_opens", opens), keys, [*order, -F.col("_opens")], "start", {name: Take("sum", F.col("_opens"), here=True)}, width).drop("_reach", "_opens")
 
 
-def merge(df: DataFrame, keys=KEYS, slack: int = 0, width: int = BLOCK) -> DataFrame:
+def merge(df: DataFrame, keys=KEYS, slack: int = 0, width: int | None = BLOCK) -> DataFrame:
     """Union of intervals: keys, start, stop, n_members. slack 0 also joins intervals that touch, -1 only those that overlap."""
     return islands(df, keys, slack, width=width).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_members")).drop("island")
 
 
-def gaps(merged: DataFrame, keys=KEYS, width: int = BLOCK) -> DataFrame:
+def gaps(merged: DataFrame, keys=KEYS, width: int | None = BLOCK) -> DataFrame:
     """Gaps between consecutive disjoint intervals of a group, such as introns between exons."""
     x = running(merged, keys, [F.col("start"), F.col("stop")], "start", {"_next": Take("near", F.col("start"), ahead=True)}, width)
     return x.select(*keys, F.col("stop").alias("start"), F.col("_next").alias("stop")).where(F.col("stop") > F.col("start"))
@@ -74,7 +74,7 @@ def overlap_bases(left: DataFrame, right: DataFrame, keys=KEYS, width: int = BIN
     return overlap_join(left, right, keys, width=width).groupBy(*keys).agg(F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")).cast("long").alias("bases"))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, keys=KEYS, width: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, keys=KEYS, width: int | None = BLOCK) -> DataFrame:
     """queries with upstream_stop (largest target stop below start) and downstream_start (smallest target start above stop).
 
     Two sweeps in blocks over the union of both sides, so targets are read once for each and nothing is joined to them."""
@@ -132,7 +132,7 @@ def pad(start: Column, stop: Column, margin: int, length: Column) -> tuple[Colum
     return a, b, start - a, stop - a
 
 
-def clusters(pred: DataFrame, true: DataFrame, keys=KEYS, width: int = BLOCK) -> DataFrame:
+def clusters(pred: DataFrame, true: DataFrame, keys=KEYS, width: int | None = BLOCK) -> DataFrame:
     """Connected components of overlaps between predicted and true intervals (columns id, start, stop and keys each).
 
     Returns (side, id, cluster) where side is "pred" or "true" and cluster is the smallest member, as side and id joined by
@@ -157,7 +157,7 @@ def clusters(pred: DataFrame, true: DataFrame, keys=KEYS, width: int = BLOCK) ->
     return x.join(least, [*keys, "_part"], "left").select("side", "id", F.coalesce("cluster", "node").alias("cluster"))
 
 
-def out_of_order(df: DataFrame, keys=("seq",), order: str = "row", width: int = BLOCK) -> DataFrame:
+def out_of_order(df: DataFrame, keys=("seq",), order: str = "row", width: int | None = BLOCK) -> DataFrame:
     """(keys, n_bad): rows that start before the one ahead of them in `order` (a number), by group; 0 for sorted groups."""
     x = running(df, keys, [F.col(order)], order, {"_ahead": Take("near", F.col("start"))}, width)
     return x.groupBy(*keys).agg(F.sum(F.coalesce((F.col("_ahead") > F.col("start")).cast("long"), F.lit(0))).alias("n_bad"))

@@ -27,32 +27,41 @@ class Take:
     here: bool = False
 
 
-def running(df: DataFrame, keys, order: list[Column], place: str | Column, takes: dict[str, Take], width: int = BLOCK) -> DataFrame:
+OWN = {"max": F.max, "min": F.min, "sum": F.sum}
+
+
+def _framed(take: Take, value: Column, w) -> Column:
+    edge = 0 if take.here else 1
+    w = w.rowsBetween(edge, Window.unboundedFollowing) if take.ahead else w.rowsBetween(Window.unboundedPreceding, -edge)
+    return ((F.first if take.ahead else F.last)(value, True) if take.kind == "near" else OWN[take.kind](value)).over(w)
+
+
+def running(df: DataFrame, keys, order: list[Column], place: str | Column, takes: dict[str, Take], width: int | None = BLOCK) -> DataFrame:
     """df with the columns that takes names, in each group of keys. place is a number that grows with the order; rows of one place
-    stay in one block. Nulls in keys are values like others. Sums are null where there is no row."""
+    stay in one block. Nulls in keys are values like others. Sums are null where there is no row. width None: groups are small, such
+    as one transcript's parts, and a plain window over each of them does."""
+    if width is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *(_framed(t, t.value, whole).alias(name) for name, t in takes.items()))
     place = F.col(place) if isinstance(place, str) else place
     cols = df.columns
     inputs = {f"_v{k}": t.value for k, t in enumerate(takes.values())}
     x = df.withColumns({"_k": F.struct(*keys, F.floor(place / F.lit(width)).alias("_block")), "_o": F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))} | inputs)
-    own = {"max": F.max, "min": F.min, "sum": F.sum}
     parts, carried = [], []
     by_block = Window.partitionBy(*(f"_k.{k}" for k in keys)) if keys else Window.partitionBy(F.lit(0))
     for k, t in enumerate(takes.values()):
         v = F.col(f"_v{k}")
         kept = F.when(v.isNotNull(), F.struct("_o", v.alias("v")))
-        parts.append((own[t.kind](v) if t.kind in own else (F.min(kept) if t.ahead else F.max(kept))["v"]).alias(f"_p{k}"))
+        parts.append((OWN[t.kind](v) if t.kind in OWN else (F.min(kept) if t.ahead else F.max(kept))["v"]).alias(f"_p{k}"))
         w = by_block.orderBy(F.desc("_k._block") if t.ahead else F.col("_k._block")).rowsBetween(Window.unboundedPreceding, -1)
         p = F.col(f"_p{k}")
-        carried.append((own[t.kind](p) if t.kind in own else F.last(p, True)).over(w).alias(f"_c{k}"))
+        carried.append((OWN[t.kind](p) if t.kind in OWN else F.last(p, True)).over(w).alias(f"_c{k}"))
     carry = x.groupBy("_k").agg(*parts).select("_k", *carried)
     x = x.join(carry, "_k")
     at = Window.partitionBy("_k").orderBy("_o")
     out = []
     for k, (name, t) in enumerate(takes.items()):
-        edge = 0 if t.here else 1
-        w = at.rowsBetween(edge, Window.unboundedFollowing) if t.ahead else at.rowsBetween(Window.unboundedPreceding, -edge)
-        v, c = F.col(f"_v{k}"), F.col(f"_c{k}")
-        near = (F.first(v, True) if t.ahead else F.last(v, True)).over(w) if t.kind == "near" else own[t.kind](v).over(w)
+        near, c = _framed(t, F.col(f"_v{k}"), at), F.col(f"_c{k}")
         both = {"max": F.greatest(near, c), "min": F.least(near, c), "sum": F.when(near.isNull() & c.isNull(), None).otherwise(F.coalesce(near, F.lit(0)) + F.coalesce(c, F.lit(0))), "near": F.coalesce(near, c)}
         out.append(both[t.kind].alias(name))
     return x.select(*cols, *out)
