@@ -171,7 +171,7 @@ def gather(places: DataFrame, pieces: DataFrame, n: int, size: int = BLOCK) -> D
 
 def bases_at(places: DataFrame, pieces: DataFrame, at: dict[str, Column], n: int, size: int = BLOCK) -> DataFrame:
     """places with a column for each entry of at: the n bases from there on, '' where no sequence is. All places are gathered together; only
-    the bases found are joined back, never a block."""
+    the bases found are joined back, never a block, and by a sort: their files are small beside the rows, so Spark would broadcast millions of them."""
     wanted = None
     for c in at.values():
         x = places.select("seq", c.cast("long").alias("at"))
@@ -179,7 +179,7 @@ def bases_at(places: DataFrame, pieces: DataFrame, at: dict[str, Column], n: int
     found = written(gather(wanted, pieces, n, size), "bases")
     out = places
     for name, c in at.items():
-        out = out.withColumn("_at", c.cast("long")).join(found.select("seq", F.col("at").alias("_at"), F.col("bases").alias(name)), ["seq", "_at"], "left").drop("_at").withColumn(name, F.coalesce(name, F.lit("")))
+        out = out.withColumn("_at", c.cast("long")).join(found.select("seq", F.col("at").alias("_at"), F.col("bases").alias(name)).hint("merge"), ["seq", "_at"], "left").drop("_at").withColumn(name, F.coalesce(name, F.lit("")))
     return out.select(*places.columns, *at)
 
 
