@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strandloom.plans import fixtures
 from strandloom.sources import fasta
 
 
@@ -17,3 +18,13 @@ def test_bases_are_not_broadcast(spark):
     plan = executed(found)
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert {r.at: r.b for r in found.collect()} == {k: ("ACGT" * 100)[k : k + 2] for k in range(390)}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+
+
+def test_features_come_from_one_shuffle(spark):
+    sf = "/root/testdata/sf0.001"
+    assert exchanges(fixtures.view(spark, sf, "feature")) == 1
+    assert exchanges(fixtures.view(spark, sf, "wide").drop("sequence_length")) <= 2  # the other one is for the lengths of sequences
