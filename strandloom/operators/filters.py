@@ -122,17 +122,25 @@ def _checks(df: DataFrame, checks: dict) -> DataFrame:
 
 def integrity(wide: DataFrame) -> DataFrame:
     """Eight checks of a wide table (with species): (check, n_bad)."""
-    w = lambda *k: Window.partitionBy(*k)
-    key = ["species", "seq", "gene_id", "transcript_id", "feature_id"]
-    x = wide.withColumn("_n", F.count(F.lit(1)).over(w(*key))).withColumn("_c", F.max((F.col("canonical") == "1").cast("int")).over(w("species")))
-    varies = lambda c, *k: F.min(c).over(w(*k)) != F.max(c).over(w(*k))
-    x = x.withColumn("_flag", varies("canonical", "species", "transcript_id")).withColumn("_strand", varies("strand", "species", "gene_id"))
-    x = x.withColumn("_bounds", varies("gene_start", "species", "gene_id") | varies("gene_stop", "species", "gene_id") | varies("transcript_start", "species", "transcript_id") | varies("transcript_stop", "species", "transcript_id"))
-    within = lambda a, b: (F.col(f"{a}_start") < F.col(f"{b}_start")) | (F.col(f"{a}_stop") > F.col(f"{b}_stop"))
-    return _checks(x, {
-        "primary_key_unique": F.col("_n") > 1, "species_has_canonical": F.col("_c") == 0, "canonical_consistent": F.col("_flag"), "strand_consistent": F.col("_strand"), "bounds_consistent": F.col("_bounds"),
-        "gene_in_sequence": (F.col("gene_start") < 0) | (F.col("gene_stop") > F.col("sequence_length")), "transcript_in_gene": within("transcript", "gene"), "feature_in_transcript": within("feature", "transcript"),
-    })
+    cell, within = ["species", "gene_id", "transcript_id"], lambda a, b: (F.col(f"{a}_start") < F.col(f"{b}_start")) | (F.col(f"{a}_stop") > F.col(f"{b}_stop"))
+    rows = {"gene_in_sequence": (F.col("gene_start") < 0) | (F.col("gene_stop") > F.col("sequence_length")), "transcript_in_gene": within("transcript", "gene"), "feature_in_transcript": within("feature", "transcript")}
+    of = {"canonical": "transcript_id", "strand": "gene_id", "gene_start": "gene_id", "gene_stop": "gene_id", "transcript_start": "transcript_id", "transcript_stop": "transcript_id"}
+    total = lambda c: F.sum(c).cast("long")
+    # dealt by gene and transcript once, which serves the counts of keys and those of the cells; only cells meet in windows
+    x = wide.withColumn("_c", (F.col("canonical") == "1").cast("int")).repartition(*cell)
+    x = x.groupBy(*cell, "seq", "feature_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_c").alias("_c"), *(f(c).alias(k + c) for c in of for f, k in ((F.min, "_lo_"), (F.max, "_hi_"))), *(total(F.when(c, 1).otherwise(0)).alias(k) for k, c in rows.items()))
+    x = x.groupBy(*cell).agg(total("_n").alias("_n"), total(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("primary_key_unique"), F.max("_c").alias("_c"), *(f(k + c).alias(k + c) for c in of for f, k in ((F.min, "_lo_"), (F.max, "_hi_"))), *(total(k).alias(k) for k in rows))
+    w = {k: Window.partitionBy("species", k) for k in ("gene_id", "transcript_id")}
+    varies = lambda c: F.min(f"_lo_{c}").over(w[of[c]]) != F.max(f"_hi_{c}").over(w[of[c]])
+    x = x.withColumns({f"_v_{c}": varies(c) for c in of})
+    bounds = F.col("_v_gene_start") | F.col("_v_gene_stop") | F.col("_v_transcript_start") | F.col("_v_transcript_stop")
+    kinds = {"canonical_consistent": F.col("_v_canonical"), "strand_consistent": F.col("_v_strand"), "bounds_consistent": bounds}
+    sums = [*(total(k).alias(k) for k in ("primary_key_unique", *rows)), *(total(F.when(c, F.col("_n")).otherwise(0)).alias(k) for k, c in kinds.items())]
+    # species are few, so their sums come from partial ones and a species without a canonical row counts whole
+    x = x.groupBy("species").agg(F.max("_c").alias("_c"), total("_n").alias("_n"), *sums).withColumn("species_has_canonical", F.when(F.col("_c") == 0, F.col("_n")).otherwise(0))
+    checks = ["primary_key_unique", "species_has_canonical", *kinds, *rows]
+    one = x.agg(*(F.coalesce(total(k), F.lit(0).cast("long")).alias(k) for k in checks))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("n_bad")) for k in checks))))
 
 
 def feature_qc(wide: DataFrame) -> DataFrame:
