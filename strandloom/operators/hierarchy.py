@@ -179,7 +179,7 @@ def segments(exons: DataFrame, transcripts: DataFrame) -> DataFrame:
     e = merge(exons, keys, width=None).select("parent", F.lit("exon").alias("state"), "start", "stop")
     from .intervals import complement
 
-    i = complement(exons.select("parent", "start", "stop"), transcripts.select(F.col("id").alias("parent"), F.col("start").alias("lo"), F.col("stop").alias("hi")), keys).select("parent", F.lit("intron").alias("state"), "start", "stop")
+    i = complement(exons.select("parent", "start", "stop"), transcripts.select(F.col("id").alias("parent"), F.col("start").alias("lo"), F.col("stop").alias("hi")), keys, width=None).select("parent", F.lit("intron").alias("state"), "start", "stop")
     return e.unionByName(i)
 
 
