@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +25,19 @@ def gene_table(df: DataFrame, sequence: DataFrame) -> DataFrame:
 
     donor and acceptor are the two bases at the gene's ends that a junction with the neighbour is judged by."""
     m = df.where("type = 'mRNA'").select(F.col("id").alias("parent"), F.col("parent").alias("gene"))
-    g = df.where("type = 'gene'").select("seq", "strand", F.col("id").alias("gene"), "start", "stop").join(sequence.select("seq"), "seq", "left_semi")
-    parts = df.where("type = 'CDS'").select("parent", "start", "stop").join(m, "parent").join(g.select("gene", "seq"), "gene").select("gene", "seq", F.lit("cds").alias("kind"), "start", "stop")
+    g = df.where("type = 'gene'").select("seq", "strand", F.col("id").alias("gene"), "start", "stop")
+    # joined by sorts: what a plan knows of the sizes comes from the files, which may be far smaller than the rows made of them
+    parts = df.where("type = 'CDS'").select("parent", "start", "stop").join(m.hint("merge"), "parent")
+    parts = parts.groupBy("gene").agg(F.collect_set(F.struct("start", "stop")).alias("_cds"))  # one gene's places
     plus, zero = F.col("strand") == "+", F.lit(0)
     two = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.greatest(at, zero).alias("start"), (F.greatest(at, zero) + 2).alias("stop"))
     ends = F.array(two("donor", F.when(plus, F.col("stop") - 1).otherwise(F.col("stop") - 2)), two("acceptor", F.when(plus, F.col("start") - 2).otherwise(F.col("start") + 1)))
-    places = parts.unionByName(g.select("gene", "seq", F.inline(ends)))
-    found = fasta.cut(places, fasta.blocks(sequence, fasta.SLICE), ("gene", "kind"))
-    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("dna"))).alias(k)
-    x = g.join(found.groupBy("gene").agg(*(of(k) for k in ("cds", "donor", "acceptor"))), "gene")
-    read = lambda k: F.upper(F.when(plus, F.col(k)).otherwise(D.reverse_complement(F.col(k)))).alias(k)
-    return x.select("seq", "strand", "gene", "start", "stop", F.coalesce(read("cds"), F.lit("")).alias("cds"), read("donor"), read("acceptor"))
+    cds = F.transform("_cds", lambda v: F.struct(F.lit("cds").alias("kind"), v["start"].alias("start"), v["stop"].alias("stop")))
+    x = g.join(parts.hint("merge"), "gene", "left").select("seq", "strand", "gene", "start", "stop", F.when(F.col("_cds").isNull(), ends).otherwise(F.concat(ends, cds)).alias("places"))
+    x = fasta.cut_lists(x, sequence)
+    read = lambda k: F.array_join(F.transform(F.array_sort(F.filter("found", lambda v: v["kind"] == k)), lambda v: v["dna"]), "")
+    one = lambda k: F.upper(F.when(plus, read(k)).otherwise(D.reverse_complement(read(k)))).alias(k)
+    return x.select("seq", "strand", "gene", "start", "stop", *(one(k) for k in ("cds", "donor", "acceptor")))
 
 
 def complete(nuc: str) -> bool:
@@ -74,45 +79,61 @@ def _chain(rows: list, i: int, whole: list[bool]) -> tuple[int, str, int] | str
 def orf_chains(genes: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """(seq, strand, members, cut, cds): for each gene the chain of it and its next neighbours that forms a complete frame.
 
-    Genes are numbered along each sequence and strand by a sweep, and dealt over blocks with the first `halo` genes of what follows.
-    A stop codon in frame or a gene without bases ends a chain, so most are decided there. Those still open at the end of what
-    their block holds are tried again with a halo twice as wide, in rounds, until none is open: rounds follow the logarithm of the
-    longest chain, and a task holds a block and its halo, however many genes a sequence has."""
+    Genes are numbered along each sequence and strand in reading order by a sweep, and dealt over blocks with the first `halo` genes of
+    what follows. A stop codon in frame or a gene without bases ends a chain, so most are decided there. Those still open at the end of
+    what their block holds are tried again with a halo twice as wide, in rounds, until none is open: rounds follow the logarithm of the
+    longest chain, and a task holds a block and its halo at a time, however many genes a sequence has."""
     at = ["seq", "strand"]
-    x = running(genes, at, [F.col("start"), F.col("stop"), F.col("gene")], "start", {"_before": Take("sum", F.lit(1).cast("long"))})
-    x = x.withColumn("idx", F.coalesce("_before", F.lit(0).cast("long"))).withColumn("idx", F.when(F.col("strand") == "+", F.col("idx")).otherwise(-F.col("idx"))).drop("_before")
-    last = x.groupBy(*at).agg(F.max("idx").alias("last"))
-    x = written(x.join(last, at), "genes")  # numbered once, read in every round
-    names = ["seq", "strand", "members", "cut", "cds", "open"]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    x = running(genes, at, [F.col("start"), F.col("stop"), F.col("gene")], "start", {"_before": Take("sum", one), "_after": Take("sum", one, ahead=True)})
+    plus, before, after = F.col("strand") == "+", F.coalesce("_before", none), F.coalesce("_after", none)
+    x = x.withColumns({"idx": F.when(plus, before).otherwise(after), "beyond": F.when(plus, after).otherwise(before)}).drop("_before", "_after")
+    x = written(x.where("seq is not null and strand is not null"), "genes")  # numbered once, read in every round
+    cols = ["seq", "strand", "part", "idx", "beyond", "gene", "start", "stop", "cds", "donor", "acceptor"]
     ddl = "seq string, strand string, members array<string>, cut int, cds string, open long"
+    schema = pa.schema([("seq", pa.string()), ("strand", pa.string()), ("members", pa.list_(pa.string())), ("cut", pa.int32()), ("cds", pa.string()), ("open", pa.int64())])
     found, begun, wide = None, None, halo
     while True:
-        reach, again = wide, begun is not None
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = list(pdf.sort_values("idx").itertuples(index=False))
-            whole = [complete(r.cds) for r in rows]
-            own = int(pdf["part"].iloc[0])
-            out = []
-            for i in range(len(rows)):
-                if rows[i].idx // block != own or (again and not rows[i].tried):
-                    continue
-                made = _chain(rows, i, whole)
-                if made == OPEN:
-                    if rows[-1].idx < rows[-1].last:
-                        out.append((rows[i].seq, rows[i].strand, None, None, None, rows[i].idx))
-                elif made:
-                    j, cds, cut = made
-                    out.append((rows[i].seq, rows[i].strand, [r.gene for r in rows[i : j + 1]], cut, cds, None))
-            return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=object) for k, n in enumerate(names)})
+        again = begun is not None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come sorted by block and place; one block is held at a time."""
+
+            def decided(rows: list) -> Iterator[tuple]:
+                whole = [complete(r.cds) for r in rows]
+                for i, r in enumerate(rows):
+                    if r.idx // block != r.part or (again and not r.tried):
+                        continue
+                    made = _chain(rows, i, whole)
+                    if made == OPEN:
+                        if rows[-1].beyond:
+                            yield r.seq, r.strand, None, None, None, r.idx
+                    elif made:
+                        j, cds, cut = made
+                        yield r.seq, r.strand, [m.gene for m in rows[i : j + 1]], cut, cds, None
+
+            batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+            rows, out = [], []
+            for b in batches:
+                gene = namedtuple("gene", b.schema.names)
+                for r in map(gene._make, zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                    if rows and rows[-1][:3] != r[:3]:
+                        out += decided(rows)
+                        rows = []
+                    rows.append(r)
+                if out:
+                    yield batch(out)
+                    out = []
+            if rows and (out := list(decided(rows))):
+                yield batch(out)
 
         y = x if begun is None else x.join(begun, [*at, "idx"], "left").withColumn("tried", F.coalesce("tried", F.lit(False)))
-        part = F.explode(F.sequence(F.floor((F.col("idx") - reach) / F.lit(block)), F.floor(F.col("idx") / F.lit(block))))
-        y = y.withColumn("part", part)
+        first = F.greatest(F.floor((F.col("idx") - wide) / F.lit(block)), none)
+        y = y.withColumn("part", F.explode(F.sequence(first, F.floor(F.col("idx") / F.lit(block)))))
         if begun is not None:
             y = y.join(begun.select(*at, F.floor(F.col("idx") / F.lit(block)).alias("part")).distinct(), [*at, "part"], "left_semi")
-        y = y.where(F.col("idx") < (F.col("part") + 1) * block + reach)
-        made = written(y.groupBy(*at, "part").applyInPandas(run, ddl), "chains")
+        y = y.where(F.col("idx") < (F.col("part") + 1) * block + wide).select(*cols, *(["tried"] if again else []))
+        made = written(y.repartition(*at, "part").sortWithinPartitions(*at, "part", "idx").mapInArrow(run, ddl), "chains")
         found = made if found is None else found.unionByName(made)
         begun = made.where("open is not null").select(*at, F.col("open").alias("idx"), F.lit(True).alias("tried"))
         if begun.isEmpty():

@@ -147,6 +147,34 @@ def cut(places: DataFrame, pieces: DataFrame, keys: tuple[str, ...], size: int =
     return x.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("p"))["dna"], "").alias("dna"))  # one key's places
 
 
+def cut_lists(rows: DataFrame, sequence: DataFrame, size: int = SLICE) -> DataFrame:
+    """rows (seq, places and others) of the sequences in sequence(seq, dna), with `found` instead of places, an array of (kind, start, stop):
+    (kind, start, stop, block, dna) for each block that a place touches, in any order. Bases are those that cut() gives.
+
+    A row goes to each block that its places touch, with these places alone. Rows of one block, which most are, are whole then; only
+    the others are put together by a shuffle."""
+    cols = [c for c in rows.columns if c != "places"]
+    block = lambda p: F.floor(p / F.lit(size)).cast("int")
+    first = lambda v: block(F.greatest(v["start"], F.lit(0)).cast("long"))
+    last = lambda v: block(F.greatest(v["stop"] - 1, v["start"], F.lit(0)).cast("long"))
+    x = rows.withColumn("_blocks", F.array_distinct(F.flatten(F.transform("places", lambda v: F.sequence(first(v), last(v))))))
+    x = x.select(*cols, "places", F.size("_blocks").alias("_n"), F.explode("_blocks").alias("block"))
+    x = x.withColumn("places", F.filter("places", lambda v: (first(v) <= F.col("block")) & (last(v) >= F.col("block"))))
+    x = x.join(blocks(sequence, size).hint("merge"), ["seq", "block"], "left")
+
+    def piece(v: Column) -> Column:
+        lo, hi = F.greatest(v["start"], F.col("offset")), F.least(v["stop"], F.col("offset") + size)
+        dna = F.coalesce(F.when(lo < hi, F.substr("dna", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))), F.lit(""))
+        return F.struct(v["kind"].alias("kind"), v["start"].alias("start"), v["stop"].alias("stop"), F.col("block").alias("block"), dna.alias("dna"))
+
+    x = written(x.select(*cols, "_n", F.col("offset").isNotNull().alias("_there"), F.transform("places", piece).alias("found")), "cut")
+    # beyond a sequence's end there is no block, so only then is the sequence itself looked for
+    x = x.where("_there").unionByName(x.where("not _there").join(sequence.select("seq"), "seq", "left_semi").select(*x.columns))
+    many = x.where("_n > 1").groupBy(*cols).agg(F.flatten(F.collect_list("found")).alias("all")).withColumn("found", F.array_distinct("all"))
+    many = many.select(*cols, "found", F.explode(F.sequence(F.lit(1), (F.size("all") / F.size("found")).cast("int")))).drop("col")  # equal rows stay
+    return x.where("_n = 1").select(*cols, "found").unionByName(many)
+
+
 def gather(places: DataFrame, pieces: DataFrame, n: int, size: int = BLOCK) -> DataFrame:
     """(seq, at, bases): the n bases from each distinct place (seq, at) on, fewer at the sequence's end, from blocks() of that size with an
     overlap of n - 1. The places of a block meet it as one list, as long as the block at most, and are looked up in one pass."""
