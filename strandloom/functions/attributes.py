@@ -81,7 +81,12 @@ def chromosome_order(name: Column) -> list[Column]:
 
 
 #: What stands between semicolons; those inside quotes do not count, and a quote without a partner is a plain letter.
-TOKEN = r'(?:[^;"]|"[^"]*"|")+'
+TOKEN = r'(?:[^;"]++|"[^"]*+"|")+'
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def parse_quoted(attributes: Column) -> Column:
@@ -91,22 +96,23 @@ def parse_quoted(attributes: Column) -> Column:
     commas; empty ones are left out, and a key without any is 'true'. Values of equal keys are appended. Percent codes are
     decoded where they are valid, + stays."""
     whole = F.transform(F.regexp_extract_all(F.coalesce(attributes, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda p: F.trim(F.regexp_replace(p, "[\\t\\r\\n]", " ")))
-    parts = F.filter(whole, lambda p: p != "")
-    gff3 = F.coalesce(F.get(parts, 0), F.lit("")).rlike(r"^\w+=")
-    mark = F.when(gff3, F.lit("=")).otherwise(F.lit(" "))
     decode = lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v)
+    none = F.array().cast("array<string>")
 
-    def entry(p: Column) -> Column:
-        at = F.call_function("locate", mark, p)
-        key, value = F.when(at > 0, F.substr(p, F.lit(1), at - 1)).otherwise(p), F.when(at > 0, F.trim(F.substr(p, at + 1))).otherwise(F.lit(""))
+    def listed(value: Column) -> Column:
         quoted = (F.length(value) > 1) & value.startswith('"') & value.endswith('"')
         values = F.when(quoted, F.array(F.substr(value, F.lit(2), F.length(value) - 2))).otherwise(F.split(value, ","))
-        values = F.filter(values, lambda v: v != "")
-        return F.struct(F.trim(key).alias("key"), F.when(F.size(values) > 0, F.transform(values, decode)).otherwise(F.array(F.lit("true"))).alias("values"))
+        return bound(F.filter(values, lambda v: v != ""), lambda v: F.when(F.size(v) > 0, F.transform(v, decode)).otherwise(F.array(F.lit("true"))))
 
-    entries = F.transform(parts, entry)
-    none = F.array().cast("array<string>")
-    return F.aggregate(entries, F.create_map().cast("map<string,array<string>>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], F.concat(F.coalesce(F.try_element_at(m, e["key"]), none), e["values"]))))
+    def entry(p: Column, at: Column) -> Column:
+        key, value = F.when(at > 0, F.substr(p, F.lit(1), at - 1)).otherwise(p), F.when(at > 0, F.trim(F.substr(p, at + 1))).otherwise(F.lit(""))
+        return F.struct(F.trim(key).alias("key"), bound(value, listed).alias("values"))
+
+    def entries(parts: Column) -> Column:
+        gff3 = F.coalesce(F.get(parts, 0), F.lit("")).rlike(r"^\w+=")
+        return bound(F.when(gff3, F.lit("=")).otherwise(F.lit(" ")), lambda mark: F.transform(parts, lambda p: bound(F.call_function("locate", mark, p), lambda at: entry(p, at))))
+
+    return F.aggregate(bound(F.filter(whole, lambda p: p != ""), entries), F.create_map().cast("map<string,array<string>>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], F.concat(F.coalesce(F.try_element_at(m, e["key"]), none), e["values"]))))
 
 
 def is_gff3(attributes: Column) -> Column:
