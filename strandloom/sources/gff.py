@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A
-from ..operators.sweep import BLOCK, Take, running
-from ..operators.tables import folder
+from ..operators.sweep import BLOCK, Step, Take, steps
+from ..operators.tables import folder, written
 from . import fasta
 from .files import numbered
 
@@ -242,15 +242,19 @@ def closed_regions(df: DataFrame, target: int = 100_000, width: int = BLOCK) ->
 
     A name (an id or one of the parents) reaches from its first row to its last one, wherever children stand; a region ends where no
     name reaches beyond. So a part can be parsed, written and forgotten on its own, and is as long as `target` rows and the
-    trees still open then. Reaches come from one aggregation; a sweep in blocks of rows finds the ends."""
+    trees still open then. Reaches come from one aggregation; a sweep in blocks of rows finds the ends. The rows are written first, as they are read for both."""
+    df = written(df, "rows")
     parents = F.filter(F.split("parent", ","), lambda p: F.trim(p) != "")
     names = df.select("row", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("id"), F.coalesce(F.transform(parents, lambda p: F.trim(p)), F.array().cast("array<string>")))))).alias("name"))
-    reach = names.groupBy("name").agg(F.min("row").alias("row"), F.max("row").alias("_to")).groupBy("row").agg(F.max("_to").alias("_to"))
-    x = df.join(reach, "row", "left")
-    x = running(x, [], [F.col("row")], "row", {"_open": Take("max", F.col("_to"))}, width)
-    begins = F.when(F.col("_open").isNull() | (F.col("_open") < F.col("row")), F.col("row"))
-    x = running(x.withColumn("_begins", begins), [], [F.col("row")], "row", {"region": Take("near", F.col("_begins"), here=True)}, width)
-    return x.select(*df.columns, "region", F.floor(F.col("region") / F.lit(target)).alias("part"))
+    reach = names.groupBy("name").agg(F.min("row").alias("row"), F.max("row").alias("_to")).where("row < _to")
+    whole = F.struct(*df.columns)
+    none = F.lit(None).cast(df.select(whole.alias("r")).schema["r"].dataType)
+    x = df.select("row", F.lit(None).cast("long").alias("_to"), whole.alias("_row")).unionByName(reach.select("row", "_to", none.alias("_row")))
+    # a name opens after the row that it begins at
+    order = [F.col("row"), F.col("_row").isNull()]
+    begins = F.when(F.col("_row").isNotNull() & (F.col("_open").isNull() | (F.col("_open") < F.col("row"))), F.col("row"))
+    x = steps(x, [], "row", [Step(order, {"_open": Take("max", F.col("_to"))}), Step(order, {"region": Take("near", F.col("_begins"), here=True)}, {"_begins": begins})], width)
+    return x.where("_row is not null").select(*(F.col(f"_row.{c}").alias(c) for c in df.columns), "region", F.floor(F.col("region") / F.lit(target)).alias("part"))
 
 
 def parse_in_parts(spark: SparkSession, path, target: int = 100_000, **scan) -> Iterator[DataFrame]:
