@@ -40,11 +40,11 @@ def min_feature_length(df: DataFrame, types: list[str], least: int) -> DataFrame
     return propagate_bounds(df.where(~(F.col("type").isin(*types) & (F.col("stop") - F.col("start") < least))))
 
 
-def min_gene_length(df: DataFrame, least: int) -> DataFrame:
-    return cascade_delete(df, df.where((F.col("type") == "gene") & (F.col("stop") - F.col("start") < least)).select("id"))
+def min_gene_length(df: DataFrame, least: int, stored: bool = False) -> DataFrame:
+    return cascade_delete(df, df.where((F.col("type") == "gene") & (F.col("stop") - F.col("start") < least)).select("id"), stored)
 
 
-def valid_genes(df: DataFrame, require_utrs: bool = False) -> DataFrame:
+def valid_genes(df: DataFrame, require_utrs: bool = False, stored: bool = False) -> DataFrame:
     """mRNAs must own a CDS (and both UTRs if asked for); genes need a valid mRNA; what hangs below invalid ones goes."""
     has = lambda t: F.max((F.col("type") == t).cast("int"))
     ok = F.least(has("CDS"), has("five_prime_UTR"), has("three_prime_UTR")) if require_utrs else has("CDS")
@@ -52,13 +52,13 @@ def valid_genes(df: DataFrame, require_utrs: bool = False) -> DataFrame:
     bad_m = df.where("type = 'mRNA'").join(good, "id", "left_anti").select("id")
     genes_with = df.where("type = 'mRNA'").join(good, "id", "left_semi").select(F.col("parent").alias("id")).distinct()
     bad_g = df.where("type = 'gene'").join(genes_with, "id", "left_anti").select("id")
-    return cascade_delete(df, bad_m.unionByName(bad_g))
+    return cascade_delete(df, bad_m.unionByName(bad_g), stored)
 
 
 def filter_predictions(df: DataFrame, types: list[str], min_part: int, min_gene: int, require_utrs: bool = False) -> DataFrame:
     """Short parts, then short genes, then invalid genes."""
     one = written(min_feature_length(df, types, min_part), "long-parts")
-    return valid_genes(written(min_gene_length(one, min_gene), "long-genes"), require_utrs)
+    return valid_genes(written(min_gene_length(one, min_gene, True), "long-genes"), require_utrs, True)
 
 
 def quality_pass(df: DataFrame, flag: str = "quality") -> DataFrame:

@@ -11,17 +11,19 @@ from .tables import checked, written
 GENERATIONS = 3  # that one plan finds: features have parts of parts, seldom more
 
 
-def cascade_delete(df: DataFrame, roots: DataFrame) -> DataFrame:
-    """df without the features of roots(id) and all their descendants. See removed() for what goes."""
-    gone = removed(df, roots).select("id")
-    keep = df.join(gone, "id", "left_anti")
-    return keep.join(gone.withColumnRenamed("id", "parent"), "parent", "left_anti").select(*df.columns)
+def cascade_delete(df: DataFrame, roots: DataFrame, stored: bool = False) -> DataFrame:
+    """df without the features of roots(id) and all their descendants. See removed() for what goes.
 
+    What has an id and a parent that goes is gone itself, so the parent is only asked for where there is no id. stored: df is a written table."""
+    gone = removed(df, roots, stored).select(F.col("id").alias("_gone"))
+    return df.join(gone, F.coalesce("id", "parent") == F.col("_gone"), "left_anti").select(*df.columns)
 
-def removed(df: DataFrame, roots: DataFrame) -> DataFrame:
+
+def removed(df: DataFrame, roots: DataFrame, stored: bool = False) -> DataFrame:
     """(id, direct): ids that go, direct being whether the id is in roots. Semi joins over the written (id, parent) table find
     GENERATIONS at a time, written as one table, until the last of them has no id that isn't gone already, so a parent cycle ends too."""
-    edges = written(df.where("id is not null").select("id", "parent"), "edges")
+    edges = df.where("id is not null").select("id", "parent")
+    edges = edges if stored else written(edges, "edges")
     out = written(edges.join(roots.select("id").distinct(), "id", "left_semi").select("id").distinct().withColumn("depth", F.lit(0)), "front")
     front, direct = out, F.col("depth") == 0
     while True:
@@ -96,13 +98,12 @@ def keep_representative(df: DataFrame, mode: str = "longest", flag: str = "canon
 
 def propagate_bounds(df: DataFrame) -> DataFrame:
     """mRNA bounds become those of their parts and gene bounds those of their mRNAs; features without children keep theirs."""
-    part = df.where("type not in ('gene', 'mRNA')").groupBy(F.col("parent").alias("id")).agg(F.min("start").alias("_s"), F.max("stop").alias("_e"))
-    step = df.join(part, "id", "left")
-    is_m = F.col("type") == "mRNA"
-    m = step.withColumn("start", F.when(is_m, F.coalesce("_s", "start")).otherwise(F.col("start"))).withColumn("stop", F.when(is_m, F.coalesce("_e", "stop")).otherwise(F.col("stop"))).drop("_s", "_e")
-    of = m.where("type = 'mRNA'").groupBy(F.col("parent").alias("id")).agg(F.min("start").alias("_s"), F.max("stop").alias("_e"))
-    is_g = F.col("type") == "gene"
-    return m.join(of, "id", "left").withColumn("start", F.when(is_g, F.coalesce("_s", "start")).otherwise(F.col("start"))).withColumn("stop", F.when(is_g, F.coalesce("_e", "stop")).otherwise(F.col("stop"))).select(*df.columns)
+    bounds = lambda x: x.groupBy(F.col("parent").alias("id")).agg(F.min("start").alias("_s"), F.max("stop").alias("_e"))
+    fit = lambda x, of: x.join(of, "id", "left").withColumns({"start": F.coalesce("_s", "start"), "stop": F.coalesce("_e", "stop")}).select(*df.columns)
+    m = fit(df.where("type = 'mRNA'"), bounds(df.where("type not in ('gene', 'mRNA')")))
+    # parts keep their bounds, so they are not joined to anything
+    rest = df.where(~F.coalesce(F.col("type").isin("gene", "mRNA"), F.lit(False)))
+    return rest.unionByName(m).unionByName(fit(df.where("type = 'gene'"), bounds(m)))
 
 
 def flatten(df: DataFrame, parts=("five_prime_UTR", "CDS", "three_prime_UTR"), strict: bool = True) -> DataFrame:
