@@ -63,9 +63,10 @@ def filter_predictions(df: DataFrame, types: list[str], min_part: int, min_gene:
 
 def quality_pass(df: DataFrame, flag: str = "quality") -> DataFrame:
     """Drops genes and mRNAs with flag '0' and all below them, then genes that are left without an mRNA."""
-    one = written(cascade_delete(df, df.where(F.col("type").isin("gene", "mRNA") & (F.col(flag) == "0")).select("id")), "passed")
+    df = written(df, "features")  # read for the edges, the roots and the rows
+    one = written(cascade_delete(df, df.where(F.col("type").isin("gene", "mRNA") & (F.col(flag) == "0")).select("id"), True), "passed")
     owners = one.where("type = 'mRNA'").select(F.col("parent").alias("id")).distinct()
-    return cascade_delete(one, one.where("type = 'gene'").join(owners, "id", "left_anti").select("id"))
+    return cascade_delete(one, one.where("type = 'gene'").join(owners, "id", "left_anti").select("id"), True)
 
 
 def filter_log(df: DataFrame, reason: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Cascades and bounds that move few rows."""
 
-from strandloom.operators import hierarchy
+from strandloom.operators import filters, hierarchy
 
 COLS = "id string, parent string, type string, seq string, strand string, start long, stop long, quality string, row long"
 ROWS = [("g", None, "gene", 0, 9), ("m", "g", "mRNA", 0, 9), ("n", "g", "mRNA", 0, 9), ("p", "m", "CDS", 2, 4), (None, "m", "CDS", 5, 8), (None, "n", "CDS", 1, 3), ("x", "n", None, 0, 50), ("h", None, "gene", 3, 4), ("k", None, None, 0, 1), (None, None, "CDS", 0, 1)]
@@ -27,3 +27,13 @@ def test_bounds_join_no_parts(spark):
     parts = tree(spark).where("type = 'CDS'")
     plan = hierarchy.propagate_bounds(tree(spark))._jdf.queryExecution().optimizedPlan()
     assert plan.nodeName() == "Union" and parts.count() == 4
+
+
+def test_quality_pass_reads_its_rows_once(spark, monkeypatch):
+    tags, write = [], filters.written
+    monkeypatch.setattr(filters, "written", lambda df, tag: tags.append(tag) or write(df, tag))
+    edges, store = [], hierarchy.written
+    monkeypatch.setattr(hierarchy, "written", lambda df, tag: edges.append(tag) or store(df, tag))
+    got = filters.quality_pass(tree(spark, ("m",)))
+    assert [r.row for r in got.orderBy("row").collect()] == [0, 2, 5, 6, 8, 9]
+    assert tags == ["features", "passed"] and "edges" not in edges
