@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import evaluate, intervals
+from strandloom.operators import evaluate, intervals, labels
 from strandloom.operators.sweep import Step, Take, steps
+from strandloom.plans import fixtures
 from strandloom.sources import gff
 
 
@@ -64,3 +65,19 @@ def test_steps_deal_rows_once(spark, width):
     assert last == want
     merged = {(r.seq, p) for r in intervals.merge(df, ("seq",), width=width).collect() for p in range(r.start, r.stop)}
     assert merged == {(q, p) for q, s, e in rows for p in range(s, e)}
+
+
+def test_region_layers_read_rows_once(spark, tmp_path):
+    """Genes, transcripts and parts come from one pass over the lines, without the lengths of sequences that nothing reads."""
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = [(o, 3 * o + k, 1, k, 9.0, 1.0, "ANR"[(o + k) % 3], "OF"[k % 2], None) for o in range(9) for k in range(1, 5)]
+    spark.createDataFrame([*rows, rows[0], (None, 1, 1, 1, 1.0, 1.0, "A", "O", None)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    wide = fixtures.view(spark, str(tmp_path), "wide")
+    got = labels.region_layers(wide).where("label not in ('exon', 'intron')")
+    seen = wide.collect()
+    want = {(r.seq, r.strand, label, a, z) for r in seen for label, a, z in (("gene", r.gene_start, r.gene_stop), ("transcript", r.transcript_start, r.transcript_stop), (r.feature_type, r.feature_start, r.feature_stop))}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    length = {s: max(r.gene_stop for r in seen if r.seq == s) for s in {r.seq for r in seen}}
+    assert len(seen) == 37 and all(r.sequence_length == length[r.seq] for r in seen)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
