@@ -501,6 +501,107 @@ def test_substring_dedup_classes_and_hubs(spark):
     assert len(near_pairs) == 12 * 11
 
 
+def brute_classes(rows, got):
+    """Pairs of documents with a common passage, by comparing all of both texts; and each document's classes in got."""
+    seq = {i: (shingles.shingle_hashes(shingles.word_hashes(t), 5) >> np.uint64(32)).astype(np.uint32) for i, t in rows}
+    classes = {}
+    for r in got:
+        classes.setdefault(r.doc_id, set()).add((r.class_doc, r.class_word))
+    return {(a, b) for a in seq for b in seq if a < b and substring_dedup.passages(seq[a], seq[b], 46, (8, 10))}, classes
+
+
+@pytest.mark.parametrize("seed,carriers", [(1, 40), (1, 0), (3, 40)])
+def test_substring_dedup_near_copies_around_a_frequent_line(spark, seed, carriers):
+    rng = np.random.default_rng(seed)
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    line = words(45)
+    rows = [(10_000 + i, " ".join(words(60) + line + words(60))) for i in range(carriers)]
+    for k in range(200):
+        one = words(8) + line + words(7)
+        two = [w if i not in (6, 54) else "changed" for i, w in enumerate(one)]
+        rows += [(2 * k, " ".join(words(60) + one + words(60))), (2 * k + 1, " ".join(words(60) + two + words(60)))]
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.substring_dedup(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == {(i, i ^ 1) for i in range(400)}
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_substring_dedup_frequent_passages_beside_their_hub(spark, monkeypatch, block):
+    """Lines that many documents have, alone and in passages that share nothing rare; the smallest document has one line only."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    one, two, three = words(30), words(30), words(30)
+    parts = [one, two, three, one + words(1) + two, three + one, one + three + two[:9]]
+    rows = [(0, " ".join(words(40) + one + words(40)))]
+    for i in range(1, 151):
+        kind = parts[i % 6]
+        if i % 6 == 3:
+            kind = one + words(1) + two  # five shingles of each are its own
+            kind[int(rng.integers(3, 27))] = "x"
+        rows.append((i, " ".join(words(20) + kind + words(20))))
+    got = substring_dedup.substring_dedup(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    pairs, classes = brute_classes(rows, got)
+    assert len(pairs) > 500 and all(classes.get(a, set()) & classes.get(b, set()) for a, b in pairs)
+    assert set(classes) == {i for p in pairs for i in p}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup_near_copies_with_frequent_lines_against_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    lines = [words(int(n)) for n in (20, 35, 45, 48)]
+    base = [words(30) + lines[k % 4] + words(20) for k in range(5)]
+    rows = []
+    for i in range(160):
+        w = words(30) + lines[int(rng.integers(4))] + words(15)
+        if i % 2:
+            near = list(base[int(rng.integers(5))][int(rng.integers(0, 25)) :])
+            for k in rng.integers(0, len(near), int(rng.integers(0, 4))):
+                near[k] = f"x{i}"
+            w += near
+        rows.append((int(i * 7 % 160), " ".join(w + words(10))))
+    got = substring_dedup.substring_dedup(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    pairs, classes = brute_classes(rows, got)
+    lost = [p for p in pairs if not classes.get(p[0], set()) & classes.get(p[1], set())]
+    assert len(pairs) > 300 and len(lost) <= len(pairs) // 100
+
+
+def test_passage_parts_are_all_stretches_that_may_be_passages():
+    rng = np.random.default_rng(12)
+    for k in range(300):
+        doc, at, want, width = [], [], [], (5, 8, 12)[k % 3]
+        for d in range(int(rng.integers(1, 4))):
+            hit = rng.random(int(rng.integers(1, 60))) < rng.choice([0.3, 0.6, 0.8, 0.9])
+            hit[0] = True
+            p = np.flatnonzero(hit).tolist()
+            found: list[list[int]] = []
+            for i, j in ((i, j) for i in p for j in p if j - i + 1 >= width and hit[i : j + 1].mean() >= 0.8):
+                if found and i <= found[-1][1]:
+                    found[-1][1] = max(found[-1][1], j)
+                else:
+                    found.append([i, j])
+            want += [(d, i, j) for i, j in found]
+            doc += [d] * len(p)
+            at += p
+        doc, at = np.array(doc), np.array(at)
+        first, last = substring_dedup.passage_parts(doc, at, width, (8, 10))
+        assert list(zip(doc[first].tolist(), at[first].tolist(), at[last].tolist())) == want
+
+
+def test_link_lists_of_any_length(spark):
+    """Places of a list of up to 16 are linked in all pairs; those of longer ones, over many batches too, all come as rows."""
+    size = {k: n for k, n in enumerate((1, 2, 16, 17, 40_000, 3))}
+    rows = [(k, 1000 * k + i, 100 << 24 | 50 << 12 | 60) for k, n in size.items() for i in range(n)]
+    places = spark.createDataFrame(rows, substring_dedup.PLACE_DDL)
+    got = substring_dedup.link_lists(places, 46).collect()
+    often = [(r.key, r.a, r.s) for r in got if r.key is not None]
+    assert sorted(often) == sorted((k, d, 100) for k, d, _ in rows if size[k] > 16)
+    pairs = {(r.a, r.b, r.s, r.e, r.shift) for r in got if r.key is None}
+    assert pairs == {(1000 * k + i, 1000 * k + j, 50, 161, 0) for k, n in size.items() if n <= 16 for i in range(n) for j in range(i + 1, n)}
+    assert substring_dedup.link_lists(places, 112).where("key is null").count() == 0
+
+
 # 7
 
 
