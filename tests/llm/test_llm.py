@@ -528,6 +528,7 @@ def test_substring_dedup_near_copies_around_a_frequent_line(spark, seed, carrier
 def test_substring_dedup_frequent_passages_beside_their_hub(spark, monkeypatch, block):
     """Lines that many documents have, alone and in passages that share nothing rare; the smallest document has one line only."""
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    monkeypatch.setattr(substring_dedup, "SLICE", block << 10)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = np.random.default_rng(5)
     words = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
