@@ -67,6 +67,20 @@ def test_steps_deal_rows_once(spark, width):
     assert merged == {(q, p) for q, s, e in rows for p in range(s, e)}
 
 
+def exchanges(df):
+    """Hash shuffles of a query that has run; those that are used again count once."""
+    df.collect()
+    return sum("- Exchange hashpartitioning" in line for line in plan(df).split("Initial Plan")[0].splitlines())
+
+
+def test_complement_deals_rows_once(spark):
+    parts = spark.createDataFrame([("a", 3, 5), ("a", -9, 1), ("a", 4, 8), ("a", 8, 8), ("a", 19, 40), ("a", 60, 70), ("b", 1, 2), ("c", 5, 6), (None, 2, 3), ("f", 2, None)], "seq string, start int, stop int")
+    domain = spark.createDataFrame([("a", 0, 20), ("c", 0, 9), ("d", 1, 4), ("e", 4, 4), (None, 0, 3), ("f", 0, 4)], "seq string, lo int, hi int")
+    x = intervals.complement(parts, domain, ("seq",), 4)
+    assert sorted(map(str, (tuple(r) for r in x.collect()))) == sorted(map(str, [("a", 1, 3), ("a", 8, 19), ("c", 0, 5), ("c", 6, 9), ("d", 1, 4), (None, 0, 2), ("f", 0, 4)]))
+    assert exchanges(x) <= 3
+
+
 def test_region_layers_read_rows_once(spark, tmp_path):
     """Genes, transcripts and parts come from one pass over the lines, without the lengths of sequences that nothing reads."""
     line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
