@@ -73,6 +73,20 @@ def exchanges(df):
     return sum("- Exchange hashpartitioning" in line for line in plan(df).split("Initial Plan")[0].splitlines())
 
 
+@pytest.mark.parametrize("width", [None, 16])
+def test_gaps_deal_rows_once(spark, width):
+    """Gaps of intervals as they are, with nulls, repeats and empty ones, are those of the merged ones, from two shuffles: rows and sums of blocks."""
+    draw = random.Random(8)
+    some = lambda n: None if draw.random() < 0.1 else n
+    rows = [(draw.choice(["a", "b", None]), some(s), some(s + draw.randint(0, 9))) for s in (draw.randint(0, 300) for _ in range(90))]
+    df = spark.createDataFrame(rows + rows[:9], "seq string, start long, stop long").repartition(3)
+    got = intervals.uncovered(df, ("seq",), width)
+    want = intervals.gaps(intervals.merge(df, ("seq",), width=width), ("seq",), width=width)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    x = intervals.uncovered(spark.range(90).selectExpr("id % 3 as seq", "id * 7 as start", "id * 7 + id % 9 as stop"), ("seq",))
+    assert exchanges(x) <= 3 < exchanges(intervals.gaps(intervals.merge(df, ("seq",)), ("seq",)))
+
+
 def test_complement_deals_rows_once(spark):
     parts = spark.createDataFrame([("a", 3, 5), ("a", -9, 1), ("a", 4, 8), ("a", 8, 8), ("a", 19, 40), ("a", 60, 70), ("b", 1, 2), ("c", 5, 6), (None, 2, 3), ("f", 2, None)], "seq string, start int, stop int")
     domain = spark.createDataFrame([("a", 0, 20), ("c", 0, 9), ("d", 1, 4), ("e", 4, 4), (None, 0, 3), ("f", 0, 4)], "seq string, lo int, hi int")
