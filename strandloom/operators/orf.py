@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .tables import written
 
 BLOCK, HALO = 1024, 64  # genes of a block, and of those after it that a task sees at first
 OPEN = "open"
+Gene = namedtuple("Gene", ("strand", "gene", "start", "stop", "cds", "donor", "acceptor"))
 GROWTH = 1.3  # a chain of over two genes must be this much longer than its longest member
 
 
@@ -45,16 +48,17 @@ def complete(nuc: str) -> bool:
     return len(nuc) >= 6 and len(nuc) % 3 == 0 and nuc[:3] == "ATG" and ends[-1] and not any(ends[:-1])
 
 
-def _chain(rows: list, i: int, whole: list[bool]) -> tuple[int, str, int] | str | None:
+def _chain(rows: Sequence, i: int, whole: Sequence[bool]) -> tuple[int, str, int] | str | None:
     """(last member, joined sequence, bases cut at the last junction) of the first chain from i that is a complete frame; OPEN if the
     rows end before that is decided."""
-    joined, read = rows[i].cds, 0
+    before = rows[i]
+    joined, read, longest = before.cds, 0, len(before.cds or "")
     if not joined or whole[i]:
         return (i, joined, 0) if joined else None
     if not joined.startswith("ATG"[: len(joined)]):
         return None
     for j in range(i + 1, len(rows)):
-        before, own = rows[j - 1], rows[j]
+        own = rows[j]
         # a stop codon in what is joined so far stays inside every longer chain
         end = len(joined) - len(joined) % 3
         if not own.cds or any(joined[k : k + 3] in D.STOPS for k in range(read, end, 3)):
@@ -64,7 +68,7 @@ def _chain(rows: list, i: int, whole: list[bool]) -> tuple[int, str, int] | str
         gap = own.start - before.stop if forward else before.start - own.stop
         donor, acceptor = (before.donor, own.acceptor) if forward else (own.donor, before.acceptor)
         free = abs(gap) <= 2 and donor in ("GT", "GC", "AT") and acceptor == "AG"
-        longest = max(len(r.cds) for r in rows[i : j + 1])
+        longest = max(longest, len(own.cds))
         for cut in (0, 1, 2) if free else (0,):
             made = joined + own.cds[cut:]
             if len(own.cds) > cut and complete(made):
@@ -72,10 +76,76 @@ def _chain(rows: list, i: int, whole: list[bool]) -> tuple[int, str, int] | str
                     return None
                 if len(made) > longest and (j - i < 2 or len(made) >= GROWTH * longest):
                     return j, made, cut
-        joined += own.cds
+        joined, before = joined + own.cds, own
     return OPEN
 
 
+def _edges(t: pa.Table, by: tuple[str, ...]) -> np.ndarray:
+    """The first rows of the runs of equal values, which are not null."""
+    new = np.ones(t.num_rows, bool)
+    if t.num_rows > 1:
+        new[1:] = False
+        for c in by:
+            v = t[c].combine_chunks()
+            new[1:] |= pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+class _Genes(Sequence):
+    """The rows of one block from columns, made where they are asked for."""
+
+    def __init__(self, columns: dict, lo: int, hi: int):
+        self.columns, self.lo, self.hi = columns, lo, hi
+
+    def __len__(self) -> int:
+        return self.hi - self.lo
+
+    def __getitem__(self, k):
+        if isinstance(k, slice):
+            return [self[i] for i in range(*k.indices(len(self)))]
+        at = self.lo + k % len(self)
+        return Gene(*(self.columns[c][at] for c in Gene._fields))
+
+
+class _Whole:
+    """complete() of a block's genes, worked out where it is asked for."""
+
+    def __init__(self, cds: list, lo: int):
+        self.cds, self.lo = cds, lo
+
+    def __getitem__(self, k):
+        return [complete(v) for v in self.cds[self.lo + k.start : self.lo + k.stop]] if isinstance(k, slice) else complete(self.cds[self.lo + k])
+
+
+def _decided(t: pa.Table, edges: np.ndarray, block: int, again: bool) -> Iterator[tuple]:
+    """(seq, strand, members, cut, cds, open) of the chains that begin in blocks, edges being their first rows."""
+    cds, idx = t["cds"], t["idx"].to_numpy()
+    # what begins with neither ATG nor a part of it begins no chain, and no complete gene either
+    may = pc.fill_null(pc.or_(pc.starts_with(cds, "ATG"), pc.less(pc.utf8_length(cds), 3)), False).to_numpy() & (idx // block == t["part"].to_numpy())
+    if again:
+        may &= t["tried"].to_numpy()
+    begins = np.flatnonzero(may)
+    if not len(begins):
+        return
+    lists = {c: t[c].to_numpy() for c in Gene._fields}
+    seq, beyond = t["seq"], t["beyond"].to_numpy()
+    ends = np.append(edges[edges < t.num_rows], t.num_rows)
+    for at, run in zip(begins.tolist(), (np.searchsorted(ends, begins, "right") - 1).tolist(), strict=True):
+        lo, hi = int(ends[run]), int(ends[run + 1])
+        rows, i = _Genes(lists, lo, hi), at - lo
+        made = _chain(rows, i, _Whole(lists["cds"], lo))
+        if made == OPEN:
+            if beyond[hi - 1]:
+                yield seq[at].as_py(), lists["strand"][at], None, None, None, int(idx[at])
+        elif made:
+            j, joined, cut = made
+            yield seq[at].as_py(), lists["strand"][at], lists["gene"][at : lo + j + 1].tolist(), cut, joined, None
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
 def orf_chains(genes: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """(seq, strand, members, cut, cds): for each gene the chain of it and its next neighbours that forms a complete frame.
 
@@ -97,35 +167,17 @@ def orf_chains(genes: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFr
         again = begun is not None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows come sorted by block and place; one block is held at a time."""
-
-            def decided(rows: list) -> Iterator[tuple]:
-                whole = [complete(r.cds) for r in rows]
-                for i, r in enumerate(rows):
-                    if r.idx // block != r.part or (again and not r.tried):
-                        continue
-                    made = _chain(rows, i, whole)
-                    if made == OPEN:
-                        if rows[-1].beyond:
-                            yield r.seq, r.strand, None, None, None, r.idx
-                    elif made:
-                        j, cds, cut = made
-                        yield r.seq, r.strand, [m.gene for m in rows[i : j + 1]], cut, cds, None
-
-            batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
-            rows, out = [], []
+            """Rows come sorted by block and place; a batch and the block that it continues are held at a time. Only genes that may begin
+            a chain are looked at one by one."""
+            held = None
             for b in batches:
-                gene = namedtuple("gene", b.schema.names)
-                for r in map(gene._make, zip(*(c.to_pylist() for c in b.columns), strict=True)):
-                    if rows and rows[-1][:3] != r[:3]:
-                        out += decided(rows)
-                        rows = []
-                    rows.append(r)
-                if out:
-                    yield batch(out)
-                    out = []
-            if rows and (out := list(decided(rows))):
-                yield batch(out)
+                t = pa.table(b) if held is None else pa.concat_tables([held, pa.table(b)]).combine_chunks()
+                edges = _edges(t, ("seq", "strand", "part"))
+                held = t.slice(edges[-1])  # the last block may go on
+                if out := list(_decided(t.slice(0, edges[-1]), edges, block, again)):
+                    yield _batch(out, schema)
+            if held is not None and (out := list(_decided(held, np.array([0, held.num_rows]), block, again))):
+                yield _batch(out, schema)
 
         y = x if begun is None else x.join(begun, [*at, "idx"], "left").withColumn("tried", F.coalesce("tried", F.lit(False)))
         first = F.greatest(F.floor((F.col("idx") - wide) / F.lit(block)), none)

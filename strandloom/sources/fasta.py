@@ -160,11 +160,15 @@ def cut_lists(rows: DataFrame, sequence: DataFrame, size: int = SLICE) -> DataFr
     x = rows.withColumn("_blocks", F.array_distinct(F.flatten(F.transform("places", lambda v: F.sequence(first(v), last(v))))))
     x = x.select(*cols, "places", F.size("_blocks").alias("_n"), F.explode("_blocks").alias("block"))
     x = x.withColumn("places", F.filter("places", lambda v: (first(v) <= F.col("block")) & (last(v) >= F.col("block"))))
-    x = x.join(blocks(sequence, size).hint("merge"), ["seq", "block"], "left")
+    # by bytes, as letters by place would be walked to from the block's first one for each piece; only a block with others than ASCII needs that
+    plain = F.octet_length("dna") == F.length("dna")
+    pieces = blocks(sequence, size).withColumns({"raw": F.when(plain, F.col("dna").cast("binary")), "dna": F.when(~plain, F.col("dna"))})
+    x = x.join(pieces.hint("merge"), ["seq", "block"], "left")
 
     def piece(v: Column) -> Column:
         lo, hi = F.greatest(v["start"], F.col("offset")), F.least(v["stop"], F.col("offset") + size)
-        dna = F.coalesce(F.when(lo < hi, F.substr("dna", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))), F.lit(""))
+        of = lambda c: F.substr(c, (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int")).cast("string")
+        dna = F.coalesce(F.when(lo < hi, F.coalesce(of(F.col("raw")), of(F.col("dna")))), F.lit(""))
         return F.struct(v["kind"].alias("kind"), v["start"].alias("start"), v["stop"].alias("stop"), F.col("block").alias("block"), dna.alias("dna"))
 
     x = written(x.select(*cols, "_n", F.col("offset").isNotNull().alias("_there"), F.transform("places", piece).alias("found")), "cut")

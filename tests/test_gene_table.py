@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from strandloom.operators import orf
 from strandloom.sources import fasta
 
@@ -33,3 +37,31 @@ def test_gene_table_moves_one_row_a_gene(spark, monkeypatch):
     got = [(r.gene, r.cds, r.donor, r.acceptor) for r in x.collect()]
     assert len(got) == len(want) and set(got) == want
     assert moved[0].count() == len(genes) + 1  # g1 lies in two blocks
+
+
+def test_bases_of_blocks_with_other_letters(spark):
+    """Pieces are cut by bytes where a block is ASCII and by letters where it is not."""
+    size = 8
+    dna = {"a": "ACGTACGTAé" + "ACGTAC" + "ACGTTGCA", "b": "ACGTTGCAAC"}
+    places = [(s, k, z) for s, text in dna.items() for k in range(len(text)) for z in (k + 1, k + 5, k + 11)]
+    one = lambda a, z: F.array(F.struct(F.lit("x").alias("kind"), F.col(a).alias("start"), F.col(z).alias("stop")))
+    rows = spark.createDataFrame(places, "seq string, k long, z long").select("seq", "k", "z", one("k", "z").alias("places"))
+    got = fasta.cut_lists(rows, spark.createDataFrame(list(dna.items()), "seq string, dna string"), size)
+    found = {(r.seq, r.k, r.z): "".join(v.dna for v in sorted(r.found, key=lambda v: v.block)) for r in got.collect()}
+    assert found == {(s, k, z): dna[s][k:z] for s, k, z in places}
+
+
+def test_only_genes_that_begin_with_a_start_codon_are_tried(monkeypatch):
+    draw = random.Random(7)
+    cds = ["".join(draw.choices("ACGT", k=6)) for _ in range(400)] + ["ATGGCC", "GCATAA", "ATGTAA", "AT", "GTAA", "", None]
+    n = len(cds)
+    t = pa.table({"seq": ["s"] * 200 + ["t"] * (n - 200), "strand": ["+"] * n, "part": [0] * n, "idx": list(range(200)) + list(range(n - 200)), "beyond": [0] * n, "gene": [f"g{k}" for k in range(n)], "start": [9 * k for k in range(n)], "stop": [9 * k + 6 for k in range(n)], "cds": pa.array(cds), "donor": ["AA"] * n, "acceptor": ["AA"] * n})
+    tried, chain = [], orf._chain
+    every = lambda lo, hi: [(lo + k, chain([orf.Gene(*(t[c][i].as_py() for c in orf.Gene._fields)) for i in range(lo, hi)], k, [bool(c) and orf.complete(c) for c in cds[lo:hi]])) for k in range(hi - lo)]
+    want = [(f"g{k}", made[1]) for k, made in every(0, 200) + every(200, n) if isinstance(made, tuple)]
+    monkeypatch.setattr(orf, "_chain", lambda rows, i, whole: tried.append(i) or chain(rows, i, whole))
+    edges = orf._edges(t, ("seq", "strand", "part"))
+    assert edges.tolist() == [0, 200]
+    got = [(r[2][0], r[4]) for r in orf._decided(t, edges, 1024, False) if r[2]]
+    assert got == want and ("g400", "ATGGCCGCATAA") in got and len(tried) == sum(c is not None and (c.startswith("ATG") or len(c) < 3) for c in cds) < 30
+    assert np.array_equal(orf._edges(t.slice(0, 0), ("seq",)), [])
